@@ -37,7 +37,7 @@ from . import common as C
 #: A shingle counts as common above this share of the texts; the list then holds at most (mean set size) * 1000 hashes.
 HOT_SHARE = 1000
 HOT_LEAST = 20
-BITMAP_LONGS = 16
+TILE_LONGS = 16
 BLOCK = 2048
 #: A side of so many ids is broadcast, a larger one is joined by shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -86,20 +86,20 @@ def _prefixes(k: int, percent: int, hot):
             ids = b.column(0)
             for lo, hi in C.row_chunks(b.column(1)):
                 h, _, cut = C.word_hashes(b.column(1).slice(lo, hi - lo))
-                gid, size, pre = [], [], []
+                gid, size, pre, maps, tile = [], [], [], [], []
                 for i in range(hi - lo):
                     s = C.shingles(h[cut[i] : cut[i + 1]], k)
                     n = len(s)
                     size.append(n)
-                    if not n:
-                        gid.append(None)
-                        pre.append(None)
-                        continue
-                    g = _gid(s)
+                    g = _gid(s) if n else None
                     gid.append(g)
-                    if g in seen:
+                    if g is None or g in seen:
                         pre.append(None)
+                        maps.append(None)
+                        tile.append(None)
                         continue
+                    maps.append(_bitmap(s, 1 << max(0, (2 * n - 1).bit_length() - 6)))
+                    tile.append(_bitmap(s, TILE_LONGS))
                     if len(seen) < 2_000_000:
                         seen.add(g)
                     p = n + (-percent * n) // 100 + 1
@@ -110,13 +110,20 @@ def _prefixes(k: int, percent: int, hot):
                             s = np.concatenate([s[~is_hot], s[is_hot]])
                     pre.append(s[:p].view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo), pa.array(gid, pa.int64()), pa.array(size, pa.int64()), pa.array(pre, pa.list_(pa.int64()))],
-                    ["doc_id", "gid", "n", "prefix"],
+                    [ids.slice(lo, hi - lo), pa.array(gid, pa.int64()), pa.array(size, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (pre, maps, tile))],
+                    ["doc_id", "gid", "n", "prefix", "bitmap", "tile_map"],
                 )
 
     return run
 
 
+def _bitmap(s: np.ndarray, longs: int) -> np.ndarray:
+    """Bits at the hashes modulo the width; of two widths the larger folds onto the smaller one."""
+    bits = np.zeros(longs * 64, np.uint8)
+    bits[(s >> C.U64(20)) % C.U64(longs * 64)] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
 def _gid(s: np.ndarray) -> int:
     return int.from_bytes(blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
@@ -126,19 +133,14 @@ def _sets(k: int):
         for b in batches:
             for lo, hi in C.row_chunks(b.column(0)):
                 h, _, cut = C.word_hashes(b.column(0).slice(lo, hi - lo))
-                gid, toks, maps = [], [], []
+                gid, toks = [], []
                 for i in range(hi - lo):
                     s = C.shingles(h[cut[i] : cut[i + 1]], k)
                     if not len(s):
                         continue
                     gid.append(_gid(s))
                     toks.append(s.tobytes())
-                    bits = np.zeros(BITMAP_LONGS * 64, np.uint8)
-                    bits[(s >> C.U64(20)) % C.U64(BITMAP_LONGS * 64)] = 1
-                    maps.append(np.packbits(bits).view(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(gid, pa.int64()), pa.array(toks, pa.binary()), pa.array(maps, pa.list_(pa.int64()))], ["gid", "toks", "bitmap"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(gid, pa.int64()), pa.array(toks, pa.binary())], ["gid", "toks"])
 
     return run
 
@@ -160,6 +162,17 @@ def _exact(percent: int):
     return run
 
 
+def _folded(x: str, y: str) -> Column:
+    """Bitmap x at the width of y where it is twice as wide."""
+    n = F.size(y)
+    return F.when(F.size(x) > n, F.zip_with(F.slice(x, 1, n), F.slice(x, n + 1, n), lambda p, q: p.bitwiseOR(q))).otherwise(F.col(x))
+
+
+def _lacks(x: str, y: str) -> Column:
+    """How many bits x has that y lacks."""
+    return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda a, v: a + v)
+
+
 def _close(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
@@ -178,37 +191,48 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     hot = seen.where(F.col("seen") >= max(HOT_LEAST, total // HOT_SHARE)).select("token").toArrow()["token"].to_numpy()
     hot = spark.sparkContext.broadcast(np.sort(hot.astype(np.int64).view(np.uint64)))
 
-    # 2. prefixes
-    rows = C.materialize(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_prefixes(k, percent, hot), "doc_id long, gid long, n long, prefix array<long>"))
+    # 2. prefixes; a task leaves out classes that it has met, so a class comes at most once from each task
+    whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = C.materialize(whole.mapInArrow(_prefixes(k, percent, hot), "doc_id long, gid long, n long, prefix array<long>, bitmap array<long>, tile_map array<long>"))
     classes = rows.where("gid is not null").groupBy("gid").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
     postings = rows.where("prefix is not null").select(F.explode("prefix").alias("token"), "gid", F.col("n").cast("int").alias("n"))
-    tiles = postings.groupBy("token").agg(F.min("gid").alias("lo"), F.max("gid").alias("hi")).where("lo <> hi").select("token")
+    tiles = postings.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1").select("token")
     shared = C.materialize(postings.join(tiles.hint("merge"), "token").distinct())
+    maps = rows.where("bitmap is not null").select("gid", "n", "bitmap")
+
+    def possible(p: DataFrame) -> DataFrame:
+        """Pairs that their bitmaps, as wide as their size bands ask for, allow to be links."""
+        one = p.join(maps.select(F.col("gid").alias("a"), F.col("n").alias("a_n"), F.col("bitmap").alias("x")), "a")
+        two = one.join(maps.select(F.col("gid").alias("b"), F.col("n").alias("b_n"), F.col("bitmap").alias("y")), "b")
+        two = two.select("a", "b", "a_n", "b_n", _folded("x", "y").alias("x"), _folded("y", "x").alias("y"))
+        two = two.select("a", "b", "a_n", "b_n", _lacks("x", "y").alias("a_only"), _lacks("y", "x").alias("b_only"))
+        bound = F.least(F.col("a_n") - F.col("a_only"), F.col("b_n") - F.col("b_only"))
+        # the maps of a class may come from several tasks
+        return two.where((100 + percent) * bound >= percent * (F.col("a_n") + F.col("b_n"))).select("a", "b").distinct()
+
+    def verified(p: DataFrame) -> DataFrame:
+        """Links among the pairs, by exact intersection; sets are made again from the texts that the pairs name."""
+        p = C.materialize(p)
+        ids = p.select(F.col("a").alias("gid")).union(p.select(F.col("b").alias("gid"))).distinct()
+        wanted = C.materialize(ids.join(classes.select("gid", "first_id"), "gid"))
+        few = wanted.count() <= BROADCAST_ROWS
+        side = (lambda d: F.broadcast(d)) if few else (lambda d: d)
+        chosen = docs.join(side(wanted.select("first_id")), docs["doc_id"].eqNullSafe(F.col("first_id")), "left_semi").select(F.coalesce("text", F.lit("")).alias("text"))
+        sets = C.materialize(chosen.mapInArrow(_sets(k), "gid long, toks binary").join(side(wanted.select("gid")), "gid", "left_semi"))
+        one = p.join(sets.select(F.col("gid").alias("a"), F.col("toks").alias("x")), "a")
+        two = one.join(sets.select(F.col("gid").alias("b"), F.col("toks").alias("y")), "b").select("a", "b", "x", "y")
+        return two.mapInArrow(_exact(percent), "src long, dst long")
 
     # 3. contraction with leaders
     copies = classes.where("copies > 1").select("gid", "copies")
     ranked = shared.join(copies, "gid", "left").select("token", "gid", "n", F.coalesce("copies", F.lit(1)).alias("copies"))
     by = [F.struct("copies", "gid", "n"), F.struct(F.xxhash64("gid", F.lit(1)), "gid", "n"), F.struct(F.xxhash64("gid", F.lit(2)), "gid", "n")]
-    leaders = ranked.groupBy("token").agg(F.count("*").alias("size"), *(F.max(s).alias(f"m{i}") for i, s in enumerate(by)))
-    leaders = C.materialize(leaders.select("token", "size", F.array_distinct(F.array(*(F.struct(f"m{i}.gid", f"m{i}.n") for i in range(3)))).alias("led")))
+    leaders = ranked.groupBy("token").agg(*(F.max(s).alias(f"m{i}") for i, s in enumerate(by)))
+    leaders = leaders.select("token", F.array_distinct(F.array(*(F.struct(f"m{i}.gid", f"m{i}.n") for i in range(3)))).alias("led"))
     pairs = shared.join(leaders, "token").select("gid", "n", F.explode("led").alias("led"))
     pairs = pairs.where((F.col("gid") != F.col("led.gid")) & _close(F.col("n"), F.col("led.n"), percent))
-    pairs = C.materialize(pairs.select(F.greatest("gid", "led.gid").alias("a"), F.least("gid", "led.gid").alias("b")).distinct())
-
-    wanted = shared.select("gid").distinct().join(classes.select("gid", "first_id"), "gid").select("gid", "first_id")
-    wanted = C.materialize(wanted)
-    few = wanted.count() <= BROADCAST_ROWS
-    side = (lambda d: F.broadcast(d)) if few else (lambda d: d)
-    chosen = docs.join(side(wanted.select("first_id")), docs["doc_id"].eqNullSafe(F.col("first_id")), "left_semi").select(F.coalesce("text", F.lit("")).alias("text"))
-    sets = chosen.mapInArrow(_sets(k), "gid long, toks binary, bitmap array<long>")
-    sets = C.materialize(sets.join(side(wanted.select("gid")), "gid", "left_semi").dropDuplicates(["gid"]))
-
-    def verified(p: DataFrame) -> DataFrame:
-        one = p.join(sets.select(F.col("gid").alias("a"), F.col("toks").alias("x")), "a")
-        two = one.join(sets.select(F.col("gid").alias("b"), F.col("toks").alias("y")), "b").select("a", "b", "x", "y")
-        return two.mapInArrow(_exact(percent), "src long, dst long")
-
-    first = C.materialize(C.connected_components(C.materialize(verified(pairs))))
+    pairs = C.materialize(possible(pairs.select(F.greatest("gid", "led.gid").alias("a"), F.least("gid", "led.gid").alias("b")).distinct()))
+    first = C.materialize(C.connected_components(verified(pairs)))
 
     # 4. tiles of what is still apart
     label = first.select(F.col("id").alias("gid"), "component")
@@ -216,18 +240,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     open_tiles = apart.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
-    member = apart.join(open_tiles.select("token", blocks.alias("blocks")), "token").join(sets.select("gid", "bitmap"), "gid")
-    member = C.materialize(member.select("token", "gid", "n", "component", "blocks", band.alias("band"), *(F.col("bitmap")[i].alias(f"b{i}") for i in range(BITMAP_LONGS))))
-    left = member.select("token", F.col("band").alias("tile"), F.pmod(F.xxhash64("gid"), F.col("blocks")).cast("int").alias("block"), *(F.col(c).alias(f"l_{c}") for c in ["gid", "n", "component", *(f"b{i}" for i in range(BITMAP_LONGS))]))
-    right = member.withColumn("tile", F.explode(F.array("band", F.col("band") - 1))).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    right = right.select("token", "tile", "block", *(F.col(c).alias(f"r_{c}") for c in ["gid", "n", "component", "band", *(f"b{i}" for i in range(BITMAP_LONGS))]))
+    tile_maps = rows.where("tile_map is not null").select("gid", "tile_map")
+    bits = [f"b{i}" for i in range(TILE_LONGS)]
+    member = apart.join(open_tiles.select("token", blocks.alias("blocks")), "token").join(tile_maps, "gid")
+    member = C.materialize(member.select("token", "gid", "n", "component", "blocks", band.alias("band"), *(F.col("tile_map")[i].alias(b) for i, b in enumerate(bits))))
+    own = ["gid", "n", "component", "band", *bits]
+    left = member.select(F.col("token").alias("l_token"), F.col("band").alias("l_tile"), F.pmod(F.xxhash64("gid"), F.col("blocks")).cast("int").alias("l_block"), *(F.col(c).alias(f"l_{c}") for c in own))
+    right = member.withColumn("r_tile", F.explode(F.array("band", F.col("band") - 1))).withColumn("r_block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    right = right.select(F.col("token").alias("r_token"), "r_tile", "r_block", *(F.col(c).alias(f"r_{c}") for c in own))
 
     def lacks(x: str, y: str) -> Column:
-        parts = [F.bit_count(F.col(f"{x}_b{i}").bitwiseAND(F.bitwise_not(f"{y}_b{i}"))) for i in range(BITMAP_LONGS)]
+        parts = [F.bit_count(F.col(f"{x}_{b}").bitwiseAND(F.bitwise_not(f"{y}_{b}"))) for b in bits]
         return sum(parts[1:], parts[0])
 
     bound = F.least(F.col("l_n") - lacks("l", "r"), F.col("r_n") - lacks("r", "l"))
-    left, right = left.withColumnsRenamed({"tile": "l_tile", "token": "l_token", "block": "l_block"}), right.withColumnsRenamed({"tile": "r_tile", "token": "r_token", "block": "r_block"})
     meet = (
         (F.col("l_token") == F.col("r_token")) & (F.col("l_tile") == F.col("r_tile")) & (F.col("l_block") == F.col("r_block"))
         & (F.col("l_component") != F.col("r_component"))
@@ -236,7 +262,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         & ((100 + percent) * bound >= percent * (F.col("l_n") + F.col("r_n")))
     )
     more = left.join(right.hint("merge"), meet).select(F.greatest("l_gid", "r_gid").alias("a"), F.least("l_gid", "r_gid").alias("b")).distinct()
-    late = verified(more.join(pairs, ["a", "b"], "left_anti"))
+    late = verified(possible(more).join(pairs, ["a", "b"], "left_anti"))
 
     # 6. components and the smallest id of each
     links = first.select(F.col("id").alias("src"), F.col("component").alias("dst")).where("src <> dst").unionAll(late)
