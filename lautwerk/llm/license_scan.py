@@ -26,7 +26,7 @@ from . import common as C
 
 GRAM = 3
 DRIFT = 3
-LEAST_COVER = 0.6
+LEAST_COVER = 0.85
 SPREAD = 2.0
 
 # The base phrases, and openings or key clauses of public licenses.
