@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: A shingle counts as common above this share of the texts; the list then holds at most (mean set size) * 1000 hashes.
-HOT_SHARE = 1000
-HOT_LEAST = 20
+#: A shingle counts as common from so many texts on, or from as many more as keep the list of common ones this short.
+HOT_LEAST = 32
+HOT_MOST = 500_000
 TILE_LONGS = 16
 BLOCK = 2048
 #: A side of so many ids is broadcast, a larger one is joined by shuffle.
@@ -186,16 +186,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
 
     # 1. shingles that many texts share
-    total = docs.count()
-    seen = texts.mapInArrow(_chunk_counts(k), "token long, seen long").groupBy("token").agg(F.sum("seen").alias("seen"))
-    hot = seen.where(F.col("seen") >= max(HOT_LEAST, total // HOT_SHARE)).select("token").toArrow()["token"].to_numpy()
+    seen = C.materialize(texts.mapInArrow(_chunk_counts(k), "token long, seen long").groupBy("token").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= HOT_LEAST))
+    by_size = {r["size"]: r["count"] for r in seen.groupBy(F.floor(F.log2("seen")).alias("size")).count().collect()}
+    size = int(np.log2(HOT_LEAST))
+    while sum(n for k_, n in by_size.items() if k_ >= size) > HOT_MOST:
+        size += 1
+    hot = seen.where(F.col("seen") >= 2**size).select("token").toArrow()["token"].to_numpy()
     hot = spark.sparkContext.broadcast(np.sort(hot.astype(np.int64).view(np.uint64)))
 
     # 2. prefixes; a task leaves out classes that it has met, so a class comes at most once from each task
     whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = C.materialize(whole.mapInArrow(_prefixes(k, percent, hot), "doc_id long, gid long, n long, prefix array<long>, bitmap array<long>, tile_map array<long>"))
     classes = rows.where("gid is not null").groupBy("gid").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
-    postings = rows.where("prefix is not null").select(F.explode("prefix").alias("token"), "gid", F.col("n").cast("int").alias("n"))
+    postings = rows.where("prefix is not null").select("gid", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("at", "token"))
     tiles = postings.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1").select("token")
     shared = C.materialize(postings.join(tiles.hint("merge"), "token").distinct())
     maps = rows.where("bitmap is not null").select("gid", "n", "bitmap")
@@ -225,26 +228,26 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # 3. contraction with leaders
     copies = classes.where("copies > 1").select("gid", "copies")
-    ranked = shared.join(copies, "gid", "left").select("token", "gid", "n", F.coalesce("copies", F.lit(1)).alias("copies"))
-    by = [F.struct("copies", "gid", "n"), F.struct(F.xxhash64("gid", F.lit(1)), "gid", "n"), F.struct(F.xxhash64("gid", F.lit(2)), "gid", "n")]
+    ranked = shared.join(copies, "gid", "left").select("token", "gid", "n", "at", F.coalesce("copies", F.lit(1)).alias("copies"))
+    by = [F.struct("copies", "gid", "n", "at"), F.struct(F.xxhash64("gid", F.lit(1)), "gid", "n", "at"), F.struct(F.xxhash64("gid", F.lit(2)), "gid", "n", "at")]
     leaders = ranked.groupBy("token").agg(*(F.max(s).alias(f"m{i}") for i, s in enumerate(by)))
-    leaders = leaders.select("token", F.array_distinct(F.array(*(F.struct(f"m{i}.gid", f"m{i}.n") for i in range(3)))).alias("led"))
-    pairs = shared.join(leaders, "token").select("gid", "n", F.explode("led").alias("led"))
-    pairs = pairs.where((F.col("gid") != F.col("led.gid")) & _close(F.col("n"), F.col("led.n"), percent))
+    leaders = leaders.select("token", F.array_distinct(F.array(*(F.struct(f"m{i}.gid", f"m{i}.n", f"m{i}.at") for i in range(3)))).alias("led"))
+    pairs = shared.join(leaders, "token").select("gid", "n", "at", F.explode("led").alias("led"))
+    pairs = pairs.where((F.col("gid") != F.col("led.gid")) & _close(F.col("n"), F.col("led.n"), percent) & _reach(F.col("n"), F.col("at"), F.col("led.n"), F.col("led.at"), percent))
     pairs = C.materialize(possible(pairs.select(F.greatest("gid", "led.gid").alias("a"), F.least("gid", "led.gid").alias("b")).distinct()))
     first = C.materialize(C.connected_components(verified(pairs)))
 
     # 4. tiles of what is still apart
     label = first.select(F.col("id").alias("gid"), "component")
-    apart = shared.join(label, "gid", "left").select("token", "gid", "n", F.coalesce("component", "gid").alias("component"))
+    apart = shared.join(label, "gid", "left").select("token", "gid", "n", "at", F.coalesce("component", "gid").alias("component"))
     open_tiles = apart.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
     tile_maps = rows.where("tile_map is not null").select("gid", "tile_map")
     bits = [f"b{i}" for i in range(TILE_LONGS)]
     member = apart.join(open_tiles.select("token", blocks.alias("blocks")), "token").join(tile_maps, "gid")
-    member = C.materialize(member.select("token", "gid", "n", "component", "blocks", band.alias("band"), *(F.col("tile_map")[i].alias(b) for i, b in enumerate(bits))))
-    own = ["gid", "n", "component", "band", *bits]
+    member = C.materialize(member.select("token", "gid", "n", "at", "component", "blocks", band.alias("band"), *(F.col("tile_map")[i].alias(b) for i, b in enumerate(bits))))
+    own = ["gid", "n", "at", "component", "band", *bits]
     left = member.select(F.col("token").alias("l_token"), F.col("band").alias("l_tile"), F.pmod(F.xxhash64("gid"), F.col("blocks")).cast("int").alias("l_block"), *(F.col(c).alias(f"l_{c}") for c in own))
     right = member.withColumn("r_tile", F.explode(F.array("band", F.col("band") - 1))).withColumn("r_block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     right = right.select(F.col("token").alias("r_token"), "r_tile", "r_block", *(F.col(c).alias(f"r_{c}") for c in own))
@@ -259,6 +262,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         & (F.col("l_component") != F.col("r_component"))
         & ((F.col("l_tile") < F.col("r_band")) | (F.col("l_gid") < F.col("r_gid")))
         & _close(F.col("l_n"), F.col("r_n"), percent)
+        & _reach(F.col("l_n"), F.col("l_at"), F.col("r_n"), F.col("r_at"), percent)
         & ((100 + percent) * bound >= percent * (F.col("l_n") + F.col("r_n")))
     )
     more = left.join(right.hint("merge"), meet).select(F.greatest("l_gid", "r_gid").alias("a"), F.least("l_gid", "r_gid").alias("b")).distinct()
@@ -272,3 +276,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     known = named.where("linked or copies > 1").join(least, "component", "left").select("gid", F.coalesce("least", "first_id").alias("component_id"))
     out = rows.join(known, "gid", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _reach(n: Column, at: Column, m: Column, to: Column, percent: int) -> Column:
+    """Whether two sets whose first common shingle stands at these places of their orders can still overlap enough. Where it
+    isn't their first common one the test may fail; the pair then passes it in the tile of the first."""
+    return (100 + percent) * F.least(n - at, m - to) >= percent * (n + m)
