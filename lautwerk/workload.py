@@ -1,9 +1,381 @@
-"""Queries over the test tables and their SQL."""
+"""Queries over the test tables, each with an independent SQL formulation where SQL can express it.
 
+The tables hold no transcriptions, but runs of lower-case ASCII letters are readable ones once ``g`` is imported as ``ɡ``.
+The SQL knows the inventory as a list of values and finds contexts with window functions instead of patterns.
+"""
 
-def queries() -> dict:
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import inventory as I
+from .functions import notation as N
+from .functions import text as X
+from .operators import analysis, distance, find, graph, intervals, rewrite
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+# -- input ------------------------------------------------------------------------------------------------------------
+
+
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(form, n): distinct lower-case words of all documents, imported, and how often they occur. Everything per word is done
+    after this one shuffle, so it is done once for each distinct word."""
+    text = _table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("([a-z]+)"), 1)).alias("word"))
+    return text.groupBy("word").agg(F.count("*").alias("n")).select(X.from_wild(F.col("word"), ascii_only=True).alias("form"), "n")
+
+
+def _values(rows: list[tuple], columns: str) -> str:
+    def one(v) -> str:
+        return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else ("NULL" if v is None else repr(v).upper() if isinstance(v, bool) else repr(v))
+
+    return f"(VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) AS t({columns})"
+
+
+def _letter(c: str) -> str:
+    return "ɡ" if c == "g" else c
+
+
+_ROWS = []
+for _c in "abcdefghijklmnopqrstuvwxyz":
+    _b = I.full()[_letter(_c)]
+    _devoiced = next((s for s in I.phones() if I.full()[s] == _b | {"voiced": "-"}), _letter(_c))
+    _ROWS.append((_letter(_c), _b["manner"], _b["manner"] == "vowel", _b["manner"] in I.OBSTRUENTS, _b["voiced"] == "+", _devoiced, N.table("kirshenbaum")[_letter(_c)], N.table("xsampa")[_letter(_c)]))
+_LETTERS = "letters AS (SELECT * FROM " + _values(_ROWS, "unit, manner, vowel, obstruent, voiced, devoiced, kirshenbaum, xsampa") + ")"
+_WORDS = "words AS (SELECT replace(word, 'g', 'ɡ') AS form, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[a-z]+')) AS word FROM documents) GROUP BY 1)"
+_UNITS = (
+    "units AS (SELECT form, n, unit, pos, len, lag(unit) OVER w AS before, lead(unit) OVER w AS after FROM (SELECT form, n, length(form) AS len, unnest(string_split(form, '')) AS unit, "
+    "unnest(range(length(form))) AS pos FROM words) WINDOW w AS (PARTITION BY form ORDER BY pos))"
+)
+_HEAD = f"WITH {_LETTERS}, {_WORDS}, {_UNITS} "
+_FEATURES = "features AS (SELECT * FROM " + _values([(s, f, v, f in I.stated()[s]) for s, b in I.full().items() for f, v in b.items()], "symbol, feature, value, stated") + ")"
+
+
+# -- scans and tokens -------------------------------------------------------------------------------------------------
+
+
+@query(_HEAD + "SELECT unit, CAST(sum(n) AS BIGINT) AS n FROM units GROUP BY unit")
+def unit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = words(spark, sf_dir).select(F.explode(X.units(F.col("form"))).alias("unit"), "n")
+    return w.groupBy("unit").agg(F.sum("n").alias("n"))
+
+
+@query(_HEAD + "SELECT form, n, CAST(length(form) AS BIGINT) AS n_units, array_to_string(string_split(form, ''), ' ') AS segmented FROM words")
+def tokenize_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return words(spark, sf_dir).select("form", "n", F.size(X.units(F.col("form"))).cast("long").alias("n_units"), X.segmented(F.col("form")).alias("segmented"))
+
+
+@query("SELECT p_partkey, replace(p_name, 'g', 'ɡ') AS form FROM part")
+def wild_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "part").select("p_partkey", X.from_wild(F.col("p_name"), ascii_only=True).alias("form"))
+
+
+@query("SELECT c_custkey, CASE WHEN regexp_matches(translate(c_name, ':?''', 'xxx'), '[A-Z0-9]') THEN 'unknown_symbol' ELSE '' END AS codes FROM customer")
+def validate_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    form = X.from_wild(F.lower("c_name"), ascii_only=True)
+    return _table(spark, sf_dir, "customer").select("c_custkey", F.array_join(X.findings(form), "|").alias("codes"))
+
+
+@query()
+def accented_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words with accents: canonical decomposition, then units and what is lost."""
+    text = _table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"(\p{Ll}*[^\x00-\x7F]\p{Ll}*)"), 1)).alias("word"))
+    w = text.groupBy("word").agg(F.count("*").alias("n")).select("word", "n", X.from_wild(F.col("word")).alias("form"))
+    return w.select("word", "n", "form", F.size(X.units(F.col("form"))).alias("n_units"), F.array_join(X.lost(F.col("form")), "").alias("lost"))
+
+
+# -- feature and structural queries -----------------------------------------------------------------------------------
+
+
+@query(_HEAD + "SELECT u.form, CAST(u.pos AS BIGINT) AS pos, u.unit FROM units u JOIN letters l USING (unit) WHERE l.vowel")
+def find_vowels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find.find(words(spark, sf_dir).select("form"), "form", "[vowel]")
+
+
+@query(_HEAD + "SELECT u.form, CAST(u.pos AS BIGINT) AS pos, u.unit FROM units u JOIN letters l USING (unit) WHERE NOT l.obstruent AND l.voiced")
+def find_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find.find(words(spark, sf_dir).select("form"), "form", "[-obstruent +voiced]")
+
+
+_BETWEEN = "JOIN letters l USING (unit) JOIN letters b ON b.unit = u.before JOIN letters a ON a.unit = u.after WHERE l.obstruent AND b.vowel AND a.vowel"
+
+
+@query(_HEAD + f"SELECT u.unit, count(*) AS words, CAST(sum(u.n) AS BIGINT) AS n FROM units u {_BETWEEN} GROUP BY u.unit")
+def feature_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flagship: obstruents between vowels, counted by unit."""
+    hits = find.find(words(spark, sf_dir), "form", "[obstruent] / [vowel] _ [vowel]")
+    return hits.groupBy("unit").agg(F.count("*").alias("words"), F.sum("n").alias("n"))
+
+
+@query(_HEAD + f"SELECT u.form, CAST(u.pos AS BIGINT) AS pos, u.unit FROM units u {_BETWEEN}")
+def query_intervocalic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find.find(words(spark, sf_dir).select("form"), "form", "[obstruent] / [vowel] _ [vowel]")
+
+
+@query(_HEAD + "SELECT u.form, CAST(u.pos AS BIGINT) AS pos, u.unit FROM units u JOIN letters l USING (unit) WHERE l.obstruent AND u.pos = u.len - 1")
+def query_word_final(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find.find(words(spark, sf_dir).select("form"), "form", "[obstruent] / _ #")
+
+
+@query(_HEAD + "SELECT u.form, CAST(u.pos AS BIGINT) AS pos, u.unit FROM units u JOIN letters l USING (unit) JOIN letters b ON b.unit = u.before WHERE l.manner = 'plosive' AND b.manner = 'plosive' AND l.voiced = b.voiced")
+def query_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plosives after a plosive of the same voicing."""
+    return find.find(words(spark, sf_dir).select("form"), "form", "[plosive voiced=α] / [plosive voiced=α] _")
+
+
+@query(
+    _HEAD
+    + "SELECT u.form, CAST(u.pos AS BIGINT) AS pos, u.unit FROM units u JOIN letters l USING (unit) WHERE u.unit = 't' AND u.pos >= 1 AND EXISTS (SELECT 1 FROM range(1, 4) r(k) "
+    "WHERE u.pos - k >= 0 AND substr(u.form, u.pos - k + 1, 1) = 's' AND regexp_full_match(substr(u.form, u.pos - k + 2, k - 1), '[aeiouy]*'))"
+)
+def query_span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """t after s and up to two vowels."""
+    return find.find(words(spark, sf_dir).select("form"), "form", "t / s ([vowel]){0,2} _")
+
+
+# -- rewriting --------------------------------------------------------------------------------------------------------
+
+_FINAL = "CASE WHEN l.obstruent THEN left(form, length(form) - 1) || l.devoiced ELSE form END"
+_DEVOICE = "[obstruent +voiced] -> [-voiced] / _ #"
+
+
+@query(_HEAD + f"SELECT form, {_FINAL} AS surface FROM words JOIN letters l ON l.unit = right(form, 1)")
+def rewrite_final_devoicing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return words(spark, sf_dir).select("form", rewrite.rewrite(F.col("form"), _DEVOICE).alias("surface"))
+
+
+@query(
+    _HEAD + "SELECT form, string_agg(CASE WHEN u.unit IN ('t', 'd') AND b.vowel AND a.vowel THEN 'ɾ' ELSE u.unit END, '' ORDER BY pos) AS surface "
+    "FROM units u LEFT JOIN letters b ON b.unit = u.before LEFT JOIN letters a ON a.unit = u.after GROUP BY form"
+)
+def rewrite_flapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return words(spark, sf_dir).select("form", rewrite.rewrite(F.col("form"), rewrite.shipped("flapping")).alias("surface"))
+
+
+_CASCADE = "t -> s / _ i ; assibilation\n[obstruent +voiced] -> [-voiced] / _ # ; final devoicing\n∅ -> e / # _ s ; prothesis"
+
+
+@query(
+    _HEAD
+    + """, one AS (SELECT form, replace(form, 'ti', 'si') AS s1 FROM words), two AS (SELECT form, s1, CASE WHEN l.obstruent THEN left(s1, length(s1) - 1) || l.devoiced ELSE s1 END AS s2 FROM one JOIN letters l ON l.unit = right(s1, 1)),
+    three AS (SELECT form, s1, s2, CASE WHEN left(s2, 1) = 's' THEN 'e' || s2 ELSE s2 END AS s3 FROM two)
+    SELECT rule, count(*) AS n FROM (SELECT 'assibilation' AS rule FROM three WHERE s1 <> form UNION ALL SELECT 'final devoicing' FROM three WHERE s2 <> s1 UNION ALL SELECT 'prothesis' FROM three WHERE s3 <> s2) GROUP BY rule"""
+)
+def rewrite_trace_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = rewrite.derive(words(spark, sf_dir), "form", _CASCADE)
+    return d.select(F.explode("trace").alias("step")).groupBy(F.col("step.name").alias("rule")).agg(F.count("*").alias("n"))
+
+
+_OPTIONAL = "[obstruent +voiced] ~> [-voiced] / _ # ; devoicing\nt ~> s / _ i ; assibilation"
+
+
+@query(
+    _HEAD + "SELECT form, CAST((CASE WHEN l.obstruent AND l.devoiced <> l.unit THEN 2 ELSE 1 END) * (CASE WHEN contains(form, 'ti') THEN 2 ELSE 1 END) AS BIGINT) AS n_variants FROM words JOIN letters l ON l.unit = right(form, 1)"
+)
+def variants_optional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = rewrite.variants(words(spark, sf_dir), "form", _OPTIONAL)
+    return v.select("form", F.size("variants").cast("long").alias("n_variants"))
+
+
+@query(
+    _HEAD
+    + f""", pairs AS (SELECT form, CASE WHEN length(form) % 2 = 0 THEN {_FINAL} ELSE form || 'x' END AS target FROM words JOIN letters l ON l.unit = right(form, 1))
+    SELECT CASE WHEN target = form THEN 'unchanged' WHEN length(target) = length(form) THEN 'derived' ELSE 'refused' END AS class, count(*) AS n FROM pairs GROUP BY 1"""
+)
+def experiment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the words of even length, devoiced, and those of odd length with an x, are related to the words by the rule."""
+    w = words(spark, sf_dir)
+    target = F.when(F.length("form") % 2 == 0, rewrite.rewrite(F.col("form"), _DEVOICE)).otherwise(F.concat("form", F.lit("x")))
+    return rewrite.experiment(w.withColumn("target", target), "form", "target", "[obstruent +voiced] ~> [-voiced] / _ #").groupBy("class").agg(F.count("*").alias("n"))
+
+
+# -- notation ---------------------------------------------------------------------------------------------------------
+
+
+@query(_HEAD + "SELECT form, string_agg(l.kirshenbaum, '' ORDER BY pos) AS ascii FROM units JOIN letters l USING (unit) GROUP BY form")
+def to_kirshenbaum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return words(spark, sf_dir).select("form", N.to_kirshenbaum(F.col("form")).alias("ascii"))
+
+
+@query(_HEAD + "SELECT form, string_agg(l.xsampa, '' ORDER BY pos) AS ascii FROM units JOIN letters l USING (unit) GROUP BY form")
+def to_xsampa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return words(spark, sf_dir).select("form", N.to_xsampa(F.col("form")).alias("ascii"))
+
+
+_TIMIT = _values([(s, t) for s, t in N.table("timit").items() if len(s) == 1], "unit, target")
+
+
+@query(_HEAD + f"SELECT form, coalesce(string_agg(t.target, ' ' ORDER BY pos), '') AS symbols FROM units LEFT JOIN {_TIMIT} USING (unit) GROUP BY form")
+def to_timit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return words(spark, sf_dir).select("form", F.array_join(N.to_timit(F.col("form")), " ").alias("symbols"))
+
+
+@query()
+def cmu_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cmu = N.to_cmu(F.col("form"))
+    return words(spark, sf_dir).select("form", F.array_join(cmu, " ").alias("cmu"), N.from_cmu(cmu).alias("back"))
+
+
+_VOCABULARY = ["th", "t", "h", "e", "r", "er", "an", "a", "n", "d", "i", "on", "in"]
+
+
+@query(
+    _HEAD
+    + f", v AS (SELECT form, regexp_extract_all(form, '{'|'.join(sorted(_VOCABULARY, key=lambda x: (-len(x), x)))}') AS atoms FROM words) SELECT form, array_to_string(atoms, '|') AS atoms, CAST(length(form) - length(array_to_string(atoms, '')) AS BIGINT) AS n_residue FROM v"
+)
+def vocabulary_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = words(spark, sf_dir).select("form", N.vocabulary_tokenize(F.col("form"), _VOCABULARY).alias("v"))
+    return v.select("form", F.array_join("v.atoms", "|").alias("atoms"), F.length("v.residue").cast("long").alias("n_residue"))
+
+
+# -- inventory --------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_FEATURES} SELECT feature, value, count(*) AS n FROM features GROUP BY feature, value")
+def feature_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.feature_counts(spark)
+
+
+@query(f"WITH {_FEATURES} SELECT d.feature, count(f.symbol) AS n FROM {_values([(f,) for f in I.values()], 'feature').replace(' AS t(', ' AS d(')} LEFT JOIN features f ON f.feature = d.feature AND f.stated GROUP BY d.feature")
+def feature_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.feature_usage(spark)
+
+
+@query(
+    f"WITH {_FEATURES}, n AS (SELECT a.symbol AS a, b.symbol AS b, count(*) AS same FROM features a JOIN features b ON a.feature = b.feature AND a.value = b.value AND a.symbol < b.symbol GROUP BY ALL), "
+    "own AS (SELECT symbol, list(feature) AS fs, count(*) AS k FROM features WHERE symbol <> '␣' GROUP BY symbol) "
+    "SELECT count(*) AS pairs FROM n JOIN own x ON x.symbol = n.a JOIN own y ON y.symbol = n.b WHERE len(list_distinct(list_concat(x.fs, y.fs))) - same = 1"
+)
+def minimal_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distance.minimal_pairs(spark).agg(F.count("*").alias("pairs"))
+
+
+_DIST = "dist AS (SELECT * FROM " + _values([(a, b, round(distance.phone_distance(_letter(a), _letter(b)), 12)) for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"], "a, b, d") + ")"
+
+
+@query(f"WITH {_DIST} SELECT replace(a, 'g', 'ɡ') AS a, replace(b, 'g', 'ɡ') AS b, round(CAST(d AS DOUBLE), 6) AS d FROM dist")
+def phone_distance_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    letters = [_letter(c) for c in "abcdefghijklmnopqrstuvwxyz"]
+    t = distance.distance_table(spark)
+    return t.where(F.col("a").isin(letters) & F.col("b").isin(letters)).select("a", "b", F.round("d", 6).alias("d"))
+
+
+@query()
+def nearest_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distance.nearest_phones(spark)
+
+
+@query()
+def confusability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distance.DistanceModel().table(spark)
+
+
+# -- distance of words ------------------------------------------------------------------------------------------------
+
+
+@query()
+def word_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each distinct word of the part names against each other one: sixteen words, whatever the scale."""
+    w = _table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("w")).distinct().select(X.from_wild(F.col("w"), ascii_only=True).alias("w"))
+    pairs = w.select(F.col("w").alias("a")).join(w.select(F.col("w").alias("b")), F.col("a") < F.col("b"))
+    return pairs.select("a", "b", F.round(distance.word_similarity(F.col("a"), F.col("b")), 6).alias("similarity"), F.round(distance.word_distance(F.col("a"), F.col("b"), False), 6).alias("unweighted"), F.round(distance.coverage(F.col("a"), F.col("b")), 6).alias("coverage"))
+
+
+@query()
+def rank_pronunciations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    accepted = spark.createDataFrame([("ðə", 0), ("ænd", 1), ("ɪn", 2), ("ɔɹ", 3)], "accepted string, ordinal int")
+    return distance.rank_pronunciations(words(spark, sf_dir).select("form"), "form", accepted, "accepted")
+
+
+# -- intervals, graphs, relational shapes -----------------------------------------------------------------------------
+
+
+@query(_HEAD + "SELECT form, CAST(count(*) FILTER (l.vowel) + count(*) FILTER (l.manner = 'nasal' AND NOT coalesce(a.vowel, false)) AS BIGINT) AS morae FROM units u JOIN letters l USING (unit) LEFT JOIN letters a ON a.unit = u.after GROUP BY form")
+def mora_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return words(spark, sf_dir).select("form", intervals.mora_count(F.col("form")).alias("morae"))
+
+
+@query(
+    _HEAD
+    + """, nuclei AS (SELECT form, pos, lead(pos) OVER (PARTITION BY form ORDER BY pos) AS nxt FROM units JOIN letters l USING (unit) WHERE l.vowel),
+    breaks AS (SELECT form, CASE WHEN nxt - pos = 1 THEN nxt
+      WHEN nxt - pos > 2 AND p.obstruent AND (q.manner IN ('tap', 'trill') OR q.unit IN ('l')) THEN nxt - 2 ELSE nxt - 1 END AS b
+      FROM nuclei LEFT JOIN letters p ON p.unit = substr(form, nxt - 1, 1) LEFT JOIN letters q ON q.unit = substr(form, nxt, 1) WHERE nxt IS NOT NULL)
+    SELECT u.form, string_agg(CASE WHEN b.b IS NULL THEN u.unit ELSE '.' || u.unit END, '' ORDER BY u.pos) AS syllables FROM units u LEFT JOIN breaks b ON b.form = u.form AND b.b = u.pos GROUP BY u.form"""
+)
+def syllabify_spanish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return words(spark, sf_dir).select("form", F.array_join(intervals.syllabify(F.col("form")), ".").alias("syllables"))
+
+
+@query("SELECT user_id, event_id FROM (SELECT user_id, event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events) WHERE epoch_us(ts) - epoch_us(prev) < 60000000")
+def timed_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events taken as intervals of a minute: those that begin before the last one of the same user ends."""
+    e = _table(spark, sf_dir, "events").select("user_id", "event_id", F.expr("unix_micros(cast(ts as timestamp))").alias("start"), F.lit(60_000_000).cast("long").alias("duration"))
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy("start", "event_id")
+    return e.withColumn("end", F.lag(F.col("start") + F.col("duration")).over(w)).where(F.col("end") > F.col("start")).select("user_id", "event_id")
+
+
+@query(
+    "SELECT 'r' || n_regionkey AS root, CAST(1 AS INTEGER) AS depth, count(*) AS n FROM nation GROUP BY ALL UNION ALL "
+    "SELECT 'r' || n_regionkey, 2, count(*) FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL"
+)
+def graph_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions contain nations, which contain suppliers."""
+    n, s = _table(spark, sf_dir, "nation"), _table(spark, sf_dir, "supplier")
+    edge = lambda df, a, x, b, y: df.select(F.lit(1).alias("graph"), F.lit("contains").alias("name"), F.concat(F.lit(a), x).alias("src"), F.lit(0).alias("ordinal"), F.concat(F.lit(b), y).alias("tgt"))
+    rel = edge(n, "r", F.col("n_regionkey"), "n", F.col("n_nationkey")).unionAll(edge(s, "n", F.col("s_nationkey"), "s", F.col("s_suppkey")))
+    roots = n.select(F.lit(1).alias("graph"), F.concat(F.lit("r"), "n_regionkey").alias("root")).distinct()
+    return graph.descendants(rel, roots).groupBy("root", "depth").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"WITH {_LETTERS}, p AS (SELECT p_brand, p_type, unnest(string_split(replace(p_name, 'g', 'ɡ'), '')) AS unit FROM part) "
+    "SELECT p_brand, p_type, count(*) AS n_units, count(*) FILTER (obstruent) AS n_obstruents FROM p JOIN letters USING (unit) GROUP BY ROLLUP (p_brand, p_type)"
+)
+def obstruents_by_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A relational shape with a phonetic measure: obstruents in part names by brand and type, rolled up."""
+    form = X.from_wild(F.col("p_name"), ascii_only=True)
+    p = _table(spark, sf_dir, "part").select("p_brand", "p_type", F.size(X.units(form)).cast("long").alias("u"), F.size(find.matching_units(form, "obstruent")).cast("long").alias("o"))
+    return p.rollup("p_brand", "p_type").agg(F.sum("u").alias("n_units"), F.sum("o").alias("n_obstruents"))
+
+
+@query(
+    f"WITH {_LETTERS}, w AS (SELECT lang, unnest(string_split(replace(array_to_string(regexp_extract_all(text, '[a-z]+'), ''), 'g', 'ɡ'), '')) AS unit FROM documents) "
+    "SELECT lang, manner, count(*) AS n FROM w JOIN letters USING (unit) GROUP BY lang, manner"
+)
+def manner_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units by language first, then the join with the inventory on what is left: some thousand rows."""
+    text = F.array_join(F.regexp_extract_all("text", F.lit("([a-z]+)"), 1), "")
+    u = _table(spark, sf_dir, "documents").select("lang", F.explode(F.split(X.from_wild(text, ascii_only=True), "")).alias("unit")).groupBy("lang", "unit").agg(F.count("*").alias("n"))
+    dim = analysis.feature_table(spark).where("feature = 'manner'").select(F.col("symbol").alias("unit"), F.col("value").alias("manner"))
+    return u.join(F.broadcast(dim), "unit").groupBy("lang", "manner").agg(F.sum("n").alias("n"))
