@@ -379,3 +379,63 @@ def manner_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = _table(spark, sf_dir, "documents").select("lang", F.explode(F.split(X.from_wild(text, ascii_only=True), "")).alias("unit")).groupBy("lang", "unit").agg(F.count("*").alias("n"))
     dim = analysis.feature_table(spark).where("feature = 'manner'").select(F.col("symbol").alias("unit"), F.col("value").alias("manner"))
     return u.join(F.broadcast(dim), "unit").groupBy("lang", "manner").agg(F.sum("n").alias("n"))
+
+
+# -- comparison -------------------------------------------------------------------------------------------------------
+
+_PART_WORDS = "w AS (SELECT DISTINCT unnest(string_split(replace(p_name, 'g', 'ɡ'), ' ')) AS w FROM part)"
+
+
+@query(
+    f"WITH {_LETTERS}, {_WORDS}, p AS (SELECT form, CASE WHEN l.obstruent THEN left(form, length(form) - 1) || l.devoiced ELSE form END AS other, l.devoiced <> l.unit AND l.obstruent AS moved FROM words JOIN letters l ON l.unit = right(form, 1)) "
+    "SELECT right(form, 1) AS \"left\", right(other, 1) AS \"right\", 'FEATURE' AS kind, count(*) AS n FROM p WHERE moved GROUP BY ALL"
+)
+def disagreement_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words against themselves with the last obstruent devoiced."""
+    from .operators import compare
+
+    w = words(spark, sf_dir).select("form", rewrite.rewrite(F.col("form"), _DEVOICE).alias("other"))
+    return compare.disagreements(w.where("form <> other"), ["form"], "form", "other").groupBy("left", "right", "kind").agg(F.count("*").alias("n"))
+
+
+@query(
+    "SELECT p_partkey, CAST(1 + len(string_split(p_name, ' ')) * 2 - 1 + length(replace(p_name, ' ', '')) AS BIGINT) AS n_relations FROM part"
+)
+def form_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names as trees of words, of one syllable each as none is marked, and segments."""
+    from .operators import compare
+
+    p = _table(spark, sf_dir, "part").select("p_partkey", X.from_wild(F.col("p_name"), ascii_only=True).alias("form"))
+    return compare.tree(p, "p_partkey", "form").groupBy(F.col("graph").cast("long").alias("p_partkey")).agg(F.count("*").alias("n_relations"))
+
+
+@query(
+    f"WITH pts AS (SELECT * FROM {_values([(_letter(c), float(distance.tract_point(I.full()[_letter(c)])[1])) for c in 'abcdefghijklmnopqrstuvwxyz'], 'unit, off')}), {_PART_WORDS}, "
+    "u AS (SELECT w, CAST(off AS DOUBLE) AS off, lead(CAST(off AS DOUBLE)) OVER (PARTITION BY w ORDER BY pos) AS nxt FROM (SELECT w, unnest(string_split(w, '')) AS unit, unnest(range(length(w))) AS pos FROM w) JOIN pts USING (unit)) "
+    "SELECT w, count(*) AS frames, round(sum(off * (1 - t) + coalesce(nxt, off) * t), 6) AS total FROM (SELECT *, unnest(CASE WHEN nxt IS NULL THEN [0.0] ELSE [0.0, 0.25, 0.5, 0.75] END) AS t FROM u) GROUP BY w"
+)
+def trajectory_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .operators import compare
+
+    w = _table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("w")).distinct().select(X.from_wild(F.col("w"), ascii_only=True).alias("w"))
+    return compare.trajectory(w, "w").groupBy("w").agg(F.count("*").alias("frames"), F.round(F.sum("offset"), 6).alias("total"))
+
+
+@query(
+    f"WITH {_LETTERS}, {_PART_WORDS} SELECT a.w AS a, b.w AS b, 2 * least(length(a.w), length(b.w)) >= 1.8 * (length(a.w) + length(b.w)) / 2 AS possible FROM w a JOIN w b ON a.w < b.w"
+)
+def length_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of part words that a similarity of 0.9 could hold for, by their lengths."""
+    w = _table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("w")).distinct().select(X.from_wild(F.col("w"), ascii_only=True).alias("w"))
+    n, m = F.size(X.units(F.col("a"))), F.size(X.units(F.col("b")))
+    return w.select(F.col("w").alias("a")).join(w.select(F.col("w").alias("b")), F.col("a") < F.col("b")).select("a", "b", (2 * F.least(n, m) >= 0.9 * (n + m)).alias("possible"))
+
+
+@query("SELECT doc_id, 'form' AS type, CAST(len(regexp_extract_all(text, '[a-z]')) AS BIGINT) AS n_units FROM documents")
+def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lower-case letters of whole documents as forms, through the wire format and back."""
+    from .functions import segments
+
+    form = X.from_wild(F.regexp_replace("text", "[^a-z]+", ""), ascii_only=True)
+    back = segments.form_from_json(segments.form_to_json(form))
+    return _table(spark, sf_dir, "documents").select("doc_id", back.alias("x")).select("doc_id", F.col("x.type").alias("type"), F.size("x.units").cast("long").alias("n_units"))
