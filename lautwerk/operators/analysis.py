@@ -67,3 +67,84 @@ def feature_profile(df: DataFrame, form_col: str, feature: str) -> DataFrame:
     """(value, n): values of a feature over all units of all forms: counts by unit first, then a join with the inventory."""
     dim = feature_table(df.sparkSession).where(F.col("feature") == feature).select(F.col("symbol").alias("unit"), "value")
     return unit_counts(df, form_col).join(F.broadcast(dim), "unit").groupBy("value").agg(F.sum("n").alias("n"))
+
+
+def integrity(bundles: dict[str, dict[str, str]] | None = None) -> list[tuple[str, str]]:
+    """(symbol, problem) of an inventory: unknown values, speech without a manner, consonants without a place, equal bundles."""
+    own = bundles if bundles is not None else I.full()
+    out, seen = [], {}
+    for s, b in own.items():
+        out += [(s, f"unknown value {f}={v}") for f, v in b.items() if v not in I.values().get(f, ())]
+        if "manner" not in b:
+            out.append((s, "no manner"))
+        elif b["manner"] not in ("vowel", "silence") and "place" not in b:
+            out.append((s, "no place"))
+        key = tuple(sorted(b.items()))
+        if key in seen:
+            out.append((s, f"same features as {seen[key]}"))
+        seen.setdefault(key, s)
+    return out
+
+
+def supplemented(extra: dict[str, dict[str, str]]) -> dict[str, dict[str, str]]:
+    """The inventory with more symbols; refuses to restate one."""
+    if known := set(extra) & set(I.full()):
+        raise ValueError(f"already declared: {' '.join(sorted(known))}")
+    return I.full() | {s: I.DEFAULTS | b for s, b in extra.items()}
+
+
+def hierarchy_text(symbols: list[str]) -> str:
+    return "\n".join(f"{'  ' * d}{label}: {' '.join(members)}" for d, label, members in hierarchy(symbols))
+
+
+def hierarchy_dot(symbols: list[str]) -> str:
+    lines, path = [], ["all"]
+    for d, label, _ in hierarchy(symbols):
+        path = path[: d + 1]
+        lines.append(f'"{"/".join(path)}" -> "{"/".join([*path, label])}";')
+        path.append(label)
+    return "digraph {\n" + "\n".join(lines) + "\n}"
+
+
+def shorts() -> dict[tuple[str, str], str]:
+    """A short code for each feature value: the shortest prefix of feature and of value that tells it from the others."""
+    out: dict[tuple[str, str], str] = {}
+    taken: set[str] = set()
+    for f, vs in I.values().items():
+        for v in vs:
+            n = 1
+            while (code := f"{f[:n]}{v[:n]}") in taken and n < len(f) + len(v):
+                n += 1
+            code = code if code not in taken else f"{f}={v}"
+            taken.add(code)
+            out[f, v] = code
+    return out
+
+
+def features_to_shorts(bundle: dict[str, str]) -> list[str]:
+    return sorted(shorts()[f, v] for f, v in bundle.items())
+
+
+def shorts_to_features(codes: list[str]) -> dict[str, str]:
+    back = {c: k for k, c in shorts().items()}
+    return dict(back[c] for c in codes)
+
+
+def glottal_aperture(bundle: dict[str, str]) -> float | None:
+    """How open the glottis is, 0 closed to 1 open; None for silence."""
+    if bundle.get("manner") == "silence":
+        return None
+    if bundle.get("place") == "glottal" and bundle.get("manner") == "plosive":
+        return 0.0
+    return {"creaky": 0.1, "breathy": 0.6}.get(bundle.get("phonation", ""), 0.3 if bundle.get("voiced") == "+" else 1.0)
+
+
+def velic_aperture(bundle: dict[str, str]) -> float:
+    return 1.0 if bundle.get("manner") == "nasal" or bundle.get("nasalized") == "+" else (0.5 if bundle.get("release") == "nasal" else 0.0)
+
+
+def constrictions(bundle: dict[str, str]) -> list[tuple[str, float, float]]:
+    """(place, arc, weight), front to back: primary ones weigh 1, secondary ones less."""
+    own = [(p, I.PLACES[p], 1.0) for p in bundle.get("place", "").split("^") if p in I.PLACES]
+    own += [(p, I.PLACES[p], I.SECONDARY_WEIGHT) for f, p in I.SECONDARY.items() if bundle.get(f) == "+"]
+    return sorted(own, key=lambda c: c[1])

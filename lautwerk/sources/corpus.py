@@ -167,3 +167,35 @@ def read_phoible(spark: SparkSession, path: str, language: str | None = None, in
     if inventory is not None:
         df = df.where(F.col("InventoryID") == str(inventory))
     return df.select("InventoryID", "LanguageName", F.col("Phoneme").alias("phoneme"), F.split("Allophones", r"\s+").alias("allophones"), (F.col("Marginal") == "TRUE").alias("marginal"), X.findings(F.col("Phoneme")).alias("findings"))
+
+
+def remove(corpus: Corpus, ids: DataFrame) -> Corpus:
+    """A corpus of the same content without some entries, in a folder beside; readers of the old one aren't disturbed."""
+    fresh = create(corpus.spark, f"{corpus.path}-next")
+    gone = ids.select("entry_id").distinct()
+    corpus._read("meta", META).join(gone, "entry_id", "left_anti").write.mode("overwrite").parquet(f"{fresh.path}/meta")
+    forms = corpus.forms()
+    if not forms.isEmpty():
+        forms.join(gone, "entry_id", "left_anti").write.mode("overwrite").partitionBy("role").parquet(f"{fresh.path}/forms")
+    return fresh
+
+
+def put_assets(corpus: Corpus, assets: DataFrame) -> None:
+    """Named files of entries (entry_id, kind, path); refuses ids that the corpus doesn't have."""
+    if not assets.join(corpus._read("meta", META), "entry_id", "left_anti").isEmpty():
+        raise CorpusError("an asset's id isn't in the corpus")
+    assets.select("entry_id", "kind", "path").write.mode("append").parquet(f"{corpus.path}/assets")
+
+
+def assets(corpus: Corpus) -> DataFrame:
+    return corpus._read("assets", "entry_id string, kind string, path string")
+
+
+def asset_kinds(corpus: Corpus) -> DataFrame:
+    return assets(corpus).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def phoible_audit(segments: DataFrame) -> DataFrame:
+    """(InventoryID, n, accepted, reason): how many segments of each inventory can be read, and why others can't."""
+    reason = F.coalesce(F.array_join("findings", "+"), F.lit(""))
+    return segments.groupBy("InventoryID", reason.alias("reason")).agg(F.count("*").alias("n")).withColumn("accepted", F.col("reason") == "")
