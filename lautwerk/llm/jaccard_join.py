@@ -8,9 +8,10 @@ Plan
    only those are dealt out by shingle. Texts with equal sets are one class from here on.
 3. ``Contraction``: every class is compared exactly with three leaders of each of its tiles. That is linear in the
    size of a tile and merges groups of copies before pairs are looked at.
-4. ``Tiles``: classes of one shingle and one size band (or the next) that are still in different components meet in a
-   join. Its condition is the bitmap bound: each bit set on one side only is an element the other side lacks, so bit
-   counts bound the overlap from above. Large tiles are split into salted blocks. Only pairs that pass leave the join.
+4. ``Tiles``: classes of one shingle that are still in different components meet in a join, each with those of its
+   size band and of the next; bands are part of the condition, so that no row is sent twice. The rest of it is the
+   bitmap bound: each bit set on one side only is an element the other side lacks, so bit counts bound the overlap
+   from above. Large tiles are split into salted blocks. Only pairs that pass leave the join.
 5. ``Verification``: exact intersection of the sorted arrays of 64-bit shingle hashes.
 6. Components over the verified links, with alternating star contraction on the cluster.
 
@@ -35,9 +36,9 @@ from pyspark.sql import functions as F
 from . import common as C
 
 #: A shingle counts as common from so many texts on, or from as many more as keep the list of common ones this short.
-HOT_LEAST = 32
+HOT_LEAST = 8
 HOT_MOST = 500_000
-TILE_LONGS = 16
+TILE_LONGS = 8
 BLOCK = 2048
 #: A side of so many ids is broadcast, a larger one is joined by shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -248,9 +249,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     member = apart.join(open_tiles.select("token", blocks.alias("blocks")), "token").join(tile_maps, "gid")
     member = C.materialize(member.select("token", "gid", "n", "at", "component", "blocks", band.alias("band"), *(F.col("tile_map")[i].alias(b) for i, b in enumerate(bits))))
     own = ["gid", "n", "at", "component", "band", *bits]
-    left = member.select(F.col("token").alias("l_token"), F.col("band").alias("l_tile"), F.pmod(F.xxhash64("gid"), F.col("blocks")).cast("int").alias("l_block"), *(F.col(c).alias(f"l_{c}") for c in own))
-    right = member.withColumn("r_tile", F.explode(F.array("band", F.col("band") - 1))).withColumn("r_block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    right = right.select(F.col("token").alias("r_token"), "r_tile", "r_block", *(F.col(c).alias(f"r_{c}") for c in own))
+    left = member.select(F.col("token").alias("l_token"), F.pmod(F.xxhash64("gid"), F.col("blocks")).cast("int").alias("l_block"), *(F.col(c).alias(f"l_{c}") for c in own))
+    right = member.withColumn("r_block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    right = right.select(F.col("token").alias("r_token"), "r_block", *(F.col(c).alias(f"r_{c}") for c in own))
 
     def lacks(x: str, y: str) -> Column:
         parts = [F.bit_count(F.col(f"{x}_{b}").bitwiseAND(F.bitwise_not(f"{y}_{b}"))) for b in bits]
@@ -258,9 +259,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     bound = F.least(F.col("l_n") - lacks("l", "r"), F.col("r_n") - lacks("r", "l"))
     meet = (
-        (F.col("l_token") == F.col("r_token")) & (F.col("l_tile") == F.col("r_tile")) & (F.col("l_block") == F.col("r_block"))
+        (F.col("l_token") == F.col("r_token")) & (F.col("l_block") == F.col("r_block"))
         & (F.col("l_component") != F.col("r_component"))
-        & ((F.col("l_tile") < F.col("r_band")) | (F.col("l_gid") < F.col("r_gid")))
+        & ((F.col("l_band") + 1 == F.col("r_band")) | (F.col("l_band") == F.col("r_band")) & (F.col("l_gid") < F.col("r_gid")))
         & _close(F.col("l_n"), F.col("r_n"), percent)
         & _reach(F.col("l_n"), F.col("l_at"), F.col("r_n"), F.col("r_at"), percent)
         & ((100 + percent) * bound >= percent * (F.col("l_n") + F.col("r_n")))
