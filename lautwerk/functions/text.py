@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from contextlib import contextmanager
 from functools import cache
 
 import pandas as pd
@@ -17,7 +18,21 @@ from pyspark.sql import types as T
 from .. import inventory as I
 
 #: Bounds inside lookbehinds, which need them: diacritics of a unit, further tied parts.
-MARKS, PARTS = 6, 3
+MARKS, PARTS, STRESS = 6, 3, 2
+
+
+@contextmanager
+def plain(on: bool = True):
+    """While expressions are built: for forms without diacritics, prosody and unregistered ties, patterns leave these out. They
+    are then several times as fast, as a lookbehind tries every length that its bounds allow."""
+    global MARKS, PARTS, STRESS
+    before = MARKS, PARTS, STRESS
+    if on:
+        MARKS, PARTS, STRESS = 0, 0, 0
+    try:
+        yield
+    finally:
+        MARKS, PARTS, STRESS = before
 
 
 @cache
@@ -43,7 +58,7 @@ def base_class() -> str:
 def unit_pattern() -> str:
     """One unit: stress, base, marks, and any tied parts with theirs."""
     b = base_class()
-    return f"{STRESS_CLASS}{{0,2}}{b}{AFTER_CLASS}{{0,{MARKS}}}(?:[{I.TIE}{I.SEQUENCE}]{b}{AFTER_CLASS}{{0,{MARKS}}}){{0,{PARTS}}}"
+    return f"{STRESS_CLASS}{{0,{STRESS}}}{b}{AFTER_CLASS}{{0,{MARKS}}}(?:[{I.TIE}{I.SEQUENCE}]{b}{AFTER_CLASS}{{0,{MARKS}}}){{0,{PARTS}}}"
 
 
 def encode(form: Column) -> Column:

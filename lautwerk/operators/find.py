@@ -36,8 +36,13 @@ def _sites(form: Column, regex: str, boundary: bool) -> Column:
     return F.transform(hits, lambda s: F.struct(s["pos"].alias("pos"), X.decode(F.replace(s["unit"], F.lit(P.MARK), F.lit(""))).alias("unit")))
 
 
-def find(df: DataFrame, form_col: str, spec: str) -> DataFrame:
-    """A row for each match: the columns of df, pos and unit."""
+def find(df: DataFrame, form_col: str, spec: str, plain: bool = False) -> DataFrame:
+    """A row for each match: the columns of df, pos and unit. plain: the forms have no marks, see text.plain."""
+    with X.plain(plain):
+        return _find(df, form_col, spec)
+
+
+def _find(df: DataFrame, form_col: str, spec: str) -> DataFrame:
     return df.select("*", F.explode(sites(F.col(form_col), spec)).alias("site")).select(*df.columns, F.col("site.pos").alias("pos"), F.col("site.unit").alias("unit"))
 
 

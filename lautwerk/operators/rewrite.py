@@ -58,15 +58,14 @@ def _apply(e: Column, rule: P.Rule, values: dict[str, str]) -> Column:
     unit = P.item_regex(p.target, "left", values, {}) if p.target.kind == "bundle" else ""
     check = f"(?={unit})" if unit else ""
     marked = F.regexp_replace(e, f"{_lead(left)}(?<![{I.TIE}{I.SEQUENCE}]){check}(?={bases}{X.AFTER_CLASS}{{0,{X.MARKS}}}(?!{X.AFTER_CLASS}){right[3:-1] if right else ''})", P.MARK)
-    done = marked
-    for s, o in out.items():
-        done = F.replace(done, F.lit(P.MARK + _code(s)), F.lit(_code(o)))
-    return F.when(marked.contains(P.MARK), done).otherwise(e)
+    for s, o in out.items():  # the form is named once, so that a cascade nests its expressions without copies
+        marked = F.replace(marked, F.lit(P.MARK + _code(s)), F.lit(_code(o)))
+    return marked
 
 
 def _lead(left: str) -> str:
     """The lookbehind of a context, with the unit's own stress marks between."""
-    return f"(?<=(?:{left[4:-1]}){X.STRESS_CLASS}{{0,2}})" if left else ""
+    return f"(?<=(?:{left[4:-1]}){X.STRESS_CLASS}{{0,{X.STRESS}}})" if left else ""
 
 
 def _quoted(s: str) -> str:
@@ -77,12 +76,13 @@ def rules_of(rules: str | list[P.Rule]) -> list[P.Rule]:
     return P.parse_rules(rules) if isinstance(rules, str) else rules
 
 
-def rewrite(form: Column, rules: str | list[P.Rule]) -> Column:
-    """A form after an ordered cascade, optional rules included; null stays null."""
-    return X.decode(reduce(apply_rule, rules_of(rules), X.encode(form)))
+def rewrite(form: Column, rules: str | list[P.Rule], plain: bool = False) -> Column:
+    """A form after an ordered cascade, optional rules included; null stays null. plain: no form has marks, nor gets any, see text.plain."""
+    with X.plain(plain):
+        return X.decode(reduce(apply_rule, rules_of(rules), X.encode(form)))
 
 
-def derive(df: DataFrame, form_col: str, rules: str | list[P.Rule]) -> DataFrame:
+def derive(df: DataFrame, form_col: str, rules: str | list[P.Rule], plain: bool = False) -> DataFrame:
     """df with surface and trace: (name, before, after) of each rule that changed something, in order.
 
     Each step is a projection of its own, so no prefix of the cascade is computed twice.
@@ -90,20 +90,22 @@ def derive(df: DataFrame, form_col: str, rules: str | list[P.Rule]) -> DataFrame
     own = rules_of(rules)
     names = [f"__step{k}" for k in range(len(own) + 1)]
     out = df.withColumn(names[0], X.encode(F.col(form_col)))
-    for k, r in enumerate(own):
-        out = out.withColumn(names[k + 1], apply_rule(F.col(names[k]), r))
+    with X.plain(plain):
+        for k, r in enumerate(own):
+            out = out.withColumn(names[k + 1], apply_rule(F.col(names[k]), r))
     steps = [F.when(~F.col(names[k]).eqNullSafe(F.col(names[k + 1])), F.struct(F.lit(r.name).alias("name"), X.decode(F.col(names[k])).alias("before"), X.decode(F.col(names[k + 1])).alias("after"))) for k, r in enumerate(own)]
     trace = F.filter(F.array(*steps), lambda s: s.isNotNull()) if steps else F.array().cast("array<struct<name:string,before:string,after:string>>")
     return out.select(*df.columns, X.decode(F.col(names[-1])).alias("surface"), trace.alias("trace"))
 
 
-def variants(df: DataFrame, form_col: str, rules: str | list[P.Rule], limit: int = 64) -> DataFrame:
+def variants(df: DataFrame, form_col: str, rules: str | list[P.Rule], limit: int = 64, plain: bool = False) -> DataFrame:
     """df with variants: forms that some choice of the optional rules (each applied or not) leads to, with the fewest
     applied ones for each form, cheapest first; complete tells whether the limit cut any."""
     states = F.array(F.struct(F.lit(0).alias("cost"), X.encode(F.col(form_col)).alias("form")))
     out = df.withColumn("__states", states).withColumn("__complete", F.lit(True))
     for r in rules_of(rules):
-        both = F.transform("__states", _after(r, int(r.optional)))
+        with X.plain(plain):
+            both = F.transform("__states", _after(r, int(r.optional)))
         if r.optional:
             both = F.concat(F.col("__states"), both)
         out = out.withColumn("__states", F.array_sort(both))

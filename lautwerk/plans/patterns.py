@@ -43,6 +43,7 @@ class Rule:
     optional: bool
 
 
+# read with all marks, whatever the forms have
 _TOKEN = re.compile(r"\s*(\[[^\]]*\]|\(|\)|[?*+]|\{\d*,?\d*\}|[.#%‿|‖]|" + X.unit_pattern() + r"|[∅0Ø])")
 
 
@@ -169,8 +170,8 @@ def _literal_regex(unit: str, shadow: dict[str, str]) -> str:
     else:
         code = re.escape(code)
     marks = "".join(m for m in I.PROSODY if m not in I.STRESS_MARKS)
-    head = "" if unit[0] in I.STRESS_MARKS else f"{X.STRESS_CLASS}{{0,2}}"
-    return f"{head}{code}[{marks}]{{0,3}}(?!{X.AFTER_CLASS}|[{I.TIE}{I.SEQUENCE}])"
+    head = "" if unit[0] in I.STRESS_MARKS else f"{X.STRESS_CLASS}{{0,{X.STRESS}}}"
+    return f"{head}{code}[{marks}]{{0,{min(3, X.MARKS)}}}(?!{X.AFTER_CLASS}|[{I.TIE}{I.SEQUENCE}])"
 
 
 def _boundary_regex(mark: str, side: str) -> str:

@@ -117,9 +117,9 @@ def unit_regex(q: Query, shadow: dict[str, str] | None = None) -> str:
         every = "".join(touch)
         rest = "".join(m for m in marks if m not in every)
         quiet = f"[{rest}]{{0,{X.MARKS}}}(?![{marks}])" if every else ""
-        head = f"{X.STRESS_CLASS}{{0,2}}"
+        head = f"{X.STRESS_CLASS}{{0,{X.STRESS}}}"
         ways = [f"{head}{chars([s for s, b in I.full().items() if own.holds(b)])}{quiet}"]
         if good:
             ways.append(f"{head}{any_base}{tail}[{good}]{quiet}")
         looks.append(f"(?={'|'.join(ways)})")
-    return f"{''.join(looks)}{X.STRESS_CLASS}{{0,2}}{any_base}{tail}"
+    return f"{''.join(looks)}{X.STRESS_CLASS}{{0,{X.STRESS}}}{any_base}{tail}"

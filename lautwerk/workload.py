@@ -50,7 +50,10 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(form, n): distinct lower-case words of all documents, imported, and how often they occur. Everything per word is done
     after this one shuffle, so it is done once for each distinct word."""
     text = _table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("([a-z]+)"), 1)).alias("word"))
-    return text.groupBy("word").agg(F.count("*").alias("n")).select(X.from_wild(F.col("word"), ascii_only=True).alias("form"), "n")
+    counted = text.groupBy("word").agg(F.count("*").alias("n"))
+    # patterns take long for few bytes, so the words are spread by number where sizes alone would put them into one task
+    counted = counted.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "word")
+    return counted.select(X.from_wild(F.col("word"), ascii_only=True).alias("form"), "n")
 
 
 def _values(rows: list[tuple], columns: str) -> str:
@@ -117,12 +120,12 @@ def accented_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_HEAD + "SELECT u.form, CAST(u.pos AS BIGINT) AS pos, u.unit FROM units u JOIN letters l USING (unit) WHERE l.vowel")
 def find_vowels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find.find(words(spark, sf_dir).select("form"), "form", "[vowel]")
+    return find.find(words(spark, sf_dir).select("form"), "form", "[vowel]", plain=True)
 
 
 @query(_HEAD + "SELECT u.form, CAST(u.pos AS BIGINT) AS pos, u.unit FROM units u JOIN letters l USING (unit) WHERE NOT l.obstruent AND l.voiced")
 def find_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find.find(words(spark, sf_dir).select("form"), "form", "[-obstruent +voiced]")
+    return find.find(words(spark, sf_dir).select("form"), "form", "[-obstruent +voiced]", plain=True)
 
 
 _BETWEEN = "JOIN letters l USING (unit) JOIN letters b ON b.unit = u.before JOIN letters a ON a.unit = u.after WHERE l.obstruent AND b.vowel AND a.vowel"
@@ -131,24 +134,24 @@ _BETWEEN = "JOIN letters l USING (unit) JOIN letters b ON b.unit = u.before JOIN
 @query(_HEAD + f"SELECT u.unit, count(*) AS words, CAST(sum(u.n) AS BIGINT) AS n FROM units u {_BETWEEN} GROUP BY u.unit")
 def feature_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: obstruents between vowels, counted by unit."""
-    hits = find.find(words(spark, sf_dir), "form", "[obstruent] / [vowel] _ [vowel]")
+    hits = find.find(words(spark, sf_dir), "form", "[obstruent] / [vowel] _ [vowel]", plain=True)
     return hits.groupBy("unit").agg(F.count("*").alias("words"), F.sum("n").alias("n"))
 
 
 @query(_HEAD + f"SELECT u.form, CAST(u.pos AS BIGINT) AS pos, u.unit FROM units u {_BETWEEN}")
 def query_intervocalic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find.find(words(spark, sf_dir).select("form"), "form", "[obstruent] / [vowel] _ [vowel]")
+    return find.find(words(spark, sf_dir).select("form"), "form", "[obstruent] / [vowel] _ [vowel]", plain=True)
 
 
 @query(_HEAD + "SELECT u.form, CAST(u.pos AS BIGINT) AS pos, u.unit FROM units u JOIN letters l USING (unit) WHERE l.obstruent AND u.pos = u.len - 1")
 def query_word_final(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find.find(words(spark, sf_dir).select("form"), "form", "[obstruent] / _ #")
+    return find.find(words(spark, sf_dir).select("form"), "form", "[obstruent] / _ #", plain=True)
 
 
 @query(_HEAD + "SELECT u.form, CAST(u.pos AS BIGINT) AS pos, u.unit FROM units u JOIN letters l USING (unit) JOIN letters b ON b.unit = u.before WHERE l.manner = 'plosive' AND b.manner = 'plosive' AND l.voiced = b.voiced")
 def query_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plosives after a plosive of the same voicing."""
-    return find.find(words(spark, sf_dir).select("form"), "form", "[plosive voiced=α] / [plosive voiced=α] _")
+    return find.find(words(spark, sf_dir).select("form"), "form", "[plosive voiced=α] / [plosive voiced=α] _", plain=True)
 
 
 @query(
@@ -158,7 +161,7 @@ def query_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def query_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     """t after s and up to two vowels."""
-    return find.find(words(spark, sf_dir).select("form"), "form", "t / s ([vowel]){0,2} _")
+    return find.find(words(spark, sf_dir).select("form"), "form", "t / s ([vowel]){0,2} _", plain=True)
 
 
 # -- rewriting --------------------------------------------------------------------------------------------------------
@@ -169,7 +172,7 @@ _DEVOICE = "[obstruent +voiced] -> [-voiced] / _ #"
 
 @query(_HEAD + f"SELECT form, {_FINAL} AS surface FROM words JOIN letters l ON l.unit = right(form, 1)")
 def rewrite_final_devoicing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return words(spark, sf_dir).select("form", rewrite.rewrite(F.col("form"), _DEVOICE).alias("surface"))
+    return words(spark, sf_dir).select("form", rewrite.rewrite(F.col("form"), _DEVOICE, plain=True).alias("surface"))
 
 
 @query(
@@ -177,7 +180,7 @@ def rewrite_final_devoicing(spark: SparkSession, sf_dir: str) -> DataFrame:
     "FROM units u LEFT JOIN letters b ON b.unit = u.before LEFT JOIN letters a ON a.unit = u.after GROUP BY form"
 )
 def rewrite_flapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return words(spark, sf_dir).select("form", rewrite.rewrite(F.col("form"), rewrite.shipped("flapping")).alias("surface"))
+    return words(spark, sf_dir).select("form", rewrite.rewrite(F.col("form"), rewrite.shipped("flapping"), plain=True).alias("surface"))
 
 
 _CASCADE = "t -> s / _ i ; assibilation\n[obstruent +voiced] -> [-voiced] / _ # ; final devoicing\n∅ -> e / # _ s ; prothesis"
@@ -190,7 +193,7 @@ _CASCADE = "t -> s / _ i ; assibilation\n[obstruent +voiced] -> [-voiced] / _ #
     SELECT rule, count(*) AS n FROM (SELECT 'assibilation' AS rule FROM three WHERE s1 <> form UNION ALL SELECT 'final devoicing' FROM three WHERE s2 <> s1 UNION ALL SELECT 'prothesis' FROM three WHERE s3 <> s2) GROUP BY rule"""
 )
 def rewrite_trace_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = rewrite.derive(words(spark, sf_dir), "form", _CASCADE)
+    d = rewrite.derive(words(spark, sf_dir), "form", _CASCADE, plain=True)
     return d.select(F.explode("trace").alias("step")).groupBy(F.col("step.name").alias("rule")).agg(F.count("*").alias("n"))
 
 
@@ -201,7 +204,7 @@ _OPTIONAL = "[obstruent +voiced] ~> [-voiced] / _ # ; devoicing\nt ~> s / _ i ;
     _HEAD + "SELECT form, CAST((CASE WHEN l.obstruent AND l.devoiced <> l.unit THEN 2 ELSE 1 END) * (CASE WHEN contains(form, 'ti') THEN 2 ELSE 1 END) AS BIGINT) AS n_variants FROM words JOIN letters l ON l.unit = right(form, 1)"
 )
 def variants_optional(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = rewrite.variants(words(spark, sf_dir), "form", _OPTIONAL)
+    v = rewrite.variants(words(spark, sf_dir), "form", _OPTIONAL, plain=True)
     return v.select("form", F.size("variants").cast("long").alias("n_variants"))
 
 
@@ -213,7 +216,7 @@ def variants_optional(spark: SparkSession, sf_dir: str) -> DataFrame:
 def experiment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the words of even length, devoiced, and those of odd length with an x, are related to the words by the rule."""
     w = words(spark, sf_dir)
-    target = F.when(F.length("form") % 2 == 0, rewrite.rewrite(F.col("form"), _DEVOICE)).otherwise(F.concat("form", F.lit("x")))
+    target = F.when(F.length("form") % 2 == 0, rewrite.rewrite(F.col("form"), _DEVOICE, plain=True)).otherwise(F.concat("form", F.lit("x")))
     return rewrite.experiment(w.withColumn("target", target), "form", "target", "[obstruent +voiced] ~> [-voiced] / _ #").groupBy("class").agg(F.count("*").alias("n"))
 
 
@@ -394,7 +397,7 @@ def disagreement_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words against themselves with the last obstruent devoiced."""
     from .operators import compare
 
-    w = words(spark, sf_dir).select("form", rewrite.rewrite(F.col("form"), _DEVOICE).alias("other"))
+    w = words(spark, sf_dir).select("form", rewrite.rewrite(F.col("form"), _DEVOICE, plain=True).alias("other"))
     return compare.disagreements(w.where("form <> other"), ["form"], "form", "other").groupBy("left", "right", "kind").agg(F.count("*").alias("n"))
 
 
