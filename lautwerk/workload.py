@@ -49,8 +49,9 @@ def oracle_sql() -> dict[str, str]:
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(form, n): distinct lower-case words of all documents, imported, and how often they occur. Everything per word is done
     after this one shuffle, so it is done once for each distinct word."""
-    text = _table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("([a-z]+)"), 1)).alias("word"))
-    counted = text.groupBy("word").agg(F.count("*").alias("n"))
+    # an inner explode would make the optimizer extract all words twice, once to see whether there are any
+    text = _table(spark, sf_dir, "documents").select(F.explode_outer(F.regexp_extract_all("text", F.lit("([a-z]+)"), 1)).alias("word"))
+    counted = text.where("word is not null").groupBy("word").agg(F.count("*").alias("n"))
     # patterns take long for few bytes, so the words are spread by number where sizes alone would put them into one task
     counted = counted.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "word")
     return counted.select(X.from_wild(F.col("word"), ascii_only=True).alias("form"), "n")
@@ -87,7 +88,7 @@ _FEATURES = "features AS (SELECT * FROM " + _values([(s, f, v, f in I.stated()[s
 
 @query(_HEAD + "SELECT unit, CAST(sum(n) AS BIGINT) AS n FROM units GROUP BY unit")
 def unit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = words(spark, sf_dir).select(F.explode(X.units(F.col("form"))).alias("unit"), "n")
+    w = words(spark, sf_dir).select(F.explode_outer(X.units(F.col("form"))).alias("unit"), "n").where("unit is not null")
     return w.groupBy("unit").agg(F.sum("n").alias("n"))
 
 
@@ -194,7 +195,7 @@ _CASCADE = "t -> s / _ i ; assibilation\n[obstruent +voiced] -> [-voiced] / _ #
 )
 def rewrite_trace_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = rewrite.derive(words(spark, sf_dir), "form", _CASCADE, plain=True)
-    return d.select(F.explode("trace").alias("step")).groupBy(F.col("step.name").alias("rule")).agg(F.count("*").alias("n"))
+    return d.select(F.explode_outer("trace").alias("step")).where("step is not null").groupBy(F.col("step.name").alias("rule")).agg(F.count("*").alias("n"))
 
 
 _OPTIONAL = "[obstruent +voiced] ~> [-voiced] / _ # ; devoicing\nt ~> s / _ i ; assibilation"
@@ -379,7 +380,7 @@ def obstruents_by_part(spark: SparkSession, sf_dir: str) -> DataFrame:
 def manner_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units by language first, then the join with the inventory on what is left: some thousand rows."""
     text = F.array_join(F.regexp_extract_all("text", F.lit("([a-z]+)"), 1), "")
-    u = _table(spark, sf_dir, "documents").select("lang", F.explode(F.split(X.from_wild(text, ascii_only=True), "")).alias("unit")).groupBy("lang", "unit").agg(F.count("*").alias("n"))
+    u = _table(spark, sf_dir, "documents").select("lang", F.explode_outer(F.split(X.from_wild(text, ascii_only=True), "")).alias("unit")).where("unit <> ''").groupBy("lang", "unit").agg(F.count("*").alias("n"))
     dim = analysis.feature_table(spark).where("feature = 'manner'").select(F.col("symbol").alias("unit"), F.col("value").alias("manner"))
     return u.join(F.broadcast(dim), "unit").groupBy("lang", "manner").agg(F.sum("n").alias("n"))
 
