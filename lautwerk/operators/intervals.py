@@ -91,3 +91,48 @@ def stress_class(form: Column) -> Column:
 
 def vowels_of_inventory() -> list[str]:
     return [s for s, b in I.stated().items() if b["manner"] == "vowel"]
+
+
+def read_forms(df: DataFrame, form_col: str) -> DataFrame:
+    """df with units, boundaries (at, mark), prosody (at, glyph) and lost: what a reader of a form gets, in one projection."""
+    form = F.col(form_col)
+    return df.select("*", X.units(form).alias("units"), X.boundaries(form).alias("boundaries"), X.prosody(form).alias("prosody"), X.lost(form).alias("lost"))
+
+
+def boundary_levels(form: Column) -> Column:
+    """Level of each boundary, by the ladder syllable, word, phrase, utterance."""
+    table = F.create_map(*(F.lit(x) for kv in I.BOUNDARIES.items() for x in kv))
+    return F.transform(X.boundaries(form), lambda b: F.struct(b["at"].alias("at"), F.try_element_at(table, b["mark"]).alias("level")))
+
+
+def spans_of_level(form: Column, level: str) -> Column:
+    """(tier, start, end) of the stretches between boundaries at least as strong as the level; empty stretches are left out."""
+    strong = "".join(m for m, name in I.BOUNDARIES.items() if I.LADDER.index(name) >= I.LADDER.index(level))
+    parts = F.filter(F.split(form, f"[{strong}\\s]+"), lambda p: p != "")
+    return as_intervals(parts, level)
+
+
+def edges_on(form: Column, level: str) -> Column:
+    """Starts of the stretches of a level; the edge of a form counts as every level."""
+    return F.transform(spans_of_level(form, level), lambda i: i["start"])
+
+
+def stress_signature(form: Column) -> Column:
+    """One digit for each vowel: 1 primary, 2 secondary, 0 none."""
+    vowels = F.filter(X.units(form), lambda u: X.encode(u).rlike(_class("vowel")))
+    return F.array_join(F.transform(vowels, lambda u: F.when(u.contains("ˈ"), "1").when(u.contains("ˌ"), "2").otherwise("0")), "")
+
+
+def apply_signature(form: Column, signature: Column) -> Column:
+    """The form with its vowels stressed as the signature says; null when it has another number of vowels."""
+    bare = F.regexp_replace(form, X.STRESS_CLASS, "")
+    start = F.struct(F.lit(0).alias("n"), F.lit("").alias("out"))
+
+    def step(a: Column, t: Column) -> Column:
+        vowel = X.encode(t).rlike(_class("vowel"))
+        digit = F.substring(signature, a["n"] + 1, F.lit(1))
+        mark = F.when(vowel & (digit == "1"), "ˈ").when(vowel & (digit == "2"), "ˌ").otherwise("")
+        return F.struct((a["n"] + F.when(vowel, 1).otherwise(0)).alias("n"), F.concat(a["out"], mark, t).alias("out"))
+
+    done = F.aggregate(X.tokens(bare), start, step)
+    return F.when(done["n"] == F.length(signature), done["out"])
