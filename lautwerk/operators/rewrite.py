@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .. import inventory as I
 from ..functions import text as X
 from ..plans import patterns as P
-from ..plans.terms import Query, parse, symbols
+from ..plans.terms import Query, parse, symbols, unit_regex
 
 def _code(unit: str) -> str:
     for s, c in X.compounds().items():
@@ -55,14 +55,25 @@ def _apply(e: Column, rule: P.Rule, values: dict[str, str]) -> Column:
     # a mark goes before the base of each unit at a site, all in one pass; only then are the marked bases written anew
     left, right = P.sides(p, values, {})
     bases = "[" + "".join(_code(s) for s in out) + "]"
-    unit = P.item_regex(p.target, "left", values, {}) if p.target.kind == "bundle" else ""
-    check = f"(?={unit})" if unit else ""
+    check = _unit_check(P.bound(parse(p.target.value), values)) if p.target.kind == "bundle" else ""
     marked = F.regexp_replace(e, f"{_lead(left)}(?<![{I.TIE}{I.SEQUENCE}]){check}(?={bases}{X.AFTER_CLASS}{{0,{X.MARKS}}}(?!{X.AFTER_CLASS}){right[3:-1] if right else ''})", P.MARK)
     for s, o in out.items():  # the form is named once, so that a cascade nests its expressions without copies
         marked = F.replace(marked, F.lit(P.MARK + _code(s)), F.lit(_code(o)))
     return marked
 
 
+def _unit_check(q: Query) -> str:
+    """What the target asks of a unit, seen from before its base: stress stands behind, the rest ahead."""
+    part = lambda d, keep: {f: v for f, v in d.items() if (f == "stress") == keep}
+    stress, rest = (Query(part(q.required, k), part(q.included, k), part(q.excluded, k)) for k in (True, False))
+    ahead = f"(?={unit_regex(rest)})"
+    if not stress.features():
+        return ahead
+    good = "".join(m for m in I.STRESS_MARKS if stress.holds({"stress": I.PROSODY[m][1]}))
+    ways = [f"(?<=[{good}])"] * bool(good) + [f"(?<!{X.STRESS_CLASS})"] * stress.holds({"stress": "unstressed"})
+    return f"(?:{'|'.join(ways) or '(?!)'}){ahead}"
+
+
 def _lead(left: str) -> str:
     """The lookbehind of a context, with the unit's own stress marks between."""
     return f"(?<=(?:{left[4:-1]}){X.STRESS_CLASS}{{0,{X.STRESS}}})" if left else ""

@@ -75,6 +75,8 @@ def test_sites(spark, form, spec, want):
         ("a.b", ". -> ∅", "ab"),
         (None, "t -> k", None),
         ("d͡ʒa", "[obstruent +voiced] -> [-voiced]", "t͡ʃa"),
+        ("ˈaa", "[vowel stress=primary] -> [+nasalized]", "ˈa\u0303a"),
+        ("ˈaa", "[vowel stress=unstressed] -> [+nasalized]", "ˈaa\u0303"),
         ("ti", "t -> s / _ i\ns -> ʃ / _ i", "ʃi"),
     ],
 )
