@@ -43,7 +43,7 @@ def _apply(e: Column, rule: P.Rule, values: dict[str, str]) -> Column:
         left, right = P.sides(p, values, {})
         return F.regexp_replace(e, f"{left}(?<!{X.STRESS_CLASS}){P.item_regex(p.target, 'left', values, {})}{right}", "")
     if rule.change.kind == "literal":
-        sources = [p.target.value] if p.target.kind == "literal" else symbols(P.bound(parse(p.target.value), values) if p.target.kind == "bundle" else Query())
+        sources = [p.target.value] if p.target.kind == "literal" else symbols(P.segmental(P.bound(parse(p.target.value), values)) if p.target.kind == "bundle" else Query())
         out = {s: rule.change.value for s in sources if s in I.full() and s != rule.change.value}
         if p.target.kind == "literal" and p.target.value not in I.full():  # a unit with marks of its own
             left, right = P.sides(p, values, {})
@@ -54,6 +54,7 @@ def _apply(e: Column, rule: P.Rule, values: dict[str, str]) -> Column:
         return e
     # a mark goes before the base of each unit at a site, all in one pass; only then are the marked bases written anew
     left, right = P.sides(p, values, {})
+    # a target of one symbol may still ask for prosody, which is checked on the unit
     bases = "[" + "".join(_code(s) for s in out) + "]"
     check = _unit_check(P.bound(parse(p.target.value), values)) if p.target.kind == "bundle" else ""
     marked = F.regexp_replace(e, f"{_lead(left)}(?<![{I.TIE}{I.SEQUENCE}]){check}(?={bases}{X.AFTER_CLASS}{{0,{X.MARKS}}}(?!{X.AFTER_CLASS}){right[3:-1] if right else ''})", P.MARK)

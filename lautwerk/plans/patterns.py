@@ -219,11 +219,17 @@ def site_regex(p: Pattern, values: dict[str, str]) -> str:
     return f"{left}{starts}(?={target}(?!{X.AFTER_CLASS}|[{I.TIE}{I.SEQUENCE}]){right[3:-1] if right else ''})"
 
 
+def segmental(q: Query) -> Query:
+    """A query without its prosody, which units have and symbols don't."""
+    keep = lambda d: {f: v for f, v in d.items() if f not in ("stress", "length", "tone")}
+    return Query(keep(q.required), keep(q.included), keep(q.excluded))
+
+
 def outputs(rule: Rule, values: dict[str, str]) -> dict[str, str]:
     """For a change of features: each symbol of the target and what it becomes; symbols without such a counterpart stay."""
     change = bound(parse(rule.change.value), values)
     target = rule.pattern.target
-    sources = [target.value] if target.kind == "literal" else symbols(bound(parse(target.value), values) if target.kind == "bundle" else Query())
+    sources = [target.value] if target.kind == "literal" else symbols(segmental(bound(parse(target.value), values)) if target.kind == "bundle" else Query())
     out = {}
     by_bundle = {tuple(sorted(b.items())): s for s, b in reversed(I.full().items())}
     for s in sources:
