@@ -237,7 +237,11 @@ def rank_pronunciations(df: DataFrame, form_col: str, accepted: DataFrame, accep
     listing = accepted.select(F.col(accepted_col).alias("accepted"), "ordinal")
     if listing.count() > 10_000:
         raise ValueError("rank against a list of at most 10,000 pronunciations, or use similar_join")
-    scored = df.withColumn("__id", F.monotonically_increasing_id()).crossJoin(F.broadcast(listing)).withColumn("similarity", word_similarity(F.col(form_col), F.col("accepted")))
+    # units are found once for each form, not once for each pair
+    forms = df.withColumn("__id", F.monotonically_increasing_id()).withColumn("__u", X.units(F.col(form_col)))
+    pairs = forms.join(F.broadcast(listing.withColumn("__v", X.units(F.col("accepted")))), F.lit(True))
+    total = F.size("__u") + F.size("__v")
+    scored = pairs.withColumn("similarity", F.when(total == 0, F.lit(1.0)).otherwise(1 - sequence_distance(F.col("__u"), F.col("__v")) / (total * GAP))).drop("__u", "__v")
     w = Window.partitionBy("__id").orderBy(F.desc("similarity"), "ordinal")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).drop("__id")
 
