@@ -373,6 +373,14 @@ def test_targets_share_the_excess():
     assert [t for *_, t in _targets([("a", 10), ("b", 1000), (None, 1000)])] == [20.0, (3015 - 20) / 3, (3015 - 20) * 2 / 3]
 
 
+def test_near_duplicate_stage_drops_repeated_rows(spark):
+    import corpus_pipeline as p
+
+    rows = [(1, NEAR), (1, NEAR), (2, NEAR.upper()), (3, "something else entirely is written here")]
+    got = p.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r["doc_id"] for r in got.collect()) == [1, 3]
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as p
 
