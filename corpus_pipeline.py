@@ -1,6 +1,7 @@
 """A training corpus from the documents table, in five stages.
 
-Each stage takes what its predecessor kept, as written to Parquet and read again.
+Each stage takes what its predecessor kept, as written to Parquet and read again. Stages decide by doc_id: of rows that
+share an id, all go or all stay, except that the near-duplicate stage drops repeated rows. Null is an id like any other.
 """
 
 from __future__ import annotations
@@ -34,8 +35,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest id."""
-    return _keep(docs, jaccard_components(docs).where("component_id <=> doc_id"))
+    """One document of each group stays: the one with the smallest id. Of rows repeated with id and text, one stays."""
+    kept = _keep(docs, jaccard_components(docs).where("component_id <=> doc_id"))
+    twice = docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("twice_id"))
+    if twice.isEmpty():
+        return kept
+    kept = materialize(kept)
+    on = kept["doc_id"].eqNullSafe(F.col("twice_id"))
+    return kept.join(twice, on, "left_anti").unionByName(kept.join(twice, on, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
