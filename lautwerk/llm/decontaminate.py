@@ -1,12 +1,14 @@
-"""Benchmark decontamination with spaced seeds, in DataFrame functions only.
+"""Benchmark decontamination with short seeds, in DataFrame functions only.
 
-A mask marks which of SPAN neighbouring words are hashed; the others may differ. Every position of every text is hashed
-under every mask and joined with the hashes of the benchmark items. A hit fixes a diagonal (start of the item within
-the text); along it the words of text and item are compared one by one, and the pair is reported when some stretch of
-STRETCH aligned words (the whole item, if shorter) has at least LEAST_EQUAL percent equal words.
+A mask marks which neighbouring words are hashed; the others may differ. Every position of every text is hashed under
+MASK and joined with the hashes of the benchmark items. A hit fixes a diagonal (start of the item within the text);
+along it the words of text and item are compared one by one, and the pair is reported when some stretch of STRETCH
+aligned words (the whole item, if shorter) has at least LEAST_EQUAL percent equal words. A stretch that an end of the
+text cuts short needs SPAN words, or the whole item.
 
-Items shorter than SPAN words are hashed whole, under a mask without gaps for each length that occurs; items of fewer
-than SHORTEST words are never reported.
+The seeds miss no pair that this rule accepts: s substituted words leave at most s + 1 runs of equal ones, and in
+stretches of 6, 7 and 9 to 13 words the longest run has three words at least. In 5 and 8 words one pattern each has only
+runs of two, which items of those lengths have a mask for. Items of fewer than SHORTEST words are never reported.
 
 The benchmark side is broadcast only while it has at most BROADCAST_SEEDS rows, else it is joined by shuffle. Positions
 are exploded inside the stage that joins, so only hits are copied; no text is shuffled.
@@ -23,8 +25,10 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, words_of
 
 #: 1: hashed, 0: ignored.
-MASKS = ("1101011011", "1110010111")
-SPAN = len(MASKS[0])
+MASK = "111"
+#: For items of exactly so many words, beside MASK.
+GAPPED = {5: "11011", 8: "11011011"}
+SPAN = 10
 SHORTEST = 5
 STRETCH = 13
 LEAST_EQUAL = 75
@@ -36,38 +40,37 @@ def _seed(words: str, at: Column, mask: str) -> Column:
     return F.xxhash64(F.lit(mask), *(F.get(F.col(words), at + k) for k, m in enumerate(mask) if m == "1"))
 
 
-def _seeds(df: DataFrame, words: str, masks: list[str], whole: bool) -> DataFrame:
-    """A row for each position and mask, with the seed and the position; whole: only the one that covers all words."""
-    longest = max(map(len, masks))
+def _seeds(df: DataFrame, words: str, masks: list[str]) -> DataFrame:
+    """A row for each position and mask that fits there, with the seed and the position."""
     n = F.size(words)
-    last = F.lit(0) if whole else F.greatest(n - min(map(len, masks)), F.lit(-1))
+    last = F.greatest(n - min(map(len, masks)), F.lit(-1))
     at = df.withColumn("at", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))))
-    fits = [F.when(F.col("at") + len(m) <= n, _seed(words, F.col("at"), m)) for m in masks] if longest > min(map(len, masks)) or whole else [_seed(words, F.col("at"), m) for m in masks]
-    return at.withColumn("seed", F.explode(F.array(*fits)))
+    if len(masks) == 1:
+        return at.withColumn("seed", _seed(words, F.col("at"), masks[0]))
+    return at.withColumn("seed", F.explode(F.array(*(F.when(F.col("at") + len(m) <= n, _seed(words, F.col("at"), m)) for m in masks))))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, n_equal, n_aligned, first_word): the pairs that overlap, with the best stretch."""
     bench = items.select(F.col(item_col).alias("item_id"), words_of(ascii_lower(F.coalesce(F.col(item_text_col), F.lit("")))).alias("item"))
     bench = bench.where(F.size("item") >= SHORTEST)
-    lengths = sorted(r[0] for r in bench.where(F.size("item") < SPAN).select(F.size("item").alias("n")).distinct().limit(SPAN).collect())
-    short = ["1" * n for n in lengths]
-    seeds = _seeds(bench.where(F.size("item") >= SPAN), "item", list(MASKS), False)
-    for n, mask in zip(lengths, short, strict=True):
-        seeds = seeds.unionAll(_seeds(bench.where(F.size("item") == n), "item", [mask], True))
+    lengths = sorted(r[0] for r in bench.select(F.size("item").alias("n")).where(F.col("n").isin(list(GAPPED))).distinct().limit(len(GAPPED)).collect())
+    seeds = _seeds(bench, "item", [MASK])
+    for n in lengths:
+        seeds = seeds.unionAll(_seeds(bench.where(F.size("item") == n), "item", [GAPPED[n]]))
     seeds = seeds.select("item_id", "item", F.col("at").alias("item_at"), "seed")
     if seeds.count() <= BROADCAST_SEEDS:
         seeds = F.broadcast(seeds)
 
     texts = docs.select(F.col(id_col).alias("doc_id"), words_of(ascii_lower(F.coalesce(F.col(text_col), F.lit("")))).alias("w"))
-    hits = _seeds(texts, "w", list(MASKS) + short, False).join(seeds, "seed")
+    hits = _seeds(texts, "w", [MASK, *(GAPPED[n] for n in lengths)]).join(seeds, "seed")
     start = F.col("at") - F.col("item_at")
     skipped = F.greatest(-start, F.lit(0))  # words of the item before the text begins
     part = F.slice("w", F.greatest(start, F.lit(0)) + 1, F.size("item") - skipped)
-    hits = hits.select("doc_id", "item_id", start.alias("start"), part.alias("part"), F.expr("slice(item, greatest(item_at - at, 0) + 1, size(item))").alias("item_part"))
+    hits = hits.select("doc_id", "item_id", start.alias("start"), part.alias("part"), F.expr("slice(item, greatest(item_at - at, 0) + 1, size(item))").alias("item_part"), F.size("item").alias("n_item"))
     hits = hits.dropDuplicates(["doc_id", "item_id", "start", "part"])
     equal = F.zip_with("part", F.slice("item_part", 1, F.greatest(F.size("part"), F.lit(0))), lambda a, b: (a == b).cast("int"))
-    hits = hits.select("doc_id", "item_id", "start", equal.alias("equal"), F.least(F.lit(STRETCH), F.size("part"), F.size("item_part")).alias("m"), F.size("item_part").alias("n_item"))
+    hits = hits.select("doc_id", "item_id", "start", equal.alias("equal"), F.least(F.lit(STRETCH), F.size("part"), F.size("item_part")).alias("m"), "n_item")
     sums = F.transform(F.sequence(F.lit(0), F.size("equal") - F.col("m")), lambda i: F.aggregate(F.slice("equal", i + 1, F.col("m")), F.lit(0), lambda a, x: a + x))
     hits = hits.where("m > 0").select("doc_id", "item_id", "start", "equal", "m", "n_item", F.array_max(sums).alias("best"))
     # a stretch cut short by an end of the text must still be long enough to say something

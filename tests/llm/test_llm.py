@@ -1,5 +1,6 @@
 """The training-data operators against brute force, on odd rows and on the smallest test tables."""
 
+import itertools
 import math
 import re
 import zlib
@@ -277,6 +278,32 @@ def test_decontamination(spark, odd, none, docs, sf):
     assert decontaminate(none, items).count() == 0 and decontaminate(odd, items.limit(0)).count() == 0
 
 
+def test_decontamination_finds_every_accepted_pattern(spark):
+    items = {n: [f"i{n}_{k}" for k in range(n)] for n in range(SHORTEST, STRETCH + 2)} | {40: [f"i40_{k}" for k in range(40)]}
+    made, want = [], set()
+    for n in range(SHORTEST, STRETCH + 1):
+        for s in range(n // 4 + 2):
+            for off in itertools.combinations(range(n), s):
+                if 100 * (n - s) >= LEAST_EQUAL * n:
+                    want.add((len(made), n))
+                made.append((len(made), " ".join(["so", *("x" if k in off else w for k, w in enumerate(items[n])), "end"])))
+    # overlaps that an end of the text cuts short, and every fourth word replaced
+    first = len(made)
+    for n in range(2, STRETCH):
+        for s in range(4):
+            for off in itertools.combinations(range(n), s):
+                for part, front in ((items[40][:n], True), (items[40][-n:], False)):
+                    changed = ["x" if k in off else w for k, w in enumerate(part)]
+                    made.append((len(made), " ".join(["so", "far", *changed] if front else [*changed, "so", "far"])))
+    for n in (14, 40):
+        made.append((len(made), " ".join("x" if k % 4 == 3 else w for k, w in enumerate(items[n]))))
+    want |= brute_decontamination([(i, t) for i, t in made[first:]], [(40, " ".join(items[40])), (14, " ".join(items[14]))])
+    assert {i for i, _ in want} >= {made[-1][0], made[-2][0]}
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    got = decontaminate(df, spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
+
+
 def test_license_scan(both, none):
     phrases = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
     expected = Counter()
