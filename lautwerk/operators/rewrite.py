@@ -7,6 +7,7 @@ bases are written anew. Cascades are chains of expressions; no rows move.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -23,6 +24,10 @@ def _code(unit: str) -> str:
     return unit
 
 
+#: A site whose choice is open: OPEN old TO new DONE.
+OPEN, TO, DONE = "\ue0f1", "\ue0f2", "\ue0f3"
+
+
 def apply_rule(encoded: Column, rule: P.Rule) -> Column:
     """One rule on an encoded form."""
     for values in P.bindings(rule.pattern):
@@ -30,24 +35,26 @@ def apply_rule(encoded: Column, rule: P.Rule) -> Column:
     return encoded
 
 
-def _apply(e: Column, rule: P.Rule, values: dict[str, str]) -> Column:
+def _apply(e: Column, rule: P.Rule, values: dict[str, str], both: bool = False) -> Column:
+    """The form with all sites rewritten; both: with what stands at each and what it becomes."""
     p = rule.pattern
+    put = lambda old, new: f"{OPEN}{old}{TO}{new}{DONE}" if both else new
     if p.target.kind == "null":
         left, right = P.sides(p, values, {})
-        return F.regexp_replace(e, f"{left}(?<!{X.STRESS_CLASS})(?!{X.AFTER_CLASS}){right}", _quoted(_code(rule.change.value)))
+        return F.regexp_replace(e, f"{left}(?<!{X.STRESS_CLASS})(?!{X.AFTER_CLASS}){right}", put("", _quoted(_code(rule.change.value))))
     if p.target.kind == "boundary":
         left, right = P.sides(p, values, {})
         new = "" if rule.change.kind == "null" else rule.change.value
-        return F.regexp_replace(e, f"{left}{re.escape(p.target.value)}{right}", _quoted(new))
+        return F.regexp_replace(e, f"{left}{re.escape(p.target.value)}{right}", put("$0", _quoted(new)))
     if rule.change.kind == "null":
         left, right = P.sides(p, values, {})
-        return F.regexp_replace(e, f"{left}(?<!{X.STRESS_CLASS}){P.item_regex(p.target, 'left', values, {})}{right}", "")
+        return F.regexp_replace(e, f"{left}(?<!{X.STRESS_CLASS}){P.item_regex(p.target, 'left', values, {})}{right}", put("$0", ""))
     if rule.change.kind == "literal":
         sources = [p.target.value] if p.target.kind == "literal" else symbols(P.segmental(P.bound(parse(p.target.value), values)) if p.target.kind == "bundle" else Query())
         out = {s: rule.change.value for s in sources if s in I.full() and s != rule.change.value}
         if p.target.kind == "literal" and p.target.value not in I.full():  # a unit with marks of its own
             left, right = P.sides(p, values, {})
-            return F.regexp_replace(e, f"{left}{re.escape(_code(p.target.value))}(?!{X.AFTER_CLASS}){right}", _quoted(_code(rule.change.value)))
+            return F.regexp_replace(e, f"{left}{re.escape(_code(p.target.value))}(?!{X.AFTER_CLASS}){right}", put("$0", _quoted(_code(rule.change.value))))
     else:
         out = P.outputs(rule, values)
     if not out:
@@ -59,7 +66,7 @@ def _apply(e: Column, rule: P.Rule, values: dict[str, str]) -> Column:
     check = _unit_check(P.bound(parse(p.target.value), values)) if p.target.kind == "bundle" else ""
     marked = F.regexp_replace(e, f"{_lead(left)}(?<![{I.TIE}{I.SEQUENCE}]){check}(?={bases}{X.AFTER_CLASS}{{0,{X.MARKS}}}(?!{X.AFTER_CLASS}){right[3:-1] if right else ''})", P.MARK)
     for s, o in out.items():  # the form is named once, so that a cascade nests its expressions without copies
-        marked = F.replace(marked, F.lit(P.MARK + _code(s)), F.lit(_code(o)))
+        marked = F.replace(marked, F.lit(P.MARK + _code(s)), F.lit(put(_code(s), _code(o))))
     return marked
 
 
@@ -111,26 +118,52 @@ def derive(df: DataFrame, form_col: str, rules: str | list[P.Rule], plain: bool
 
 
 def variants(df: DataFrame, form_col: str, rules: str | list[P.Rule], limit: int = 64, plain: bool = False) -> DataFrame:
-    """df with variants: forms that some choice of the optional rules (each applied or not) leads to, with the fewest
-    applied ones for each form, cheapest first; complete tells whether the limit cut any."""
-    states = F.array(F.struct(F.lit(0).alias("cost"), X.encode(F.col(form_col)).alias("form")))
-    out = df.withColumn("__states", states).withColumn("__complete", F.lit(True))
+    """df with variants: forms that some choice of the sites of optional rules (each rewritten or not) leads to, with the
+    fewest rewritten ones for each form, cheapest first; complete tells whether the limit cut any.
+
+    The values of a variable are tried one after another, as in apply_rule, so each opens its own sites."""
+    states = F.when(F.col(form_col).isNotNull(), F.array(F.struct(F.lit(0).alias("cost"), X.encode(F.col(form_col)).alias("form"))))
+    out = df.withColumn("__states", F.coalesce(states, F.array().cast("array<struct<cost:int,form:string>>"))).withColumn("__complete", F.lit(True))
     for r in rules_of(rules):
         with X.plain(plain):
-            both = F.transform("__states", _after(r, int(r.optional)))
-        if r.optional:
-            both = F.concat(F.col("__states"), both)
-        out = out.withColumn("__states", F.array_sort(both))
-        # sorted by cost, so the first of each form is its cheapest
-        forms = F.transform("__states", lambda s: s["form"])
-        best = F.filter("__states", lambda s, i: F.array_position(forms, s["form"]) == i + 1)
-        out = out.withColumn("__states", best).withColumn("__complete", F.col("__complete") & (F.size("__states") <= limit)).withColumn("__states", F.slice("__states", 1, limit))
+            steps = [_choices(r, values, limit) for values in P.bindings(r.pattern)] if r.optional else [_always(r)]
+            for step in steps:
+                out = out.withColumn("__states", _cheapest(F.flatten(F.transform("__states", step)), limit + 1))
+                out = out.withColumn("__complete", F.col("__complete") & (F.size("__states") <= limit)).withColumn("__states", F.slice("__states", 1, limit))
     shown = F.transform("__states", lambda s: F.struct(X.decode(s["form"]).alias("form"), s["cost"].alias("cost")))
     return out.select(*df.columns, F.when(F.col(form_col).isNotNull(), shown).alias("variants"), F.col("__complete").alias("complete"))
 
 
-def _after(rule: P.Rule, cost: int):
-    return lambda s: F.struct((s["cost"] + cost).alias("cost"), apply_rule(s["form"], rule).alias("form"))
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use of a value that is computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _cheapest(states: Column, most: int) -> Column:
+    """The cheapest state of each form, at most so many, by cost."""
+    by_form = F.array_sort(F.transform(states, lambda s: F.struct(s["form"].alias("form"), s["cost"].alias("cost"))))
+    first = _let(by_form, lambda a: F.filter(a, lambda s, i: (i == 0) | (F.get(a, i - 1)["form"] != s["form"])))
+    return F.slice(F.array_sort(F.transform(first, lambda s: F.struct(s["cost"].alias("cost"), s["form"].alias("form")))), 1, most)
+
+
+def _always(rule: P.Rule) -> Callable[[Column], Column]:
+    return lambda s: F.array(F.struct(s["cost"].alias("cost"), apply_rule(s["form"], rule).alias("form")))
+
+
+def _choices(rule: P.Rule, values: dict[str, str], limit: int) -> Callable[[Column], Column]:
+    """The states that every subset of the sites of a state leads to. Each site doubles the beginnings; one more than the
+    limit stays, so the cut shows. A beginning costs no less when it goes on, so the cheapest are never cut."""
+
+    def fork(s: Column) -> Column:
+        start = lambda p: F.array(F.struct(s["cost"].alias("cost"), F.get(p, 0).alias("form")))
+        return _let(F.split(_apply(s["form"], rule, values, both=True), OPEN), lambda p: F.aggregate(F.slice(p, 2, F.size(p)), start(p), lambda acc, site: _let(F.split(site, f"[{TO}{DONE}]"), lambda x: both(acc, x))))
+
+    def both(acc: Column, x: Column) -> Column:
+        kept = F.transform(acc, lambda s: F.struct(s["cost"].alias("cost"), F.concat(s["form"], x[0], x[2]).alias("form")))
+        changed = F.transform(acc, lambda s: F.struct((s["cost"] + 1).alias("cost"), F.concat(s["form"], x[1], x[2]).alias("form")))
+        return _cheapest(F.concat(kept, changed), limit + 1)
+
+    return fork
 
 
 def derives(df: DataFrame, source_col: str, target_col: str, rules: str | list[P.Rule], limit: int = 64) -> DataFrame:

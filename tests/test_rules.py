@@ -116,6 +116,29 @@ def test_trace_and_variants(spark):
     assert not short["complete"] and len(short["variants"]) == 2
 
 
+@pytest.mark.parametrize(
+    "form, rules, want",
+    [
+        ("titi", "t ~> s / _ i", {"titi": 0, "siti": 1, "tisi": 1, "sisi": 2}),
+        ("aa", "a ~> ∅", {"aa": 0, "a": 1, "": 2}),
+        ("sasa", "∅ ~> e / _ s", {"sasa": 0, "esasa": 1, "saesa": 1, "esaesa": 2}),
+        ("a.b.a", ". ~> ∅", {"a.b.a": 0, "ab.a": 1, "a.ba": 1, "aba": 2}),
+        ("dad", "[obstruent +voiced] ~> [-voiced]\nt -> s / _ #", {"dad": 0, "tad": 1, "das": 1, "tas": 2}),
+        ("d͡ʒd͡ʒ", "[obstruent +voiced] ~> [-voiced]", {"d͡ʒd͡ʒ": 0, "t͡ʃd͡ʒ": 1, "d͡ʒt͡ʃ": 1, "t͡ʃt͡ʃ": 2}),
+    ],
+)
+def test_variants_fork_at_each_site(spark, form, rules, want):
+    v = rewrite.variants(spark.createDataFrame([(form,)], "form string"), "form", rules).first()
+    assert {x["form"]: x["cost"] for x in v["variants"]} == want and len(v["variants"]) == len(want) and v["complete"]
+
+
+def test_variants_beyond_the_limit(spark):
+    df = spark.createDataFrame([("ti" * 12, "si" + "ti" * 11), ("ti" * 12, "si" * 12), ("titi", "siti"), ("titi", "xx")], "form string, target string")
+    v = rewrite.variants(df, "form", "t ~> s / _ i").first()
+    assert not v["complete"] and len(v["variants"]) == 64 and sorted(x["cost"] for x in v["variants"])[:13] == [0] + [1] * 12
+    assert [r["verdict"] for r in rewrite.derives(df, "form", "target", "t ~> s / _ i").collect()] == ["witness", "budget", "witness", "refused"]
+
+
 def test_derives(spark):
     df = spark.createDataFrame([("tad", "tat"), ("tad", "sad"), ("tad", "tad")], "a string, b string")
     assert [r["verdict"] for r in rewrite.derives(df, "a", "b", "d ~> t / _ #").collect()] == ["witness", "refused", "witness"]
