@@ -1,11 +1,12 @@
 """Tier graphs as tables of relations (graph, name, src, ordinal, tgt): navigation and checks.
 
 Paths are followed round by round with joins; every round is written to the shared folder, so lineage stays short and a
-lost executor costs one round. Depth is bounded by the ladder of tiers, cycles are found by the bound on rounds.
+lost executor costs one round. Nodes that were found aren't followed again, so cycles end too.
 """
 
 from __future__ import annotations
 
+import itertools
 import uuid
 
 from pyspark.sql import DataFrame
@@ -30,12 +31,12 @@ def children(relations: DataFrame, name: str = "contains") -> DataFrame:
     return relations.where(F.col("name") == name).select("graph", "src", "ordinal", "tgt")
 
 
-def descendants(relations: DataFrame, roots: DataFrame, name: str = "contains", most: int = 16) -> DataFrame:
+def descendants(relations: DataFrame, roots: DataFrame, name: str = "contains") -> DataFrame:
     """(graph, root, node, depth): all that roots (graph, root) reach, by the shortest way."""
     own = children(relations, name)
     level = roots.select("graph", "root", F.col("root").alias("node"), F.lit(0).alias("depth"))
     found = level
-    for depth in range(1, most + 1):
+    for depth in itertools.count(1):
         nxt = level.join(own, (level["graph"] == own["graph"]) & (level["node"] == own["src"])).select(level["graph"], "root", F.col("tgt").alias("node"), F.lit(depth).alias("depth")).distinct()
         level = _cut(nxt.join(found.select("graph", "root", "node"), ["graph", "root", "node"], "left_anti"))
         if level.isEmpty():
@@ -54,11 +55,11 @@ def parents(relations: DataFrame, name: str = "contains") -> DataFrame:
     return children(relations, name).select("graph", F.col("tgt").alias("node"), F.col("src").alias("parent")).distinct()
 
 
-def cycles(relations: DataFrame, name: str = "contains", most: int = 16) -> DataFrame:
-    """(graph, node) that reach themselves within so many steps."""
+def cycles(relations: DataFrame, name: str = "contains") -> DataFrame:
+    """(graph, node) that reach themselves."""
     nodes = children(relations, name).select("graph", F.col("src").alias("root")).distinct()
     own = children(relations, name)
-    reach = descendants(relations, nodes, name, most)
+    reach = descendants(relations, nodes, name)
     back = reach.join(own.select("graph", F.col("src").alias("node"), F.col("tgt").alias("root")), ["graph", "node", "root"])
     direct = own.where("src = tgt").select("graph", F.col("src").alias("root"))
     return back.select("graph", "root").unionAll(direct).distinct().withColumnRenamed("root", "node")

@@ -101,3 +101,12 @@ def test_streaming(spark, tmp_path):
     ingest.write_forms(s, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination(60)
     got = {(r["form"], str(r["accepted"]).lower() == "true") for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == {("ɡato", True), ("X1", False), ("ana", True)}
+
+
+def test_deep_graphs_and_long_cycles(spark):
+    chain = [(1, "contains", f"n{k}", 0, f"n{k + 1}") for k in range(20)]
+    ring = [(2, "contains", f"r{k}", 0, f"r{(k + 1) % 20}") for k in range(20)]
+    rel = spark.createDataFrame(chain + ring, "graph long, name string, src string, ordinal int, tgt string")
+    found = graph.leaves(rel, spark.createDataFrame([(1, "n0")], "graph long, root string")).collect()
+    assert [(r["node"], r["depth"]) for r in found] == [("n20", 20)]
+    assert {(r["graph"], r["node"]) for r in graph.cycles(rel).collect()} == {(2, f"r{k}") for k in range(20)}
