@@ -1,11 +1,12 @@
 """Mixing sources to target weights, in DataFrame functions only.
 
 The words of each source stand one after another in a fixed order and are cut into blocks of BLOCK words. An output of
-1.5 times all words consists of slots, SHARD of them to an output shard. One keyed permutation of all slots decides which
-source fills a slot: source k owns as many of the permuted numbers as its target has blocks. The source counts of a
-shard are thus multinomial draws, conditioned on the totals so that these don't leave the targets by chance. The slot's
-place among those of its source, through a second permutation keyed by the source, is the block that it takes; slots
-and blocks are joined by (source, block index).
+1.5 times all words consists of slots, SHARD of them to an output shard. A keyed shuffle of all slots decides which
+source fills a slot: source k owns as many of the shuffled numbers as its target has blocks. The source counts of a
+shard are thus multinomial draws conditioned on the totals (draws without replacement), so that these don't leave the
+targets by chance. The slot's number among those of its source, through a permutation keyed by the source, is the block
+that it takes: mixed_slots has them in order. What is taken of a text is counted from these slots; as a source goes
+through all its blocks before it repeats one, it doesn't depend on the draw. Slots and blocks are joined by (source, block).
 
 No window sees more than a bucket of a source, as word offsets come from sums over BUCKETS buckets of each source.
 
@@ -28,6 +29,8 @@ WEIGHTS = (3, 1, 2)
 SHARE_PERCENT = 150
 MOST_TIMES = 2
 SEED = 17
+#: Rounds of the shuffle; each leaves or swaps every pair of numbers by a bit of a hash.
+ROUNDS = 48
 #: Primes; a product of one of them and a number below 2 ** 32 stays below 2 ** 63.
 FACTORS = (1_640_531_513, 1_500_450_271, 1_299_709, 15_485_863, 982_451_653, 961_748_941, 899_809_363, 817_504_253)
 
@@ -45,11 +48,39 @@ def permuted(i: Column, n: Column, a: Column, b: Column, c: Column, d: Column) -
     return F.pmod(F.when(x < half, half - 1 - x).otherwise(x) * c + d, n)
 
 
+def shuffled(i: Column, n: int, key: int) -> Column:
+    """Keyed shuffle of 0 .. n - 1 (swap or not): a round pairs x with shift - x, and a hash bit of the pair decides."""
+    shifts = F.array(*(F.pmod(F.xxhash64(F.lit(key), F.lit(r), F.lit("shift")), F.lit(n).cast("long")) for r in range(ROUNDS)))
+
+    def turn(x: Column, shift: Column) -> Column:
+        other = F.pmod(shift - x, F.lit(n).cast("long"))
+        return F.when(F.xxhash64(F.lit(key), shift, F.greatest(x, other)).bitwiseAND(F.lit(1)) == 1, other).otherwise(x)
+
+    return F.aggregate(shifts, i, turn)
+
+
 def _slots(spark: SparkSession, total: int) -> DataFrame:
-    """(slot, number): slots of the output and the permuted number of each."""
-    n = max(total, 1)
-    lit = [F.lit(v).cast("long") for v in (n, *keys(n, SEED))]
-    return spark.range(0, n).where(F.lit(total > 0)).select(F.col("id").alias("slot"), permuted(F.col("id"), *lit).alias("number"))
+    """(slot, number): slots of the output and the shuffled number of each."""
+    return spark.range(0, max(total, 1)).where(F.lit(total > 0)).select(F.col("id").alias("slot"), shuffled(F.col("id"), max(total, 1), SEED).alias("number"))
+
+
+def _plan(spark: SparkSession, sums: list[tuple[str | None, int]]) -> tuple[DataFrame, int]:
+    """A row for each source with its blocks and the numbers of its slots, and the number of all slots."""
+    base, rows = 0, []
+    for k, (source, n, target) in enumerate(_targets(sums)):
+        blocks = -(-n // BLOCK)
+        slots = round(target * blocks / n) if n else 0
+        rows.append((source, k, n, float(target), blocks, slots, base, *keys(max(blocks, 1), SEED + k)))
+        base += slots
+    return spark.createDataFrame(rows, "source string, k int, source_size long, target double, blocks long, slots long, base long, a long, b long, c long, d long"), base
+
+
+def _filled(spark: SparkSession, sources: DataFrame, total: int) -> DataFrame:
+    """(shard, slot, source, k, block): what fills each slot."""
+    owned = _slots(spark, total).join(F.broadcast(sources.where("slots > 0")), (F.col("number") >= F.col("base")) & (F.col("number") < F.col("base") + F.col("slots")))
+    ordinal = F.pmod(F.col("number") - F.col("base"), F.col("blocks"))
+    block = permuted(ordinal, *(F.col(x) for x in ("blocks", "a", "b", "c", "d")))
+    return owned.select(F.floor(F.col("slot") / SHARD).alias("shard"), "slot", "source", "k", block.alias("block"))
 
 
 def _targets(sizes: list[tuple[str | None, int]]) -> list[tuple[str | None, int, float]]:
@@ -81,13 +112,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     df = materialize(df)
     totals = df.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     sums = df.groupBy("source").agg(F.sum("size").alias("n")).collect()  # a row for each source
-    plan, base, rows = _targets([(r["source"], r["n"]) for r in sums]), 0, []
-    for k, (source, n, target) in enumerate(plan):
-        blocks = -(-n // BLOCK)
-        slots = round(target * blocks / n) if n else 0
-        rows.append((source, k, n, float(target), blocks, slots, base, *keys(max(blocks, 1), SEED + k)))
-        base += slots
-    sources = spark.createDataFrame(rows, "source string, k int, source_size long, target double, blocks long, slots long, base long, a long, b long, c long, d long")
+    sources, base = _plan(spark, [(r["source"], r["n"]) for r in sums])
 
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("source", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("bucket_at"))
@@ -98,10 +123,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = placed.select("row", "doc_id", "size", "source", "k", "source_size", "target", (F.col("bucket_at") + F.col("inner_at")).alias("start"))
     placed = materialize(placed)
 
-    owned = _slots(spark, base).join(F.broadcast(sources.where("slots > 0")), (F.col("number") >= F.col("base")) & (F.col("number") < F.col("base") + F.col("slots")))
-    ordinal = F.pmod(F.col("number") - F.col("base"), F.col("blocks"))
-    taken = owned.select("k", permuted(ordinal, *(F.col(x) for x in ("blocks", "a", "b", "c", "d"))).alias("block"))
-    taken = taken.groupBy("k", "block").agg(F.count("*").alias("times"))
+    taken = _filled(spark, sources, base).groupBy("k", "block").agg(F.count("*").alias("times"))
 
     first, last = F.floor(F.col("start") / BLOCK), F.floor((F.col("start") + F.col("size") - 1) / BLOCK)
     spread = placed.where("size > 0").select("row", "k", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
@@ -111,16 +133,13 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+def mixed_slots(docs: DataFrame, text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(shard, slot, source, block): the mixed output, a row for each slot; block counts from 0 within its source."""
+    sums = docs.groupBy(F.col(source_col).alias("source")).agg(F.sum(F.size(words_of(F.col(text_col))).cast("long")).alias("n")).collect()  # a row for each source
+    sources, base = _plan(docs.sparkSession, [(r["source"], r["n"]) for r in sums])
+    return _filled(docs.sparkSession, sources, base).drop("k")
+
+
 def shards(docs: DataFrame) -> DataFrame:
     """(shard, source, slots): how many blocks of each source an output shard holds."""
-    spark = docs.sparkSession
-    mixed = mix_sources(docs).groupBy("source").agg(F.first("target").alias("target"), F.first("source_size").alias("n")).collect()
-    base, rows = 0, []
-    for source, n, target in _targets([(r["source"], r["n"]) for r in mixed]):
-        count = round(target * -(-n // BLOCK) / n) if n else 0
-        rows.append((source, base, count))
-        base += count
-    sources = spark.createDataFrame(rows, "source string, base long, slots long")
-    slots = _slots(spark, base).withColumn("shard", F.floor(F.col("slot") / SHARD))
-    owned = slots.join(F.broadcast(sources), (F.col("number") >= F.col("base")) & (F.col("number") < F.col("base") + F.col("slots")))
-    return owned.groupBy("shard", "source").agg(F.count("*").alias("slots"))
+    return mixed_slots(docs).groupBy("shard", "source").agg(F.count("*").alias("slots"))

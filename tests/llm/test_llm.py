@@ -11,13 +11,13 @@ import pandas as pd
 import pyarrow as pa
 import pytest
 
-from lautwerk.llm import common, crf, lattice_lm
+from lautwerk.llm import common, crf, lattice_lm, mixing
 from lautwerk.llm.decontaminate import LEAST_EQUAL, SHORTEST, SPAN, STRETCH, decontaminate
 from lautwerk.llm.jaccard_join import jaccard_components
 from lautwerk.llm.language_id import identify
 from lautwerk.llm.lattice_lm import lattice_scores
 from lautwerk.llm.license_scan import license_scan
-from lautwerk.llm.mixing import _targets, mix_sources, shards
+from lautwerk.llm.mixing import _targets, mix_sources, mixed_slots, shards
 from lautwerk.llm.quality_crf import line_features, quality_scores
 from lautwerk.llm.quality_rules import quality_rules
 from lautwerk.llm.token_counts import token_counts
@@ -396,6 +396,31 @@ def test_mixing(both, none):
     assert shards(both).count() > 0
 
 
+@pytest.mark.parametrize("total", [1, 2, 997, 1_000_000])
+def test_slots_are_drawn(spark, total):
+    got = mixing._slots(spark, total).toPandas().sort_values("slot")
+    assert sorted(got.number) == list(range(total))
+    if total == 1_000_000:
+        # full shards of a source of one third: draws without replacement
+        counts = (got.number.to_numpy() < total // 3)[: total // mixing.SHARD * mixing.SHARD].reshape(-1, mixing.SHARD).sum(1)
+        want = math.sqrt(mixing.SHARD * (1 / 3) * (2 / 3) * (1 - mixing.SHARD / total))
+        assert 0.85 < counts.std() / want < 1.15
+
+
+def test_taken_comes_from_the_mixed_slots(docs):
+    slots, size = mixed_slots(docs).toPandas(), Counter()
+    for _, text, source, _ in texts_of(docs):
+        size[source] += len(WORD.findall(text or ""))
+    assert sorted(slots.slot) == list(range(len(slots))) and (slots.slot // mixing.SHARD == slots.shard).all()
+    words = Counter()
+    for source, block in zip(slots.source, slots.block, strict=True):
+        words[source] += min(mixing.BLOCK, size[source] - block * mixing.BLOCK)
+    taken = Counter()
+    for r in mix_sources(docs).collect():
+        taken[r["source"]] += r["taken"]
+    assert words == taken
+
+
 def test_targets_share_the_excess():
     assert [t for *_, t in _targets([("a", 10), ("b", 1000), (None, 1000)])] == [20.0, (3015 - 20) / 3, (3015 - 20) * 2 / 3]
 
