@@ -1,143 +1,162 @@
 """Mixing sources to target weights, in DataFrame functions only.
 
 The words of each source stand one after another in a fixed order and are cut into blocks of BLOCK words. An output of
-1.5 times all words consists of slots, SHARD of them to an output shard. A keyed shuffle of all slots decides which
-source fills a slot: source k owns as many of the shuffled numbers as its target has blocks. The source counts of a
-shard are thus multinomial draws conditioned on the totals (draws without replacement), so that these don't leave the
-targets by chance. The slot's number among those of its source, through a permutation keyed by the source, is the block
-that it takes: mixed_slots has them in order. What is taken of a text is counted from these slots; as a source goes
-through all its blocks before it repeats one, it doesn't depend on the draw. Slots and blocks are joined by (source, block).
-
-No window sees more than a bucket of a source, as word offsets come from sums over BUCKETS buckets of each source.
-
-Defined cases: null texts have size 0; null sources are one source, weighed last; rows with equal ids are separate
-rows in a fixed order; sources without words have target 0; an empty table gives an empty result; other columns are
-ignored.
+1.5 times all words consists of slots, SHARD of them to an output shard. Source k owns as many slots as its target has
+blocks; a keyed pseudorandom permutation of all slots says which these are. The source counts of a shard are thus
+multinomial draws conditioned on the totals (draws without replacement), so that chance doesn't move a source off its
+target. A slot's number among those of its source goes through a permutation keyed by the source, which gives the block
+that it takes: a source goes through all its blocks before it repeats one. Slots are made from the table of sources, two
+explodes deep, so nothing is joined or broadcast for that; blocks and texts are joined by (source, block).
+
+No step holds a source, or all sources, in one task: word offsets, the numbering of sources and the numbering of their
+slots are running sums over ranges of rows, which are as many as there are shuffle partitions. Targets come from a few
+sums over the table of sources. Rows that agree in everything but their place are told apart by that place, so a group
+of them can be cut between ranges.
+
+Defined cases: null texts have size 0; null sources are one source, weighed last; rows with equal ids are separate rows
+in the order of their texts' hashes; sources without words have target 0; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, words_of
 
 BLOCK = 32
 SHARD = 4096
-BUCKETS = 1024
 WEIGHTS = (3, 1, 2)
 SHARE_PERCENT = 150
 MOST_TIMES = 2
 SEED = 17
-#: Rounds of the shuffle; each leaves or swaps every pair of numbers by a bit of a hash.
-ROUNDS = 48
-#: Primes; a product of one of them and a number below 2 ** 32 stays below 2 ** 63.
-FACTORS = (1_640_531_513, 1_500_450_271, 1_299_709, 15_485_863, 982_451_653, 961_748_941, 899_809_363, 817_504_253)
-
-
-def keys(n: int, key: int) -> tuple[int, int, int, int]:
-    """Factors and shifts of a permutation of 0 .. n - 1: the factors are primes that don't divide n."""
-    usable = [f for f in FACTORS if n % f]
-    return usable[key % len(usable)], (key * 7_919 + 104_729) % n, usable[(key * 5 + 3) % len(usable)], (key * 15_485_863 + 1_299_709) % n
-
-
-def permuted(i: Column, n: Column, a: Column, b: Column, c: Column, d: Column) -> Column:
-    """Pseudorandom permutation of 0 .. n - 1 for n below 2 ** 32: two affine maps, with the lower half of the numbers reversed between them."""
-    x = F.pmod(i * a + b, n)
-    half = F.floor(n / 2).cast("long")
-    return F.pmod(F.when(x < half, half - 1 - x).otherwise(x) * c + d, n)
-
-
-def shuffled(i: Column, n: int, key: int) -> Column:
-    """Keyed shuffle of 0 .. n - 1 (swap or not): a round pairs x with shift - x, and a hash bit of the pair decides."""
-    shifts = F.array(*(F.pmod(F.xxhash64(F.lit(key), F.lit(r), F.lit("shift")), F.lit(n).cast("long")) for r in range(ROUNDS)))
-
-    def turn(x: Column, shift: Column) -> Column:
-        other = F.pmod(shift - x, F.lit(n).cast("long"))
-        return F.when(F.xxhash64(F.lit(key), shift, F.greatest(x, other)).bitwiseAND(F.lit(1)) == 1, other).otherwise(x)
-
-    return F.aggregate(shifts, i, turn)
-
-
-def _slots(spark: SparkSession, total: int) -> DataFrame:
-    """(slot, number): slots of the output and the shuffled number of each."""
-    return spark.range(0, max(total, 1)).where(F.lit(total > 0)).select(F.col("id").alias("slot"), shuffled(F.col("id"), max(total, 1), SEED).alias("number"))
-
-
-def _plan(spark: SparkSession, sums: list[tuple[str | None, int]]) -> tuple[DataFrame, int]:
-    """A row for each source with its blocks and the numbers of its slots, and the number of all slots."""
-    base, rows = 0, []
-    for k, (source, n, target) in enumerate(_targets(sums)):
-        blocks = -(-n // BLOCK)
-        slots = round(target * blocks / n) if n else 0
-        rows.append((source, k, n, float(target), blocks, slots, base, *keys(max(blocks, 1), SEED + k)))
-        base += slots
-    return spark.createDataFrame(rows, "source string, k int, source_size long, target double, blocks long, slots long, base long, a long, b long, c long, d long"), base
-
-
-def _filled(spark: SparkSession, sources: DataFrame, total: int) -> DataFrame:
-    """(shard, slot, source, k, block): what fills each slot."""
-    owned = _slots(spark, total).join(F.broadcast(sources.where("slots > 0")), (F.col("number") >= F.col("base")) & (F.col("number") < F.col("base") + F.col("slots")))
-    ordinal = F.pmod(F.col("number") - F.col("base"), F.col("blocks"))
-    block = permuted(ordinal, *(F.col(x) for x in ("blocks", "a", "b", "c", "d")))
-    return owned.select(F.floor(F.col("slot") / SHARD).alias("shard"), "slot", "source", "k", block.alias("block"))
-
-
-def _targets(sizes: list[tuple[str | None, int]]) -> list[tuple[str | None, int, float]]:
-    """(source, size, target): shares by weight; what a source can't hold goes to the others by weight."""
-    named = sorted((x for x in sizes if x[0] is not None), key=lambda x: [ord(c) for c in x[0]]) + [x for x in sizes if x[0] is None]
-    weight = {s: WEIGHTS[k % len(WEIGHTS)] for k, (s, _) in enumerate(named)}
-    total = sum(n for _, n in named) * SHARE_PERCENT / 100
-    target = {s: 0.0 for s, _ in named}
-    full: set = set()
-    while len(full) < len(named):
-        free = [x for x in named if x[0] not in full]
-        rest = total - sum(target[s] for s in full)
-        share = rest / sum(weight[s] for s, _ in free)
-        over = [(s, n) for s, n in free if share * weight[s] > MOST_TIMES * n]
-        if not over:
-            target |= {s: share * weight[s] for s, _ in free}
+#: Of a permutation: turns, each of a rotation and an even number of rounds.
+TURNS, ROUNDS = 2, 4
+
+
+def permuted(df: DataFrame, i: Column, n: Column, key: Column, out: str) -> DataFrame:
+    """df with out: where a keyed permutation of 0 .. n - 1 takes i, for n below 2 ** 62.
+
+    A turn rotates by a hash of the key, then mixes the first a * b numbers (a about the root of n), read as two digits:
+    each round adds a hash of one digit to the other. What is above a * b stays until the next rotation.
+    """
+    df = df.withColumns({"__x": i, "__n": n, "__key": key})
+    df = df.withColumn("__a", F.greatest(F.floor(F.sqrt("__n")), F.lit(1)).cast("long")).withColumn("__b", F.expr("__n div __a"))
+    for turn in range(TURNS):
+        df = df.withColumn("__x", F.pmod(F.col("__x") + F.pmod(F.xxhash64("__key", F.lit(turn)), F.col("__n")), F.col("__n")))
+        digits = F.struct(F.expr("__x div __b").alias("u"), (F.col("__x") % F.col("__b")).alias("v"), F.col("__a").alias("m"), F.col("__b").alias("n"))
+
+        def one(turn: int):
+            """Of a turn: v + hash(u) takes the place of u and u that of v, so the digits alternate."""
+            return lambda s, k: F.struct(F.pmod(s["v"] + F.pmod(F.xxhash64("__key", F.lit(turn), k, s["u"]), s["n"]), s["n"]).alias("u"), s["u"].alias("v"), s["n"].alias("m"), s["m"].alias("n"))
+
+        df = df.withColumn("__d", F.aggregate(F.array(*map(F.lit, range(ROUNDS))), digits, one(turn)))
+        df = df.withColumn("__x", F.when(F.col("__x") < F.col("__a") * F.col("__b"), F.col("__d.u") * F.col("__b") + F.col("__d.v")).otherwise(F.col("__x")))
+    return df.withColumn(out, F.col("__x")).drop("__x", "__n", "__key", "__a", "__b", "__d")
+
+
+def _ranged(df: DataFrame, *order: Column) -> DataFrame:
+    """df, sorted into ranges of rows that column part numbers, written out."""
+    return materialize(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+
+
+def _running(ranged: DataFrame, order: list[Column], value: Column, out: str, by: list[str]) -> DataFrame:
+    """ranged with out: the sum of value over the rows before it (of the same by). No window sees more than a range."""
+    parts = ranged.groupBy("part", *by).agg(F.sum(value).alias("__sum"))
+    before = Window.partitionBy(*by).orderBy("part") if by else Window.orderBy("part")
+    parts = parts.select("part", *by, F.coalesce(F.sum("__sum").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy("part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = ranged.withColumn("__inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    parts = parts.withColumnsRenamed({"part": "__part"} | {c: f"__{c}" for c in by})
+    on = rows["part"] == parts["__part"]
+    for c in by:
+        on = on & rows[c].eqNullSafe(parts[f"__{c}"])
+    return rows.join(parts, on).withColumn(out, (F.col("__before") + F.col("__inside")).cast("long")).drop("__before", "__inside", *parts.columns)
+
+
+def plan_sources(sums: DataFrame) -> DataFrame:
+    """A row for each source of (source, source_size): k, its target, blocks, slots and the number of its first slot."""
+    by_name = [F.col("source").asc_nulls_last()]
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("k") % len(WEIGHTS) + 1).cast("int"))
+    named = materialize(_running(_ranged(sums, *by_name), by_name, F.lit(1), "k", []).withColumn("weight", weight))
+    # a source is full when its share by weight is more than it may give; what is left is shared again until none is
+    most = MOST_TIMES * F.col("source_size")
+    n, w = named.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(1))).first()
+    total, share, before = n * SHARE_PERCENT / 100, n * SHARE_PERCENT / 100 / w, 0
+    while True:
+        full = F.lit(share) * F.col("weight") > most
+        r = named.where(full).agg(F.count("*").alias("n"), F.coalesce(F.sum(most), F.lit(0)).alias("given"), F.coalesce(F.sum("weight"), F.lit(0)).alias("weight")).first()
+        if r["n"] == before or r["weight"] == w:
             break
-        for s, n in over:
-            target[s] = float(MOST_TIMES * n)
-            full.add(s)
-    return [(s, n, target[s]) for s, n in named]
+        before, share = r["n"], (total - r["given"]) / (w - r["weight"])
+    target = F.when(full, most.cast("double")).otherwise(F.lit(share) * F.col("weight"))
+    blocks = F.ceil(F.col("source_size") / BLOCK)
+    slots = F.when(F.col("source_size") > 0, F.round(F.col("target") * F.col("blocks") / F.col("source_size"))).otherwise(0).cast("long")
+    out = named.withColumn("target", target).withColumn("blocks", blocks).withColumn("slots", slots)
+    return materialize(_running(out, by_name, F.col("slots"), "first_slot", []).drop("part", "weight"))
+
+
+def filled_slots(sources: DataFrame) -> DataFrame:
+    """(shard, slot, source, k, block): what fills each slot of the output."""
+    total = sources.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
+    # runs of SHARD * SHARD slots, then of SHARD, dealt out anew, then slots: no array is longer than SHARD or a source's runs
+    runs = sources.where("slots > 0").select("source", "k", "blocks", "slots", "first_slot", F.explode(F.sequence(F.lit(0), F.expr(f"(slots - 1) div {SHARD * SHARD}"))).alias("run"))
+    last = F.least(F.expr(f"(slots - 1) div {SHARD}"), (F.col("run") + 1) * SHARD - 1)
+    runs = runs.withColumn("run", F.explode(F.sequence(F.col("run") * SHARD, last))).repartition("k", "run")
+    at = F.sequence(F.col("run") * SHARD, F.least(F.col("slots"), (F.col("run") + 1) * SHARD) - 1)
+    made = runs.select("source", "k", "blocks", (F.col("first_slot")).alias("first_slot"), F.explode(at).alias("ordinal"))
+    made = permuted(made, F.col("first_slot") + F.col("ordinal"), F.lit(max(total, 1)).cast("long"), F.lit(SEED), "slot")
+    made = permuted(made, F.col("ordinal") % F.col("blocks"), F.col("blocks"), F.xxhash64(F.lit(SEED), "k"), "block")
+    return made.select(F.expr(f"slot div {SHARD}").alias("shard"), "slot", "source", "k", "block")
+
+
+class Mix:
+    """Where the words of each row stand within their source, and the plan of the sources."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, source_col: str, keep_words: bool = False):
+        words = words_of(F.col(text_col))
+        df = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.size(words).cast("long").alias("size"), F.xxhash64(text_col).alias("text_hash"), *([words.alias("words")] if keep_words else []))
+        rows = materialize(df.withColumn("row", F.monotonically_increasing_id()))
+        self.sources = plan_sources(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
+        order = [F.col("source"), F.col("doc_id"), F.col("text_hash"), F.col("row")]
+        placed = _running(_ranged(rows.drop("words"), *order), order[1:], F.col("size"), "start", ["source"])
+        own = self.sources.select(F.col("source").alias("__source"), "k", "source_size", "target")
+        self.placed = materialize(placed.join(own, placed["source"].eqNullSafe(own["__source"])).drop("__source", "text_hash", "part"))
+        self.words = rows.select("row", "words") if keep_words else None
+
+    def pieces(self) -> DataFrame:
+        """(row, k, block, start, size): a row for each block that a text has a part in."""
+        first, last = F.expr(f"start div {BLOCK}"), F.expr(f"(start + size - 1) div {BLOCK}")
+        return self.placed.where("size > 0").select("row", "k", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, size, source, source_size, target, taken), a row for each row of docs."""
-    spark = docs.sparkSession
-    df = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.size(words_of(F.col(text_col))).cast("long").alias("size"))
-    df = df.withColumn("bucket", F.coalesce(F.pmod(F.col("doc_id"), F.lit(BUCKETS)), F.lit(0)).cast("int"))
-    df = materialize(df)
-    totals = df.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    sums = df.groupBy("source").agg(F.sum("size").alias("n")).collect()  # a row for each source
-    sources, base = _plan(spark, [(r["source"], r["n"]) for r in sums])
-
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("source", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("bucket_at"))
-    inside = Window.partitionBy("source", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = df.select("*", F.monotonically_increasing_id().alias("row"), F.coalesce(F.sum("size").over(inside), F.lit(0)).alias("inner_at"))
-    placed = placed.join(starts.withColumnsRenamed({"source": "s2", "bucket": "b2"}), F.col("source").eqNullSafe(F.col("s2")) & (F.col("bucket") == F.col("b2")))
-    placed = placed.join(F.broadcast(sources.withColumnRenamed("source", "s3")), F.col("source").eqNullSafe(F.col("s3")))
-    placed = placed.select("row", "doc_id", "size", "source", "k", "source_size", "target", (F.col("bucket_at") + F.col("inner_at")).alias("start"))
-    placed = materialize(placed)
-
-    taken = _filled(spark, sources, base).groupBy("k", "block").agg(F.count("*").alias("times"))
-
-    first, last = F.floor(F.col("start") / BLOCK), F.floor((F.col("start") + F.col("size") - 1) / BLOCK)
-    spread = placed.where("size > 0").select("row", "k", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
+    """(doc_id, size, source, source_size, target, taken, first_shard), a row for each row of docs; first_shard is the first
+    output shard that holds some of it, null if none does."""
+    mix = Mix(docs, id_col, text_col, source_col)
+    taken = filled_slots(mix.sources).groupBy("k", "block").agg(F.count("*").alias("times"), F.min("shard").alias("shard"))
     overlap = F.least((F.col("block") + 1) * BLOCK, F.col("start") + F.col("size")) - F.greatest(F.col("block") * BLOCK, F.col("start"))
-    per_row = spread.join(taken, ["k", "block"]).select("row", (overlap * F.col("times")).alias("words")).groupBy("row").agg(F.sum("words").alias("taken"))
-    out = placed.join(per_row, "row", "left")
-    return out.select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    per_row = mix.pieces().join(taken, ["k", "block"]).select("row", (overlap * F.col("times")).alias("words"), "shard").groupBy("row").agg(F.sum("words").alias("taken"), F.min("shard").alias("first_shard"))
+    out = mix.placed.join(per_row, "row", "left")
+    return out.select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_shard")
 
 
-def mixed_slots(docs: DataFrame, text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mixed_slots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(shard, slot, source, block): the mixed output, a row for each slot; block counts from 0 within its source."""
-    sums = docs.groupBy(F.col(source_col).alias("source")).agg(F.sum(F.size(words_of(F.col(text_col))).cast("long")).alias("n")).collect()  # a row for each source
-    sources, base = _plan(docs.sparkSession, [(r["source"], r["n"]) for r in sums])
-    return _filled(docs.sparkSession, sources, base).drop("k")
+    return filled_slots(Mix(docs, id_col, text_col, source_col).sources).drop("k")
+
+
+def mixed_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(shard, slot, source, block, text): the mixed output with its words, joined by a space."""
+    mix = Mix(docs, id_col, text_col, source_col, keep_words=True)
+    lo = F.greatest(F.col("block") * BLOCK - F.col("start"), F.lit(0)).cast("int")
+    hi = F.least((F.col("block") + 1) * BLOCK - F.col("start"), F.col("size")).cast("int")
+    parts = mix.pieces().join(mix.words, "row").select("k", "block", F.struct("start", F.slice("words", lo + 1, hi - lo).alias("words")).alias("part"))
+    # a block has at most BLOCK words, so at most as many parts
+    blocks = parts.groupBy("k", "block").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    text = F.array_join(F.flatten(F.transform("parts", lambda p: p["words"])), " ")
+    return filled_slots(mix.sources).join(blocks.select("k", "block", text.alias("text")), ["k", "block"]).select("shard", "slot", "source", "block", "text")
 
 
 def shards(docs: DataFrame) -> DataFrame:

@@ -10,14 +10,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lautwerk.llm import common, crf, lattice_lm, mixing
-from lautwerk.llm.decontaminate import LEAST_EQUAL, SHORTEST, SPAN, STRETCH, decontaminate
+from lautwerk.llm.decontaminate import BROADCAST_BYTES, LEAST_EQUAL, SHORTEST, SPAN, STRETCH, decontaminate
 from lautwerk.llm.jaccard_join import jaccard_components
 from lautwerk.llm.language_id import identify
 from lautwerk.llm.lattice_lm import lattice_scores
 from lautwerk.llm.license_scan import license_scan
-from lautwerk.llm.mixing import _targets, mix_sources, mixed_slots, shards
+from lautwerk.llm.mixing import mix_sources, mixed_blocks, mixed_slots, shards
 from lautwerk.llm.quality_crf import line_features, quality_scores
 from lautwerk.llm.quality_rules import quality_rules
 from lautwerk.llm.token_counts import token_counts
@@ -242,13 +243,13 @@ def test_components_of_a_long_chain(spark):
     assert got == {k: 0 for k in range(201)} | {500: 500, 501: 500}
 
 
-def brute_decontamination(docs, items):
+def brute_decontamination(docs, items, shortest=SHORTEST):
     found = set()
     items = [(i, WORD.findall((t or "").translate(A_Z))) for i, t in items]
     for d, text, *_ in docs:
         w = WORD.findall((text or "").translate(A_Z))
         for i, item in items:
-            if len(item) < SHORTEST:
+            if len(item) < shortest:
                 continue
             for start in range(-len(item) + 1, len(w)):
                 skip = max(0, -start)
@@ -278,10 +279,11 @@ def test_decontamination(spark, odd, none, docs, sf):
     assert decontaminate(none, items).count() == 0 and decontaminate(odd, items.limit(0)).count() == 0
 
 
-def test_decontamination_finds_every_accepted_pattern(spark):
-    items = {n: [f"i{n}_{k}" for k in range(n)] for n in range(SHORTEST, STRETCH + 2)} | {40: [f"i40_{k}" for k in range(40)]}
+@pytest.mark.parametrize("room", [BROADCAST_BYTES, 0])
+def test_decontamination_finds_every_accepted_pattern(spark, room):
+    items = {n: [f"i{n}_{k}" for k in range(n)] for n in range(1, STRETCH + 2)} | {40: [f"i40_{k}" for k in range(40)]}
     made, want = [], set()
-    for n in range(SHORTEST, STRETCH + 1):
+    for n in range(1, STRETCH + 1):
         for s in range(n // 4 + 2):
             for off in itertools.combinations(range(n), s):
                 if 100 * (n - s) >= LEAST_EQUAL * n:
@@ -300,8 +302,16 @@ def test_decontamination_finds_every_accepted_pattern(spark):
     want |= brute_decontamination([(i, t) for i, t in made[first:]], [(40, " ".join(items[40])), (14, " ".join(items[14]))])
     assert {i for i, _ in want} >= {made[-1][0], made[-2][0]}
     df = spark.createDataFrame(made, "doc_id long, text string")
-    got = decontaminate(df, spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string"))
-    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    for shortest in (1, SHORTEST):
+        got = decontaminate(df, bench, shortest=shortest, broadcast_bytes=room)
+        assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(d, n) for d, n in want if n >= shortest}
+
+
+def test_decontamination_by_shuffle_agrees(docs, odd, sf, spark):
+    items = spark.read.parquet(f"{sf}/benchmark.parquet")
+    for df in (docs, odd):
+        assert multiset(decontaminate(df, items, broadcast_bytes=0), "doc_id", "item_id", "n_equal", "n_aligned", "first_word") == multiset(decontaminate(df, items), "doc_id", "item_id", "n_equal", "n_aligned", "first_word")
 
 
 def test_license_scan(both, none):
@@ -376,6 +386,20 @@ def test_lattice_scores(both, none):
     assert lattice_scores(none).count() == 0
 
 
+def brute_targets(size):
+    """Targets by weight in code point order, null last; the excess over twice a source's size is shared again."""
+    named = sorted((s for s in size if s is not None), key=lambda s: [ord(c) for c in s]) + [s for s in size if s is None]
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(named)}
+    target, free, rest = {}, list(named), 1.5 * sum(size.values())
+    while free:
+        share = rest / sum(weight[s] for s in free)
+        over = [s for s in free if share * weight[s] > 2 * size[s]]
+        for s in over or free:
+            target[s] = 2.0 * size[s] if over else share * weight[s]
+        free, rest = ([s for s in free if s not in over], rest - sum(2 * size[s] for s in over)) if over else ([], 0)
+    return target
+
+
 def test_mixing(both, none):
     rows_ = texts_of(both)
     size = Counter()
@@ -383,46 +407,68 @@ def test_mixing(both, none):
         size[source] += len(WORD.findall(text or ""))
     got = mix_sources(both).collect()
     assert Counter((r["doc_id"], r["size"], r["source"], r["source_size"]) for r in got) == Counter((i, len(WORD.findall(t or "")), s, size[s]) for i, t, s, _ in rows_)
-    target = {s: t for s, _, t in _targets(list(size.items()))}
+    target = brute_targets(size)
     assert sum(target.values()) <= 1.5 * sum(size.values()) + 1e-6
     taken = Counter()
     for r in got:
         assert math.isclose(r["target"], target[r["source"]]) and 0 <= r["taken"] <= 2 * r["size"]
+        assert (r["first_shard"] is None) == (r["taken"] == 0)
         taken[r["source"]] += r["taken"]
     for s in size:
         assert abs(taken[s] - target[s]) <= 32
     assert sorted(map(str, mix_sources(both).collect())) == sorted(map(str, got))
-    assert mix_sources(none).count() == 0
+    assert mix_sources(none).count() == 0 and mixed_blocks(none).count() == 0
     assert shards(both).count() > 0
 
 
-@pytest.mark.parametrize("total", [1, 2, 997, 1_000_000])
-def test_slots_are_drawn(spark, total):
-    got = mixing._slots(spark, total).toPandas().sort_values("slot")
-    assert sorted(got.number) == list(range(total))
-    if total == 1_000_000:
-        # full shards of a source of one third: draws without replacement
-        counts = (got.number.to_numpy() < total // 3)[: total // mixing.SHARD * mixing.SHARD].reshape(-1, mixing.SHARD).sum(1)
-        want = math.sqrt(mixing.SHARD * (1 / 3) * (2 / 3) * (1 - mixing.SHARD / total))
-        assert 0.85 < counts.std() / want < 1.15
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 16, 997, 1_000_000])
+def test_permutation(spark, n):
+    got = mixing.permuted(spark.range(n), F.col("id"), F.lit(n).cast("long"), F.lit(5), "to").toPandas()
+    assert sorted(got.to) == list(range(n))
+    if n == 1_000_000:
+        # numbers of a source of one third in each shard: draws without replacement
+        counts = np.bincount(got.to[got.id < n // 3] // mixing.SHARD)[: n // mixing.SHARD]
+        want = math.sqrt(mixing.SHARD * (1 / 3) * (2 / 3) * (1 - mixing.SHARD / n))
+        assert 0.85 < counts.std() / want < 1.15 and abs(counts.mean() - mixing.SHARD / 3) < 4 * want / math.sqrt(len(counts))
 
 
-def test_taken_comes_from_the_mixed_slots(docs):
-    slots, size = mixed_slots(docs).toPandas(), Counter()
-    for _, text, source, _ in texts_of(docs):
-        size[source] += len(WORD.findall(text or ""))
-    assert sorted(slots.slot) == list(range(len(slots))) and (slots.slot // mixing.SHARD == slots.shard).all()
-    words = Counter()
-    for source, block in zip(slots.source, slots.block, strict=True):
-        words[source] += min(mixing.BLOCK, size[source] - block * mixing.BLOCK)
-    taken = Counter()
+@pytest.mark.parametrize("n", [10**12, 9 * 10**12 + 7, 2**61 - 1])
+def test_permutation_of_large_ranges(spark, n):
+    i = F.lit(n - 1) - F.col("id") * (n // 5000)
+    got = mixing.permuted(spark.range(5000), i, F.lit(n).cast("long"), F.lit(5), "to").toPandas().to
+    assert got.nunique() == 5000 and got.between(0, n - 1).all()
+    assert 0.45 < (got / n).mean() < 0.55 and 0.27 < (got / n).std() < 0.31
+
+
+def test_numbers_of_many_sources(spark):
+    size = {f"s{k:03d}": (k * 37) % 101 for k in range(300)} | {None: 4}
+    docs = spark.createDataFrame([(k, " ".join(["w"] * n), s) for k, (s, n) in enumerate(size.items())], "doc_id long, text string, source string")
+    target = brute_targets(size)
     for r in mix_sources(docs).collect():
-        taken[r["source"]] += r["taken"]
-    assert words == taken
+        assert math.isclose(r["target"], target[r["source"]]) and r["source_size"] == size[r["source"]] and abs(r["taken"] - r["target"]) <= 32
 
 
-def test_targets_share_the_excess():
-    assert [t for *_, t in _targets([("a", 10), ("b", 1000), (None, 1000)])] == [20.0, (3015 - 20) / 3, (3015 - 20) * 2 / 3]
+def test_taken_and_text_come_from_the_mixed_slots(docs):
+    slots, rows_ = mixed_slots(docs).toPandas(), mix_sources(docs).collect()
+    assert sorted(slots.slot) == list(range(len(slots))) and (slots.slot // mixing.SHARD == slots.shard).all()
+    text = {i: WORD.findall(t or "") for i, t, *_ in texts_of(docs)}
+    words = defaultdict(list)
+    for r in sorted(rows_, key=lambda r: r["doc_id"]):
+        words[r["source"]] += [(r["doc_id"], w) for w in text[r["doc_id"]]]
+    taken, shard, written = Counter(), {}, {}
+    for slot, sh, source, block in zip(slots.slot, slots.shard, slots.source, slots.block, strict=True):
+        own = words[source][block * mixing.BLOCK : (block + 1) * mixing.BLOCK]
+        taken.update(i for i, _ in own)
+        shard |= {i: min(sh, shard.get(i, sh)) for i, _ in own}
+        written[slot] = " ".join(w for _, w in own)
+    assert {r["doc_id"]: (r["taken"], r["first_shard"]) for r in rows_} == {r["doc_id"]: (taken[r["doc_id"]], shard.get(r["doc_id"])) for r in rows_}
+    assert {r["slot"]: r["text"] for r in mixed_blocks(docs).collect()} == written
+
+
+def test_targets_share_the_excess(spark):
+    sums = spark.createDataFrame([("a", 10), ("b", 1000), (None, 1000)], "source string, source_size long")
+    got = {r["source"]: r["target"] for r in mixing.plan_sources(sums).collect()}
+    assert got == pytest.approx({"a": 20.0, "b": (3015 - 20) / 3, None: (3015 - 20) * 2 / 3})
 
 
 def test_near_duplicate_stage_drops_repeated_rows(spark):
