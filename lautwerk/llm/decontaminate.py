@@ -7,14 +7,18 @@ aligned words (the whole item, if shorter) has at least LEAST_EQUAL percent equa
 text cuts short needs SPAN words, or the whole item.
 
 The seeds miss no pair that this rule accepts: s substituted words leave at most s + 1 runs of equal ones, and in
-stretches of 6, 7 and 9 to 13 words the longest run has three words at least. In 5 and 8 words one pattern each has only
-runs of two, which items of those lengths have a mask for. Items of fewer than SHORTEST words are never reported.
+stretches of 3, 6, 7 and 9 to 13 words the longest run has three words at least. In 1, 2, 4, 5 and 8 words some patterns
+have shorter runs only, which items of those lengths have masks for. Items of fewer than ``shortest`` words aren't
+evidence of anything and are left out; any value from 1 on is exact.
 
-The benchmark side is broadcast only while it has at most BROADCAST_SEEDS rows, else it is joined by shuffle. Positions
-are exploded inside the stage that joins, so only hits are copied; no text is shuffled.
+A run of equal words gives many hits on its diagonal; only the first of a run goes on, and only the stretches around it
+are tried before anything is shuffled. Seeds and items are broadcast while they are estimated at BROADCAST_BYTES at most.
+Beyond that, places (a text's id and hash, position, seed) are joined by shuffle, and the words of a text are fetched only
+where a seed was hit; no words are in that shuffle.
 
 Defined cases: null or empty texts and items match nothing; repeated items and texts are reported row by row but once
-for each (doc_id, item_id); null ids pass through; empty tables give empty results; letters A-Z count as a-z.
+for each (doc_id, item_id); null ids pass through; empty tables give empty results; letters A-Z count as a-z; other
+columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -22,17 +26,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, words_of
+from .common import ascii_lower, materialize, words_of
 
 #: 1: hashed, 0: ignored.
 MASK = "111"
 #: For items of exactly so many words, beside MASK.
-GAPPED = {5: "11011", 8: "11011011"}
+GAPPED = {1: ("1",), 2: ("11",), 4: ("1011", "1101"), 5: ("11011",), 8: ("11011011",)}
 SPAN = 10
 SHORTEST = 5
 STRETCH = 13
 LEAST_EQUAL = 75
-BROADCAST_SEEDS = 2_000_000
+BROADCAST_BYTES = 64 << 20
+#: What a broadcast seed takes, about: four numbers and their place in the hash table.
+SEED_BYTES = 64
 
 
 def _seed(words: str, at: Column, mask: str) -> Column:
@@ -41,7 +47,7 @@ def _seed(words: str, at: Column, mask: str) -> Column:
 
 
 def _seeds(df: DataFrame, words: str, masks: list[str]) -> DataFrame:
-    """A row for each position and mask that fits there, with the seed and the position."""
+    """A row for each position and mask that fits there, with the seed, the position and the width of the mask."""
     n = F.size(words)
     last = F.greatest(n - min(map(len, masks)), F.lit(-1))
     at = df.withColumn("at", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))))
@@ -50,37 +56,68 @@ def _seeds(df: DataFrame, words: str, masks: list[str]) -> DataFrame:
     return at.withColumn("seed", F.explode(F.array(*(F.when(F.col("at") + len(m) <= n, _seed(words, F.col("at"), m)) for m in masks))))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def _diagonal(hits: DataFrame, *keep: str) -> DataFrame:
+    """hits (w, item, start, and the columns to keep) with the aligned parts of text and item."""
+    start = F.col("start")
+    part = F.slice("w", F.greatest(start, F.lit(0)) + 1, F.size("item") - F.greatest(-start, F.lit(0)))
+    return hits.select(*keep, "start", part.alias("part"), F.slice("item", F.greatest(-start, F.lit(0)) + 1, F.size("item")).alias("item_part"), F.size("item").alias("n_item"))
+
+
+def _accepted(hits: DataFrame, *keep: str, near: str | None = None) -> DataFrame:
+    """Of diagonals (part, item_part, start, n_item) those that the rule accepts, as equal (0 or 1 for each place). near: place of
+    the part's first word that the text has at a seed; stretches that don't hold it aren't tried."""
+    both = F.least(F.size("part"), F.size("item_part"))
+    m = F.least(F.lit(STRETCH), both)
+    if near:
+        lo = F.greatest(F.col(near) - m + 1, F.lit(0))
+        hits = hits.select("*", m.alias("m"), both.alias("both"), lo.alias("lo"), F.least(both - lo, F.col(near) + m - lo).alias("span"))
+        window = F.zip_with(F.slice("part", F.col("lo") + 1, F.col("span")), F.slice("item_part", F.col("lo") + 1, F.col("span")), lambda a, b: (a == b).cast("int"))
+    else:
+        hits = hits.select("*", m.alias("m"), both.alias("both"))
+        window = F.zip_with(F.slice("part", F.lit(1), both), F.slice("item_part", F.lit(1), both), lambda a, b: (a == b).cast("int"))
+    hits = hits.where("m > 0").where(F.col("m") >= F.least(F.lit(SPAN), F.col("n_item"))).withColumn("near", window)
+    # equal words of a stretch: those up to its end, less those before it
+    runs = F.aggregate("near", F.array(F.lit(0)), lambda a, x: F.array_append(a, F.element_at(a, -1) + x))
+    hits = hits.withColumn("sums", runs)
+    enough = F.exists(F.sequence(F.lit(0), F.size("near") - F.col("m")), lambda i: 100 * (F.get("sums", i + F.col("m")) - F.get("sums", i)) >= LEAST_EQUAL * F.col("m"))
+    return hits.where(enough).select(*keep, "start", F.zip_with(F.slice("part", F.lit(1), F.col("both")), F.slice("item_part", F.lit(1), F.col("both")), lambda a, b: (a == b).cast("int")).alias("equal"))
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shortest: int = SHORTEST, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(doc_id, item_id, n_equal, n_aligned, first_word): the pairs that overlap, with the best stretch."""
     bench = items.select(F.col(item_col).alias("item_id"), words_of(ascii_lower(F.coalesce(F.col(item_text_col), F.lit("")))).alias("item"))
-    bench = bench.where(F.size("item") >= SHORTEST)
+    bench = materialize(bench.where(F.size("item") >= max(shortest, 1)).withColumn("key", F.monotonically_increasing_id()))
+    size = bench.agg(F.coalesce(F.sum(F.size("item")), F.lit(0)), F.coalesce(F.sum(F.length(F.array_join("item", " "))), F.lit(0))).first()
     lengths = sorted(r[0] for r in bench.select(F.size("item").alias("n")).where(F.col("n").isin(list(GAPPED))).distinct().limit(len(GAPPED)).collect())
+    extra = [(n, mask) for n in lengths for mask in GAPPED[n]]
     seeds = _seeds(bench, "item", [MASK])
-    for n in lengths:
-        seeds = seeds.unionAll(_seeds(bench.where(F.size("item") == n), "item", [GAPPED[n]]))
-    seeds = seeds.select("item_id", "item", F.col("at").alias("item_at"), "seed")
-    if seeds.count() <= BROADCAST_SEEDS:
-        seeds = F.broadcast(seeds)
+    for n, mask in extra:
+        seeds = seeds.unionAll(_seeds(bench.where(F.size("item") == n), "item", [mask]))
+    seeds = seeds.select("seed", "key", F.col("at").alias("item_at"))
+    masks = [MASK, *(mask for _, mask in extra)]
 
     texts = docs.select(F.col(id_col).alias("doc_id"), words_of(ascii_lower(F.coalesce(F.col(text_col), F.lit("")))).alias("w"))
-    hits = _seeds(texts, "w", [MASK, *(GAPPED[n] for n in lengths)]).join(seeds, "seed")
-    start = F.col("at") - F.col("item_at")
-    skipped = F.greatest(-start, F.lit(0))  # words of the item before the text begins
-    part = F.slice("w", F.greatest(start, F.lit(0)) + 1, F.size("item") - skipped)
-    hits = hits.select("doc_id", "item_id", start.alias("start"), part.alias("part"), F.expr("slice(item, greatest(item_at - at, 0) + 1, size(item))").alias("item_part"), F.size("item").alias("n_item"))
-    hits = hits.dropDuplicates(["doc_id", "item_id", "start", "part"])
-    equal = F.zip_with("part", F.slice("item_part", 1, F.greatest(F.size("part"), F.lit(0))), lambda a, b: (a == b).cast("int"))
-    hits = hits.select("doc_id", "item_id", "start", equal.alias("equal"), F.least(F.lit(STRETCH), F.size("part"), F.size("item_part")).alias("m"), "n_item")
-    sums = F.transform(F.sequence(F.lit(0), F.size("equal") - F.col("m")), lambda i: F.aggregate(F.slice("equal", i + 1, F.col("m")), F.lit(0), lambda a, x: a + x))
-    hits = hits.where("m > 0").select("doc_id", "item_id", "start", "equal", "m", "n_item", F.array_max(sums).alias("best"))
-    # a stretch cut short by an end of the text must still be long enough to say something
-    enough = (100 * F.col("best") >= LEAST_EQUAL * F.col("m")) & (F.col("m") >= F.least(F.lit(SPAN), F.col("n_item")))
+    if SEED_BYTES * size[0] + size[1] <= broadcast_bytes:
+        hits = _seeds(texts, "w", masks).join(F.broadcast(seeds), "seed").join(F.broadcast(bench), "key")
+        # a hit whose words stand after an equal pair is in the run of an earlier one
+        at, item_at = F.col("at"), F.col("item_at")
+        later = (at > 0) & (item_at > 0) & (F.get("w", at - 1) == F.get("item", item_at - 1))
+        hits = hits.where(~later).select("doc_id", "item_id", "w", "item", (at - item_at).alias("start"), F.least(at, item_at).alias("near_at"))
+        hits = _accepted(_diagonal(hits, "doc_id", "item_id", "near_at"), "doc_id", "item_id", near="near_at")
+    else:
+        texts = texts.withColumn("hash", F.xxhash64("w"))
+        places = _seeds(texts, "w", masks).select("doc_id", "hash", "at", "seed")
+        found = places.join(seeds.hint("merge"), "seed").select("doc_id", "hash", "key", (F.col("at") - F.col("item_at")).alias("start")).distinct()
+        found = materialize(found.join(bench, "key").withColumnsRenamed({"doc_id": "d", "hash": "h"}))
+        own = texts.dropDuplicates(["doc_id", "hash"])
+        hits = found.join(own, found["d"].eqNullSafe(own["doc_id"]) & (found["h"] == own["hash"]))
+        hits = _accepted(_diagonal(hits, "doc_id", "item_id"), "doc_id", "item_id")
     total = F.aggregate("equal", F.lit(0), lambda a, x: a + x)
     best = F.max_by(F.struct(total.alias("n_equal"), F.size("equal").alias("n_aligned"), F.greatest("start", F.lit(0)).alias("first_word")), F.struct(total, -F.col("start")))
-    return hits.where(enough).groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.n_equal", "b.n_aligned", "b.first_word")
+    return hits.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.n_equal", "b.n_aligned", "b.first_word")
 
 
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs that overlap with no item; of a doc_id that does, every row goes."""
     dirty = decontaminate(docs, items).select(F.col("doc_id").alias("dirty_id")).distinct()
-    return docs.join(dirty, docs["doc_id"].eqNullSafe(F.col("dirty_id")), "left_anti")
+    return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty["dirty_id"]), "left_anti")
