@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 
 from lautwerk.llm import common, crf, lattice_lm, mixing
 from lautwerk.llm.decontaminate import BROADCAST_BYTES, LEAST_EQUAL, SHORTEST, SPAN, STRETCH, decontaminate
-from lautwerk.llm.jaccard_join import jaccard_components
+from lautwerk.llm.jaccard_join import jaccard_components, jaccard_links
 from lautwerk.llm.language_id import identify
 from lautwerk.llm.lattice_lm import lattice_scores
-from lautwerk.llm.license_scan import license_scan
+from lautwerk.llm.license_scan import BASE, DECISIVE, TEMPLATES, license_scan
 from lautwerk.llm.mixing import mix_sources, mixed_blocks, mixed_slots, shards
 from lautwerk.llm.quality_crf import line_features, quality_scores
 from lautwerk.llm.quality_rules import quality_rules
-from lautwerk.llm.token_counts import token_counts
+from lautwerk.llm.token_counts import piece_lengths, token_counts
 from lautwerk.llm.toxicity import toxicity
 
 A_Z = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -97,6 +97,10 @@ def test_token_counts(both, none):
         n = len(t.encode(text or "", add_special_tokens=False).ids)
         expected[i, len((text or "").encode()), n, n > 1024] += 1
     assert multiset(token_counts(both), "doc_id", "n_bytes", "n_tokens", "over_limit") == expected
+    # nearly all by shuffle
+    assert multiset(token_counts(both, most_common=40), "doc_id", "n_bytes", "n_tokens", "over_limit") == expected
+    pieces = piece_lengths(both).collect()
+    assert len({r["piece"] for r in pieces}) == len(pieces)
     assert token_counts(none).count() == 0
 
 
@@ -233,8 +237,17 @@ def test_jaccard_components(spark, odd, none, table):
             least[root(k)] = min(i, least.get(root(k), i))
     expected = Counter((i, len(sets[k]), least.get(root(k))) for k, (i, _) in enumerate(pairs))
     assert multiset(jaccard_components(df), "doc_id", "n_shingles", "component_id") == expected
+    links, members = jaccard_links(df)
+    set_of = {}
+    for r in members.collect():
+        set_of.setdefault(r["class_id"], r["doc_id"])
+    by_id = {i: s for (i, _), s in zip(pairs, sets) if s}
+    distinct = {frozenset(s): None for s in sets if s}
+    want_links = {frozenset((a, b)) for a, b in itertools.combinations(distinct, 2) if 4 * min(len(a), len(b)) >= 3 * max(len(a), len(b)) and 100 * len(a & b) >= 75 * len(a | b)}
+    got_links = [frozenset(frozenset(by_id[set_of[c]]) for c in r) for r in links.collect()]
+    assert len(set_of) == len(distinct) and len(got_links) == len(want_links) and set(got_links) == want_links
     if table == "odd":
-        assert jaccard_components(none).count() == 0
+        assert jaccard_components(none).count() == 0 and jaccard_links(none)[0].count() == 0
 
 
 def test_components_of_a_long_chain(spark):
@@ -328,9 +341,17 @@ def test_license_scan(both, none):
 
 
 def test_license_spans_survive_edits(spark):
-    text = "x y z this program is free software you may redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation end"
-    got = license_scan(spark.createDataFrame([(1, text), (2, "this program is free of charge")], "doc_id long, text string")).orderBy("doc_id").collect()
-    assert got[0]["labels"] == "gpl,gpl-text" and got[1]["labels"] == "" and got[1]["score"] == 0
+    made, want = [(0, "this program is free of charge"), (1, "licensed under cc by 4 0"), (2, "licensed under the foo license version 2 0")], {0: set(), 1: set(), 2: set()}
+    for name, text in TEMPLATES.items():
+        words = text.split()
+        inner = range(1, 4) if name == "mit-notice" else ()
+        for k, w in enumerate(words):
+            for edited in (["other"], [w, "more"]):
+                if w != DECISIVE.get(name) and (k not in inner or len(edited) > 1 and k == 3):
+                    want[len(made)] = {name}
+                    made.append((len(made), " ".join(["x", "y", *words[:k], *edited, *words[k + 1 :], "z"])))
+    got = {r["doc_id"]: set(r["labels"].split(",")) - set(BASE.values()) - {""} for r in license_scan(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert {i: v for i, v in got.items() if v != want[i]} == {}
 
 
 def test_lattice_sums_all_segmentations():
@@ -367,6 +388,21 @@ def test_lattice_sums_all_segmentations():
     assert np.allclose(gain, want_gain)
 
 
+def test_lattice_of_long_words_agrees():
+    lattice, rng = lattice_lm.Lattice(*lattice_lm.read_pieces(None)), np.random.default_rng(4)
+    words = [bytes(rng.choice(list(b"thequickfoxwordz"), n).tolist()) for n in (1, 3, 30, 700)] + ["zür".encode() * 9]
+    off = np.concatenate([[0], np.cumsum([len(w) for w in words])])
+    raw, counts = np.frombuffer(b"".join(words), np.uint8), np.arange(1.0, 6.0)
+    want, want_gain = lattice.run(raw, off, counts)
+    gain, before = np.zeros(lattice.size), lattice_lm.LONG
+    try:
+        lattice_lm.LONG = 64
+        got = [lattice._long(raw[a:b], c, gain) for a, b, c in zip(off, off[1:], counts)]
+    finally:
+        lattice_lm.LONG = before
+    assert np.allclose(got, want) and np.allclose(gain, want_gain)
+
+
 def test_lattice_scores(both, none):
     rows_ = texts_of(both)
     c, n = Counter(), 0
@@ -497,3 +533,22 @@ def test_pipeline(spark, sf):
     assert not any(100 * len(a & b) >= 75 * len(a | b) for k, a in enumerate(sets) for b in sets[:k])
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     assert not brute_decontamination([(i, text[i]) for i in sorted(ids)[:10]], items)
+
+
+CLASHING = ("kept_id", "twice_id", "dirty_id", "component_id", "row", "k", "word")
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_on_odd_tables(spark, odd, none, sf, stage):
+    import corpus_pipeline as p
+
+    name, run = p.STAGES[stage]
+    for df, rows in ((odd, len(ODD)), (none, 0)):
+        named = df.select("doc_id", "text", "lang", "source", *(F.lit(k).alias(c) for k, c in enumerate(CLASHING)))
+        out = run(spark, named, sf)
+        assert out.count() <= rows
+        if stage < 4:
+            assert out.columns == named.columns
+    if name == "near_duplicates":
+        got = Counter(r["doc_id"] for r in run(spark, odd, sf).collect())
+        assert got[5] == 0 and got[4] == 1 and got[10] == 0 and got[None] == 2
