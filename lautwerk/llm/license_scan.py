@@ -2,8 +2,10 @@
 
 All rolling hashes of GRAM words of every text are joined with the places where the templates have them. Equal offsets
 (place in the text minus place in the template) are one diagonal; each diagonal gets the votes of its hits, diagonals at
-most DRIFT apart are merged, which bridges inserted and dropped words, and a merged span is kept when it covers at least
-LEAST_COVER of the template's grams within SPREAD times the template's length.
+most DRIFT apart are merged, which bridges inserted and dropped words. A merged span is kept when its hits hold the
+template's decisive word, if it has one, lie within SPREAD times the template's length and are all but so many of its grams
+as EDITS allows: an edited word spoils GRAM of them at most. Of the five words of the shortest template the outer ones may
+be edited.
 
 The templates are a fixed list, so their grams can be broadcast at any size of the corpus. Only hits are shuffled.
 
@@ -26,7 +28,8 @@ from . import common as C
 
 GRAM = 3
 DRIFT = 3
-LEAST_COVER = 0.85
+#: Words of a template for each edit that it may have.
+EDITS = 24
 SPREAD = 2.0
 
 # The base phrases, and openings or key clauses of public licenses.
@@ -46,6 +49,8 @@ TEMPLATES = {
     "isc-text": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
     "unlicense-text": "this is free and unencumbered software released into the public domain",
 }
+#: Words that tell a template from one that differs in them alone.
+DECISIVE = {"mit-notice": "mit", "apache-notice": "apache", "gpl-notice": "gnu", "lgpl-text": "lesser", "cc-by-nc-notice": "nc", "cc-by-text": "attribution", "mpl-text": "mozilla"}
 
 
 def _hashes(phrase: str) -> np.ndarray:
@@ -100,19 +105,24 @@ def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(key, template, start, end, cover): verified spans in words of the text; key identifies id and text of a row."""
     spark = docs.sparkSession
     C.batch_rows(spark)
-    places = [(int(g), name, at, len(own)) for name, text in TEMPLATES.items() for own in [_grams(_hashes(text)).view(np.int64)] for at, g in enumerate(own)]
-    table = spark.createDataFrame(places, "gram long, template string, t_at int, t_grams int")
+    places = []
+    for name, text in TEMPLATES.items():
+        own, words = _grams(_hashes(text)).view(np.int64), text.split()
+        key = words.index(DECISIVE[name]) if name in DECISIVE else None
+        may_lack = 1 if len(own) <= GRAM else GRAM * -(-len(words) // EDITS)
+        places += [(int(g), name, at, len(own), len(own) - may_lack, key is None or at <= key < at + GRAM) for at, g in enumerate(own)]
+    table = spark.createDataFrame(places, "gram long, template string, t_at int, t_grams int, t_least int, decisive boolean")
     rows = docs.select(F.xxhash64(id_col, text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     grams = rows.mapInArrow(_rolling, "key long, grams array<long>").select("key", F.posexplode("grams").alias("at", "gram"))
-    hits = grams.join(F.broadcast(table), "gram").select("key", "template", "at", "t_at", "t_grams", (F.col("at") - F.col("t_at")).alias("diagonal")).distinct()
-    votes = hits.groupBy("key", "template", "diagonal").agg(F.count("*").alias("votes"), F.min("at").alias("start"), F.max("at").alias("end"), F.first("t_grams").alias("t_grams"), F.collect_set("t_at").alias("covered"))
+    hits = grams.join(F.broadcast(table), "gram").select("key", "template", "at", "t_at", "t_grams", "t_least", "decisive", (F.col("at") - F.col("t_at")).alias("diagonal")).distinct()
+    votes = hits.groupBy("key", "template", "diagonal").agg(F.count("*").alias("votes"), F.min("at").alias("start"), F.max("at").alias("end"), F.first("t_grams").alias("t_grams"), F.first("t_least").alias("t_least"), F.max("decisive").alias("decisive"), F.collect_set("t_at").alias("covered"))
     order = Window.partitionBy("key", "template").orderBy("diagonal")
     new = (F.col("diagonal") - F.lag("diagonal").over(order) > DRIFT).cast("int")
     groups = votes.withColumn("fresh", F.coalesce(new, F.lit(1))).withColumn("group", F.sum("fresh").over(order))
     # a group has few diagonals, each with at most as many covered places as the template has
-    merged = groups.groupBy("key", "template", "group").agg(F.min("start").alias("start"), (F.max("end") + GRAM).alias("end"), F.first("t_grams").alias("t_grams"), F.size(F.array_distinct(F.flatten(F.collect_set("covered")))).alias("n"))
+    merged = groups.groupBy("key", "template", "group").agg(F.min("start").alias("start"), (F.max("end") + GRAM).alias("end"), F.first("t_grams").alias("t_grams"), F.first("t_least").alias("t_least"), F.max("decisive").alias("decisive"), F.size(F.array_distinct(F.flatten(F.collect_set("covered")))).alias("n"))
     cover = F.col("n") / F.col("t_grams")
-    fits = (cover >= LEAST_COVER) & ((F.col("end") - F.col("start")) <= SPREAD * (F.col("t_grams") + GRAM - 1))
+    fits = F.col("decisive") & (F.col("n") >= F.col("t_least")) & ((F.col("end") - F.col("start")) <= SPREAD * (F.col("t_grams") + GRAM - 1))
     return merged.where(fits).select("key", "template", "start", "end", cover.alias("cover"))
 
 
