@@ -3,7 +3,8 @@
 A text is the set of its byte n-grams for n = 1, 2, 3 (A-Z lowered); the blended-spectrum presence kernel of two texts is
 the number of n-grams they share, over the geometric mean of their numbers. Landmark texts give a Nyström map, and kernel
 ridge regression fits one output for each language against the rest. As all of it is linear in the presence vector up to
-its norm, a batch of texts is scored by two matrix products.
+its norm, a batch of texts is scored by two matrix products. The vector has a place for every n-gram of a landmark, as others
+share nothing with one; the norm counts all n-grams of the text.
 
 The model is fitted on at most SAMPLE texts of each language (the documented bound), taken by a hash of the id among the
 rows whose crc32(doc_id as text) mod 5 is not 0 and that have a language; every text is scored whole.
@@ -25,7 +26,6 @@ from . import common as C
 
 SAMPLE = 240
 LANDMARKS = 48
-VOCABULARY = 12_000
 RIDGE = 0.02
 SHARPNESS = 6.0
 UNKNOWN = "und"
@@ -54,17 +54,23 @@ class Presence:
         self.tables = []
         for n in range(3):
             own = np.flatnonzero(grams >> 24 == n)
-            table = np.full(1 << 8 * (n + 1), self.size, np.int16)  # the last column holds what isn't in the vocabulary
+            table = np.full(1 << 8 * (n + 1), self.size, np.int32)  # the last column is for what isn't in the vocabulary
             table[grams[own] & 0xFFFFFF] = own
             self.tables.append(table)
 
-    def matrix(self, texts: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros((len(texts), self.size + 1), np.float32)
-        for row, raw in zip(out, texts, strict=True):
+    def matrix(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Presence vectors, and the root of the number of all n-grams that each text has."""
+        out, others = np.zeros((len(texts), self.size + 1), np.float32), np.zeros(len(texts))
+        for k, raw in enumerate(texts):
+            row, strange = out[k], [np.zeros(0, np.int32)]
             for at in range(0, len(raw), 1 << 20):  # long texts in pieces that overlap by two bytes
-                for table, codes in zip(self.tables, _codes(raw[at : at + (1 << 20) + 2])):
-                    row[table[codes]] = 1
-        return out[:, : self.size]
+                for n, (table, codes) in enumerate(zip(self.tables, _codes(raw[at : at + (1 << 20) + 2]))):
+                    found = table[codes]
+                    row[found] = 1
+                    if (left := codes[found == self.size]).size:
+                        strange.append(np.unique(left) | (n << 24))
+            others[k] = len(np.unique(np.concatenate(strange)))
+        return out[:, : self.size], np.sqrt(np.maximum(out[:, : self.size].sum(1) + others, 1)).astype(np.float32)
 
 
 def fit(texts: list[str], langs: list[str]) -> dict | None:
@@ -75,11 +81,8 @@ def fit(texts: list[str], langs: list[str]) -> dict | None:
         return None
     own = {n: [i for i, x in enumerate(langs) if x == n] for n in names}
     marks = [i for n in names for i in own[n][:LANDMARKS]]
-    grams, seen = np.unique(np.concatenate([np.unique(np.concatenate([c | (n << 24) for n, c in enumerate(_codes(raws[i]))])) for i in marks]), return_counts=True)
-    if len(grams) > VOCABULARY:
-        grams = np.sort(grams[np.argsort(-seen, kind="stable")[:VOCABULARY]])
-    p = Presence(grams).matrix(raws)
-    norm = np.sqrt(np.maximum(p.sum(1), 1))
+    grams = np.unique(np.concatenate([c | (n << 24) for i in marks for n, c in enumerate(_codes(raws[i]))]))
+    p, norm = Presence(grams).matrix(raws)
     land = p[marks] / norm[marks, None]
     k = (p / norm[:, None]) @ land.T
     value, vector = np.linalg.eigh(k[marks].astype(np.float64))
@@ -95,8 +98,8 @@ def fit(texts: list[str], langs: list[str]) -> dict | None:
 
 def score(model: dict, presence: Presence, raws: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Best language and its share among the outputs."""
-    p = presence.matrix(raws)
-    out = (p @ model["land"].T / np.sqrt(np.maximum(p.sum(1), 1))[:, None]) @ model["coef"] + model["bias"]
+    p, norm = presence.matrix(raws)
+    out = (p @ model["land"].T / norm[:, None]) @ model["coef"] + model["bias"]
     e = np.exp(SHARPNESS * (out - out.max(1, keepdims=True)))
     return out.argmax(1), e.max(1) / e.sum(1)
 
@@ -133,9 +136,11 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         # the hash thins each language to about its share of the sample; what comes above the bound is cut
         most = F.create_map(*(F.lit(v) for k, n in counts.items() for v in (k, min(1.0, 1.3 * SAMPLE / n))))
         drawn = learn.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(1_000_000)) < F.try_element_at(most, F.col(lang_col)) * 1_000_000)
-        rows = drawn.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).limit(2 * SAMPLE * len(counts)).collect()
+        # the order makes the bounded sample the same in every run
+        chosen = drawn.select(F.xxhash64(F.col(id_col), F.lit(11)).alias("h"), F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
+        rows = chosen.orderBy("h", "i", F.xxhash64("t"), "l").limit(2 * SAMPLE * len(counts)).collect()
         kept: dict[str, list] = {}
-        for r in sorted(rows, key=lambda r: (r["l"], r["i"])):
+        for r in sorted(rows, key=lambda r: (r["l"], r["i"], r["t"])):
             if len(own := kept.setdefault(r["l"], [])) < SAMPLE:
                 own.append(r["t"])
         model = fit([t for own in kept.values() for t in own], [k for k, own in kept.items() for _ in own])
