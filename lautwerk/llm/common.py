@@ -38,16 +38,6 @@ def words_of(text: Column) -> Column:
     return F.when(core == "", F.array().cast("array<string>")).otherwise(F.split(core, SPACE_PATTERN))
 
 
-U64 = np.uint64
-_GOLD = U64(0x9E3779B97F4A7C15)
-
-
-def ascii_lower(text: Column) -> Column:
-    """A-Z to a-z, everything else as it is. Only the two letters whose Unicode lower case is ASCII need care."""
-    plain = F.lower(text)
-    return F.when(text.rlike("[^\\x00-\\x7F]"), F.translate(text, UPPER, LOWER)).otherwise(plain)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalizer that spreads every input bit over all 64."""
     x = x ^ (x >> U64(30))

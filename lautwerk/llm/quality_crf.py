@@ -9,7 +9,8 @@ by a hash of the id among rows whose crc32(doc_id as text) mod 5 is not 0; a lin
 is scored whole.
 
 Defined cases: null or empty texts count as one empty line and get a score like any other; with nothing to learn from,
-or one label only, every score is 0.5; ids are compared as values, and of an id with several labels any is taken; a null
+or one label only, every score is 0.5; ids are compared as values, of an id with several labels the larger is taken, and of one
+with several texts the first in order; a null
 id is not held out and not learned from; other columns are ignored.
 """
 
@@ -56,8 +57,6 @@ def line_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(off) - 1
     breaks = np.flatnonzero(_NL[data]) + 1
     starts = np.sort(np.concatenate([off[:-1], breaks]))  # a text's own start, then one after each line feed
-    cut = np.searchsorted(breaks, off[:-1], side="right") + np.arange(n)
-    cut = np.append(cut, len(starts))
     # a line feed that ends one text has its break at the start of the next one; it belongs to the first
     ends_in = np.searchsorted(off, breaks - 1, side="right") - 1
     per_text = np.bincount(ends_in, minlength=n) + 1
@@ -135,7 +134,7 @@ def _share(p: np.ndarray, size: np.ndarray, cut: np.ndarray) -> np.ndarray:
 
 
 def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope by logistic regression with the labels balanced; shift so that the best cut of x gets the score CUTOFF."""
+    """Slope by logistic regression with the labels balanced and a weak pull to 1; shift so that the best cut of x gets the score CUTOFF."""
     order = np.argsort(x, kind="stable")
     bad = np.cumsum(y[order] == 0) / max(1, (y == 0).sum())
     good = np.cumsum(y[order] == 1) / max(1, (y == 1).sum())
@@ -143,7 +142,16 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     best = np.flatnonzero(gain >= gain.max() - 1e-9)
     k = int(best[len(best) // 2])
     cut = (x[order[k]] + x[order[min(k + 1, len(x) - 1)]]) / 2
-    slope = 1.0
+    weight = np.where(y == 1, 1 / max(1, (y == 1).sum()), 1 / max(1, (y == 0).sum()))
+    slope, shift = 1.0, 0.0
+    for _ in range(30):  # Newton's steps
+        p = 1 / (1 + np.exp(-np.clip(slope * x + shift, -30, 30)))
+        miss, v = weight * (y - p), weight * p * (1 - p)
+        g = np.array([(miss * x).sum() - 0.1 * (slope - 1), miss.sum() - 1e-3 * shift])
+        h = np.array([[(v * x * x).sum() + 0.1, (v * x).sum()], [(v * x).sum(), v.sum() + 1e-3]])
+        step = np.clip(np.linalg.solve(h, g), -1, 1)
+        slope, shift = slope + step[0], shift + step[1]
+    slope = float(np.clip(slope, 0.2, 5.0))
     return slope, float(np.log(CUTOFF / (1 - CUTOFF)) - slope * cut)
 
 
@@ -165,17 +173,19 @@ def _scorer(sent):
 
 def training_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, most: int, longest: int, folds: int = 5) -> tuple[list[str], list[int]]:
     """At most so many texts of each label, by a hash of the id, from the folds that are not held out."""
-    known = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).where("i is not null and y is not null")
-    known = known.where(F.crc32(F.col("i").cast("string")) % folds != 0)
-    counts = {r["y"]: r["n"] for r in known.where("y in (0, 1)").groupBy("y").agg(F.count("*").alias("n")).collect()}
+    known = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).where("i is not null and y in (0, 1)")
+    known = known.where(F.crc32(F.col("i").cast("string")) % folds != 0).groupBy("i").agg(F.max("y").alias("y"))
+    counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return [], []
     odds = F.lit(0.0)
     for y, n in counts.items():
         odds = F.when(F.col("y") == y, F.lit(1.3 * most / n)).otherwise(odds)
-    drawn = known.where(F.pmod(F.xxhash64("i", F.lit(23)), F.lit(1_000_000)) < odds * 1_000_000).limit(3 * most * len(counts))
+    drawn = known.withColumn("h", F.pmod(F.xxhash64("i", F.lit(23)), F.lit(1_000_000))).where(F.col("h") < odds * 1_000_000)
+    # the order makes the bounded samples the same in every run
+    drawn = drawn.orderBy("h", "i").limit(3 * most * len(counts))
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where(F.col("t").isNotNull() & (F.length("t") <= longest))
-    rows = texts.join(F.broadcast(drawn), "i").select("i", "y", "t").limit(3 * most * len(counts)).collect()
+    rows = texts.join(F.broadcast(drawn), "i").groupBy("i", "y").agg(F.min("t").alias("t")).orderBy("i").limit(3 * most * len(counts)).collect()
     own: dict[int, dict[int, str]] = {}
     for r in sorted(rows, key=lambda r: (r["i"], r["y"], r["t"])):
         kept = own.setdefault(r["y"], {})

@@ -1,7 +1,6 @@
 """Toxicity: a conditional random field that tags toxic spans.
 
-Words carry a bias, their own hash, their first four, five and six bytes, as hashed features. Only texts
-are labelled, so the words of toxic training texts that share a feature found far more often in toxic than in other texts
+Words carry a bias, two hashes of their own, their first four, five and six bytes, as hashed features. Only texts are labelled, so the words of toxic training texts that share a feature found far more often in toxic than in other texts
 are taken as toxic. A linear-chain CRF is fitted to these tags; forward-backward marginals of a text give its offending
 words (marginal of at least CUTOFF) and, as their maximum, its score.
 
@@ -9,7 +8,8 @@ It is fitted on at most SAMPLE labelled texts of each label (the documented boun
 by a hash of the id among rows whose crc32(doc_id as text) mod 5 is not 0. Every text is scored whole.
 
 Defined cases: null or empty texts, and every text when there is nothing to learn from, have score 0 and no offsets; a
-null id is not held out and not learned from; of an id with several labels any is taken; other columns are ignored.
+null id is not held out and not learned from; of an id with several labels the larger is taken, and of one with several
+texts the first in order; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashed features of every word (a row each), the words' start bytes, and for each text its range of words."""
     data, off = C.buffers(texts)
     h, at, cut = C.word_hashes(texts, C.NOT_ALNUM)
-    rows = [h]
+    rows = [h, C.mix(h ^ C._GOLD)]  # two of the word itself, so that one of a byte or two isn't taken for a collision
     if len(h):
         end = np.append(at[1:], len(data))
         fold = C._LOWER
