@@ -18,6 +18,7 @@ other columns are ignored. Any bytes can be scored, as every byte is a piece.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -34,6 +35,8 @@ FOLDS, HELD = 7, 2
 #: What the vocabulary's own weights count, in pieces.
 PRIOR_PIECES = 1000.0
 CHUNK_WORDS = 2_000_000
+#: Longer words (bytes) go through the lattice alone, so many places at a time.
+LONG = 8192
 
 _INVERSE = C.U64(pow(int(C._GOLD), -1, 1 << 64))
 _inverses = np.cumprod(np.full(4096, _INVERSE, C.U64))
@@ -116,6 +119,9 @@ class Lattice:
         gain = np.zeros(self.size) if counts is not None else None
         order = np.argsort(size, kind="stable")
         order = order[size[order] > 0]
+        for k in order[size[order] > LONG].tolist():
+            out[k] = self._long(raw[off[k] : off[k + 1]], None if counts is None else float(counts[k]), gain)
+        order = order[size[order] <= LONG]
         lo = 0
         while lo < len(order):
             hi = lo
@@ -196,6 +202,79 @@ class Lattice:
                 gain += np.bincount(f[hit], weights=(np.exp(head[k - 1] + beta[:, k] - total) * weight)[hit], minlength=self.size)
 
 
+    def _edges(self, b: np.ndarray, lo: int, hi: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Of a long word: for each start in lo .. hi, by piece length, the piece that begins there (-1 for none). Bytes that are
+        pieces too have their byte's number in the last array."""
+        most = min(len(b), max([*self.inner, *self.first]))
+        part = b[lo : min(hi + most, len(b))]
+        sums = np.zeros(len(part) + 1, C.U64)
+        np.cumsum(C._BYTE[part] * C.powers(len(part))[: len(part)], out=sums[1:])
+        inv = np.concatenate([np.ones(1, C.U64), _inverse_powers(len(part))[: len(part) - 1]])
+        out = []
+        for k in range(1, most + 1):
+            n = max(0, min(hi - lo, len(part) - k + 1))
+            found = np.full(hi - lo, -1)
+            h = (sums[k : k + n] - sums[:n]) * inv[:n]
+            found[:n] = self._find(self.inner, k, h)
+            out.append(found)
+        return out, self.byte_id[part[: hi - lo]]
+
+    def _long(self, b: np.ndarray, weight: float | None, gain: np.ndarray | None) -> float:
+        """The same for one word of any length: memory for two numbers a byte, a step for each piece that stands in it."""
+        n, logp, space = len(b), self.logp, self.logp[self.space]
+        most = min(n, max([*self.inner, *self.first]))
+        head = []  # pieces that open the word
+        at = C._BYTE[b[:most]] * C.powers(most)[:most]
+        for k, h in enumerate(np.cumsum(at, dtype=C.U64), 1):
+            if (f := int(self._find(self.first, k, np.array([h]))[0])) >= 0:
+                head.append((k, f))
+        alpha = np.full(n + 1, -np.inf)
+        alpha[0] = space
+        ahead: dict[int, list[float]] = {}
+        for k, f in head:
+            ahead.setdefault(k, []).append(float(logp[f]))
+        for lo in range(0, n, LONG):
+            hi = min(lo + LONG, n)
+            found, byte = self._edges(b, lo, hi)
+            steps = self._steps(found, byte)
+            for j in range(lo, hi):
+                if j:
+                    alpha[j] = _add_few(ahead.pop(j))
+                for k, _, w in steps[j - lo]:
+                    ahead.setdefault(j + k, []).append(alpha[j] + w)
+        alpha[n] = total = _add_few(ahead.pop(n))
+        if weight is None:
+            return total
+        beta = np.full(n + 1, -np.inf)
+        beta[n] = 0.0
+        for hi in range(n, 0, -LONG):
+            lo = max(0, hi - LONG)
+            found, byte = self._edges(b, lo, hi)
+            steps = self._steps(found, byte)
+            for j in range(hi - 1, lo - 1, -1):
+                beta[j] = _add_few([w + beta[j + k] for k, _, w in steps[j - lo]])
+                for k, piece, w in steps[j - lo]:
+                    gain[piece] += weight * math.exp(min(0.0, alpha[j] + w + beta[j + k] - total))
+        gain[self.space] += weight * math.exp(min(0.0, space + beta[0] - total))
+        for k, f in head:
+            gain[f] += weight * math.exp(min(0.0, logp[f] + beta[k] - total))
+        return total
+
+    def _steps(self, found: list[np.ndarray], byte: np.ndarray) -> list[list[tuple[int, int, float]]]:
+        """For each start: (length, piece, weight) of every piece that begins there, the byte itself first."""
+        out = [[(1, p, w)] for p, w in zip(byte.tolist(), self.logp[byte].tolist(), strict=True)]
+        for k, ids in enumerate(found, 1):
+            at = np.flatnonzero(ids >= 0)
+            for j, p, w in zip(at.tolist(), ids[at].tolist(), self.logp[ids[at]].tolist(), strict=True):
+                out[j].append((k, p, w))
+        return out
+
+
+def _add_few(ways: list[float]) -> float:
+    top = max(ways)
+    return top + math.log(sum(math.exp(w - top) for w in ways))
+
+
 def _add(ways: list[np.ndarray]) -> np.ndarray:
     """Log of the sum of exponentials."""
     if not ways:
