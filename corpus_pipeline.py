@@ -2,6 +2,8 @@
 
 Each stage takes what its predecessor kept, as written to Parquet and read again. Stages decide by doc_id: of rows that
 share an id, all go or all stay, except that the near-duplicate stage drops repeated rows. Null is an id like any other.
+Empty tables stay empty; columns beside doc_id, text, lang and source pass through, whatever they are called. The last
+stage says what the mixed corpus takes of each document; lautwerk.llm.mixing.mixed_blocks writes its words out.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ LEAST_LANGUAGE_SCORE = 0.4
 def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is among ids; null counts as a value."""
     ids = ids.select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +43,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     if twice.isEmpty():
         return kept
     kept = materialize(kept)
-    on = kept["doc_id"].eqNullSafe(F.col("twice_id"))
+    on = kept["doc_id"].eqNullSafe(twice["twice_id"])
     return kept.join(twice, on, "left_anti").unionByName(kept.join(twice, on, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
