@@ -31,29 +31,26 @@ WEIGHTS = (3, 1, 2)
 SHARE_PERCENT = 150
 MOST_TIMES = 2
 SEED = 17
-#: Of a permutation: turns, each of a rotation and an even number of rounds.
-TURNS, ROUNDS = 2, 4
+#: Of a permutation.
+ROUNDS = 4
 
 
 def permuted(df: DataFrame, i: Column, n: Column, key: Column, out: str) -> DataFrame:
     """df with out: where a keyed permutation of 0 .. n - 1 takes i, for n below 2 ** 62.
 
-    A turn rotates by a hash of the key, then mixes the first a * b numbers (a about the root of n), read as two digits:
-    each round adds a hash of one digit to the other. What is above a * b stays until the next rotation.
+    The first a * b numbers (a about the root of n) are read as two digits and mixed: each round adds a hash of one digit to the
+    other. The few above a * b stay, so all are rotated by a hash of the key before and after.
     """
-    df = df.withColumns({"__x": i, "__n": n, "__key": key})
-    df = df.withColumn("__a", F.greatest(F.floor(F.sqrt("__n")), F.lit(1)).cast("long")).withColumn("__b", F.expr("__n div __a"))
-    for turn in range(TURNS):
-        df = df.withColumn("__x", F.pmod(F.col("__x") + F.pmod(F.xxhash64("__key", F.lit(turn)), F.col("__n")), F.col("__n")))
-        digits = F.struct(F.expr("__x div __b").alias("u"), (F.col("__x") % F.col("__b")).alias("v"), F.col("__a").alias("m"), F.col("__b").alias("n"))
-
-        def one(turn: int):
-            """Of a turn: v + hash(u) takes the place of u and u that of v, so the digits alternate."""
-            return lambda s, k: F.struct(F.pmod(s["v"] + F.pmod(F.xxhash64("__key", F.lit(turn), k, s["u"]), s["n"]), s["n"]).alias("u"), s["u"].alias("v"), s["n"].alias("m"), s["m"].alias("n"))
-
-        df = df.withColumn("__d", F.aggregate(F.array(*map(F.lit, range(ROUNDS))), digits, one(turn)))
-        df = df.withColumn("__x", F.when(F.col("__x") < F.col("__a") * F.col("__b"), F.col("__d.u") * F.col("__b") + F.col("__d.v")).otherwise(F.col("__x")))
-    return df.withColumn(out, F.col("__x")).drop("__x", "__n", "__key", "__a", "__b", "__d")
+    df = df.withColumns({"__n": n, "__key": key})
+    turn = lambda k: F.pmod(F.xxhash64("__key", F.lit(k)), F.col("__n"))
+    df = df.withColumns({"__x": F.pmod(i + turn(-1), F.col("__n")), "__a": F.greatest(F.floor(F.sqrt("__n")), F.lit(1)).cast("long")})
+    df = df.withColumn("__b", F.expr("__n div __a")).withColumns({"__u": F.expr("__x div __b"), "__v": F.expr("__x % __b")})
+    for k in range(ROUNDS):
+        own, other, base = ("__u", "__v", "__a") if k % 2 else ("__v", "__u", "__b")
+        df = df.withColumn(own, F.expr(f"pmod({own} + (xxhash64(__key, {k}, {other}) & {(1 << 62) - 1}), {base})"))
+    mixed = F.when(F.col("__x") < F.col("__a") * F.col("__b"), F.col("__u") * F.col("__b") + F.col("__v")).otherwise(F.col("__x"))
+    # never null, which keeps the optimizer from testing that below the chain of projections, with all of it written out at once
+    return df.withColumn(out, F.coalesce(F.pmod(mixed + turn(-2), F.col("__n")), F.lit(0))).drop("__x", "__n", "__key", "__a", "__b", "__u", "__v")
 
 
 def _ranged(df: DataFrame, *order: Column) -> DataFrame:
@@ -103,7 +100,9 @@ def filled_slots(sources: DataFrame) -> DataFrame:
     # runs of SHARD * SHARD slots, then of SHARD, dealt out anew, then slots: no array is longer than SHARD or a source's runs
     runs = sources.where("slots > 0").select("source", "k", "blocks", "slots", "first_slot", F.explode(F.sequence(F.lit(0), F.expr(f"(slots - 1) div {SHARD * SHARD}"))).alias("run"))
     last = F.least(F.expr(f"(slots - 1) div {SHARD}"), (F.col("run") + 1) * SHARD - 1)
-    runs = runs.withColumn("run", F.explode(F.sequence(F.col("run") * SHARD, last))).repartition("k", "run")
+    # by number: these rows are few bytes for the work that they stand for, so sizes would put them into one task
+    tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = runs.withColumn("run", F.explode(F.sequence(F.col("run") * SHARD, last))).repartition(tasks, "k", "run")
     at = F.sequence(F.col("run") * SHARD, F.least(F.col("slots"), (F.col("run") + 1) * SHARD) - 1)
     made = runs.select("source", "k", "blocks", (F.col("first_slot")).alias("first_slot"), F.explode(at).alias("ordinal"))
     made = permuted(made, F.col("first_slot") + F.col("ordinal"), F.lit(max(total, 1)).cast("long"), F.lit(SEED), "slot")
@@ -137,7 +136,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     mix = Mix(docs, id_col, text_col, source_col)
     taken = filled_slots(mix.sources).groupBy("k", "block").agg(F.count("*").alias("times"), F.min("shard").alias("shard"))
     overlap = F.least((F.col("block") + 1) * BLOCK, F.col("start") + F.col("size")) - F.greatest(F.col("block") * BLOCK, F.col("start"))
-    per_row = mix.pieces().join(taken, ["k", "block"]).select("row", (overlap * F.col("times")).alias("words"), "shard").groupBy("row").agg(F.sum("words").alias("taken"), F.min("shard").alias("first_shard"))
+    # the slots are made from a few rows, so their number isn't in the estimates that a join is chosen by
+    per_row = mix.pieces().join(taken.hint("merge"), ["k", "block"]).select("row", (overlap * F.col("times")).alias("words"), "shard").groupBy("row").agg(F.sum("words").alias("taken"), F.min("shard").alias("first_shard"))
     out = mix.placed.join(per_row, "row", "left")
     return out.select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_shard")
 
@@ -156,7 +156,7 @@ def mixed_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # a block has at most BLOCK words, so at most as many parts
     blocks = parts.groupBy("k", "block").agg(F.array_sort(F.collect_list("part")).alias("parts"))
     text = F.array_join(F.flatten(F.transform("parts", lambda p: p["words"])), " ")
-    return filled_slots(mix.sources).join(blocks.select("k", "block", text.alias("text")), ["k", "block"]).select("shard", "slot", "source", "block", "text")
+    return filled_slots(mix.sources).join(blocks.select("k", "block", text.alias("text")).hint("merge"), ["k", "block"]).select("shard", "slot", "source", "block", "text")
 
 
 def shards(docs: DataFrame) -> DataFrame:
