@@ -56,6 +56,14 @@ def _seeds(df: DataFrame, words: str, masks: list[str]) -> DataFrame:
     return at.withColumn("seed", F.explode(F.array(*(F.when(F.col("at") + len(m) <= n, _seed(words, F.col("at"), m)) for m in masks))))
 
 
+def _promising(at: Column, item_at: Column) -> Column:
+    """Whether two of the five words before a seed are equal, or two of the five after it. A stretch of SPAN words or more that is
+    accepted and holds the seed has four more on one side at least, and two of the first five there are equal: it may differ in
+    two places while it has at most eleven words, then in three, and then five stand on one side."""
+    same = lambda k: F.coalesce(F.get("w", at + k) == F.get("item", item_at + k), F.lit(False)).cast("int")
+    return (sum((same(k) for k in range(4, 8)), same(3)) >= 2) | (sum((same(-k) for k in range(2, 6)), same(-1)) >= 2)
+
+
 def _diagonal(hits: DataFrame, *keep: str) -> DataFrame:
     """hits (w, item, start, and the columns to keep) with the aligned parts of text and item."""
     start = F.col("start")
@@ -102,7 +110,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         # a hit whose words stand after an equal pair is in the run of an earlier one
         at, item_at = F.col("at"), F.col("item_at")
         later = (at > 0) & (item_at > 0) & (F.get("w", at - 1) == F.get("item", item_at - 1))
-        hits = hits.where(~later).select("doc_id", "item_id", "w", "item", (at - item_at).alias("start"), F.least(at, item_at).alias("near_at"))
+        hits = hits.where(~later).where((F.size("item") < SPAN) | _promising(at, item_at)).select("doc_id", "item_id", "w", "item", (at - item_at).alias("start"), F.least(at, item_at).alias("near_at"))
         hits = _accepted(_diagonal(hits, "doc_id", "item_id", "near_at"), "doc_id", "item_id", near="near_at")
     else:
         texts = texts.withColumn("hash", F.xxhash64("w"))
