@@ -8,7 +8,9 @@ from __future__ import annotations
 import re
 import unicodedata
 from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import cache
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column
@@ -17,22 +19,39 @@ from pyspark.sql import types as T
 
 from .. import inventory as I
 
-#: Bounds inside lookbehinds, which need them: diacritics of a unit, further tied parts.
-MARKS, PARTS, STRESS = 6, 3, 2
+class Bounds(NamedTuple):
+    """Inside lookbehinds, which need bounds: diacritics of a unit, further tied parts, stress marks. A unit with more is read as
+    several; findings reports such."""
+
+    marks: int = 6
+    parts: int = 3
+    stress: int = 2
+
+
+_BOUNDS: ContextVar[Bounds] = ContextVar("bounds", default=Bounds())
+
+
+def bounds() -> Bounds:
+    return _BOUNDS.get()
 
 
 @contextmanager
 def plain(on: bool = True):
-    """While expressions are built: for forms without diacritics, prosody and unregistered ties, patterns leave these out. They
-    are then several times as fast, as a lookbehind tries every length that its bounds allow."""
-    global MARKS, PARTS, STRESS
-    before = MARKS, PARTS, STRESS
-    if on:
-        MARKS, PARTS, STRESS = 0, 0, 0
+    """While expressions are built (in this thread): for forms without diacritics, prosody and unregistered ties, patterns leave
+    these out. They are then several times as fast, as a lookbehind tries every length that its bounds allow."""
+    token = _BOUNDS.set(Bounds(0, 0, 0) if on else bounds())
     try:
         yield
     finally:
-        MARKS, PARTS, STRESS = before
+        _BOUNDS.reset(token)
+
+
+def free(df, name: str) -> str:
+    """A name that no column of df has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 @cache
@@ -57,8 +76,8 @@ def base_class() -> str:
 
 def unit_pattern() -> str:
     """One unit: stress, base, marks, and any tied parts with theirs."""
-    b = base_class()
-    return f"{STRESS_CLASS}{{0,{STRESS}}}{b}{AFTER_CLASS}{{0,{MARKS}}}(?:[{I.TIE}{I.SEQUENCE}]{b}{AFTER_CLASS}{{0,{MARKS}}}){{0,{PARTS}}}"
+    b, n = base_class(), bounds()
+    return f"{STRESS_CLASS}{{0,{n.stress}}}{b}{AFTER_CLASS}{{0,{n.marks}}}(?:[{I.TIE}{I.SEQUENCE}]{b}{AFTER_CLASS}{{0,{n.marks}}}){{0,{n.parts}}}"
 
 
 def encode(form: Column) -> Column:
@@ -191,6 +210,7 @@ def findings(form: Column) -> Column:
         "duplicate_diacritic": e.rlike(f"({DIACRITIC_CLASS})\\1"),
         "malformed_tie": e.rlike(f"(^|\\s)[{I.TIE}{I.SEQUENCE}]|[{I.TIE}{I.SEQUENCE}](?:$|\\s|{BOUNDARY_CLASS}|[{I.TIE}{I.SEQUENCE}])"),
         "no_segments": ~e.rlike(base_class()),
+        "long_unit": e.rlike(f"{AFTER_CLASS}{{{bounds().marks + 1},}}|(?:{base_class()}{AFTER_CLASS}*[{I.TIE}{I.SEQUENCE}]){{{bounds().parts + 1},}}|{STRESS_CLASS}{{{bounds().stress + 1},}}"),
     }
     return F.filter(F.array(*(F.when(t, F.lit(k)) for k, t in tests.items())), lambda x: x.isNotNull())
 

@@ -33,8 +33,10 @@ def feature_usage(spark: SparkSession) -> DataFrame:
 
 
 def natural_class(units: list[str], with_defaults: bool = True) -> dict[str, str]:
-    """Features that all the units share."""
-    bundles = [(I.full() if with_defaults else I.stated()).get(u, {}) for u in units]
+    """Features that all the units share; a unit that can't be read is refused, as the rest would speak for it."""
+    bundles = [I.stated().get(u) if not with_defaults and u in I.stated() else I.bundle_of(u) for u in units]
+    if bad := [u for u, b in zip(units, bundles, strict=True) if not b]:
+        raise ValueError(f"can't read {' '.join(bad)}")
     return {f: v for f, v in sorted(bundles[0].items()) if all(b.get(f) == v for b in bundles)} if bundles else {}
 
 
@@ -44,16 +46,20 @@ def value_distances(spark: SparkSession) -> DataFrame:
 
 
 def hierarchy(symbols: list[str], order: list[str] | None = None, depth: int = 0) -> list[tuple[int, str, list[str]]]:
-    """(depth, label, members) of a tree that splits by the first feature that tells members apart."""
+    """(depth, label, members) of a tree that splits by the first feature of which the members have two values; members without
+    it are a branch of their own, but having it or not is no reason to split."""
     out = []
-    for k, f in enumerate(order or list(I.values())):
+    if len(symbols) < 2:
+        return out
+    rest = order if order is not None else list(I.values())
+    for f in rest:
         groups: dict[str, list[str]] = {}
         for s in symbols:
             groups.setdefault(I.full()[s].get(f, ""), []).append(s)
-        if len(groups) > 1:
+        if len(groups.keys() - {""}) > 1:
             for v in sorted(groups):
                 out.append((depth, f"{f}={v or 'none'}", groups[v]))
-                out += hierarchy(groups[v], (order or list(I.values()))[k + 1 :], depth + 1)
+                out += hierarchy(groups[v], [x for x in rest if x != f], depth + 1)
             break
     return out
 

@@ -44,8 +44,9 @@ def find(df: DataFrame, form_col: str, spec: str, plain: bool = False) -> DataFr
 
 def _find(df: DataFrame, form_col: str, spec: str) -> DataFrame:
     # an inner explode would have the sites found twice, once to see whether there are any
-    found = df.select("*", F.explode_outer(sites(F.col(form_col), spec)).alias("site")).where("site is not null")
-    return found.select(*df.columns, F.col("site.pos").alias("pos"), F.col("site.unit").alias("unit"))
+    site = X.free(df, "site")
+    found = df.select("*", F.explode_outer(sites(F.col(form_col), spec)).alias(site)).where(F.col(site).isNotNull())
+    return found.select(*df.columns, F.col(f"{site}.pos").alias("pos"), F.col(f"{site}.unit").alias("unit"))
 
 
 def phones_matching(terms: str) -> list[str]:

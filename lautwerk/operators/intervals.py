@@ -76,10 +76,12 @@ def rebase(start: Column, end: Column, edits: Column) -> Column:
     return F.when(a.isNotNull() & b.isNotNull(), F.struct(a.alias("start"), b.alias("end")))
 
 
-def timed_overlaps(df: DataFrame, key: str, start: str, duration: str) -> DataFrame:
-    """Rows that begin before their predecessor of the same key has ended; the window is within a key."""
-    w = Window.partitionBy(key).orderBy(start, duration)
-    return df.withColumn("before_end", F.lag(F.col(start) + F.col(duration)).over(w)).where(F.col("before_end") > F.col(start))
+def timed_overlaps(df: DataFrame, key: str, start: str, duration: str, tie: str | None = None) -> DataFrame:
+    """Rows that begin before some earlier row of the same key has ended; before_end is the latest end so far. Of rows that begin
+    together the shorter comes first, then the smaller tie. The window is within a key."""
+    order = [start, duration] + ([tie] if tie else [])
+    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumn("before_end", F.max(F.col(start) + F.col(duration)).over(w)).where(F.col("before_end") > F.col(start))
 
 
 def stress_class(form: Column) -> Column:

@@ -64,7 +64,7 @@ def _apply(e: Column, rule: P.Rule, values: dict[str, str], both: bool = False)
     # a target of one symbol may still ask for prosody, which is checked on the unit
     bases = "[" + "".join(_code(s) for s in out) + "]"
     check = _unit_check(P.bound(parse(p.target.value), values)) if p.target.kind == "bundle" else ""
-    marked = F.regexp_replace(e, f"{_lead(left)}(?<![{I.TIE}{I.SEQUENCE}]){check}(?={bases}{X.AFTER_CLASS}{{0,{X.MARKS}}}(?!{X.AFTER_CLASS}){right[3:-1] if right else ''})", P.MARK)
+    marked = F.regexp_replace(e, f"{_lead(left)}(?<![{I.TIE}{I.SEQUENCE}]){check}(?={bases}{X.AFTER_CLASS}{{0,{X.bounds().marks}}}(?!{X.AFTER_CLASS}){right[3:-1] if right else ''})", P.MARK)
     for s, o in out.items():  # the form is named once, so that a cascade nests its expressions without copies
         marked = F.replace(marked, F.lit(P.MARK + _code(s)), F.lit(put(_code(s), _code(o))))
     return marked
@@ -84,7 +84,7 @@ def _unit_check(q: Query) -> str:
 
 def _lead(left: str) -> str:
     """The lookbehind of a context, with the unit's own stress marks between."""
-    return f"(?<=(?:{left[4:-1]}){X.STRESS_CLASS}{{0,{X.STRESS}}})" if left else ""
+    return f"(?<=(?:{left[4:-1]}){X.STRESS_CLASS}{{0,{X.bounds().stress}}})" if left else ""
 
 
 def _quoted(s: str) -> str:
@@ -107,7 +107,7 @@ def derive(df: DataFrame, form_col: str, rules: str | list[P.Rule], plain: bool
     Each step is a projection of its own, so no prefix of the cascade is computed twice.
     """
     own = rules_of(rules)
-    names = [f"__step{k}" for k in range(len(own) + 1)]
+    names = [X.free(df, f"__step{k}") for k in range(len(own) + 1)]
     out = df.withColumn(names[0], X.encode(F.col(form_col)))
     with X.plain(plain):
         for k, r in enumerate(own):
@@ -123,15 +123,16 @@ def variants(df: DataFrame, form_col: str, rules: str | list[P.Rule], limit: int
 
     The values of a variable are tried one after another, as in apply_rule, so each opens its own sites."""
     states = F.when(F.col(form_col).isNotNull(), F.array(F.struct(F.lit(0).alias("cost"), X.encode(F.col(form_col)).alias("form"))))
-    out = df.withColumn("__states", F.coalesce(states, F.array().cast("array<struct<cost:int,form:string>>"))).withColumn("__complete", F.lit(True))
+    own, whole = X.free(df, "__states"), X.free(df, "__complete")
+    out = df.withColumn(own, F.coalesce(states, F.array().cast("array<struct<cost:int,form:string>>"))).withColumn(whole, F.lit(True))
     for r in rules_of(rules):
         with X.plain(plain):
             steps = [_choices(r, values, limit) for values in P.bindings(r.pattern)] if r.optional else [_always(r)]
             for step in steps:
-                out = out.withColumn("__states", _cheapest(F.flatten(F.transform("__states", step)), limit + 1))
-                out = out.withColumn("__complete", F.col("__complete") & (F.size("__states") <= limit)).withColumn("__states", F.slice("__states", 1, limit))
-    shown = F.transform("__states", lambda s: F.struct(X.decode(s["form"]).alias("form"), s["cost"].alias("cost")))
-    return out.select(*df.columns, F.when(F.col(form_col).isNotNull(), shown).alias("variants"), F.col("__complete").alias("complete"))
+                out = out.withColumn(own, _cheapest(F.flatten(F.transform(own, step)), limit + 1))
+                out = out.withColumn(whole, F.col(whole) & (F.size(own) <= limit)).withColumn(own, F.slice(own, 1, limit))
+    shown = F.transform(own, lambda s: F.struct(X.decode(s["form"]).alias("form"), s["cost"].alias("cost")))
+    return out.select(*df.columns, F.when(F.col(form_col).isNotNull(), shown).alias("variants"), F.col(whole).alias("complete"))
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:

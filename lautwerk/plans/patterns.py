@@ -16,7 +16,8 @@ from .terms import Query, QueryError, parse, symbols, unit_regex
 
 NULLS = "∅0Ø"
 ARROW = re.compile(r"\s*(~->|~=>|~→|~>|->|=>|→)\s*")
-MOST = 8
+#: Repeats of an open span before a target, beyond the least, as a lookbehind needs a bound; after it there is none.
+MOST = 64
 
 
 @dataclass(frozen=True)
@@ -24,7 +25,7 @@ class Item:
     kind: str  # literal, bundle, any, boundary, null
     value: str
     low: int = 1
-    high: int = 1
+    high: int | None = 1  # None: any number
 
 
 @dataclass(frozen=True)
@@ -65,7 +66,9 @@ def _items(side: str) -> tuple[Item, ...]:
             low, high = 0, 1
             if q:
                 at += q.end()
-                low, high = {"?": (0, 1), "*": (0, MOST), "+": (1, MOST)}.get(q[0]) or (int(q[1] or 0), int(q[3]) if q[3] else (MOST if q[2] else int(q[1])))
+                low, high = {"?": (0, 1), "*": (0, None), "+": (1, None)}.get(q[0]) or (int(q[1] or 0), int(q[3]) if q[3] else (None if q[2] else int(q[1])))
+                if high is not None and high < low:
+                    raise QueryError(f"a span of {low} to {high}, at {m.start()}")
             out[-1] = replace(out[-1], low=low, high=high)
             open_ = None
         elif t in "?+" or t[0] == "{":
@@ -170,8 +173,8 @@ def _literal_regex(unit: str, shadow: dict[str, str]) -> str:
     else:
         code = re.escape(code)
     marks = "".join(m for m in I.PROSODY if m not in I.STRESS_MARKS)
-    head = "" if unit[0] in I.STRESS_MARKS else f"{X.STRESS_CLASS}{{0,{X.STRESS}}}"
-    return f"{head}{code}[{marks}]{{0,{min(3, X.MARKS)}}}(?!{X.AFTER_CLASS}|[{I.TIE}{I.SEQUENCE}])"
+    head = "" if unit[0] in I.STRESS_MARKS else f"{X.STRESS_CLASS}{{0,{X.bounds().stress}}}"
+    return f"{head}{code}[{marks}]{{0,{min(3, X.bounds().marks)}}}(?!{X.AFTER_CLASS}|[{I.TIE}{I.SEQUENCE}])"
 
 
 def _boundary_regex(mark: str, side: str) -> str:
@@ -192,8 +195,11 @@ def item_regex(x: Item, side: str, values: dict[str, str], shadow: dict[str, str
         r = unit_regex(Query(), shadow)
     else:
         r = _boundary_regex(x.value, side)
-    # counted spans are written out, as lookbehinds bound no repeated group
-    return "(?:" + "|".join(r * k for k in range(x.high, x.low - 1, -1)) + ")"
+    if x.high is None and side == "right":
+        return f"(?:{r}){{{x.low},}}"
+    # written out as optional ones nested in each other, as a lookbehind bounds no repeated group
+    more = MOST if x.high is None else x.high - x.low
+    return f"(?:{r * x.low}{f'(?:{r}' * more}{')?' * more})"
 
 
 def sides(p: Pattern, values: dict[str, str], shadow: dict[str, str]) -> tuple[str, str]:

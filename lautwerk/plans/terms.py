@@ -103,7 +103,7 @@ def unit_regex(q: Query, shadow: dict[str, str] | None = None) -> str:
     chars = lambda ss: "[" + "".join(code[s] + shadow.get(s, "") for s in ss) + "]" if ss else "(?!)"
     any_base = chars(list(I.phones()))
     marks = X.AFTER_CLASS[1:-1]
-    tail = f"[{marks}]{{0,{X.MARKS}}}"
+    tail = f"[{marks}]{{0,{X.bounds().marks}}}"
     looks = []
     for f in sorted(q.features()):
         own = Query({f: q.required[f]} if f in q.required else {}, {f: q.included[f]} if f in q.included else {}, {f: q.excluded[f]} if f in q.excluded else {})
@@ -116,10 +116,10 @@ def unit_regex(q: Query, shadow: dict[str, str] | None = None) -> str:
         good = "".join(m for m, v in touch.items() if own.holds({f: v}))
         every = "".join(touch)
         rest = "".join(m for m in marks if m not in every)
-        quiet = f"[{rest}]{{0,{X.MARKS}}}(?![{marks}])" if every else ""
-        head = f"{X.STRESS_CLASS}{{0,{X.STRESS}}}"
+        quiet = f"[{rest}]{{0,{X.bounds().marks}}}(?![{marks}])" if every else ""
+        head = f"{X.STRESS_CLASS}{{0,{X.bounds().stress}}}"
         ways = [f"{head}{chars([s for s, b in I.full().items() if own.holds(b)])}{quiet}"]
         if good:
             ways.append(f"{head}{any_base}{tail}[{good}]{quiet}")
         looks.append(f"(?={'|'.join(ways)})")
-    return f"{''.join(looks)}{X.STRESS_CLASS}{{0,{X.STRESS}}}{any_base}{tail}"
+    return f"{''.join(looks)}{X.STRESS_CLASS}{{0,{X.bounds().stress}}}{any_base}{tail}"

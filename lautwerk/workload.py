@@ -202,7 +202,7 @@ _OPTIONAL = "[obstruent +voiced] ~> [-voiced] / _ # ; devoicing\nt ~> s / _ i ;
 
 
 @query(
-    _HEAD + "SELECT form, CAST((CASE WHEN l.obstruent AND l.devoiced <> l.unit THEN 2 ELSE 1 END) * (CASE WHEN contains(form, 'ti') THEN 2 ELSE 1 END) AS BIGINT) AS n_variants FROM words JOIN letters l ON l.unit = right(form, 1)"
+    _HEAD + "SELECT form, CAST((CASE WHEN l.obstruent AND l.devoiced <> l.unit THEN 2 ELSE 1 END) * power(2, (length(form) - length(replace(form, 'ti', ''))) / 2) AS BIGINT) AS n_variants FROM words JOIN letters l ON l.unit = right(form, 1)"
 )
 def variants_optional(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = rewrite.variants(words(spark, sf_dir), "form", _OPTIONAL, plain=True)
@@ -211,14 +211,17 @@ def variants_optional(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _HEAD
-    + f""", pairs AS (SELECT form, CASE WHEN length(form) % 2 = 0 THEN {_FINAL} ELSE form || 'x' END AS target FROM words JOIN letters l ON l.unit = right(form, 1))
-    SELECT CASE WHEN target = form THEN 'unchanged' WHEN length(target) = length(form) THEN 'derived' ELSE 'refused' END AS class, count(*) AS n FROM pairs GROUP BY 1"""
+    + """SELECT CASE WHEN contains(form, 'ti') THEN CASE WHEN length(form) % 3 = 0 THEN 'refused' ELSE 'derived' END WHEN length(form) % 2 = 0 THEN 'unchanged' ELSE 'refused' END AS class, count(*) AS n
+    FROM words GROUP BY 1"""
 )
 def experiment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How the words of even length, devoiced, and those of odd length with an x, are related to the words by the rule."""
+    """Words with ti against themselves with the first ti as si (and with an x, where their length is a multiple of 3), others against
+    themselves or with an x: how an optional rule relates them, which may rewrite each of its sites or not."""
     w = words(spark, sf_dir)
-    target = F.when(F.length("form") % 2 == 0, rewrite.rewrite(F.col("form"), _DEVOICE, plain=True)).otherwise(F.concat("form", F.lit("x")))
-    return rewrite.experiment(w.withColumn("target", target), "form", "target", "[obstruent +voiced] ~> [-voiced] / _ #").groupBy("class").agg(F.count("*").alias("n"))
+    first = F.regexp_replace("form", "^(.*?)ti", "$1si")
+    ti = F.col("form").contains("ti")
+    target = F.when(ti & (F.length("form") % 3 == 0), F.concat(first, F.lit("x"))).when(ti, first).when(F.length("form") % 2 == 0, F.col("form")).otherwise(F.concat("form", F.lit("x")))
+    return rewrite.experiment(w.withColumn("target", target), "form", "target", "t ~> s / _ i").groupBy("class").agg(F.count("*").alias("n"))
 
 
 # -- notation ---------------------------------------------------------------------------------------------------------
@@ -339,14 +342,14 @@ def syllabify_spanish(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words(spark, sf_dir).select("form", F.array_join(intervals.syllabify(F.col("form")), ".").alias("syllables"))
 
 
-@query("SELECT user_id, event_id FROM (SELECT user_id, event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events) WHERE epoch_us(ts) - epoch_us(prev) < 60000000")
+@query(
+    "SELECT user_id, event_id FROM (SELECT user_id, event_id, epoch_us(ts) AS s, max(epoch_us(ts) + (1 + event_id % 50) * 3600000000) OVER (PARTITION BY user_id ORDER BY ts, event_id % 50, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM events) WHERE e > s"
+)
 def timed_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events taken as intervals of a minute: those that begin before the last one of the same user ends."""
-    e = _table(spark, sf_dir, "events").select("user_id", "event_id", F.expr("unix_micros(cast(ts as timestamp))").alias("start"), F.lit(60_000_000).cast("long").alias("duration"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy("start", "event_id")
-    return e.withColumn("end", F.lag(F.col("start") + F.col("duration")).over(w)).where(F.col("end") > F.col("start")).select("user_id", "event_id")
+    """Events taken as intervals of 1 to 50 hours: those that begin before an earlier one of the same user ends."""
+    start, duration = F.expr("unix_micros(cast(ts as timestamp))"), (1 + F.col("event_id") % 50) * F.lit(3_600_000_000)
+    e = _table(spark, sf_dir, "events").select("user_id", "event_id", start.alias("start"), duration.alias("duration"))
+    return intervals.timed_overlaps(e, "user_id", "start", "duration", "event_id").select("user_id", "event_id")
 
 
 @query(
@@ -378,9 +381,10 @@ def obstruents_by_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT lang, manner, count(*) AS n FROM w JOIN letters USING (unit) GROUP BY lang, manner"
 )
 def manner_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Units by language first, then the join with the inventory on what is left: some thousand rows."""
-    text = F.array_join(F.regexp_extract_all("text", F.lit("([a-z]+)"), 1), "")
-    u = _table(spark, sf_dir, "documents").select("lang", F.explode_outer(F.split(X.from_wild(text, ascii_only=True), "")).alias("unit")).where("unit <> ''").groupBy("lang", "unit").agg(F.count("*").alias("n"))
+    """Words by language first, so a word is taken apart once for each language; then units, then the join with the inventory."""
+    w = _table(spark, sf_dir, "documents").select("lang", F.explode_outer(F.regexp_extract_all("text", F.lit("([a-z]+)"), 1)).alias("word")).where("word is not null")
+    w = w.groupBy("lang", "word").agg(F.count("*").alias("n"))
+    u = w.select("lang", "n", F.explode_outer(F.split(X.from_wild(F.col("word"), ascii_only=True), "")).alias("unit")).groupBy("lang", "unit").agg(F.sum("n").alias("n"))
     dim = analysis.feature_table(spark).where("feature = 'manner'").select(F.col("symbol").alias("unit"), F.col("value").alias("manner"))
     return u.join(F.broadcast(dim), "unit").groupBy("lang", "manner").agg(F.sum("n").alias("n"))
 
