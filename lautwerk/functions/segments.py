@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import inventory as I
+from . import algebra as A
 from . import text as X
 
 FORM_SCHEMA = "type string, v int, spelling string, units array<string>, intervals array<struct<tier:string,start:int,end:int>>"
@@ -55,25 +56,8 @@ def with_features(df: DataFrame, unit_col: str) -> DataFrame:
 
 def kind(unit: Column) -> Column:
     """Ten-way class of a unit by what its parts are: atomic, affricate, prenasalized, pre-stopped, lateral-release, click-accompaniment,
-    double-articulation, overlay, diphthong or chain."""
-    manner = lambda *ms: "[" + "".join(s for s, b in I.stated().items() if len(s) == 1 and b["manner"] in ms) + "]"
-    clicks = "[" + "".join(s for s, b in I.stated().items() if b.get("airstream") == "click") + "]"
-    lateral = "[" + "".join(s for s, b in I.stated().items() if len(s) == 1 and b.get("channel") == "lateral") + "]"
-    t, s, a = I.TIE, I.SEQUENCE, f"{X.AFTER_CLASS}*"
-    bare = X.bare(unit)
-    return (
-        F.when(~bare.rlike(f"[{t}{s}]"), "atomic")
-        .when(bare.rlike(f"[{t}{s}].*[{t}{s}]"), "chain")
-        .when(bare.rlike(clicks), "click-accompaniment")
-        .when(bare.rlike(f"^{manner('vowel')}{a}{s}{manner('vowel')}"), "diphthong")
-        .when(bare.rlike(f"^{manner('plosive')}{a}[{t}{s}]{manner('fricative')}"), "affricate")
-        .when(bare.rlike(f"^{manner('nasal')}{a}[{t}{s}]{manner('plosive', 'fricative')}"), "prenasalized")
-        .when(bare.rlike(f"^{manner('plosive')}{a}[{t}{s}]{manner('nasal')}"), "pre-stopped")
-        .when(bare.rlike(f"^{manner('plosive')}{a}[{t}{s}]{lateral}"), "lateral-release")
-        .when(bare.rlike(f"^{manner('plosive')}{a}{t}{manner('plosive')}|^{manner('nasal')}{a}{t}{manner('nasal')}"), "double-articulation")
-        .when(bare.rlike(t), "overlay")
-        .otherwise("chain")
-    )
+    double-articulation, overlay, diphthong or chain; null if it can't be read."""
+    return A.let(A.structure(unit), lambda s: A.let(A.bundles(s, False), lambda b: A.classify(b, s["junctures"])))
 
 
 def form_to_json(form: Column, intervals: Column | None = None) -> Column:

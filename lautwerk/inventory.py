@@ -53,8 +53,8 @@ s fricative alveolar - channel=grooved ; z fricative alveolar + channel=grooved
 ʂ fricative postalveolar - channel=grooved retroflex=+ ; ʐ fricative postalveolar + channel=grooved retroflex=+ ; ɕ fricative alveolo-palatal - channel=grooved ; ʑ fricative alveolo-palatal + channel=grooved
 ç fricative palatal - ; ʝ fricative palatal + ; x fricative velar - ; ɣ fricative velar + ; χ fricative uvular - ; ʁ fricative uvular + ; ħ fricative pharyngeal - ; ʕ fricative pharyngeal +
 ʜ fricative epiglottal - ; ʢ fricative epiglottal + ; h fricative glottal - ; ɦ fricative glottal + ; ɬ fricative alveolar - channel=lateral ; ɮ fricative alveolar + channel=lateral
-ɧ fricative postalveolar - velarized=+ ; ʍ fricative velar - labialized=+
-ʋ approximant labiodental + ; ɹ approximant alveolar + ; ɻ approximant postalveolar + retroflex=+ ; j approximant palatal + ; ɰ approximant velar + ; w approximant velar + labialized=+
+ɧ fricative postalveolar - velarized=+ ; ʍ fricative bilabial^velar -
+ʋ approximant labiodental + ; ɹ approximant alveolar + ; ɻ approximant postalveolar + retroflex=+ ; j approximant palatal + ; ɰ approximant velar + ; w approximant bilabial^velar +
 ɥ approximant palatal + labialized=+ ; l approximant alveolar + channel=lateral ; ɭ approximant postalveolar + channel=lateral retroflex=+ ; ʎ approximant palatal + channel=lateral
 ʟ approximant velar + channel=lateral ; ɫ approximant alveolar + channel=lateral velarized=+ ; ȴ approximant alveolo-palatal + channel=lateral
 ɓ plosive bilabial + airstream=implosive ; ɗ plosive alveolar + airstream=implosive ; ʄ plosive palatal + airstream=implosive ; ɠ plosive velar + airstream=implosive ; ʛ plosive uvular + airstream=implosive

@@ -6,8 +6,12 @@ dynamic program over Arrow batches: sequences of equal length are aligned togeth
 
 from __future__ import annotations
 
+import itertools
 import json
+import re
 from bisect import bisect_right
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import cache
 from hashlib import sha256
 
@@ -46,11 +50,23 @@ def _sided(xs: list[tuple[float, float]], ys: list[tuple[float, float]]) -> floa
 
 
 def tract_point(b: dict[str, str]) -> tuple[float | None, float]:
-    """(arc, offset): where along the tract, and how closed."""
+    """(arc, offset): where along the tract, and how closed; of several places the mean arc."""
+    arcs = tract_arcs(b)
+    offset = I.HEIGHTS.get(b.get("height", ""), 0.0) if b.get("manner") == "vowel" else I.MANNERS.get(b.get("manner", ""), 0.0)
+    return (sum(arcs) / len(arcs) if arcs else None), offset
+
+
+def tract_arcs(b: dict[str, str]) -> tuple[float, ...] | None:
+    """All arcs at which a bundle constricts, front to back; None for a rhotic vowel, which has no one place."""
+    if b.get("rhotacized") == "+":
+        return None
     if b.get("manner") == "vowel":
-        return I.BACKNESS.get(b.get("location", b.get("backness", ""))), I.HEIGHTS.get(b.get("height", ""), 0.0)
-    arcs = [I.PLACES[p] for p in b.get("place", "").split("^") if p in I.PLACES]
-    return (sum(arcs) / len(arcs) if arcs else None), I.MANNERS.get(b.get("manner", ""), 0.0)
+        at = I.BACKNESS.get(b.get("location", b.get("backness", "")))
+        return () if at is None else (at,)
+    arcs = {I.PLACES[p] for p in b.get("place", "").split("^") if p in I.PLACES}
+    if b.get("airstream") == "click" and arcs:
+        arcs.add(I.PLACES["velar"])  # a click closes there, too
+    return tuple(sorted(arcs))
 
 
 def terms(a: dict[str, str], b: dict[str, str]) -> dict[str, float]:
@@ -59,31 +75,149 @@ def terms(a: dict[str, str], b: dict[str, str]) -> dict[str, float]:
     out = {f: (I.value_distance(f, x[f], y[f]) if f in x and f in y else 1.0) for f in sorted({*x, *y})}
     p, q = _places(a), _places(b)
     if p or q:
-        out["place"] = max(_sided(p, q), _sided(q, p)) if p and q else 1.0
-    arts = [sorted(I.ARTICULATOR_ARCS[I.ARTICULATORS[s]] for s in z.get("place", "").split("^") if s in I.ARTICULATORS) for z in (a, b)]
+        out["place"] = _both(p, q)
+    arts = [[(I.ARTICULATOR_ARCS[I.ARTICULATORS[s]], 1.0) for s in z.get("place", "").split("^") if s in I.ARTICULATORS] for z in (a, b)]
     if any(arts):
-        out["articulator"] = max(_sided([(v, 1.0) for v in arts[0]], [(v, 1.0) for v in arts[1]]), _sided([(v, 1.0) for v in arts[1]], [(v, 1.0) for v in arts[0]])) if all(arts) else 1.0
-    (ax, ay), (bx, by) = tract_point(a), tract_point(b)
-    if ax is not None and bx is not None:
-        out["tract-x"] = abs(ax - bx)
-    out["tract-y"] = abs(ay - by)
+        out["articulator"] = _both(*arts)
+    ax, bx = tract_arcs(a), tract_arcs(b)
+    if ax is not None and bx is not None and (ax or bx):
+        out["tract-x"] = _both([(v, 1.0) for v in ax], [(v, 1.0) for v in bx])
+    out["tract-y"] = abs(tract_point(a)[1] - tract_point(b)[1])
     return out
 
 
+def _both(xs: list[tuple[float, float]], ys: list[tuple[float, float]]) -> float:
+    """The larger of the two directional best matches; 1 where one side has none."""
+    return max(_sided(xs, ys), _sided(ys, xs)) if xs and ys else 1.0
+
+
 def bundle_distance(a: dict[str, str], b: dict[str, str]) -> float:
     own = terms(a, b)
     return sum(sorted(own.values())) / len(own)
 
 
+@dataclass(frozen=True)
+class Parts:
+    """A unit as its constituents' bundles, the senses of the ties between them (fuse, seq), and its prosody."""
+
+    bundles: tuple[tuple[tuple[str, str], ...], ...]
+    ties: tuple[str, ...] = ()
+    prosody: tuple[tuple[str, str], ...] = ()
+
+    def cut(self, starts: list[int]) -> list[Parts]:
+        ends = [*starts[1:], len(self.bundles)]
+        return [Parts(self.bundles[s:e], self.ties[s : e - 1]) for s, e in zip(starts, ends, strict=True)]
+
+    @property
+    def blocks(self) -> list[int]:
+        """Starts of the runs of one manner: the phases."""
+        manner = [dict(b).get("manner") for b in self.bundles]
+        return [i for i in range(len(manner)) if not i or manner[i] != manner[i - 1]]
+
+    @property
+    def ordered(self) -> bool:
+        return "seq" in self.ties or len(self.blocks) > 1
+
+    @property
+    def children(self) -> list[Parts]:
+        """Runs between sequential ties, else phases, else the constituents; an atomic unit is its own only part."""
+        if len(self.bundles) == 1:
+            return [Parts(self.bundles)]
+        if "seq" in self.ties:
+            return self.cut([0, *(i + 1 for i, t in enumerate(self.ties) if t == "seq")])
+        return self.cut(self.blocks if len(self.blocks) > 1 else list(range(len(self.bundles))))
+
+
+@cache
+def parts_of(unit: str) -> Parts | None:
+    """None for a unit that can't be read."""
+    marks = {m: v for m, v in I.PROSODY.items()}
+    prosody: dict[str, str] = {}
+    for c in unit:
+        if c in marks and ">" not in marks[c][1]:  # a contour isn't a point on a scale
+            prosody[marks[c][0]] = marks[c][1]
+    body = "".join(c for c in unit if c not in marks)
+    found = [I.bundle_of(c) for c in re.split(f"[{I.TIE}{I.SEQUENCE}]", body)]
+    if any(b is None for b in found):
+        return None
+    ties = tuple("seq" if c == I.SEQUENCE else "fuse" for c in body if c in (I.TIE, I.SEQUENCE))
+    return Parts(tuple(tuple(sorted(b.items())) for b in found), ties, tuple(sorted(prosody.items())))
+
+
+@cache
+def arity_cost() -> float:
+    """What one more constituent of an unordered fusion costs: one term of the speech symbol that has the fewest, of those with a place."""
+    return 1 / min(len(terms(b, b)) for s, b in I.full().items() if len(s) == 1 and tract_arcs(b))
+
+
+def prosodic_terms(x: Parts, y: Parts) -> dict[str, float]:
+    """A term for each tier that either unit is marked on. An unmarked unit has the tier's neutral value; tone has none."""
+    a, b = dict(x.prosody), dict(y.prosody)
+    neutral = {"stress": "unstressed", "length": "normal"}
+    out = {}
+    for f in sorted({*a, *b}):
+        v, w = a.get(f, neutral.get(f)), b.get(f, neutral.get(f))
+        out[f] = I.value_distance(f, v, w) if v and w else 1.0
+    return out
+
+
+@cache
+def segment_distance(x: Parts, y: Parts) -> float:
+    """Distance of two units by their structure. Parts that stand in order are matched in order, each of the shorter side with one
+    of the other; what is left over costs its nearest part and a term of its own; ties are terms. Parts in no order are matched
+    with their nearest ones, and what one side has more of costs arity_cost each."""
+    rider = prosodic_terms(x, y)
+    silent = [any(dict(b).get("manner") == "silence" for b in z.bundles) for z in (x, y)]
+    if silent[0] != silent[1]:
+        return 1.0
+    if len(x.bundles) == len(y.bundles) == 1:
+        own = terms(dict(x.bundles[0]), dict(y.bundles[0]))
+        return (sum(sorted(own.values())) + sum(rider.values())) / (len(own) + len(rider))
+    px, py = x.children, y.children
+    near = [[segment_distance(a, b) for b in py] for a in px]
+    if x.ordered or y.ordered:
+        cost = _in_order(px, py, near, *("seq" if "seq" in z.ties else "fuse" for z in (x, y)))
+    else:
+        to_y, to_x = sum(min(r) for r in near) / len(px), sum(min(c) for c in zip(*near, strict=True)) / len(py)
+        cost = min(1.0, max(to_y, to_x) + abs(len(px) - len(py)) * arity_cost())
+    weight = max(len(px), len(py))
+    return (cost * weight + sum(rider.values())) / (weight + len(rider)) if rider else cost
+
+
+def _in_order(px: list[Parts], py: list[Parts], near: list[list[float]], tie_x: str, tie_y: str) -> float:
+    n, m = len(px), len(py)
+    short = min(n, m)
+    gaps = n + m - 2 * short
+    best = 1.0
+    for rows in itertools.combinations(range(n), short):
+        for cols in itertools.combinations(range(m), short):
+            pairs = list(zip(rows, cols, strict=True))
+            left = sum(min(near[i]) for i in range(n) if i not in rows) + sum(min(near[i][j] for i in range(n)) for j in range(m) if j not in cols)
+            joined = sum(b == (a[0] + 1, a[1] + 1) for a, b in itertools.pairwise(pairs))
+            loose = n - 1 + m - 1 - 2 * joined
+            ties = joined * (tie_x != tie_y) + loose
+            best = min(best, (sum(near[i][j] for i, j in pairs) + left + ties) / (short + 2 * gaps + joined + loose))
+    return best
+
+
 @cache
 def phone_distance(a: str, b: str) -> float:
-    """0 for a symbol and itself, 1 where either can't be read or one is silence."""
+    """0 for a unit and itself, 1 where either can't be read or one is silence."""
     if a == b:
         return 0.0
-    x, y = I.bundle_of(a), I.bundle_of(b)
-    if x is None or y is None or (I.SILENCE in (a, b)):
-        return 1.0
-    return bundle_distance(x, y)
+    x, y = parts_of(a), parts_of(b)
+    return 1.0 if x is None or y is None else segment_distance(x, y)
+
+
+def segment_terms(a: str, b: str) -> list[tuple[str, float]]:
+    """(term, cost) of the distance of two atomic units; of others (child against child, cost) of all pairs."""
+    x, y = parts_of(a), parts_of(b)
+    if x is None or y is None:
+        return [("unreadable", float(a != b))]
+    if len(x.bundles) == len(y.bundles) == 1:
+        own = terms(dict(x.bundles[0]), dict(y.bundles[0])) | {f"{f} (prosodic)": v for f, v in prosodic_terms(x, y).items()}
+        return sorted(own.items())
+    return [(f"part {i} against {j}", segment_distance(p, q)) for i, p in enumerate(x.children) for j, q in enumerate(y.children)]
 
 
 @cache
@@ -114,6 +248,12 @@ def nearest_phones(spark: SparkSession, n: int = 5) -> DataFrame:
     return distance_table(spark).where("a <> b").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+def shortened(least: float = 1e-12) -> list[tuple[str, str, float, float]]:
+    """(a, b, distance, shortest): pairs of phones that the closure brings nearer."""
+    own, d, c = I.phones(), matrix(), metric_closure()
+    return [(own[i], own[j], float(d[i, j]), float(c[i, j])) for i in range(len(own)) for j in range(i) if d[i, j] - c[i, j] > least]
+
+
 def minimal_pairs(spark: SparkSession) -> DataFrame:
     """(a, b, feature): phones whose bundles differ in one feature only."""
     own = I.full()
@@ -132,31 +272,82 @@ def metric_closure() -> np.ndarray:
 class DistanceModel:
     """Percentiles of similarity among a reference set of phones."""
 
-    def __init__(self, phoneset: list[str] | None = None, gamma: float = 1.0):
-        own = [p for p in (phoneset or I.speech()) if p in I.phones() and p != I.SILENCE]
-        at = [I.phones().index(p) for p in own]
-        m = matrix()[np.ix_(at, at)]
-        self.phones, self.gamma = own, gamma
-        self.cdf = sorted(1 - m[np.triu_indices(len(own), 1)])
+    def __init__(self, phoneset: list[str] | None = None, gamma: float = 1.0, given: dict[tuple[str, str], float] | None = None):
+        own = [p for p in (phoneset or I.speech()) if p != I.SILENCE and (given is not None or p in I.phones())]
+        self.phones, self.gamma, self.given = own, gamma, given
+        self.cdf = sorted(1 - self.raw(a, b) for a, b in itertools.combinations(own, 2))
+
+    @classmethod
+    def from_matrix(cls, table: DataFrame, gamma: float = 1.0) -> DistanceModel:
+        """A model on a table (a, b, d) of an inventory's own distances, both directions averaged where both are there."""
+        cell = {(r["a"], r["b"]): r["d"] for r in table.collect()}  # the square of an inventory, as read by load_matrix
+        both = {(a, b): (d + cell.get((b, a), d)) / 2 for (a, b), d in cell.items()}
+        return cls(sorted({a for a, _ in cell} | {b for _, b in cell}), gamma, both | {(b, a): d for (a, b), d in both.items()})
+
+    def raw(self, a: str, b: str) -> float:
+        """The distance that the percentiles are of; 1 where a given table has none."""
+        return 0.0 if a == b else phone_distance(a, b) if self.given is None else self.given.get((a, b), 1.0)
 
     def confusability(self, a: str, b: str) -> float:
         if a == b:
             return 1.0
-        d = phone_distance(a, b)
+        d = self.raw(a, b)
         return 0.0 if d >= 1.0 or not self.cdf else (bisect_right(self.cdf, 1 - d) / len(self.cdf)) ** self.gamma
 
+    similarity = confusability
+
     def distance(self, a: str, b: str) -> float:
         return 1 - self.confusability(a, b)
 
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(a, b, self.confusability(a, b)) for a in self.phones for b in self.phones], "a string, b string, confusability double")
 
+    def nearest(self, spark: SparkSession, n: int = 5) -> DataFrame:
+        """(a, b, confusability, rank): the n most confusable phones of each, ties by spelling."""
+        w = Window.partitionBy("a").orderBy(F.desc("confusability"), "b")
+        return self.table(spark).where("a <> b").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+    def sub_cost(self, a: str, b: str) -> float:
+        """What a substitution costs: both gaps times the distance."""
+        return 2 * GAP * self.distance(a, b)
+
+    def sequence_distance(self, left: Column, right: Column, delete: float = GAP, insert: float = GAP) -> Column:
+        """Edit cost of two arrays of units under this model, with prices of one's own for gaps; null if either is."""
+        own = DistanceModel(self.phones, self.gamma, self.given)
+
+        def cost(a: pd.Series, b: pd.Series) -> pd.Series:
+            return pd.Series(align_batch([None if x is None else list(x) for x in a], [None if x is None else list(x) for x in b], price=lambda x, y: (delete + insert) * own.distance(x, y), gaps=(delete, insert)))
+
+        return F.nanvl(F.pandas_udf(cost, T.DoubleType())(left, right), F.lit(None))
+
+    def word_distance(self, left: Column, right: Column) -> Column:
+        return self.sequence_distance(X.units(left), X.units(right))
+
+    def directional_word_distance(self, left: Column, right: Column, delete: float, insert: float) -> Column:
+        return self.sequence_distance(X.units(left), X.units(right), delete, insert)
+
+    def sequence_similarity(self, left: Column, right: Column) -> Column:
+        total = F.size(left) + F.size(right)
+        return F.when(total == 0, F.lit(1.0)).otherwise(1 - self.sequence_distance(left, right) / (total * GAP))
+
+    def word_similarity(self, left: Column, right: Column) -> Column:
+        return self.sequence_similarity(X.units(left), X.units(right))
+
+    def is_similar(self, left: Column, right: Column, least: float) -> Column:
+        """Whether words are similar enough; where their lengths alone rule it out, nothing is aligned."""
+        n, m = F.size(X.units(left)), F.size(X.units(right))
+        possible = 2 * F.least(n, m) >= least * (n + m)
+        cost = self.sequence_distance(F.when(possible, X.units(left)), X.units(right))
+        return F.when(left.isNull() | right.isNull(), None).when(n + m == 0, True).when(~possible, False).otherwise(1 - cost / (n + m) >= least)
+
 
 # -- words ------------------------------------------------------------------------------------------------------------
 
 
-def _prices(vocabulary: list[str], weighted: bool) -> np.ndarray:
-    """Substitution costs of the distinct units of a batch: both gaps times their distance."""
+def _prices(vocabulary: list[str], weighted: bool, price: Callable[[str, str], float] | None = None) -> np.ndarray:
+    """Substitution costs of the distinct units of a batch: both gaps times their distance, unless a price is given."""
+    if price:
+        return np.array([[price(a, b) for b in vocabulary] for a in vocabulary]).reshape(len(vocabulary), len(vocabulary))
     n = len(vocabulary)
     out = np.full((n, n), 2 * GAP)
     for i in range(n):
@@ -167,12 +358,14 @@ def _prices(vocabulary: list[str], weighted: bool) -> np.ndarray:
     return out
 
 
-def align_batch(left: list[list[str]], right: list[list[str]], weighted: bool = True, mode: str = "global") -> np.ndarray:
-    """Costs of the cheapest alignments; local: the left one against any stretch of the right one."""
+def align_batch(left: list[list[str]], right: list[list[str]], weighted: bool = True, mode: str = "global", price: Callable[[str, str], float] | None = None, gaps: tuple[float, float] = (GAP, GAP)) -> np.ndarray:
+    """Costs of the cheapest alignments; local: the left one against any stretch of the right one. price: of a substitution; gaps:
+    of a deleted and an inserted unit."""
+    gone, new = gaps
     out = np.full(len(left), np.nan)
     vocabulary = sorted({u for s in (*left, *right) if s is not None for u in s})
     code = {u: i for i, u in enumerate(vocabulary)}
-    price = _prices(vocabulary, weighted)
+    table = _prices(vocabulary, weighted, price)
     groups: dict[tuple[int, int], list[int]] = {}
     for k, (a, b) in enumerate(zip(left, right, strict=True)):
         if a is not None and b is not None:
@@ -180,12 +373,12 @@ def align_batch(left: list[list[str]], right: list[list[str]], weighted: bool =
     for (n, m), rows in groups.items():
         a = np.array([[code[u] for u in left[k]] for k in rows], np.int64).reshape(len(rows), n)
         b = np.array([[code[u] for u in right[k]] for k in rows], np.int64).reshape(len(rows), m)
-        before = np.tile(np.arange(m + 1) * (GAP if mode == "global" else 0.0), (len(rows), 1))
+        before = np.tile(np.arange(m + 1) * (new if mode == "global" else 0.0), (len(rows), 1))
         for i in range(n):
             now = np.empty_like(before)
-            now[:, 0] = (i + 1) * GAP
+            now[:, 0] = (i + 1) * gone
             for j in range(m):
-                now[:, j + 1] = np.minimum(np.minimum(before[:, j] + price[a[:, i], b[:, j]], before[:, j + 1] + GAP), now[:, j] + GAP)
+                now[:, j + 1] = np.minimum(np.minimum(before[:, j] + table[a[:, i], b[:, j]], before[:, j + 1] + gone), now[:, j] + new)
             before = now
         out[rows] = before[:, -1] if mode == "global" else before.min(1)
     return out
@@ -200,6 +393,17 @@ def sequence_distance(left: Column, right: Column, weighted: bool = True, mode:
     return F.nanvl(F.pandas_udf(cost, T.DoubleType())(left, right), F.lit(None))
 
 
+def sequence_similarity(left: Column, right: Column) -> Column:
+    """1 less the cost of two arrays of units over that of deleting one and inserting the other; 1 for two empty ones."""
+    total = F.size(left) + F.size(right)
+    return F.when(total == 0, F.lit(1.0)).otherwise(1 - sequence_distance(left, right) / (total * GAP))
+
+
+def unit_distance(left: Column, right: Column) -> Column:
+    """Distance of two written units; null if either is."""
+    return F.pandas_udf(lambda a, b: pd.Series([None if x is None or y is None else phone_distance(x, y) for x, y in zip(a, b, strict=True)], dtype=float), T.DoubleType())(left, right)
+
+
 def word_distance(left: Column, right: Column, weighted: bool = True) -> Column:
     return sequence_distance(X.units(left), X.units(right), weighted)
 
@@ -218,32 +422,59 @@ def coverage(left: Column, right: Column) -> Column:
 def similar_join(left: DataFrame, right: DataFrame, left_col: str, right_col: str, least: float) -> DataFrame:
     """Pairs of words that begin alike (equal first unit) and are similar enough.
 
-    The join is on the first unit and a length band, and lengths bound the similarity before anything is aligned: a word of
-    n units and one of m have at most 2 * min / (n + m).
+    The join is on the first unit and the length of the right word: a word of n units is only sent to lengths m for which
+    2 * min(n, m) / (n + m), which bounds the similarity, is enough. So first units, of which there are few, aren't the keys alone.
     """
-    a = left.withColumn("__l", X.units(F.col(left_col))).withColumn("__k", F.element_at("__l", 1))
-    b = right.withColumn("__r", X.units(F.col(right_col))).withColumn("__k2", F.element_at("__r", 1))
-    n, m = F.size("__l"), F.size("__r")
-    pairs = a.join(b, (F.col("__k") == F.col("__k2")) & (2 * F.least(n, m) >= least * (n + m)))
-    scored = pairs.withColumn("similarity", 1 - sequence_distance(F.col("__l"), F.col("__r")) / (n + m))
-    return scored.where(F.col("similarity") >= least).drop("__l", "__r", "__k", "__k2")
+    l, k, n, r, k2, m, s = (_two(left, right, x) for x in ("__l", "__k", "__n", "__r", "__k2", "__m", "similarity"))  # noqa: E741
+    a = left.withColumn(l, X.units(F.col(left_col))).withColumn(k, F.element_at(l, 1)).where(F.size(l) > 0)
+    reach = F.sequence(F.ceil(F.size(l) * least / (2 - least)).cast("int"), F.floor(F.size(l) * (2 - least) / least).cast("int"))
+    a = a.withColumn(n, F.explode(reach))
+    b = right.withColumn(r, X.units(F.col(right_col))).withColumn(k2, F.element_at(r, 1)).withColumn(m, F.size(r))
+    pairs = a.join(b, (F.col(k) == F.col(k2)) & (F.col(n) == F.col(m)))
+    scored = pairs.withColumn(s, 1 - sequence_distance(F.col(l), F.col(r)) / (F.size(l) + F.size(r)))
+    return scored.where(F.col(s) >= least).drop(l, r, k, k2, n, m)
+
+
+def _two(left: DataFrame, right: DataFrame, name: str) -> str:
+    return X.free(right, X.free(left, name))
 
 
 def rank_pronunciations(df: DataFrame, form_col: str, accepted: DataFrame, accepted_col: str, n: int = 1) -> DataFrame:
     """Each row of df with its n most similar accepted pronunciations; ties by their listing (column ordinal).
 
-    accepted is a list that a user writes and is broadcast; it is checked to have at most 10,000 rows.
+    accepted is a list that a user writes; it is checked to have at most 10,000 rows and sent along as a literal. Each form is
+    aligned with all of it in one batch, and only its n best leave the task: no pairs are made as rows, and nothing is shuffled.
     """
-    listing = accepted.select(F.col(accepted_col).alias("accepted"), "ordinal")
-    if listing.count() > 10_000:
+    listing = accepted.select(F.col(accepted_col).alias("accepted"), "ordinal").limit(10_001).collect()
+    if len(listing) > 10_000:
         raise ValueError("rank against a list of at most 10,000 pronunciations, or use similar_join")
-    # units are found once for each form, not once for each pair
-    forms = df.withColumn("__id", F.monotonically_increasing_id()).withColumn("__u", X.units(F.col(form_col)))
-    pairs = forms.join(F.broadcast(listing.withColumn("__v", X.units(F.col("accepted")))), F.lit(True))
-    total = F.size("__u") + F.size("__v")
-    scored = pairs.withColumn("similarity", F.when(total == 0, F.lit(1.0)).otherwise(1 - sequence_distance(F.col("__u"), F.col("__v")) / (total * GAP))).drop("__u", "__v")
-    w = Window.partitionBy("__id").orderBy(F.desc("similarity"), "ordinal")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).drop("__id")
+    return _ranked(df, X.units(F.col(form_col)), accepted.select(F.col(accepted_col).alias("accepted"), X.units(F.col(accepted_col)).alias("u"), "ordinal").limit(10_000).collect(), n)
+
+
+def rank_sequences(df: DataFrame, units_col: str, accepted: list[tuple[str, list[str]]], n: int = 1) -> DataFrame:
+    """The same for arrays of units and a list of (name, units)."""
+    return _ranked(df, F.col(units_col), [{"accepted": a, "u": u, "ordinal": k} for k, (a, u) in enumerate(accepted)], n)
+
+
+def _ranked(df: DataFrame, units: Column, listing: list, n: int) -> DataFrame:
+    own = sorted(((r["accepted"], list(r["u"]), r["ordinal"]) for r in listing if r["u"] is not None), key=lambda r: r[2])
+    best = T.ArrayType(T.StructType([T.StructField("accepted", T.StringType()), T.StructField("ordinal", T.IntegerType()), T.StructField("similarity", T.DoubleType()), T.StructField("rank", T.IntegerType())]))
+
+    def rank(forms: pd.Series) -> pd.Series:
+        out = []
+        for u in forms:
+            if u is None or not own:
+                out.append([])
+                continue
+            total = np.array([len(u) + len(v) for _, v, _ in own], float)
+            cost = align_batch([list(u)] * len(own), [v for _, v, _ in own])
+            score = np.where(total == 0, 1.0, 1 - cost / np.maximum(total * GAP, 1e-9))
+            order = np.argsort(-score, kind="stable")[:n]
+            out.append([{"accepted": own[i][0], "ordinal": int(own[i][2]), "similarity": float(score[i]), "rank": k + 1} for k, i in enumerate(order)])
+        return pd.Series(out)
+
+    best_col = X.free(df, "__best")
+    return df.withColumn(best_col, F.explode(F.pandas_udf(rank, best)(units))).select(*df.columns, f"{best_col}.*")
 
 
 def explain_word_distance(a: list[str], b: list[str]) -> list[tuple[str, str | None, str | None, float]]:

@@ -36,6 +36,20 @@ def _sites(form: Column, regex: str, boundary: bool) -> Column:
     return F.transform(hits, lambda s: F.struct(s["pos"].alias("pos"), X.decode(F.replace(s["unit"], F.lit(P.MARK), F.lit(""))).alias("unit")))
 
 
+def offsets(form: Column, spec: str) -> Column:
+    """Where the matches of a structural query begin, in code points of the form."""
+    pattern = P.parse_query(spec)
+
+    def one(values: dict[str, str]) -> Column:
+        pieces = F.split(X.decode(F.regexp_replace(X.encode(form), P.site_regex(pattern, values), P.MARK)), P.MARK)
+        start = F.struct(F.lit(0).cast("long").alias("n"), F.array().cast("array<bigint>").alias("out"))
+        step = lambda a, p: F.struct((a["n"] + F.length(p)).alias("n"), F.array_append(a["out"], a["n"] + F.length(p)).alias("out"))
+        # the last piece ends at the end of the form, not at a match
+        return F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), start, step, lambda a: a["out"])
+
+    return F.array_sort(F.array_distinct(F.concat(*map(one, P.bindings(pattern)))))
+
+
 def find(df: DataFrame, form_col: str, spec: str, plain: bool = False) -> DataFrame:
     """A row for each match: the columns of df, pos and unit. plain: the forms have no marks, see text.plain."""
     with X.plain(plain):

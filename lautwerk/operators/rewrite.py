@@ -117,6 +117,37 @@ def derive(df: DataFrame, form_col: str, rules: str | list[P.Rule], plain: bool
     return out.select(*df.columns, X.decode(F.col(names[-1])).alias("surface"), trace.alias("trace"))
 
 
+def edits(form: Column, rule: str | P.Rule) -> Column:
+    """(at, removed, added) of every site of a rule, in order: the number of units before it, and the units that go and come."""
+    own = rules_of(rule)[0] if isinstance(rule, str) else rule
+    each = [_edits(form, own, values) for values in P.bindings(own.pattern)]
+    return F.array_sort(F.array_distinct(F.concat(*each)))
+
+
+def _edits(form: Column, rule: P.Rule, values: dict[str, str]) -> Column:
+    pieces = F.split(_apply(X.encode(form), rule, values, both=True), OPEN)
+    n = lambda c: F.size(X.units(X.decode(c)))
+    start = F.struct(n(F.get(pieces, 0)).alias("n"), F.array().cast("array<struct<at:int,removed:string,added:string>>").alias("out"))
+
+    def step(a: Column, site: Column) -> Column:
+        x = F.split(site, f"[{TO}{DONE}]")
+        edit = F.struct(a["n"].alias("at"), X.decode(x[0]).alias("removed"), X.decode(x[1]).alias("added"))
+        return F.struct((a["n"] + n(F.concat(x[0], x[2]))).alias("n"), F.array_append(a["out"], edit).alias("out"))
+
+    return F.aggregate(F.slice(pieces, 2, F.size(pieces)), start, step, lambda a: a["out"])
+
+
+def recognize(form: Column, rule: str | P.Rule) -> Column:
+    """Places (units before) where a rule would apply, whether or not it would change something there."""
+    return F.transform(edits(form, rule), lambda e: e["at"])
+
+
+def unexplored(df: DataFrame, form_col: str, rules: str | list[P.Rule], limit: int = 64, plain: bool = False) -> DataFrame:
+    """The rows of df of which the limit cuts variants."""
+    v = variants(df, form_col, rules, limit, plain)
+    return v.where(~F.col("complete")).select(*df.columns)
+
+
 def variants(df: DataFrame, form_col: str, rules: str | list[P.Rule], limit: int = 64, plain: bool = False) -> DataFrame:
     """df with variants: forms that some choice of the sites of optional rules (each rewritten or not) leads to, with the
     fewest rewritten ones for each form, cheapest first; complete tells whether the limit cut any.
@@ -192,17 +223,71 @@ def experiment(df: DataFrame, source_col: str, target_col: str, rules: str | lis
 
 
 def compare_experiments(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
-    """(key, was, now) of the rows whose class moved; rows of one side only are not comparable and are left out."""
-    a = before.select(key, F.col("class").alias("was"))
-    return a.join(after.select(key, F.col("class").alias("now")), key).where("was <> now")
+    """(key, was, now) of the rows whose class moved. Reports on different rows aren't comparable and are refused."""
+    a, b = before.select(key, F.col("class").alias("was")), after.select(key, F.col("class").alias("now"))
+    both = a.join(b, key, "full")
+    if not both.where("was is null or now is null").isEmpty():
+        raise ValueError("the reports are about different rows")
+    return both.where("was <> now")
+
 
+def regime(rules: str | list[P.Rule]) -> str:
+    """Of a rule set: invertible, length-preserving, or lossy."""
+    own = invertibility(rules)
+    return "invertible" if all(same and one for _, same, one in own) else "length-preserving" if all(same for _, same, _ in own) else "lossy"
 
+
+# Rule sets by language, in their published order and wording.
 SHIPPED = {
-    "final-devoicing": "[obstruent +voiced] -> [-voiced] / _ . ; final devoicing",
+    "german-final-devoicing": "[obstruent] -> [voiced=-] / _ . ; final devoicing",
+    "french-liaison": """
+∅ -> z / z ‿ _ [vowel] ; liaison (z)
+∅ -> t / t ‿ _ [vowel] ; liaison (t)
+∅ -> n / n ‿ _ [vowel] ; liaison (n)
+∅ -> p / p ‿ _ [vowel] ; liaison (p)
+z -> ∅ / _ # ; final z deletion
+t -> ∅ / _ # ; final t deletion
+n -> ∅ / _ # ; final n deletion
+p -> ∅ / _ # ; final p deletion
+ə -> ∅ / [vowel] [-vowel] _ # ; final schwa deletion
+ə -> ∅ / [-vowel] [-vowel] _ # ; final schwa deletion (after a cluster)
+ə ~> ∅ / # [-vowel] _ [-vowel] [vowel] ; e caduc (first syllable)
+ə ~> ∅ / [vowel] [-vowel] _ [-vowel] [vowel] ; e caduc (interior)
+""",
+    "spanish-accented-english": """
+∅ -> e / # _ s [-vowel -approximant] ; prothesis (s + obstruent or nasal)
+∅ -> e / # _ s [channel=lateral] ; prothesis (s + l)
+v -> b ; v is b
+z -> s ; z is s
+ʃ -> t͡ʃ ; ʃ is t͡ʃ
+θ -> t ; θ is t
+ð -> d ; ð is d
+h -> x ; h is x
+ŋ -> n / _ # ; final ŋ is n
+ɚ -> eɹ ; unstressed r-colored vowel decomposes
+ɝ -> eɹ ; stressed r-colored vowel decomposes
+ɹ -> r / # _ ; ɹ is the trill word-initially
+ɹ -> r / n _ ; ɹ is the trill after n
+ɹ -> r / l _ ; ɹ is the trill after l
+ɹ -> r / s _ ; ɹ is the trill after s
+ɹ -> ɾ ; ɹ is the tap elsewhere
+ɪ -> i ; ɪ is i
+ɛ -> e ; ɛ is e
+æ -> a ; æ is a
+ʌ -> a ; ʌ is a
+ə -> a ; ə is a
+ɑ -> a ; ɑ is a
+ɔ -> o ; ɔ is o
+ʊ -> u ; ʊ is u
+""",
     "flapping": "t -> ɾ / [vowel] _ [vowel] ; flapping\nd -> ɾ / [vowel] _ [vowel] ; flapping of d",
     "nasalization": "[vowel] -> [+nasalized] / _ [nasal] ; vowel nasalization",
 }
 
 
+def available() -> list[str]:
+    return sorted(SHIPPED)
+
+
 def shipped(name: str) -> list[P.Rule]:
     return P.parse_rules(SHIPPED[name])

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -17,7 +18,10 @@ from ..functions import text as X
 FORMS = "entry_id string, form string, producer string, version string, role string"
 META = "entry_id string, meta string"
 SPLITS = "ordinal long, entry_id string, split string"
+ASSETS = "entry_id string, kind string, path string"
 VERSION = "1"
+#: What an entry's id looks like.
+ID = "^[A-Za-z0-9][A-Za-z0-9._-]*$"
 
 
 class CorpusError(ValueError):
@@ -49,23 +53,64 @@ class Corpus:
     def roles(self) -> DataFrame:
         return self.forms().select("role").distinct()
 
-    def read(self, entry_id: str) -> DataFrame:
-        return self.forms().where(F.col("entry_id") == entry_id)
+    def read(self, entry_id: str, *roles: str) -> DataFrame:
+        """Forms of one entry, of the roles named or of all."""
+        return self.forms(*roles).where(F.col("entry_id") == entry_id)
 
-    def add(self, entries: DataFrame) -> None:
-        """Append entries (entry_id, meta); refuses null, repeated and known ids."""
+    def read_all(self, ids: DataFrame, *roles: str) -> DataFrame:
+        """Forms of many entries (entry_id) in one join."""
+        return self.forms(*roles).join(ids.select("entry_id").distinct(), "entry_id", "left_semi")
+
+    def roles_of(self, entry_id: str) -> DataFrame:
+        return self.read(entry_id).select("role").distinct()
+
+    def _has(self, name: str) -> bool:
+        fs, p = _at(self.spark, f"{self.path}/{name}")
+        return fs.exists(p)
+
+    def add(self, entries: DataFrame, forms: dict[str, str] | None = None, producer: str = "", version: str = "") -> None:
+        """Append entries (entry_id, meta), and forms by role from the columns named; refuses ids that are null, repeated, in the
+        corpus or not made of letters, digits, dots, hyphens and underscores."""
         new = entries.select("entry_id", F.col("meta").cast("string").alias("meta"))
-        bad = new.groupBy("entry_id").count().where("count > 1 or entry_id is null or trim(entry_id) = ''")
-        if not bad.isEmpty() or not new.join(self._read("meta", META), "entry_id", "left_semi").isEmpty():
-            raise CorpusError("an id is null, empty, repeated or in the corpus")
+        ids = new.select("entry_id", F.lit(1).alias("n"))
+        if self._has("meta"):  # an id that is there counts as one more
+            ids = ids.unionAll(self._read("meta", META).join(new.select("entry_id"), "entry_id", "left_semi").select("entry_id", F.lit(1).alias("n")))
+        if not ids.groupBy("entry_id").agg(F.sum("n").alias("n")).where(f"n > 1 or entry_id is null or not entry_id rlike '{ID}'").isEmpty():
+            raise CorpusError("an id is null, repeated, in the corpus or no id")
         new.write.mode("append").parquet(f"{self.path}/meta")
+        for role, column in (forms or {}).items():
+            self._rows(entries.where(F.col(column).isNotNull()), column, producer, version).write.mode("append").parquet(f"{self.path}/forms/role={role}")
+
+    @staticmethod
+    def _rows(forms: DataFrame, column: str, producer: str, version: str) -> DataFrame:
+        return forms.select("entry_id", F.col(column).alias("form"), F.lit(producer).alias("producer"), F.lit(version).alias("version"))
 
     def put_forms(self, role: str, forms: DataFrame, producer: str, version: str) -> None:
-        """Replace one role by forms (entry_id, form); refuses ids that the corpus doesn't have."""
-        rows = forms.select("entry_id", "form", F.lit(producer).alias("producer"), F.lit(version).alias("version"))
-        if not rows.join(self._read("meta", META), "entry_id", "left_anti").isEmpty():
-            raise CorpusError("a form's id isn't in the corpus")
-        rows.write.mode("overwrite").parquet(f"{self.path}/forms/role={role}")
+        """Put forms (entry_id, form) into a role: those of entries that have one are replaced, the others stay. Refuses ids that the
+        corpus doesn't have and ids that occur twice."""
+        rows = self._rows(forms, "form", producer, version)
+        known = self._read("meta", META).select("entry_id", F.lit(1).alias("known")).distinct()
+        has = self._has(f"forms/role={role}")
+        old = self.forms(role).select("entry_id", F.lit(1).alias("old")).distinct()
+        flags = rows.groupBy("entry_id").agg(F.count("*").alias("n")).join(known, "entry_id", "left")
+        flags = flags.join(old, "entry_id", "left") if has else flags.withColumn("old", F.lit(None).cast("int"))
+        r = flags.agg(F.max("n").alias("n"), F.count(F.when(F.col("known").isNull(), 1)).alias("strange"), F.count("old").alias("old")).first()
+        if r["strange"] or (r["n"] or 0) > 1:
+            raise CorpusError("a form's id isn't in the corpus, or occurs twice")
+        at = f"{self.path}/forms/role={role}"
+        if not r["old"]:
+            rows.write.mode("append").parquet(at)
+            return
+        kept = self.forms(role).join(rows.select("entry_id"), "entry_id", "left_anti").select("entry_id", "form", "producer", "version")
+        self._replace(at, kept.unionAll(rows))
+
+    def _replace(self, at: str, rows: DataFrame) -> None:
+        """Write rows beside a folder that they are read from, then put them in its place."""
+        fs, old = _at(self.spark, at)
+        _, new = _at(self.spark, f"{self.path}/staging")
+        rows.write.mode("overwrite").parquet(f"{self.path}/staging")
+        fs.delete(old, True)
+        fs.rename(new, old)
 
     def put_split(self, name: str, members: DataFrame) -> None:
         """A named split from members (ordinal, entry_id), each id once."""
@@ -86,11 +131,19 @@ class Corpus:
     def validate(self) -> DataFrame:
         """(entry_id, role, code) of everything that is wrong."""
         meta, forms = self._read("meta", META), self.forms()
+        none = F.lit(None).cast("string")
+        strange = meta.where(F.col("entry_id").isNull() | ~F.col("entry_id").rlike(ID)).select("entry_id", none.alias("role"), F.lit("invalid_id").alias("code"))
+        empty = forms.where(F.col("form").isNull()).select("entry_id", "role", F.lit("forms").alias("code"))
+        files = assets(self).select("entry_id", "kind").distinct()
+        alien = files.join(meta, "entry_id", "left_anti").select("entry_id", F.col("kind").alias("role"), F.lit("orphan_asset").alias("code"))
+        kinds = [r[0] for r in files.select("kind").distinct().collect()]  # a few names
+        due = meta.select("entry_id", F.explode(F.array(*map(F.lit, kinds)).cast("array<string>")).alias("kind"))
+        missing = due.join(files, ["entry_id", "kind"], "left_anti").select("entry_id", F.col("kind").alias("role"), F.lit("missing_asset").alias("code"))
         twice = meta.groupBy("entry_id").count().where("count > 1").select("entry_id", F.lit(None).cast("string").alias("role"), F.lit("duplicate_id").alias("code"))
-        json_bad = meta.where(F.col("meta").isNotNull() & F.try_parse_json("meta").isNull()).select("entry_id", F.lit(None).cast("string").alias("role"), F.lit("bad_meta").alias("code"))
+        json_bad = meta.where(F.col("meta").isNotNull() & (F.try_parse_json("meta").isNull() | ~F.col("meta").rlike(r"^\s*\{"))).select("entry_id", F.lit(None).cast("string").alias("role"), F.lit("bad_meta").alias("code"))
         orphan = forms.join(meta, "entry_id", "left_anti").select("entry_id", "role", F.lit("orphan_form").alias("code"))
-        invalid = forms.select("entry_id", "role", F.explode(X.findings(F.col("form"))).alias("code"))
-        return twice.unionAll(json_bad).unionAll(orphan).unionAll(invalid)
+        invalid = forms.where(F.col("form").isNotNull()).select("entry_id", "role", F.explode(X.findings(F.col("form"))).alias("code"))
+        return reduce(DataFrame.unionAll, [twice, json_bad, orphan, invalid, strange, empty, alien, missing])
 
     def fingerprint(self) -> str:
         """Digest of the forms whatever their order; equal forms count as often as they occur."""
@@ -111,17 +164,41 @@ def open_corpus(spark: SparkSession, path: str) -> Corpus:
     fs, p = _at(spark, f"{path}/manifest")
     if not fs.exists(p):
         raise CorpusError(f"{path} is no corpus")
-    found = json.loads(spark.read.text(f"{path}/manifest").first()[0])
+    found = manifest(Corpus(spark, path))
     if (found.get("type"), found.get("v")) != ("corpus", VERSION):
         raise CorpusError(f"{path} has another type or version")
     return Corpus(spark, path)
 
 
+def manifest(corpus: Corpus) -> dict:
+    return json.loads(corpus.spark.read.text(f"{corpus.path}/manifest").first()[0])
+
+
 # -- dictionaries -----------------------------------------------------------------------------------------------------
 
 
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line"))
+    """(value, line): lines with their numbers from 1 within each file. A file is one row while it is numbered, as a dictionary is
+    some MB; its lines are dealt out again afterwards."""
+    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("pos", "value"))
+    return whole.select("value", (F.col("pos") + 1).cast("long").alias("line"))
+
+
+def ingest_cmudict(corpus: Corpus, path: str, role: str = "cited") -> DataFrame:
+    """Entries of a pronouncing dictionary put into a corpus, named by word and variant, in IPA; (line, word, reason) of the lines
+    that are refused."""
+    from ..functions.notation import from_cmu
+
+    rows = read_cmudict(corpus.spark, path)
+    good = rows.where("reason is null").withColumn("form", from_cmu(F.col("phones")))
+    name = F.concat(F.regexp_replace(F.lower("word"), "[^a-z0-9._-]", "_"), F.lit("."), "variant", F.lit("."), "line")
+    corpus.add(good.select(name.alias("entry_id"), F.to_json(F.struct("word", "variant", "line")).alias("meta"), "form"), {role: "form"}, "cmudict", VERSION)
+    return rows.where("reason is not null").select("line", "word", "reason")
+
+
+def emit_mfa_dict(df: DataFrame) -> DataFrame:
+    """Lines ``word<TAB>phones`` from (word, phones)."""
+    return df.select(F.concat_ws("\t", "word", F.array_join("phones", " ")).alias("value"))
 
 
 def read_cmudict(spark: SparkSession, path: str) -> DataFrame:
@@ -133,7 +210,7 @@ def read_cmudict(spark: SparkSession, path: str) -> DataFrame:
     head = F.element_at(parts, 1)
     phones = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
     bad = F.filter(phones, lambda s: ~F.regexp_replace(s, "[012]$", "").isin(*inverse("cmu+")))
-    variant = F.coalesce(F.regexp_extract(head, r"\((\d+)\)$", 1).try_cast("int") if hasattr(Column, "try_cast") else F.expr("1"), F.lit(1))
+    variant = F.coalesce(F.regexp_extract(head, r"\((\d+)\)$", 1).try_cast("int"), F.lit(1))
     reason = F.when(F.size(phones) == 0, "no phones").when(F.size(bad) > 0, F.concat(F.lit("unknown: "), F.array_join(bad, " ")))
     return lines.select(F.regexp_replace(head, r"\(\d+\)$", "").alias("word"), variant.alias("variant"), phones.alias("phones"), "line", reason.alias("reason"))
 
@@ -170,13 +247,14 @@ def read_phoible(spark: SparkSession, path: str, language: str | None = None, in
 
 
 def remove(corpus: Corpus, ids: DataFrame) -> Corpus:
-    """A corpus of the same content without some entries, in a folder beside; readers of the old one aren't disturbed."""
-    fresh = create(corpus.spark, f"{corpus.path}-next")
+    """A corpus of the same content without some entries, in a folder beside; readers of the old one aren't disturbed. The entries'
+    forms and assets go, and they leave the splits, whose other members keep their ordinals."""
+    fresh = create(corpus.spark, f"{corpus.path}-next", manifest(corpus).get("declaration"))
     gone = ids.select("entry_id").distinct()
-    corpus._read("meta", META).join(gone, "entry_id", "left_anti").write.mode("overwrite").parquet(f"{fresh.path}/meta")
-    forms = corpus.forms()
-    if not forms.isEmpty():
-        forms.join(gone, "entry_id", "left_anti").write.mode("overwrite").partitionBy("role").parquet(f"{fresh.path}/forms")
+    for name, schema, by in (("meta", META, None), ("forms", FORMS, "role"), ("splits", SPLITS, "split"), ("assets", ASSETS, None)):
+        if corpus._has(name):
+            out = corpus._read(name, schema).join(gone, "entry_id", "left_anti").write.mode("overwrite")
+            (out.partitionBy(by) if by else out).parquet(f"{fresh.path}/{name}")
     return fresh
 
 
@@ -188,7 +266,7 @@ def put_assets(corpus: Corpus, assets: DataFrame) -> None:
 
 
 def assets(corpus: Corpus) -> DataFrame:
-    return corpus._read("assets", "entry_id string, kind string, path string")
+    return corpus._read("assets", ASSETS)
 
 
 def asset_kinds(corpus: Corpus) -> DataFrame:

@@ -13,6 +13,20 @@ def test_published(a, b, d):
     assert distance.phone_distance(a, b) == distance.phone_distance(b, a)
 
 
+@pytest.mark.parametrize("a, b, d", [("t͡s", "t", 0.2629), ("t͡ʃ", "ʃ", 0.2652), ("t͡ʃ", "t͡s", 0.0030), ("u͡i", "u͜i", 1 / 3), ("e", "e͜ɪ", 0.255), ("ɡ", "ɡ͡b", 1 / 20 + 0.0675 / 2), ("k͡p", "p͡k", 0), ("t", "t̪", 0.005), ("t", "tʷ", 0.002)])
+def test_published_of_several_parts(a, b, d):
+    assert distance.phone_distance(a, b) == pytest.approx(d, abs=6e-4 if d in (0.255, 0.005, 0.002) else 6e-5)
+    assert distance.phone_distance(a, b) == distance.phone_distance(b, a)
+
+
+def test_prosody_rides_on_units():
+    n = len(distance.segment_terms("a", "a"))
+    assert distance.phone_distance("ˈa", "a") == pytest.approx(1 / (n + 1)) and distance.phone_distance("ˈa", "ˌa") == pytest.approx(0.5 / (n + 1))
+    assert distance.phone_distance("a˥", "a") == pytest.approx(1 / (n + 1)) and distance.phone_distance("aː", "aˑ") < distance.phone_distance("aː", "a")
+    # a rhotic vowel has no one place, so that term is left out
+    assert "tract-x" not in dict(distance.segment_terms("ɚ", "i")) and "tract-x" in dict(distance.segment_terms("ə", "i"))
+
+
 def test_identity_and_sentinels():
     assert distance.phone_distance("Q?", "Q?") == 0 and distance.phone_distance("p", "7") == 1 and distance.phone_distance("p", "␣") == 1
 

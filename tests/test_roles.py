@@ -38,8 +38,35 @@ def test_remove_and_assets(spark, made):
     assert corpus.asset_kinds(made).first()["n"] == 1
     with pytest.raises(corpus.CorpusError):
         corpus.put_assets(made, spark.createDataFrame([("zz", "wav", "a.wav")], "entry_id string, kind string, path string"))
+    made.put_split("train", spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "ordinal long, entry_id string"))
+    assert {(r["entry_id"], r["code"]) for r in made.validate().where("code <> 'unknown_symbol'").collect()} == {(k, "missing_asset") for k in "bcd"}
     fresh = corpus.remove(made, spark.createDataFrame([("a",)], "entry_id string"))
     assert [r[0] for r in fresh.ids().collect()] == ["b", "c", "d"] and fresh.forms().count() == 4
+    assert [tuple(r) for r in fresh.split("train").collect()] == [(1, "b"), (2, "c")]
+    assert corpus.assets(fresh).count() == 0 and corpus.manifest(fresh) == corpus.manifest(made)
+
+
+def test_forms_are_put_one_by_one(spark, tmp_path):
+    c = corpus.create(spark, f"{tmp_path}/c", "mine")
+    c.add(spark.createDataFrame([("a", "{}", "ana"), ("b", "{}", None)], "entry_id string, meta string, form string"), {"cited": "form"}, "hand", "1")
+    put = lambda *rows: c.put_forms("cited", spark.createDataFrame(rows, "entry_id string, form string"), "ear", "2")
+    put(("b", "bab"))
+    put(("a", "ama"))
+    assert {(r["entry_id"], r["form"], r["version"]) for r in c.forms("cited").collect()} == {("a", "ama", "2"), ("b", "bab", "2")}
+    assert [r["role"] for r in c.roles_of("b").collect()] == ["cited"] and c.read_all(spark.createDataFrame([("a",)], "entry_id string")).count() == 1
+    for bad in ((("z", "a"),), (("a", "a"), ("a", "b"))):
+        with pytest.raises(corpus.CorpusError):
+            put(*bad)
+    with pytest.raises(corpus.CorpusError):
+        c.add(spark.createDataFrame([("no id", "{}")], "entry_id string, meta string"))
+
+
+def test_ingest(spark, tmp_path):
+    (tmp_path / "d.dict").write_text(";;; head\nHELLO HH AH0 L OW1\nHELLO(2) HH EH0 L OW1\nBAD ZZZ\n")
+    c = corpus.create(spark, f"{tmp_path}/c")
+    refused = corpus.ingest_cmudict(c, f"{tmp_path}/d.dict").collect()
+    assert [tuple(r) for r in refused] == [(4, "BAD", "unknown: ZZZ")]
+    assert {(r["entry_id"], r["form"]) for r in c.forms("cited").collect()} == {("hello.1.2", "həlˈo͜ʊ"), ("hello.2.3", "hɛlˈo͜ʊ")}
 
 
 def test_costs():
