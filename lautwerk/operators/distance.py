@@ -242,10 +242,12 @@ def metric_fingerprint() -> str:
     return sha256(json.dumps([I.full(), I.PLACES, I.MANNERS, I.HEIGHTS, I.BACKNESS, I.CHANNELS, I.SECONDARY], sort_keys=True, ensure_ascii=False).encode()).hexdigest()
 
 
-def nearest_phones(spark: SparkSession, n: int = 5) -> DataFrame:
-    """(a, b, d, rank): the n nearest phones of each, ties by spelling."""
-    w = Window.partitionBy("a").orderBy("d", "b")
-    return distance_table(spark).where("a <> b").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+def nearest_phones(spark: SparkSession, n: int = 5, among: list[str] | None = None) -> DataFrame:
+    """(a, b, d, rank): the n nearest phones of each, of all or among those given, ties by spelling."""
+    w = Window.partitionBy("a").orderBy(F.round("d", 9), "b")
+    own = distance_table(spark).where("a <> b")
+    own = own.where(F.col("a").isin(among) & F.col("b").isin(among)) if among else own
+    return own.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
 def shortened(least: float = 1e-12) -> list[tuple[str, str, float, float]]:
@@ -270,12 +272,13 @@ def metric_closure() -> np.ndarray:
 
 
 class DistanceModel:
-    """Percentiles of similarity among a reference set of phones."""
+    """Percentiles of similarity among a reference set of phones. Similarities are rounded, so that equal ones tie however they were
+    added up."""
 
     def __init__(self, phoneset: list[str] | None = None, gamma: float = 1.0, given: dict[tuple[str, str], float] | None = None):
         own = [p for p in (phoneset or I.speech()) if p != I.SILENCE and (given is not None or p in I.phones())]
         self.phones, self.gamma, self.given = own, gamma, given
-        self.cdf = sorted(1 - self.raw(a, b) for a, b in itertools.combinations(own, 2))
+        self.cdf = sorted(round(1 - self.raw(a, b), 12) for a, b in itertools.combinations(own, 2))
 
     @classmethod
     def from_matrix(cls, table: DataFrame, gamma: float = 1.0) -> DistanceModel:
@@ -292,7 +295,7 @@ class DistanceModel:
         if a == b:
             return 1.0
         d = self.raw(a, b)
-        return 0.0 if d >= 1.0 or not self.cdf else (bisect_right(self.cdf, 1 - d) / len(self.cdf)) ** self.gamma
+        return 0.0 if d >= 1.0 or not self.cdf else (bisect_right(self.cdf, round(1 - d, 12)) / len(self.cdf)) ** self.gamma
 
     similarity = confusability
 

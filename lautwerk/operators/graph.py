@@ -13,16 +13,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch
+
 
 def _cut(df: DataFrame) -> DataFrame:
     """Written to the folder that the session names for checkpoints and read again; removed when Python ends."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file:///tmp/checkpoints/lautwerk-graph"
-    path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
@@ -52,6 +49,8 @@ def descendants(relations: DataFrame, roots: DataFrame, name: str = "contains")
         if level.isEmpty():
             break
         found = found.unionAll(level)
+        if depth % 8 == 0:  # keeps the plan short
+            found = _cut(found)
     return found.where("depth > 0")
 
 

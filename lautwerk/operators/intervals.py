@@ -37,6 +37,17 @@ def syllabify(form: Column, language: str = "spanish") -> Column:
     return F.filter(F.split(X.decode(first), r"[.#\s]"), lambda s: s != "")
 
 
+def morae(form: Column) -> Column:
+    """(parts, rest) by the Japanese analysis: a vowel with at most a consonant and a palatal approximant before it, a nasal alone, or
+    a long consonant; rest holds what is none of these. Written boundaries are left out."""
+    vowel, nasal, glide, after = _class("vowel"), _class("nasal"), _class("manner=approximant palatal"), X.AFTER_CLASS
+    consonant = f"(?!{vowel}){X.base_class()}{after}*"
+    mora = f"(?:{consonant})?(?:{glide}{after}*)?{X.STRESS_CLASS}?{vowel}{after}*|{nasal}{after}*|{consonant[:-1]}*?ː"
+    e = F.regexp_replace(X.encode(form), f"{X.BOUNDARY_CLASS}|\\s", "")
+    parts = F.transform(F.regexp_extract_all(e, F.lit(f"({mora})"), 1), X.decode)
+    return F.struct(parts.alias("parts"), X.units(X.decode(F.regexp_replace(e, mora, "."))).alias("rest"))
+
+
 def mora_count(form: Column) -> Column:
     """Morae: vowels, long ones twice, and consonants that close a syllable."""
     nasal = _class("nasal")

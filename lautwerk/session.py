@@ -23,3 +23,11 @@ def local_session(cpus: int | None = None, name: str = "lautwerk") -> SparkSessi
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def scratch(spark: SparkSession) -> str:
+    """The folder that the session names for checkpoints; on a local master without one, a folder under /tmp."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (found or "file:///tmp/checkpoints/lautwerk").rstrip("/")
