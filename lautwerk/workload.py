@@ -64,16 +64,17 @@ def _values(rows: list[tuple], columns: str) -> str:
     return f"(VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) AS t({columns})"
 
 
-def _letter(c: str) -> str:
-    return "ɡ" if c == "g" else c
-
-
-_ROWS = []
-for _c in "abcdefghijklmnopqrstuvwxyz":
-    _b = I.full()[_letter(_c)]
-    _devoiced = next((s for s in I.phones() if I.full()[s] == _b | {"voiced": "-"}), _letter(_c))
-    _ROWS.append((_letter(_c), _b["manner"], _b["manner"] == "vowel", _b["manner"] in I.OBSTRUENTS, _b["voiced"] == "+", _devoiced, N.table("kirshenbaum")[_letter(_c)], N.table("xsampa")[_letter(_c)]))
-_LETTERS = "letters AS (SELECT * FROM " + _values(_ROWS, "unit, manner, vowel, obstruent, voiced, devoiced, kirshenbaum, xsampa") + ")"
+# The letters by the public IPA chart, with what they devoice to, how X-SAMPA and Kirshenbaum write them where that
+# isn't the letter itself, and how closed the tract is.
+_LETTERS = """letters AS (SELECT unit, manner, manner = 'vowel' AS vowel, manner IN ('plosive', 'fricative') AS obstruent, voiced,
+  CASE unit WHEN 'b' THEN 'p' WHEN 'd' THEN 't' WHEN 'ɡ' THEN 'k' WHEN 'v' THEN 'f' WHEN 'z' THEN 's' ELSE unit END AS devoiced,
+  CASE unit WHEN 'ɡ' THEN 'g' WHEN 'r' THEN 'r<trl>' ELSE unit END AS kirshenbaum, CASE unit WHEN 'ɡ' THEN 'g' ELSE unit END AS xsampa,
+  CASE WHEN manner IN ('plosive', 'nasal') THEN 1.0 WHEN manner = 'trill' THEN 0.9 WHEN manner = 'fricative' THEN 0.8 WHEN manner = 'approximant' THEN 0.6
+    WHEN unit IN ('i', 'u', 'y') THEN 0.4 WHEN unit IN ('e', 'o') THEN 0.27 ELSE 0.0 END AS closed
+  FROM (SELECT unnest(string_split('aeiouy', '')) AS unit, 'vowel' AS manner, true AS voiced UNION ALL SELECT unnest(string_split('bdɡ', '')), 'plosive', true
+  UNION ALL SELECT unnest(string_split('ptkcq', '')), 'plosive', false UNION ALL SELECT unnest(string_split('vz', '')), 'fricative', true
+  UNION ALL SELECT unnest(string_split('fshx', '')), 'fricative', false UNION ALL SELECT unnest(string_split('mn', '')), 'nasal', true
+  UNION ALL SELECT unnest(string_split('jlw', '')), 'approximant', true UNION ALL SELECT 'r', 'trill', true))"""
 _WORDS = "words AS (SELECT replace(word, 'g', 'ɡ') AS form, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[a-z]+')) AS word FROM documents) GROUP BY 1)"
 _UNITS = (
     "units AS (SELECT form, n, unit, pos, len, lag(unit) OVER w AS before, lead(unit) OVER w AS after FROM (SELECT form, n, length(form) AS len, unnest(string_split(form, '')) AS unit, "
@@ -237,7 +238,8 @@ def to_xsampa(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words(spark, sf_dir).select("form", N.to_xsampa(F.col("form")).alias("ascii"))
 
 
-_TIMIT = _values([(s, t) for s, t in N.table("timit").items() if len(s) == 1], "unit, target")
+# The letters that TIMIT has.
+_TIMIT = "(VALUES ('i', 'iy'), ('u', 'uw'), ('j', 'y'), ('w', 'w'), ('l', 'l'), ('m', 'm'), ('n', 'n'), ('f', 'f'), ('v', 'v'), ('s', 's'), ('z', 'z'), ('h', 'hh'), ('p', 'p'), ('b', 'b'), ('t', 't'), ('d', 'd'), ('k', 'k'), ('ɡ', 'g')) AS t(unit, target)"
 
 
 @query(_HEAD + f"SELECT form, coalesce(string_agg(t.target, ' ' ORDER BY pos), '') AS symbols FROM units LEFT JOIN {_TIMIT} USING (unit) GROUP BY form")
@@ -414,7 +416,7 @@ def form_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH pts AS (SELECT * FROM {_values([(_letter(c), float(distance.tract_point(I.full()[_letter(c)])[1])) for c in 'abcdefghijklmnopqrstuvwxyz'], 'unit, off')}), {_PART_WORDS}, "
+    f"WITH {_LETTERS}, pts AS (SELECT unit, closed AS off FROM letters), {_PART_WORDS}, "
     "u AS (SELECT w, CAST(off AS DOUBLE) AS off, lead(CAST(off AS DOUBLE)) OVER (PARTITION BY w ORDER BY pos) AS nxt FROM (SELECT w, unnest(string_split(w, '')) AS unit, unnest(range(length(w))) AS pos FROM w) JOIN pts USING (unit)) "
     "SELECT w, count(*) AS frames, round(sum(off * (1 - t) + coalesce(nxt, off) * t), 6) AS total FROM (SELECT *, unnest(CASE WHEN nxt IS NULL THEN [0.0] ELSE [0.0, 0.25, 0.5, 0.75] END) AS t FROM u) GROUP BY w"
 )
