@@ -131,3 +131,35 @@ def vocabulary_tokenize(form: Column, atoms: list[str]) -> Column:
     """(atoms, residue): longest matches of a vocabulary of one's own, and what is left over."""
     alternation = _alternation(atoms)
     return F.struct(F.regexp_extract_all(form, F.lit(f"({alternation})"), 1).alias("atoms"), F.regexp_replace(form, f"{alternation}|\\s", "").alias("residue"))
+
+
+def vocabulary_map(form: Column, targets: dict[str, str], drop: tuple[str, ...] = ()) -> Column:
+    """(symbols, refused) under a vocabulary of one's own (atom: target): the targets of the longest matches, without those of atoms
+    to drop, and the characters that no atom has."""
+    own = targets | dict.fromkeys(drop, "")
+    found = F.filter(convert_greedy(form, own), lambda s: s != "")
+    return F.struct(found.alias("symbols"), F.filter(unconvertible(form, own), lambda c: c != " ").alias("refused"))
+
+
+def vocabulary_read(symbols: Column, targets: dict[str, str]) -> Column:
+    """(form, refused) of an array of a vocabulary's symbols; of several atoms with one target the first counts."""
+    back: dict[str, str] = {}
+    for atom, target in targets.items():
+        back.setdefault(target, atom)
+    known = F.array(*map(F.lit, back))
+    return F.struct(F.array_join(F.transform(F.filter(symbols, lambda s: F.array_contains(known, s)), lambda s: _lookup(back, s)), "").alias("form"), F.filter(symbols, lambda s: ~F.array_contains(known, s)).alias("refused"))
+
+
+def losses(form: Column, name: str) -> Column:
+    """Units that a notation has no symbol for, without their stress, length and tone."""
+    own = F.array(*map(F.lit, table(name)))
+    return F.array_distinct(F.filter(F.transform(X.units(form), X.bare), lambda u: ~F.array_contains(own, u)))
+
+
+def features_from(symbol: str, name: str) -> dict[str, str] | None:
+    """The bundle of a symbol of a notation; None if it has none."""
+    from .. import inventory as I
+
+    base = symbol.rstrip("012") if name == "cmu" else symbol
+    unit = inverse(name).get(base)
+    return None if unit is None else I.bundle_of(unit)

@@ -47,11 +47,13 @@ def with_features(df: DataFrame, unit_col: str) -> DataFrame:
     marks = F.regexp_extract_all(F.col(unit_col), F.lit("([" + "".join([*I.DIACRITICS, *I.PROSODY]) + "])"), 1)
     pairs = [(m, f, v) for m, d in I.DIACRITICS.items() for f, v in d.items()] + [(m, f, v) for m, (f, v) in I.PROSODY.items()]
     stated = F.create_map(*(x for m, f, v in pairs for x in (F.lit(m), F.struct(F.lit(f).alias("key"), F.lit(v).alias("value")))))
-    joined = df.withColumn("__base", base).join(F.broadcast(table), "__base", "left").withColumn("__own", F.transform(marks, lambda m: F.try_element_at(stated, m)))
+    b, f, own = (X.free(df, x) for x in ("__base", "__features", "__own"))
+    table = table.withColumnsRenamed({"__base": b, "__features": f})
+    joined = df.withColumn(b, base).join(F.broadcast(table), b, "left").withColumn(own, F.transform(marks, lambda m: F.try_element_at(stated, m)))
     # the last mark for a feature wins
-    last = F.filter("__own", lambda e, i: ~F.exists(F.slice(F.col("__own"), i + 2, F.size("__own")), lambda o: o["key"] == e["key"]))
-    rest = F.filter(F.map_entries("__features"), lambda e: ~F.exists("__own", lambda o: o["key"] == e["key"]))
-    return joined.withColumn("features", F.when(F.col("__features").isNotNull(), F.map_from_entries(F.concat(rest, last)))).select(*df.columns, "features")
+    last = F.filter(own, lambda e, i: ~F.exists(F.slice(F.col(own), i + 2, F.size(own)), lambda o: o["key"] == e["key"]))
+    rest = F.filter(F.map_entries(f), lambda e: ~F.exists(own, lambda o: o["key"] == e["key"]))
+    return joined.withColumn("features", F.when(F.col(f).isNotNull(), F.map_from_entries(F.concat(rest, last)))).select(*df.columns, "features")
 
 
 def kind(unit: Column) -> Column:
@@ -102,3 +104,22 @@ def katakana(mora: Column) -> Column:
     table |= {c + v: chr(0x30CF + 3 * k + d) for d, c in enumerate("hbp") for k, v in enumerate("aiueo")}
     table |= {"ta": "タ", "ti": "チ", "tu": "ツ", "te": "テ", "to": "ト", "da": "ダ", "de": "デ", "do": "ド", "ya": "ヤ", "yu": "ユ", "yo": "ヨ", "wa": "ワ", "n": "ン"}
     return F.try_element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), mora)
+
+
+def pinyin_input(written: Column) -> Column:
+    """(syllable, tone) of a syllable with its tone number behind it; tone 5 where none is written, null if it isn't one."""
+    good = written.rlike("^[a-zü:]+[1-5]?$")
+    tone = F.coalesce(F.regexp_extract(written, "([1-5])$", 1).try_cast("int"), F.lit(5))
+    return F.when(good, F.struct(F.replace(F.regexp_replace(written, "[1-5]$", ""), F.lit("u:"), F.lit("ü")).alias("syllable"), tone.alias("tone")))
+
+
+def tone_index(syllable: Column) -> Column:
+    """Where pinyin puts the tone mark: a or e, else the o of ou, else the last vowel; counted from 0, null without a vowel."""
+    s = F.replace(syllable, F.lit("v"), F.lit("ü"))
+    at = lambda p: F.length(F.regexp_extract(s, p, 1))
+    return F.when(s.rlike("[ae]"), at("^([^ae]*)[ae]")).when(s.contains("ou"), at("^(.*?)ou")).when(s.rlike("[iouü]"), at("^(.*)[iouü][^iouü]*$"))
+
+
+def katakana_word(morae: Column) -> Column:
+    """(text, refused) of an array of romanized morae."""
+    return F.struct(F.array_join(F.transform(F.filter(morae, lambda m: katakana(m).isNotNull()), katakana), "").alias("text"), F.filter(morae, lambda m: katakana(m).isNull()).alias("refused"))

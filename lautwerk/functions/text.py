@@ -170,6 +170,39 @@ def boundaries(form: Column) -> Column:
     )
 
 
+def parse(form: Column) -> Column:
+    """(chain, marks) of each unit: its bases with their ties, and its diacritics and prosody in the order they are written."""
+    marks = "[" + "".join([*I.DIACRITICS, *I.PROSODY]) + "]"
+    return F.transform(units(form), lambda u: F.struct(F.regexp_replace(u, marks, "").alias("chain"), F.regexp_extract_all(u, F.lit(f"({marks})"), 1).alias("marks")))
+
+
+def read_strict(form: Column) -> Column:
+    """Units of a form; raises an error that names what would be lost."""
+    rest = lost(form)
+    return F.when(F.size(rest) > 0, F.raise_error(F.concat(F.lit("can't read "), F.array_join(rest, " ")))).otherwise(units(form))
+
+
+def is_structural(token: Column) -> Column:
+    """Whether a token is made of boundary marks and ties only."""
+    return token.rlike(f"^(?:{BOUNDARY_CLASS}|[{I.TIE}{I.SEQUENCE}{I.OTHER_MARKS}])+$")
+
+
+def carries_no_segment(form: Column) -> Column:
+    return ~encode(F.coalesce(form, F.lit(""))).rlike(base_class())
+
+
+def rebuild(unit_array: Column, marks: Column) -> Column:
+    """A form from its units and its boundaries (at, mark), as units and boundaries give them."""
+    at = lambda i: F.array_join(F.transform(F.filter(marks, lambda b: b["at"] == i), lambda b: b["mark"]), "")
+    return F.concat(F.array_join(F.transform(unit_array, lambda u, i: F.concat(at(i), u)), ""), at(F.size(unit_array)))
+
+
+def import_phoneset(phones: list[str]) -> list[str]:
+    """The spellings of an inventory from outside as this one writes them."""
+    own = str.maketrans(I.LOOKALIKES | I.LIGATURES)
+    return [x.translate(own) for x in _canonical(pd.Series(phones))]
+
+
 def strip_syllable_breaks(form: Column) -> Column:
     return F.replace(form, F.lit("."), F.lit(""))
 

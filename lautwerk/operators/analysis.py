@@ -154,3 +154,47 @@ def constrictions(bundle: dict[str, str]) -> list[tuple[str, float, float]]:
     own = [(p, I.PLACES[p], 1.0) for p in bundle.get("place", "").split("^") if p in I.PLACES]
     own += [(p, I.PLACES[p], I.SECONDARY_WEIGHT) for f, p in I.SECONDARY.items() if bundle.get(f) == "+"]
     return sorted(own, key=lambda c: c[1])
+
+
+def summary(spark: SparkSession) -> DataFrame:
+    """(what, n): sizes of the inventory."""
+    own = [("phones", len(I.phones())), ("features", len(I.values())), ("values", sum(map(len, I.values().values()))), ("diacritics", len(I.DIACRITICS)), ("prosody", len(I.PROSODY)), ("vowels", sum(b["manner"] == "vowel" for b in I.stated().values()))]
+    return spark.createDataFrame(own, "what string, n int")
+
+
+def feature_values(feature: str) -> tuple[str, ...]:
+    return I.values().get(feature, ())
+
+
+def feature_applies(feature: str, unit: str) -> bool:
+    """Whether a unit has a feature, stated or by default."""
+    return feature in (I.bundle_of(unit) or {})
+
+
+def consonant_manners() -> list[str]:
+    return [m for m in I.values()["manner"] if m not in ("vowel", "silence")]
+
+
+def declaring_mark(feature: str, value: str) -> str | None:
+    """The first diacritic or prosodic mark that states a value; None if none does."""
+    own = [m for m, d in I.DIACRITICS.items() if d.get(feature) == value] + [m for m, (f, v) in I.PROSODY.items() if (f, v) == (feature, value)]
+    return own[0] if own else None
+
+
+def modifier_mode(mark: str) -> str:
+    """What kind of thing a mark states: prosodic, release, secondary, overriding or additive; structural for ties and boundaries."""
+    if mark in I.PROSODY:
+        return "prosodic"
+    stated = I.DIACRITICS.get(mark)
+    if stated is None:
+        return "structural"
+    return "release" if "release" in stated else "secondary" if stated.keys() & I.SECONDARY.keys() else "overriding" if stated.keys() & {"voiced", "place", "airstream"} else "additive"
+
+
+def boundary_level(mark: str) -> str | None:
+    return I.BOUNDARIES.get(mark)
+
+
+def secondary_marks(bundle: dict[str, str]) -> list[str]:
+    """Secondary articulations that a bundle has."""
+    return [f for f in I.SECONDARY if bundle.get(f) == "+"]

@@ -87,9 +87,10 @@ def trajectory(df: DataFrame, form_col: str, frames_per_unit: int = 4) -> DataFr
     arc = F.create_map(*(x for s, (p, _) in points.items() if p is not None for x in (F.lit(s), F.lit(p))))
     off = F.create_map(*(x for s, (_, o) in points.items() for x in (F.lit(s), F.lit(o))))
     u = F.transform(X.units(F.col(form_col)), lambda t: X.decode(F.regexp_extract(X.encode(t), f"({X.base_class()})", 1)))
-    base = df.withColumn("__arc", F.transform(u, lambda t: F.try_element_at(arc, t))).withColumn("__off", F.transform(u, lambda t: F.try_element_at(off, t)))
-    n = F.size("__arc")
+    arcs, offs = X.free(df, "__arc"), X.free(df, "__off")
+    base = df.withColumn(arcs, F.transform(u, lambda t: F.try_element_at(arc, t))).withColumn(offs, F.transform(u, lambda t: F.try_element_at(off, t)))
+    n = F.size(arcs)
     rows = base.where(n > 0).select("*", F.explode(F.sequence(F.lit(0), (n - 1) * frames_per_unit)).alias("frame"))
     k, t = F.floor(F.col("frame") / frames_per_unit).cast("int"), (F.col("frame") % frames_per_unit) / frames_per_unit
     mix = lambda c: F.when(t == 0, F.get(c, k)).otherwise(F.get(c, k) * (1 - t) + F.get(c, k + 1) * t)
-    return rows.select(*df.columns, "frame", mix("__arc").alias("arc"), mix("__off").alias("offset"))
+    return rows.select(*df.columns, "frame", mix(arcs).alias("arc"), mix(offs).alias("offset"))

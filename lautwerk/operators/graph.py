@@ -199,3 +199,36 @@ def choice_violations(relations: DataFrame) -> DataFrame:
     many = selected.groupBy("graph", "src").count().where("count > 1").select("graph", "src", F.lit("several selections").alias("reason"))
     alien = selected.join(alternatives, ["graph", "src", "tgt"], "left_anti").select("graph", "src", F.lit("not an alternative").alias("reason"))
     return many.unionAll(alien).distinct()
+
+
+# -- events, serialisation -------------------------------------------------------------------------------------------
+
+
+def events_at(events: DataFrame, tier: str, tick: int) -> DataFrame:
+    """Events (graph, node, tier, tick, idx) of a tier that stand at a tick of the clock, in their order there."""
+    return events.where((F.col("tier") == tier) & (F.col("tick") == tick)).orderBy("graph", "idx")
+
+
+def positions(events: DataFrame) -> DataFrame:
+    """(graph, node, tier, place): the place of each event on its tier."""
+    order = Window.partitionBy("graph", "tier").orderBy("tick", "idx", "node")
+    return events.select("graph", "node", "tier", (F.row_number().over(order) - 1).cast("long").alias("place"))
+
+
+def references(relations: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(graph, node, name, other, role): every relation that names one of the nodes, with the part it plays there."""
+    as_source = relations.select("graph", F.col("src").alias("node"), "name", F.col("tgt").alias("other"), F.lit("source").alias("role"))
+    as_target = relations.select("graph", F.col("tgt").alias("node"), "name", F.col("src").alias("other"), F.lit("target").alias("role"))
+    return as_source.unionAll(as_target).join(nodes.select("graph", "node").distinct(), ["graph", "node"], "left_semi")
+
+
+def to_json(relations: DataFrame) -> DataFrame:
+    """(graph, data): each graph's relations as versioned JSON in canonical order; a graph is one form's and thus small."""
+    rows = relations.groupBy("graph").agg(F.array_sort(F.collect_list(F.struct("src", "name", F.col("ordinal").cast("int").alias("ordinal"), "tgt"))).alias("links"))
+    return rows.select("graph", F.to_json(F.struct(F.lit("tiergraph").alias("type"), F.lit(1).alias("v"), "links")).alias("data"))
+
+
+def from_json(data: DataFrame) -> DataFrame:
+    """Relations of (graph, data); those of another type or version are left out."""
+    x = F.from_json("data", "type string, v int, links array<struct<src:string,name:string,ordinal:int,tgt:string>>")
+    return data.select("graph", x.alias("x")).where("x.type = 'tiergraph' and x.v = 1").select("graph", F.explode("x.links").alias("l")).select("graph", "l.name", "l.src", "l.ordinal", "l.tgt")

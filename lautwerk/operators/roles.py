@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.corpus import Corpus
@@ -70,3 +70,20 @@ def costs_from_rules(rules: str, low: float = 0.25) -> tuple[dict[str, float], d
         if r.pattern.target.kind == "null":
             new[r.change.value] = low
     return gone, new
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """A report or a spread as JSON lines; its rule set's identity is in its rows."""
+    report.write.mode("overwrite").json(path)
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """A report as written; refuses files without a class, which are none."""
+    out = spark.read.json(path)
+    if "class" not in out.columns:
+        raise ValueError(f"{path} holds no report")
+    return out
+
+
+def read_spread(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("entry_id string, source string, kind string, `left` string, `right` string").json(path)
