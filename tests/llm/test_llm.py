@@ -10,17 +10,19 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
-from lautwerk.llm import common, crf, lattice_lm, mixing
+from lautwerk.llm import common, crf, language_id, lattice_lm, mixing, quality_crf
+from lautwerk.llm import toxicity as tox
 from lautwerk.llm.decontaminate import BROADCAST_BYTES, LEAST_EQUAL, SHORTEST, SPAN, STRETCH, decontaminate
 from lautwerk.llm.jaccard_join import jaccard_components, jaccard_links
 from lautwerk.llm.language_id import identify
 from lautwerk.llm.lattice_lm import lattice_scores
-from lautwerk.llm.license_scan import BASE, DECISIVE, TEMPLATES, license_scan
+from lautwerk.llm.license_scan import BASE, DECISIVE, DRIFT, EDITS, GRAM, SPREAD, TEMPLATES, license_scan
 from lautwerk.llm.mixing import mix_sources, mixed_blocks, mixed_slots, shards
 from lautwerk.llm.quality_crf import line_features, quality_scores
-from lautwerk.llm.quality_rules import quality_rules
+from lautwerk.llm.quality_rules import BAD_GIVEN, BELIEF, MIN_POSTERIOR, PRIOR_GOOD, ROUNDS, RULES, quality_rules
 from lautwerk.llm.token_counts import piece_lengths, token_counts
 from lautwerk.llm.toxicity import toxicity
 
@@ -137,6 +139,55 @@ def test_quality_rules(both, none):
     assert quality_rules(none).count() == 0
 
 
+def test_quality_posteriors_agree_with_rows(both):
+    """Votes from the measures in plain Python; expectation-maximisation text by text, without counting patterns first."""
+    rows_ = quality_rules(both).collect()
+    by_id = defaultdict(list)
+    for i, text, *_ in texts_of(both):
+        by_id[i].append(text or "")
+    votes, names = [], list(RULES)
+    for r in rows_:
+        votes.append(tuple(r[f"vote_{n}"] for n in names))
+        if len(set(by_id[r["doc_id"]])) > 1:
+            continue
+        text = by_id[r["doc_id"]][0]
+        joined = "".join(WORD.findall(text))
+        lines = [x for x in text.split("\n") if WORD.search(x)]
+        m = dict(
+            n_words=r["n_words"], word_chars=r["word_chars"], n_symbols=r["n_symbols"], n_dup_lines=r["n_dup_lines"], n_repeat_words=r["n_repeat_words"], n_lines=len(lines),
+            n_upper=len(regex.findall(r"\p{Lu}", joined)), n_letters=len(regex.findall(r"\p{L}", joined)), n_distinct=len(set(WORD.findall(text))),
+        )
+        for (good, bad), vote in zip(RULES.values(), votes[-1], strict=True):
+            holds = lambda e: eval(re.sub(r"(\w+) between (.+?) and (.+)$", r"\2 <= \1 <= \3", e).replace(" = ", " == "), {}, m)  # noqa: E731, B023, S307
+            assert vote == (1 if holds(good) else -1 if holds(bad) else 0), (r["doc_id"], good)
+    learn = [v for v, r in zip(votes, rows_) if r["n_words"] > 0]
+    total = len(learn)
+    pull = {1: BELIEF * PRIOR_GOOD * total, 0: BELIEF * (1 - PRIOR_GOOD) * total}
+    prior, bad = PRIOR_GOOD, [dict(BAD_GIVEN) for _ in names]
+
+    def good_odds(v):
+        odds = math.log(prior / (1 - prior))
+        for x, b in zip(v, bad):
+            odds += math.log(b[1] / b[0]) if x < 0 else math.log((1 - b[1]) / (1 - b[0])) if x > 0 else 0
+        return odds
+
+    for _ in range(ROUNDS):
+        post = [1 / (1 + math.exp(-good_odds(v))) for v in learn]
+        mass = {1: pull[1] + sum(post), 0: pull[0] + sum(1 - p for p in post)}
+        new = []
+        for k in range(len(names)):
+            share = {}
+            for c in (1, 0):
+                said = {x: sum((p if c else 1 - p) for p, v in zip(post, learn) if v[k] == x) for x in (1, -1)}
+                no, yes = BAD_GIVEN[c] * pull[c] + said[-1], (1 - BAD_GIVEN[c]) * pull[c] + said[1]
+                share[c] = no / (no + yes)
+            new.append(share)
+        prior, bad = mass[1] / (mass[1] + mass[0]), new
+    for v, r in zip(votes, rows_):
+        want = 1 / (1 + math.exp(-good_odds(v)))
+        assert math.isclose(r["posterior"], want, rel_tol=1e-6, abs_tol=1e-9) and r["kept"] == (not r["base_failed"] and r["posterior"] >= MIN_POSTERIOR)
+
+
 def test_quality_rules_keep_good_texts(docs, labels):
     got = quality_rules(docs).join(labels, "doc_id").toPandas()
     good = got[(got.quality == 1) & ~got.base_failed]
@@ -197,6 +248,84 @@ def test_language_id(spark, odd, none):
     assert identify(none).count() == 0
 
 
+class Sent:
+    """A broadcast that went nowhere."""
+
+    def __init__(self, value):
+        self.value = value
+
+
+def scored(module, model, texts):
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([False] * len(texts)), pa.array(texts)], ["doc_id", "held_out", "text"])
+    return pa.Table.from_batches(list(module._scorer(Sent(model))(iter([batch])))).to_pylist()
+
+
+def grams_of(text):
+    raw = bytes(c + 32 if 65 <= c <= 90 else c for c in text.encode())
+    return {raw[k : k + n] for n in (1, 2, 3) for k in range(len(raw) - n + 1)}
+
+
+def test_language_scores_agree_with_sets():
+    texts = ["the quick brown fox", "a lazy dog sleeps", "the end of the day", "der schnelle fuchs", "ein müder hund schläft", "das ende des tages", "Über allen Gipfeln"]
+    langs = ["en"] * 3 + ["de"] * 4
+    model = language_id.fit(texts, langs)
+    sets = [grams_of(t) for t in texts]
+    kernel = lambda a, b: len(a & b) / math.sqrt(max(len(a), 1) * max(len(b), 1))
+    marks = [i for n in ("de", "en") for i in range(len(texts)) if langs[i] == n]
+    square = np.array([[kernel(sets[i], sets[j]) for j in marks] for i in marks])
+    value, vector = np.linalg.eigh(square)
+    white = vector[:, value > 1e-6 * value.max()] / np.sqrt(value[value > 1e-6 * value.max()])
+    features = lambda own: np.r_[np.array([kernel(own, sets[j]) for j in marks]) @ white, 1.0]
+    phi = np.array([features(x) for x in sets])
+    y = np.array([[1.0 if x == n else -1.0 for n in ("de", "en")] for x in langs])
+    weight = np.diag([1 / langs.count(x) for x in langs])
+    coef = np.linalg.solve(phi.T @ weight @ phi + language_id.RIDGE / 20 * np.eye(phi.shape[1]), phi.T @ weight @ y)
+    asked = ["the dog of the day", "ein fuchs", "ÜBER", "12 !!", "zzz qqq the", ""]
+    for text, got in zip(asked, scored(language_id, model, asked), strict=True):
+        out = features(grams_of(text)) @ coef
+        share = np.exp(language_id.SHARPNESS * (out - out.max()))
+        has = any(c.isalpha() for c in text)
+        assert got["lang_pred"] == (("de", "en")[int(out.argmax())] if has else "und")
+        assert math.isclose(got["score"], share.max() / share.sum() if has else 0.0, rel_tol=1e-3)
+
+
+def marginals_by_enumeration(emission, trans):
+    n, total, one = len(emission), 0.0, np.zeros(len(emission))
+    for states in itertools.product((0, 1), repeat=n):
+        weight = math.exp(sum(e for e, s in zip(emission, states) if s) + sum(trans[a, b] for a, b in itertools.pairwise(states)))
+        total += weight
+        one += weight * np.array(states)
+    return one / total
+
+
+def test_quality_scores_agree_with_enumeration():
+    good = [f"A plain line of text number {k}.\nAnother one follows here." for k in range(12)]
+    bad = [f"### $$$ ||| {k}\n%% && ** <> {k}\nBUY BUY BUY" for k in range(12)]
+    model = quality_crf.fit(good + bad, [1] * 12 + [0] * 12)
+    asked = ["", "A plain line.\n### $$$ |||\nAnother line follows here.", "\n".join(["words and words", "%%% ***"] * 4), "one"]
+    for text, got in zip(asked, scored(quality_crf, model, asked), strict=True):
+        x, size, cut = line_features(pa.array([text]))
+        p = marginals_by_enumeration(((x - model["mean"]) / model["dev"]) @ model["w"], model["trans"])
+        share = min(max((p * size).sum() / size.sum(), 1e-4), 1 - 1e-4)
+        want = 1 / (1 + math.exp(-(model["a"] * math.log(share / (1 - share)) + model["b"])))
+        assert math.isclose(got["score"], want, rel_tol=1e-6) and got["predicted"] == (want >= quality_crf.CUTOFF)
+    scores = [r["score"] for r in scored(quality_crf, model, good + bad)]
+    assert min(scores[:12]) >= quality_crf.CUTOFF > max(scores[12:])
+
+
+def test_toxicity_scores_agree_with_enumeration():
+    clean = [f"kind words about topic {k} and friends" for k in range(40)]
+    toxic = [f"you are a xu person {k} and a vilewretch {k}" for k in range(40)]
+    model = tox.fit(clean + toxic, [0] * 40 + [1] * 40)
+    asked = ["", "a xu person", "kind friends about a vilewretch and xu words", "nothing here"]
+    for text, got in zip(asked, scored(tox, model, asked), strict=True):
+        ids, _, _ = tox.features(pa.array([text]))
+        p = marginals_by_enumeration(model["w"][ids].sum(1).astype(float) + model["bias"], model["trans"]) if len(ids) else np.zeros(1)
+        assert math.isclose(got["score"], p.max(), rel_tol=1e-5, abs_tol=1e-9) and got["toxic_words"] == np.flatnonzero(p >= tox.CUTOFF).tolist()
+    # a word of two letters is marked as a longer one is
+    assert [r["predicted"] for r in scored(tox, model, asked)] == [0, 1, 1, 0]
+
+
 def shingle_set(text):
     w = WORD.findall((text or "").translate(A_Z))
     return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
@@ -340,6 +469,39 @@ def test_license_scan(both, none):
     assert license_scan(none).count() == 0
 
 
+def brute_labels(text):
+    """Labels and best cover of a text, by comparing words."""
+    w = ALNUM.findall((text or "").translate(A_Z))
+    found = {}
+    for name, template in TEMPLATES.items():
+        t = template.split()
+        n = len(t) - GRAM + 1
+        hits = [(a - b, a, b) for a in range(len(w) - GRAM + 1) for b in range(n) if w[a : a + GRAM] == t[b : b + GRAM]]
+        groups = []
+        for hit in sorted(hits):
+            if groups and hit[0] - groups[-1][-1][0] <= DRIFT:
+                groups[-1].append(hit)
+            else:
+                groups.append([hit])
+        least = n - (1 if n <= GRAM else GRAM * math.ceil(len(t) / EDITS))
+        for g in groups:
+            places = {b for *_, b in g}
+            decisive = name not in DECISIVE or any(b <= t.index(DECISIVE[name]) < b + GRAM for b in places)
+            start, end = min(a for _, a, _ in g), max(a for _, a, _ in g) + GRAM
+            if decisive and len(places) >= least and end - start <= SPREAD * len(t):
+                found[name] = max(found.get(name, 0), len(places) / n)
+    base = {label for phrase, label in BASE.items() if any(w[k : k + len(phrase.split())] == phrase.split() for k in range(len(w)))}
+    return ",".join(sorted(base | set(found))), 1.0 if base else max(found.values(), default=0.0)
+
+
+def test_license_labels_agree_with_words(spark, docs):
+    twice = " ".join([TEMPLATES["apache-text"], "and", TEMPLATES["gpl-text"], TEMPLATES["apache-text"][10:]])
+    df = docs.select("doc_id", "text").unionAll(spark.createDataFrame([(-1, twice), (-2, TEMPLATES["bsd-text"].upper())], "doc_id long, text string"))
+    got = {r["doc_id"]: (r["labels"], round(r["score"], 9)) for r in license_scan(df).collect()}
+    want = {r["doc_id"]: brute_labels(r["text"]) for r in df.collect()}
+    assert got == {i: (x, round(y, 9)) for i, (x, y) in want.items()}
+
+
 def test_license_spans_survive_edits(spark):
     made, want = [(0, "this program is free of charge"), (1, "licensed under cc by 4 0"), (2, "licensed under the foo license version 2 0")], {0: set(), 1: set(), 2: set()}
     for name, text in TEMPLATES.items():
@@ -422,6 +584,28 @@ def test_lattice_scores(both, none):
     assert lattice_scores(none).count() == 0
 
 
+def test_lattice_scores_of_texts(spark):
+    """The model's score from the lattice of each word: one round of expectation-maximisation over the training words, then sums."""
+    texts = ["the cat sat", "a cat on the mat", "zür x", "", "the the the end", "unheard of words", "the cat"]
+    got = {r["doc_id"]: r["score"] for r in lattice_scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    train = [i for i in range(len(texts)) if not held(i, 7, 2)]
+    counts = Counter(w for i in train for w in texts[i].split())
+    pieces, prior = lattice_lm.read_pieces(None)
+
+    def run(logp, words, weight=None):
+        raws = [w.encode() for w in words]
+        return lattice_lm.Lattice(pieces, logp).run(np.frombuffer(b"".join(raws), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raws])]), weight)
+
+    gain = run(prior, list(counts), np.array(list(counts.values()), float))[1]
+    logp = np.log(gain + lattice_lm.PRIOR_PIECES * np.exp(prior)) - np.log(gain.sum() + lattice_lm.PRIOR_PIECES)
+    tokens = sum(counts.values()) + len(train)
+    stop = (len(train) + 1) / (tokens + 2)
+    for i, text in enumerate(texts):
+        words = text.split()
+        of_words = run(logp, words)[0].sum() / math.log(10) if words else 0.0
+        assert math.isclose(got[i], of_words + len(words) * math.log10(1 - stop) + math.log10(stop), rel_tol=1e-9)
+
+
 def brute_targets(size):
     """Targets by weight in code point order, null last; the excess over twice a source's size is shared again."""
     named = sorted((s for s in size if s is not None), key=lambda s: [ord(c) for c in s]) + [s for s in size if s is None]
