@@ -253,6 +253,43 @@ p -> ∅ / _ # ; final p deletion
 ə -> ∅ / [-vowel] [-vowel] _ # ; final schwa deletion (after a cluster)
 ə ~> ∅ / # [-vowel] _ [-vowel] [vowel] ; e caduc (first syllable)
 ə ~> ∅ / [vowel] [-vowel] _ [-vowel] [vowel] ; e caduc (interior)
+""",
+    "japanese-moraic": """
+[manner=approximant place=alveolar] -> ɾ ; liquids are the tap
+θ -> s ; θ is s
+ð -> z ; ð is z
+v -> b ; v is b
+f -> ɸ ; f is ɸ
+ʃ -> ɕ ; ʃ is the alveolo-palatal
+t͡ʃ -> t͡ɕ ; t͡ʃ is the alveolo-palatal affricate
+d͡ʒ -> d͡ʑ ; d͡ʒ is the voiced alveolo-palatal affricate
+ŋ -> ŋɡ / _ # ; final ŋ takes a velar stop
+i -> iː ; tense i lengthens
+u -> uː ; tense u lengthens
+ɔ -> oː ; ɔ is long o
+e͜ɪ -> eː ; eɪ is long e
+o͜ʊ -> oː ; oʊ is long o
+ɚ -> aː ; unstressed r-colored vowel is long a
+ɝ -> aː ; stressed r-colored vowel is long a
+a͜ɪ -> ai ; aɪ is a + i
+a͜ʊ -> au ; aʊ is a + u
+ɔ͜ɪ -> oi ; ɔɪ is o + i
+ɪ -> i ; ɪ is short i
+ɛ -> e ; ɛ is short e
+æ -> a ; æ is short a
+ʌ -> a ; ʌ is short a
+ə -> a ; ə is short a
+ʊ -> u ; ʊ is short u
+ɑ -> o ; ɑ is short o
+[obstruent -fricative] -> [length=long] / [-vowel] [vowel -long] _ # ; gemination (after a consonant)
+[obstruent -fricative] -> [length=long] / # [vowel -long] _ # ; gemination (word-initial vowel)
+∅ -> o / [manner=plosive place=alveolar] _ [-vowel -approximant] ; o after a coronal stop (cluster)
+∅ -> o / [manner=plosive place=alveolar] _ # ; o after a coronal stop (final)
+∅ -> i / [manner=affricate place=alveolo-palatal] _ [-vowel -approximant] ; i after an alveolo-palatal affricate (cluster)
+∅ -> i / [manner=affricate place=alveolo-palatal] _ # ; i after an alveolo-palatal affricate (final)
+∅ -> u / [-vowel -nasal] _ [-vowel -approximant] ; u elsewhere (cluster)
+∅ -> u / [-vowel -nasal] _ # ; u elsewhere (final)
+∅ -> u / [manner=nasal place=bilabial] _ # ; u after a final labial nasal
 """,
     "spanish-accented-english": """
 ∅ -> e / # _ s [-vowel -approximant] ; prothesis (s + obstruent or nasal)

@@ -245,6 +245,7 @@ def outputs(rule: Rule, values: dict[str, str]) -> dict[str, str]:
         found = by_bundle.get(wanted)
         if found is None:
             marks = [m for f, v in change.required.items() for m, d in I.DIACRITICS.items() if d == {f: v} and I.full()[s].get(f) != v]
+            marks += [m for m, fv in I.PROSODY.items() if change.required.get(fv[0]) == fv[1] and m not in I.STRESS_MARKS][:1]
             found = s + "".join(dict.fromkeys(marks)) if marks and len(marks) >= sum(I.full()[s].get(f) != v for f, v in change.required.items()) else None
         if found and found != s:
             out[s] = found

@@ -222,6 +222,35 @@ def morae_japanese(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("form", F.array_join("m.parts", ".").alias("morae"), F.size("m.rest").cast("long").alias("n_rest"))
 
 
+# Words with a stress mark before them, long vowels, and a syllable break after each that isn't the last sound.
+_MARKED = f"WITH {_WORDS}, m AS (SELECT form, n, 'ˈ' || regexp_replace(regexp_replace(form, '([aeiouy])', '\\1ː', 'g'), 'ː(.)', 'ː.\\1', 'g') AS marked, len(regexp_extract_all(form, '[aeiouy]')) AS nv FROM words) "
+
+
+def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long = F.regexp_replace("form", "([aeiouy])", "$1ː")
+    return words(spark, sf_dir).withColumn("marked", F.concat(F.lit("ˈ"), F.regexp_replace(long, "ː(.)", "ː.$1")))
+
+
+@query(
+    _MARKED
+    + """SELECT marked, 'ˈ' || array_to_string(list_transform(string_split(form, ''), lambda c: CASE WHEN contains('aeiouy', c) THEN c || 'ː' ELSE c END), ' ') AS segmented,
+    CAST(1 + nv AS BIGINT) AS n_prosody, CAST(length(marked) - length(replace(marked, '.', '')) AS BIGINT) AS n_breaks,
+    CASE WHEN nv > 0 AND contains('aeiouy', left(form, 1)) THEN '1' || repeat('0', nv - 1) ELSE repeat('0', nv) END AS signature, replace(replace(replace(marked, 'ˈ', ''), 'ː', ''), '.', '') AS bare FROM m"""
+)
+def marked_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads of forms with stress, length and syllable breaks."""
+    f = F.col("marked")
+    bare = F.array_join(F.transform(X.units(f), X.bare), "")
+    counts = (F.size(X.prosody(f)).cast("long").alias("n_prosody"), F.size(X.boundaries(f)).cast("long").alias("n_breaks"))
+    return marked(spark, sf_dir).select("marked", X.segmented(f).alias("segmented"), *counts, intervals.stress_signature(f).alias("signature"), bare.alias("bare"))
+
+
+@query(_MARKED + "SELECT marked, regexp_replace(marked, '([aeiouy])(ː[.]?)([mn])', '\\1\u0303\\2\\3', 'g') AS surface FROM m")
+def marked_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long vowels before nasals, over a syllable break, become nasal; their length stays behind the new mark."""
+    return marked(spark, sf_dir).select("marked", rewrite.rewrite(F.col("marked"), "[vowel length=long] -> [+nasalized] / _ [nasal]").alias("surface"))
+
+
 # -- graphs -----------------------------------------------------------------------------------------------------------
 
 

@@ -89,6 +89,8 @@ def test_find_and_rules(spark):
         assert rewrite.shipped(name)
     assert value(spark, rewrite.rewrite(F.col("f"), rewrite.shipped("spanish-accented-english")), f="stɹɪŋ") == "estɾin"
     assert value(spark, rewrite.rewrite(F.col("f"), rewrite.shipped("german-final-devoicing")), f="ɡʁab.ɡʁab") == "ɡʁap.ɡʁap"
+    for form, want in (("kæt", "katːo"), ("stɹit", "sutoɾiːto"), ("bʊk", "bukːu"), ("mæt͡ʃ", "mat͡ɕːi"), ("tim", "tiːmu"), ("sɔŋ", "soːŋɡu")):
+        assert value(spark, rewrite.rewrite(F.col("f"), rewrite.shipped("japanese-moraic")), f=form) == want
     assert rewrite.regime("t -> ∅") == "lossy" and rewrite.regime("θ -> s") == "length-preserving"
     df = spark.createDataFrame([("ti" * 9,), ("ti",)], "f string")
     assert [r["f"] for r in rewrite.unexplored(df, "f", "t ~> s / _ i").collect()] == ["ti" * 9]
