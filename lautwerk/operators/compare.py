@@ -94,3 +94,27 @@ def trajectory(df: DataFrame, form_col: str, frames_per_unit: int = 4) -> DataFr
     k, t = F.floor(F.col("frame") / frames_per_unit).cast("int"), (F.col("frame") % frames_per_unit) / frames_per_unit
     mix = lambda c: F.when(t == 0, F.get(c, k)).otherwise(F.get(c, k) * (1 - t) + F.get(c, k + 1) * t)
     return rows.select(*df.columns, "frame", mix(arcs).alias("arc"), mix(offs).alias("offset"))
+
+
+def unit_extents(df: DataFrame, form_col: str, frames_per_unit: int = 4) -> DataFrame:
+    """df's columns with place, unit, first and last: the frames of a trajectory in which each unit is the nearer one."""
+    units = X.units(F.col(form_col))
+    rows = df.select("*", F.posexplode(units).alias("place", "unit"))
+    half = frames_per_unit // 2
+    n = F.size(units)
+    first = F.when(F.col("place") == 0, 0).otherwise(F.col("place") * frames_per_unit - half + (0 if frames_per_unit % 2 else 1))
+    last = F.when(F.col("place") == n - 1, (n - 1) * frames_per_unit).otherwise(F.col("place") * frames_per_unit + half)
+    return rows.select(*df.columns, "place", "unit", first.alias("first"), last.alias("last"))
+
+
+def track(df: DataFrame, id_col: str, form_col: str, frame_rate: float = 100.0, frames_per_unit: int = 4) -> DataFrame:
+    """(id, seconds, arc, offset): a trajectory in time, at so many frames a second."""
+    t = trajectory(df.select(F.col(id_col).alias("id"), F.col(form_col).alias("form")), "form", frames_per_unit)
+    return t.select("id", (F.col("frame") / F.lit(frame_rate)).alias("seconds"), "arc", "offset")
+
+
+def costs_identity(delete: dict[str, float] | None = None, insert: dict[str, float] | None = None, default: float = D.GAP) -> str:
+    """Digest of the prices of a directional distance."""
+    from ..functions.segments import identity_fingerprint
+
+    return identity_fingerprint({"delete": delete or {}, "insert": insert or {}, "default": default})

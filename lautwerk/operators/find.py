@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import inventory as I
 from ..functions import text as X
 from ..plans import patterns as P
 from ..plans.terms import Query, parse, symbols
@@ -50,10 +53,17 @@ def offsets(form: Column, spec: str) -> Column:
     return F.array_sort(F.array_distinct(F.concat(*map(one, P.bindings(pattern)))))
 
 
-def find(df: DataFrame, form_col: str, spec: str, plain: bool = False) -> DataFrame:
-    """A row for each match: the columns of df, pos and unit. plain: the forms have no marks, see text.plain."""
+def find(df: DataFrame, form_col: str, spec: str, plain: bool = False, wild: bool = False) -> DataFrame:
+    """A row for each match: the columns of df, pos and unit. plain: the forms have no marks, see text.plain. wild: the letters of
+    the query are spelled as keyboards do, see text.normalize_lookalikes."""
     with X.plain(plain):
-        return _find(df, form_col, spec)
+        return _find(df, form_col, wild_query(spec) if wild else spec)
+
+
+def wild_query(spec: str) -> str:
+    """A query with its look-alikes and ligatures replaced, but not inside brackets."""
+    table = str.maketrans(I.LOOKALIKES | I.LIGATURES)
+    return "".join(part if part.startswith("[") else part.translate(table) for part in re.split(r"(\[[^\]]*\])", spec))
 
 
 def _find(df: DataFrame, form_col: str, spec: str) -> DataFrame:

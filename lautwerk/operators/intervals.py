@@ -17,13 +17,14 @@ def _class(terms: str) -> str:
     return "[" + "".join(X.compounds().get(s, s) for s in symbols(parse(terms))) + "]"
 
 
-def syllabify(form: Column, language: str = "spanish") -> Column:
-    """Syllables of a form: nuclei are vowels, each takes the longest licensed onset before it, the rest is coda.
+def syllabify(form: Column, language: str | list[tuple[str, str]] = "spanish") -> Column:
+    """Syllables of a form: nuclei are vowels, each takes the longest licensed onset before it, the rest is coda. A language is one of
+    LANGUAGES, or its onsets of two consonants, as feature terms of each.
 
     One pass of a regular expression: a break goes where a licensed onset with its vowel begins after an earlier vowel.
     """
     vowel = _class("vowel")
-    onsets = [f"{_class(a)}{X.AFTER_CLASS}*{_class(b)}" for a, b in LANGUAGES[language]]
+    onsets = [f"{_class(a)}{X.AFTER_CLASS}*{_class(b)}" for a, b in (LANGUAGES[language] if isinstance(language, str) else language)]
     consonant = f"(?!{vowel}){X.base_class()}{X.AFTER_CLASS}*"
     # written breaks are derived anew
     e = F.regexp_replace(X.encode(form), r"\.", "")
@@ -37,6 +38,19 @@ def syllabify(form: Column, language: str = "spanish") -> Column:
     return F.filter(F.split(X.decode(first), r"[.#\s]"), lambda s: s != "")
 
 
+def syllable_marks(form: Column, language: str | list[tuple[str, str]] = "spanish") -> Column:
+    """Places (units before) of the breaks that syllabify derives."""
+    return F.transform(F.filter(as_intervals(syllabify(form, language), "syllable"), lambda i: i["start"] > 0), lambda i: i["start"].cast("long"))
+
+
+def syllable_conflicts(form: Column, language: str | list[tuple[str, str]] = "spanish") -> Column:
+    """(at, side) of the breaks that are only written or only derived; word boundaries count as both."""
+    written = F.transform(X.boundaries(form), lambda b: b["at"])
+    derived = syllable_marks(form, language)
+    of = lambda a, side: F.transform(a, lambda at: F.struct(at.alias("at"), F.lit(side).alias("side")))
+    return F.array_sort(F.concat(of(F.array_except(written, derived), "written"), of(F.array_except(derived, written), "derived")))
+
+
 def morae(form: Column) -> Column:
     """(parts, rest) by the Japanese analysis: a vowel with at most a consonant and a palatal approximant before it, a nasal alone, or
     a long consonant; rest holds what is none of these. Written boundaries are left out."""

@@ -117,6 +117,14 @@ def derive(df: DataFrame, form_col: str, rules: str | list[P.Rule], plain: bool
     return out.select(*df.columns, X.decode(F.col(names[-1])).alias("surface"), trace.alias("trace"))
 
 
+def derivation_graph(df: DataFrame, id_col: str, form_col: str, rules: str | list[P.Rule]) -> DataFrame:
+    """(graph, name, src, ordinal, tgt): the derivation of each form as relations from one stage to the next, named by the rule."""
+    d = derive(df.select(F.col(id_col).cast("string").alias("graph"), F.col(form_col).alias("form")), "form", rules)
+    steps = d.select("graph", F.posexplode("trace").alias("k", "s"))
+    at = lambda k, form: F.concat(k.cast("string"), F.lit(":"), form)
+    return steps.select("graph", F.col("s.name").alias("name"), at(F.col("k"), F.col("s.before")).alias("src"), F.lit(0).alias("ordinal"), at(F.col("k") + 1, F.col("s.after")).alias("tgt"))
+
+
 def edits(form: Column, rule: str | P.Rule) -> Column:
     """(at, removed, added) of every site of a rule, in order: the number of units before it, and the units that go and come."""
     own = rules_of(rule)[0] if isinstance(rule, str) else rule

@@ -45,3 +45,17 @@ def load_matrix_json(spark: SparkSession, path: str) -> DataFrame:
             rows += [(a, b, float(found["upper"][k])), (b, a, float(found["upper"][k]))]
             k += 1
     return spark.createDataFrame(rows, "a string, b string, d double")
+
+
+def read_phoneset(spark: SparkSession, path: str) -> DataFrame:
+    """(phone, line): one phone a line, without silences and empty lines, imported as spellings from outside."""
+    from ..functions import text as X
+    from .corpus import numbered
+
+    rows = numbered(spark, path).select(F.trim("value").alias("phone"), "line")
+    return rows.where(~F.lower("phone").isin("", "sil", "sp", "spn", D.I.SILENCE)).select(X.from_wild(F.col("phone")).alias("phone"), "line")
+
+
+def distance_model(spark: SparkSession, path: str, gamma: float = 1.0) -> D.DistanceModel:
+    """A model on a matrix file: labelled tab-separated, or JSON with the upper triangle."""
+    return D.DistanceModel.from_matrix(load_matrix_json(spark, path) if path.endswith(".json") else load_matrix_tsv(spark, path), gamma)

@@ -61,6 +61,9 @@ class Corpus:
         """Forms of many entries (entry_id) in one join."""
         return self.forms(*roles).join(ids.select("entry_id").distinct(), "entry_id", "left_semi")
 
+    def count(self) -> int:
+        return self._read("meta", META).count()
+
     def roles_of(self, entry_id: str) -> DataFrame:
         return self.read(entry_id).select("role").distinct()
 
@@ -177,7 +180,7 @@ def manifest(corpus: Corpus) -> dict:
 # -- dictionaries -----------------------------------------------------------------------------------------------------
 
 
-def _numbered(spark: SparkSession, path: str) -> DataFrame:
+def numbered(spark: SparkSession, path: str) -> DataFrame:
     """(value, line): lines with their numbers from 1 within each file. A file is one row while it is numbered, as a dictionary is
     some MB; its lines are dealt out again afterwards."""
     whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("pos", "value"))
@@ -205,7 +208,7 @@ def read_cmudict(spark: SparkSession, path: str) -> DataFrame:
     """(word, variant, phones, line, reason): lines of a pronouncing dictionary; reason names symbols that are none."""
     from ..functions.notation import inverse
 
-    lines = _numbered(spark, path).where(~F.col("value").rlike(r"^\s*(;;;|#|$)"))
+    lines = numbered(spark, path).where(~F.col("value").rlike(r"^\s*(;;;|#|$)"))
     parts = F.split(F.trim(F.regexp_replace("value", r"\s+#.*$", "")), r"\s+")
     head = F.element_at(parts, 1)
     phones = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
@@ -217,7 +220,7 @@ def read_cmudict(spark: SparkSession, path: str) -> DataFrame:
 
 def read_ipa_dict(spark: SparkSession, path: str) -> DataFrame:
     """(word, variants, line, reason): ``word<TAB>/p/, /p2/``; a line is good when all its variants are."""
-    lines = _numbered(spark, path).where("trim(value) <> ''")
+    lines = numbered(spark, path).where("trim(value) <> ''")
     parts = F.split("value", "\t", 2)
     variants = F.transform(F.split(F.element_at(parts, 2), r",\s*"), lambda v: F.regexp_replace(v, r"^/|/$", ""))
     bad = F.filter(variants, lambda v: ~X.is_valid(v))
@@ -233,7 +236,7 @@ def emit_ipa_dict(df: DataFrame) -> DataFrame:
 def read_mfa_dict(spark: SparkSession, path: str) -> DataFrame:
     """(word, phones, line): ``word<TAB or space>phones``."""
     parts = F.split(F.trim("value"), r"\s+")
-    return _numbered(spark, path).where("trim(value) <> ''").select(F.element_at(parts, 1).alias("word"), F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))).alias("phones"), "line")
+    return numbered(spark, path).where("trim(value) <> ''").select(F.element_at(parts, 1).alias("word"), F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))).alias("phones"), "line")
 
 
 def read_phoible(spark: SparkSession, path: str, language: str | None = None, inventory: int | None = None) -> DataFrame:
@@ -273,6 +276,12 @@ def asset_kinds(corpus: Corpus) -> DataFrame:
     return assets(corpus).groupBy("kind").agg(F.count("*").alias("n"))
 
 
+def phoible_sources(segments: DataFrame, bibliography: DataFrame) -> DataFrame:
+    """segments with bibtex_key and source of their inventory, from a map (InventoryID, BibtexKey, Source); null where it has none."""
+    own = bibliography.groupBy("InventoryID").agg(F.min("BibtexKey").alias("bibtex_key"), F.min("Source").alias("source"))
+    return segments.join(own, "InventoryID", "left")
+
+
 def phoible_audit(segments: DataFrame) -> DataFrame:
     """(InventoryID, n, accepted, reason): how many segments of each inventory can be read, and why others can't."""
     reason = F.coalesce(F.array_join("findings", "+"), F.lit(""))

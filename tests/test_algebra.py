@@ -149,3 +149,31 @@ def test_graph_edits(spark):
     events = spark.createDataFrame([(1, "x", "segment", 2, 0), (1, "y", "segment", 1, 1), (1, "z", "segment", 1, 0)], "graph int, node string, tier string, tick int, idx int")
     assert [r["node"] for r in graph.events_at(events, "segment", 1).collect()] == ["z", "y"]
     assert {r["node"]: r["place"] for r in graph.positions(events).collect()} == {"z": 0, "y": 1, "x": 2}
+
+
+def test_syllable_marks(spark):
+    from lautwerk.operators import intervals
+
+    assert value(spark, intervals.syllable_marks(F.col("f")), f="patɾon") == [2] and value(spark, intervals.syllabify(F.col("f"), [("fricative", "plosive")]), f="pasta") == ["pa", "sta"]
+    got = value(spark, intervals.syllable_conflicts(F.col("f")), f="pat.ɾo.na")
+    assert [tuple(x) for x in got] == [(2, "derived"), (3, "written")]
+
+
+def test_derivations_and_tracks(spark, tmp_path):
+    from lautwerk.operators import compare
+    from lautwerk.sources import alignment, corpus
+
+    df = spark.createDataFrame([("a", "tad")], "id string, f string")
+    rel = rewrite.derivation_graph(df, "id", "f", "t -> s ; one\nd -> t / _ # ; two").collect()
+    assert {(r["name"], r["src"], r["tgt"]) for r in rel} == {("one", "0:tad", "1:sad"), ("two", "1:sad", "2:sat")}
+    x = compare.unit_extents(df, "f").orderBy("place").collect()
+    assert [(r["unit"], r["first"], r["last"]) for r in x] == [("t", 0, 2), ("a", 3, 6), ("d", 7, 8)]
+    assert compare.track(df, "id", "f").agg(F.max("seconds")).first()[0] == pytest.approx(0.08) and compare.costs_identity({"t": 1.0}) != compare.costs_identity()
+    assert [r["unit"] for r in find.find(df, "f", "d / a _", wild=True).collect()] == ["d"] and find.wild_query("g / [vowel length=long] _ :") == "ɡ / [vowel length=long] _ ː"
+    (tmp_path / "p.txt").write_text("SIL\ng\n\nt\n")
+    assert [tuple(r) for r in alignment.read_phoneset(spark, f"{tmp_path}/p.txt").orderBy("line").collect()] == [("ɡ", 2), ("t", 4)]
+    (tmp_path / "m.tsv").write_text("\tx\ty\nx\t0\t0.2\ny\t0.4\t0\n")
+    assert alignment.distance_model(spark, f"{tmp_path}/m.tsv").raw("x", "y") == pytest.approx(0.3)
+    seg = spark.createDataFrame([("1", "p"), ("2", "b")], "InventoryID string, phoneme string")
+    bib = spark.createDataFrame([("1", "key", "spa")], "InventoryID string, BibtexKey string, Source string")
+    assert {(r["InventoryID"], r["bibtex_key"]) for r in corpus.phoible_sources(seg, bib).collect()} == {("1", "key"), ("2", None)}
