@@ -29,8 +29,8 @@ from . import common as C
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
-MOST_COMMON = 500_000
-SHORT = 48
+MOST_COMMON = 2_000_000
+SHORT = 24
 #: Distinct pre-tokens, and characters of them, that a task adds up before it sends them on.
 HELD, HELD_CHARS = 400_000, 32_000_000
 #: The pattern of byte-level pre-tokenization, with the white space of the tokenizer library spelled out.
