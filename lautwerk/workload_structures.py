@@ -18,7 +18,7 @@ from .functions import text as X
 from .operators import distance, find, graph, intervals, rewrite
 from .session import scratch
 from .sources import corpus
-from .workload import _HEAD, _OPTIONAL, _WORDS, _UNITS, _table, query, words
+from .workload import _HEAD, _OPTIONAL, _SQL, _UNITS, _WORDS, _table, query, words
 
 # What the chart says of each letter, and where it lies in the tract.
 _PLACE_NAMES = "['bilabial', 'labiodental', 'dental', 'alveolar', 'postalveolar', 'alveolo-palatal', 'palatal', 'velar', 'uvular', 'pharyngeal', 'epiglottal', 'glottal']"
@@ -170,6 +170,24 @@ def tied_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tied(spark, sf_dir).select("unit", F.round(distance.unit_distance(F.col("a"), F.col("unit")), 6).alias("d"))
 
 
+def _edit_costs(name: str, cost: str) -> str:
+    """Rows of the table of an edit distance, one after another: a row is a list, made from the row before by a fold over the letters
+    of the other word. Gaps cost 1."""
+    return f"""{name}_subs AS (SELECT p.a, p.b, i, list([CAST(j AS DOUBLE), CAST({cost} AS DOUBLE)] ORDER BY j) AS subs FROM pairs p, unnest(range(1, length(p.a) + 1)) r(i), unnest(range(1, length(p.b) + 1)) s(j)
+  JOIN dist d ON d.a = substr(p.a, i, 1) AND d.b = substr(p.b, j, 1) GROUP BY ALL),
+{name}_dp(a, b, i, line) AS (SELECT a, b, CAST(0 AS BIGINT), list_transform(range(length(b) + 1), lambda k: CAST(k AS DOUBLE)) FROM pairs
+  UNION ALL SELECT t.a, t.b, t.i + 1, list_reduce(subs, lambda acc, x: list_append(acc, least(line[CAST(x[1] AS BIGINT)] + x[2], line[CAST(x[1] AS BIGINT) + 1] + 1, acc[-1] + 1)), [CAST(t.i + 1 AS DOUBLE)])
+  FROM {name}_dp t JOIN {name}_subs u ON u.a = t.a AND u.b = t.b AND u.i = t.i + 1),
+{name} AS (SELECT a, b, line[-1] AS cost FROM {name}_dp WHERE i = length(a))"""
+
+
+_PART_PAIRS = "w AS (SELECT DISTINCT unnest(string_split(replace(p_name, 'g', 'ɡ'), ' ')) AS w FROM part), pairs AS (SELECT x.w AS a, y.w AS b FROM w x JOIN w y ON x.w < y.w)"
+_SQL["word_similarity"] = (
+    f"WITH RECURSIVE {_METRIC}, {_PART_PAIRS}, {_edit_costs('weighted', '2 * d.d')}, {_edit_costs('plain', 'CASE WHEN d.a = d.b THEN 0 ELSE 2 END')} "
+    "SELECT a, b, round(1 - weighted.cost / (length(a) + length(b)), 6) AS similarity, round(plain.cost, 6) AS unweighted, round(least(length(a), length(b)) / greatest(length(a), length(b)), 6) AS coverage FROM weighted JOIN plain USING (a, b)"
+)
+
+
 # -- notation and rules -----------------------------------------------------------------------------------------------
 
 # The public correspondence of the letters that ARPABET has.
@@ -251,6 +269,9 @@ def marked_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked(spark, sf_dir).select("marked", rewrite.rewrite(F.col("marked"), "[vowel length=long] -> [+nasalized] / _ [nasal]").alias("surface"))
 
 
+_SQL["cmu_round_trip"] = _SQL["arpabet_and_back"]
+
+
 # -- graphs -----------------------------------------------------------------------------------------------------------
 
 
