@@ -16,6 +16,7 @@ from .quality_crf import quality_scores
 from .quality_rules import quality_rules
 from .token_counts import token_counts
 from .toxicity import toxicity
+from .whitening import whiten
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,10 +63,15 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_token_counts, op2_quality_rules, op3_quality_classifier, op4_decontamination, op5_license_scan,
         op6_language_id, op7_toxicity, op8_jaccard_join, op9_lattice_lm, op10_mixing,
+        op11_whitening,
     )
     return {f.__name__: f for f in ops}
 
