@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .collocations import collocations
 from .decontaminate import decontaminate
 from .jaccard_join import jaccard_components
 from .language_id import identify
@@ -67,11 +68,15 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_token_counts, op2_quality_rules, op3_quality_classifier, op4_decontamination, op5_license_scan,
         op6_language_id, op7_toxicity, op8_jaccard_join, op9_lattice_lm, op10_mixing,
-        op11_whitening,
+        op11_whitening, op12_collocations,
     )
     return {f.__name__: f for f in ops}
 
@@ -92,5 +97,31 @@ FROM words w LEFT JOIN sizes n USING (doc_id) LEFT JOIN (SELECT id, min(other) A
 """
 
 
+#: All n-grams of one to four words, counted as strings.
+_COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+words AS (SELECT lang, w FROM (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces) WHERE len(w) > 0),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+grams AS (SELECT lang, m, w[i : i + m - 1] AS p FROM starts, (VALUES (1), (2), (3), (4)) AS sizes(m) WHERE i + m - 1 <= len(w)),
+f AS (SELECT lang, m, p, count(*) AS a FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+often AS (SELECT * FROM f WHERE a >= 30),
+cuts AS (SELECT lang, m, p, a, unnest(range(1, m)) AS k FROM often WHERE m > 1),
+scores AS (
+  SELECT c.lang, c.p, c.a, c.k, x.a AS l, y.a AS r, (2000000::HUGEINT * c.a // (x.a::HUGEINT + y.a)) AS score
+  FROM cuts c JOIN often x ON x.lang = c.lang AND x.p = c.p[1 : c.k] JOIN often y ON y.lang = c.lang AND y.p = c.p[c.k + 1 : c.m]),
+best AS (SELECT lang, p, a, l, r, score FROM scores QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+inner_ AS (
+  SELECT DISTINCT o.lang, o.p[s.i : s.i + s.m - 1] AS p, o.a
+  FROM often o JOIN (VALUES (1, 2), (2, 2), (3, 2), (1, 3), (2, 3)) AS s(i, m) ON s.m < o.m AND s.i + s.m - 1 <= o.m),
+around AS (SELECT lang, p, max(a) AS a FROM inner_ GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN around x USING (lang, p) WHERE x.a IS NULL OR 100::HUGEINT * x.a < 80::HUGEINT * b.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank FROM kept)
+SELECT lang, rank, array_to_string(p, ' ') AS phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_jaccard_join": _JACCARD}
+    return {"op8_jaccard_join": _JACCARD, "op12_collocations": _COLLOCATIONS}
