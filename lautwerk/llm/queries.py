@@ -15,6 +15,7 @@ from .license_scan import license_scan
 from .mixing import mix_sources
 from .quality_crf import quality_scores
 from .quality_rules import quality_rules
+from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
 from .toxicity import toxicity
 from .whitening import whiten
@@ -72,11 +73,15 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_table(spark, sf_dir, "documents"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_token_counts, op2_quality_rules, op3_quality_classifier, op4_decontamination, op5_license_scan,
         op6_language_id, op7_toxicity, op8_jaccard_join, op9_lattice_lm, op10_mixing,
-        op11_whitening, op12_collocations,
+        op11_whitening, op12_collocations, op13_suffix_dedup,
     )
     return {f.__name__: f for f in ops}
 
