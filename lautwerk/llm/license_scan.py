@@ -2,10 +2,10 @@
 
 All rolling hashes of GRAM words of every text are joined with the places where the templates have them. Equal offsets
 (place in the text minus place in the template) are one diagonal; each diagonal gets the votes of its hits, diagonals at
-most DRIFT apart are merged, which bridges inserted and dropped words. A merged span is kept when its hits hold the
-template's decisive word, if it has one, lie within SPREAD times the template's length and are all but so many of its grams
-as EDITS allows: an edited word spoils GRAM of them at most. Of the five words of the shortest template the outer ones may
-be edited.
+most DRIFT apart are merged, which bridges inserted and dropped words. Within what was merged, the stretch of SPREAD times
+the template's length with most of its grams is the span; repeats around it do no harm. It is kept when its hits hold the
+template's decisive word, if it has one, and are all but so many of its grams as EDITS allows: an edited word spoils GRAM
+of them at most. Of the five words of the shortest template the outer ones may be edited.
 
 The templates are a fixed list, so their grams can be broadcast at any size of the corpus. Only hits are shuffled.
 
@@ -102,7 +102,7 @@ def _rolling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, template, start, end, cover): verified spans in words of the text; key identifies id and text of a row."""
+    """(key, template, start, end, cover): the best verified span, in words of the text, of each group of diagonals; key identifies id and text of a row."""
     spark = docs.sparkSession
     C.batch_rows(spark)
     places = []
@@ -115,15 +115,19 @@ def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(F.xxhash64(id_col, text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     grams = rows.mapInArrow(_rolling, "key long, grams array<long>").select("key", F.posexplode("grams").alias("at", "gram"))
     hits = grams.join(F.broadcast(table), "gram").select("key", "template", "at", "t_at", "t_grams", "t_least", "decisive", (F.col("at") - F.col("t_at")).alias("diagonal")).distinct()
-    votes = hits.groupBy("key", "template", "diagonal").agg(F.count("*").alias("votes"), F.min("at").alias("start"), F.max("at").alias("end"), F.first("t_grams").alias("t_grams"), F.first("t_least").alias("t_least"), F.max("decisive").alias("decisive"), F.collect_set("t_at").alias("covered"))
+    votes = hits.groupBy("key", "template", "diagonal").agg(F.count("*").alias("votes"), F.first("t_grams").alias("t_grams"), F.first("t_least").alias("t_least"), F.collect_set(F.struct("t_at", "decisive")).alias("covered"))
     order = Window.partitionBy("key", "template").orderBy("diagonal")
     new = (F.col("diagonal") - F.lag("diagonal").over(order) > DRIFT).cast("int")
     groups = votes.withColumn("fresh", F.coalesce(new, F.lit(1))).withColumn("group", F.sum("fresh").over(order))
-    # a group has few diagonals, each with at most as many covered places as the template has
-    merged = groups.groupBy("key", "template", "group").agg(F.min("start").alias("start"), (F.max("end") + GRAM).alias("end"), F.first("t_grams").alias("t_grams"), F.first("t_least").alias("t_least"), F.max("decisive").alias("decisive"), F.size(F.array_distinct(F.flatten(F.collect_set("covered")))).alias("n"))
-    cover = F.col("n") / F.col("t_grams")
-    fits = F.col("decisive") & (F.col("n") >= F.col("t_least")) & ((F.col("end") - F.col("start")) <= SPREAD * (F.col("t_grams") + GRAM - 1))
-    return merged.where(fits).select("key", "template", "start", "end", cover.alias("cover"))
+    # each place of a group looks as far ahead as a span of the longest template may reach
+    places = groups.select("key", "template", "group", "diagonal", "t_grams", "t_least", F.explode("covered").alias("c")).select("key", "template", "group", "t_grams", "t_least", (F.col("diagonal") + F.col("c.t_at")).alias("at"), "c")
+    ahead = Window.partitionBy("key", "template", "group").orderBy("at").rangeBetween(0, int(SPREAD * max(len(t.split()) for t in TEMPLATES.values())))
+    limit = F.col("at") + SPREAD * (F.col("t_grams") + GRAM - 1) - GRAM
+    within = places.withColumn("ahead", F.collect_list(F.struct("at", "c.t_at", "c.decisive")).over(ahead)).withColumn("own", F.filter("ahead", lambda x: x["at"] <= limit))
+    n = F.size(F.array_distinct(F.transform("own", lambda x: x["t_at"])))
+    spans = within.where(F.exists("own", lambda x: x["decisive"])).select("key", "template", "group", "t_grams", "t_least", "at", n.alias("n"), (F.array_max(F.transform("own", lambda x: x["at"])) + GRAM).alias("end")).where(F.col("n") >= F.col("t_least"))
+    best = spans.groupBy("key", "template", "group").agg(F.max_by(F.struct("at", "end", "n", "t_grams"), F.struct("n", -F.col("at"))).alias("b"))
+    return best.select("key", "template", F.col("b.at").alias("start"), "b.end", (F.col("b.n") / F.col("b.t_grams")).alias("cover"))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

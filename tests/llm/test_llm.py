@@ -450,6 +450,22 @@ def test_decontamination_finds_every_accepted_pattern(spark, room):
         assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(d, n) for d, n in want if n >= shortest}
 
 
+def test_spaced_seeds_cover_what_the_rule_accepts():
+    """All patterns of 1 to STRETCH words: a mask finds equal words in each, and the quick test of a seed leaves none of SPAN words out."""
+    from lautwerk.llm.decontaminate import GAPPED, MASK
+
+    places = lambda mask, p: [o for o in range(len(p) - len(mask) + 1) if all(p[o + k] for k, m in enumerate(mask) if m == "1")]
+    for n in range(1, STRETCH + 1):
+        for off in (x for s in range(n) for x in itertools.combinations(range(n), s) if 100 * (n - s) >= LEAST_EQUAL * n):
+            p = [k not in off for k in range(n)]
+            assert any(places(mask, p) for mask in (MASK, *GAPPED.get(n, ()))), p
+            if n >= SPAN:
+                for o in places(MASK, p):
+                    after, before = p[o + len(MASK) : o + len(MASK) + 5], p[max(o - 5, 0) : o]
+                    assert sum(after) >= 2 or sum(before) >= 2, (p, o)
+    assert "0" in MASK
+
+
 def test_decontamination_by_shuffle_agrees(docs, odd, sf, spark):
     items = spark.read.parquet(f"{sf}/benchmark.parquet")
     for df in (docs, odd):
@@ -485,11 +501,11 @@ def brute_labels(text):
                 groups.append([hit])
         least = n - (1 if n <= GRAM else GRAM * math.ceil(len(t) / EDITS))
         for g in groups:
-            places = {b for *_, b in g}
-            decisive = name not in DECISIVE or any(b <= t.index(DECISIVE[name]) < b + GRAM for b in places)
-            start, end = min(a for _, a, _ in g), max(a for _, a, _ in g) + GRAM
-            if decisive and len(places) >= least and end - start <= SPREAD * len(t):
-                found[name] = max(found.get(name, 0), len(places) / n)
+            for start in {a for _, a, _ in g}:
+                places = {b for _, a, b in g if a >= start and a + GRAM - start <= SPREAD * len(t)}
+                decisive = name not in DECISIVE or any(b <= t.index(DECISIVE[name]) < b + GRAM for b in places)
+                if decisive and len(places) >= least:
+                    found[name] = max(found.get(name, 0), len(places) / n)
     base = {label for phrase, label in BASE.items() if any(w[k : k + len(phrase.split())] == phrase.split() for k in range(len(w)))}
     return ",".join(sorted(base | set(found))), 1.0 if base else max(found.values(), default=0.0)
 
@@ -502,6 +518,23 @@ def test_license_labels_agree_with_words(spark, docs):
     assert got == {i: (x, round(y, 9)) for i, (x, y) in want.items()}
 
 
+def test_license_spans_survive_repeats(spark):
+    """Any template before or after 1 to 10 of its own tails, or its own heads."""
+    made, want = [], []
+    for name, text in TEMPLATES.items():
+        words = text.split()
+        for k in range(1, 11):
+            for part in (words[-3:], words[-4:], words[:3], words[1:4]):
+                for order in ([text, *[" ".join(part)] * k], [*[" ".join(part)] * k, text]):
+                    made.append((len(made), " ".join(order)))
+                    want.append(name)
+    made.append((len(made), "released under the mit license the mit license the mit license"))
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], round(r["score"], 9)) for r in license_scan(df).collect()}
+    assert all(name in got[i][0].split(",") for i, name in enumerate([*want, "mit-notice"]))
+    assert got == {i: (x, round(y, 9)) for i, (x, y) in ((i, brute_labels(t)) for i, t in made)}
+
+
 def test_license_spans_survive_edits(spark):
     made, want = [(0, "this program is free of charge"), (1, "licensed under cc by 4 0"), (2, "licensed under the foo license version 2 0")], {0: set(), 1: set(), 2: set()}
     for name, text in TEMPLATES.items():
