@@ -1,18 +1,19 @@
-"""Benchmark decontamination with short seeds, in DataFrame functions only.
+"""Benchmark decontamination with spaced seeds, in DataFrame functions only.
 
-A mask marks which neighbouring words are hashed; the others may differ. Every position of every text is hashed under
-MASK and joined with the hashes of the benchmark items. A hit fixes a diagonal (start of the item within the text);
+A mask marks which of some neighbouring words are hashed; the others may differ. Every position of every text is hashed under
+MASK, which skips its third word, and joined with the hashes of the benchmark items. A hit fixes a diagonal (start of the item within the text);
 along it the words of text and item are compared one by one, and the pair is reported when some stretch of STRETCH
 aligned words (the whole item, if shorter) has at least LEAST_EQUAL percent equal words. A stretch that an end of the
 text cuts short needs SPAN words, or the whole item.
 
-The seeds miss no pair that this rule accepts: s substituted words leave at most s + 1 runs of equal ones, and in
-stretches of 3, 6, 7 and 9 to 13 words the longest run has three words at least. In 1, 2, 4, 5 and 8 words some patterns
-have shorter runs only, which items of those lengths have masks for. Items of fewer than ``shortest`` words aren't
-evidence of anything and are left out; any value from 1 on is exact.
+The seeds miss no pair that this rule accepts: laid out over all patterns of equal and substituted words that it accepts
+in stretches of 6, 7 and 9 to 13 words, MASK finds its three words equal somewhere in each. In 1 to 5 and 8 words some
+patterns escape it, so items of exactly those lengths have other masks beside it. Items of fewer than ``shortest`` words
+aren't evidence of anything and are left out; any value from 1 on is exact.
 
-A run of equal words gives many hits on its diagonal; only the first of a run goes on, and only the stretches around it
-are tried before anything is shuffled. Seeds and items are broadcast while they are estimated at BROADCAST_BYTES at most.
+A run of equal words gives many hits on its diagonal; of those at one place after another only the first goes on, and only
+the stretches around it are tried before anything is shuffled: one that holds a later hit can be moved left to the first,
+as all words on the way are equal. Seeds and items are broadcast while they are estimated at BROADCAST_BYTES at most.
 Beyond that, places (a text's id and hash, position, seed) are joined by shuffle, and the words of a text are fetched only
 where a seed was hit; no words are in that shuffle.
 
@@ -23,15 +24,17 @@ columns are ignored, whatever they are called.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, materialize, words_of
 
 #: 1: hashed, 0: ignored.
-MASK = "111"
+MASK = "1101"
 #: For items of exactly so many words, beside MASK.
-GAPPED = {1: ("1",), 2: ("11",), 4: ("1011", "1101"), 5: ("11011",), 8: ("11011011",)}
+GAPPED = {1: ("1",), 2: ("11",), 3: ("111",), 4: ("111", "1011"), 5: ("10101",), 8: ("10011",)}
 SPAN = 10
 SHORTEST = 5
 STRETCH = 13
@@ -58,10 +61,11 @@ def _seeds(df: DataFrame, words: str, masks: list[str]) -> DataFrame:
 
 def _promising(at: Column, item_at: Column) -> Column:
     """Whether two of the five words before a seed are equal, or two of the five after it. A stretch of SPAN words or more that is
-    accepted and holds the seed has four more on one side at least, and two of the first five there are equal: it may differ in
-    two places while it has at most eleven words, then in three, and then five stand on one side."""
+    accepted and holds the seed has six more outside of it at least, of which two may differ, or eight, of which three may: on
+    one side there are three equal ones, or two among the nearest five where all stand on one side."""
     same = lambda k: F.coalesce(F.get("w", at + k) == F.get("item", item_at + k), F.lit(False)).cast("int")
-    return (sum((same(k) for k in range(4, 8)), same(3)) >= 2) | (sum((same(-k) for k in range(2, 6)), same(-1)) >= 2)
+    n = len(MASK)
+    return (sum((same(k) for k in range(n + 1, n + 5)), same(n)) >= 2) | (sum((same(-k) for k in range(2, 6)), same(-1)) >= 2)
 
 
 def _diagonal(hits: DataFrame, *keep: str) -> DataFrame:
@@ -107,9 +111,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     texts = docs.select(F.col(id_col).alias("doc_id"), words_of(ascii_lower(F.coalesce(F.col(text_col), F.lit("")))).alias("w"))
     if SEED_BYTES * size[0] + size[1] <= broadcast_bytes:
         hits = _seeds(texts, "w", masks).join(F.broadcast(seeds), "seed").join(F.broadcast(bench), "key")
-        # a hit whose words stand after an equal pair is in the run of an earlier one
+        # MASK hits one place earlier, too, if the words there that this hit doesn't show are equal; hits of other masks stay
         at, item_at = F.col("at"), F.col("item_at")
-        later = (at > 0) & (item_at > 0) & (F.get("w", at - 1) == F.get("item", item_at - 1))
+        shown = {k + 1 for k, m in enumerate(MASK) if m == "1"}
+        alike = [F.get("w", at - 1 + k) == F.get("item", item_at - 1 + k) for k, m in enumerate(MASK) if m == "1" and k not in shown]
+        later = (at > 0) & (item_at > 0) & (F.size("item") >= SPAN) & reduce(lambda a, b: a & b, alike)
         hits = hits.where(~later).where((F.size("item") < SPAN) | _promising(at, item_at)).select("doc_id", "item_id", "w", "item", (at - item_at).alias("start"), F.least(at, item_at).alias("near_at"))
         hits = _accepted(_diagonal(hits, "doc_id", "item_id", "near_at"), "doc_id", "item_id", near="near_at")
     else:
