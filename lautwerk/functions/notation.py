@@ -8,6 +8,7 @@ from functools import cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .. import inventory as I
 from . import text as X
 
 # Correspondences of the public notations, as "IPA target" pairs in their published order.
@@ -23,15 +24,17 @@ TIMIT = (
 #: Closures and pauses that are read but never written.
 TIMIT_READ = "p pcl b bcl t tcl d dcl k kcl ɡ gcl ʔ epi ␣ pau"
 XSAMPA = (
-    "a a b b c c d d e e f f h h i i j j k k l l m m n n o o p p q q r r s s t t u u v v w w x x y y z z ä a_\" æ { ç C ð D ø 2 ħ X\\ ŋ N œ 9 ť t_> ǀ |\\ ǁ |\\|\\ ǂ =\\ ǃ !\\ "
-    "ȡ d_j\\ ȴ l_j\\ ȶ t_j\\ ɐ 6 ɑ A ɒ Q ɓ b_< ɔ O ɕ s\\ ɖ d` ɗ d_< ɘ @\\ ə @ ɚ @` ɛ E ɜ 3 ɝ 3` ɞ 3\\ ɟ J\\ ɠ g_< ɡ g ɢ G\\ ɣ G ɤ 7 ɥ H ɦ h\\ ɧ x\\ ɨ 1 ɪ I ɫ 5 ɬ K ɭ l` ɮ K\\ ɯ M ɰ M\\ "
-    "ɱ F ɲ J ɳ n` ɴ N\\ ɵ 8 ɶ & ɸ p\\ ɹ r\\ ɺ l\\ ɻ r\\` ɽ r` ɾ 4 ʀ R\\ ʁ R ʂ s` ʃ S ʄ J\\_< ʈ t` ʉ } ʊ U ʋ P ʌ V ʍ W ʎ L ʏ Y ʐ z` ʑ z\\ ʒ Z ʔ ? ʕ ?\\ ʘ O\\ ʙ B\\ ʛ G\\_< ʜ H\\ ʝ j\\ ʟ L\\ "
-    "ʡ >\\ ʢ <\\ β B θ T χ X ʰ _h ʱ _hh ʲ ' ʴ ` ʷ _w ʼ _> ˈ \" ˌ % ː : ˑ :\\ ˠ _G ˡ _l ˤ _?\\ ˥ _T ˦ _H ˧ _M ˨ _L ˩ _B ⁿ _n ͡ _ . . # # | | ‖ || ‿ -\\ ␣ *"
+    "# # . . a a b b c c d d e e f f h h i i j j k k l l m m n n o o p p q q r r s s t t u u v v w w x x y y z z | | ä a_\" æ { ç C ð D ø 2 ħ X\\ ŋ N œ 9 "
+    "ť t_> ǀ |\\ ǁ |\\|\\ ǂ =\\ ǃ !\\ ȡ d_j\\ ȴ l_j\\ ȶ t_j\\ ɐ 6 ɑ A ɒ Q ɓ b_< ɔ O ɕ s\\ ɖ d` ɗ d_< ɘ @\\ ə @ ɚ @` ɛ E ɜ 3 ɝ 3` ɞ 3\\ ɟ J\\ ɠ g_< ɡ g ɢ G\\ ɣ G ɤ 7 ɥ H "
+    "ɦ h\\ ɧ x\\ ɨ 1 ɪ I ɫ 5 ɬ K ɭ l` ɮ K\\ ɯ M ɰ M\\ ɱ F ɲ J ɳ n` ɴ N\\ ɵ 8 ɶ & ɸ p\\ ɹ r\\ ɺ l\\ ɻ r\\` ɽ r` ɾ 4 ʀ R\\ ʁ R ʂ s` ʃ S ʄ J\\_< ʈ t` ʉ } ʊ U ʋ P ʌ V ʍ W "
+    "ʎ L ʏ Y ʐ z` ʑ z\\ ʒ Z ʔ ? ʕ ?\\ ʘ O\\ ʙ B\\ ʛ G\\_< ʜ H\\ ʝ j\\ ʟ L\\ ʡ >\\ ʢ <\\ ʰ _h ʱ _hh ʲ ' ʴ ` ʷ _w ʼ _> ˈ \" ˌ % ː : ˑ :\\ ˠ _G ˡ _l ˤ _?\\ ˥ _T ˦ _H ˧ _M "
+    "˨ _L ˩ _B ̂ _F ̃ ~ ̆ _X ̈ _\" ̌ _R ̘ _A ̙ _q ̚ _} ̜ _c ̝ _r ̞ _o ̟ _+ ̠ _- ̤ _t ̥ _0 ̩ = ̪ _d ̬ _v ̯ _^ ̰ _k ̴ _e ̹ _O ̺ _a ̻ _m ̼ _N ̽ _x ͜ _ ͡ _ β B "
+    "θ T χ X ᶣ _H_w ᷄ _M_H ᷅ _L_M ᷆ _M_L ᷇ _H_M ᷈ _L_H_L ᷉ _H_L_H ‖ || ‿ -\\ ⁿ _n ↗ <R> ↘ <F> ␣ * ꜛ ^ ꜜ !"
 )
 KIRSHENBAUM = (
     "i i ɪ I e e ɛ E æ & a a ɑ A ʌ V ə @ ɨ i\" ɘ @<rnd> ɜ V\" ɐ &\" ɯ u- y y ʏ I. ø Y œ W ɶ &. u u ʊ U o o ɔ O ɒ A. ʉ u\" ɵ @. ɚ @<r> ɝ V\"<r> p p b b t t d d ʈ t. ɖ d. c c ɟ J k k ɡ g q q "
     "ɢ G ʔ ? m m ɱ m<lbd> n n ɳ n. ɲ n^ ŋ N ɴ n\" ʙ b<trl> r r<trl> ʀ r\" ɾ * ɽ *. ɸ P β B f f v v θ T ð D s s z z ʃ S ʒ Z ʂ s. ʐ z. ç C ʝ C<vcd> x x ɣ Q χ X ʁ g\" ħ H ʕ H<vcd> h h ɦ h<vcd> "
-    "ɬ s<lat> ɮ z<lat> ʋ v<lbd> ɹ r ɻ r. j j ɰ j<vel> w w ʍ w<vls> l l ɭ l. ʎ l^ ʟ L t͡ʃ tS d͡ʒ dZ t͡s ts d͡z dz ɓ b` ɗ d` ʄ J` ɠ g` ʛ G` ʘ p! ǀ t! ǃ c! ǂ c!! ǁ l! ː : ˈ ' ˌ ,"
+    "ɬ s<lat> ɮ z<lat> ʋ v<lbd> ɹ r ɻ r. j j ɰ j<vel> w w ʍ w<vls> l l ɭ l. ʎ l^ ʟ L t͡ʃ tS d͡ʒ dZ t͡s ts d͡z dz ɓ b` ɗ d` ʄ J` ɠ g` ʛ G` ʘ p! ǀ t! ǃ c! ǂ c!! ǁ l! pʰ p[h] tʰ t[h] kʰ k[h] m̩ m= n̩ n= l̩ l= ɹ̩ r= ː : ˈ ' ˌ , ̃ ~"
 )
 
 
@@ -47,9 +50,12 @@ def table(name: str) -> dict[str, str]:
 
 @cache
 def inverse(name: str) -> dict[str, str]:
+    """Target to IPA; the first correspondence of a target counts, in X-SAMPA the last (of the ties, that of simultaneous parts)."""
     out: dict[str, str] = {}
     parts = f"{TIMIT} {TIMIT_READ}".split() if name == "timit" else [x for p in table(name).items() for x in p]
     for ipa, target in zip(parts[::2], parts[1::2], strict=True):
+        if name == "xsampa":
+            out[target] = ipa
         out.setdefault(target, ipa)
     if name == "cmu":
         out["AX"] = "ə"
@@ -64,34 +70,92 @@ def _lookup(m: dict[str, str], key: Column) -> Column:
     return F.try_element_at(F.create_map(*(F.lit(x) for kv in m.items() for x in kv)), key)
 
 
+def _runs(m: dict[str, str]) -> str:
+    """A class of the symbols that stand for themselves and begin no longer key: whole runs of them need no lookup."""
+    return "".join(re.escape(k) for k, v in m.items() if k == v and len(k) == 1 and not any(o != k and o.startswith(k) for o in m))
+
+
 def convert_greedy(form: Column, m: dict[str, str]) -> Column:
     """Array of targets by longest match; what matches nothing is left out here and reported by unconvertible."""
     return F.transform(F.regexp_extract_all(form, F.lit(f"({_alternation(m)})"), 1), lambda k: _lookup(m, k))
 
 
 def unconvertible(form: Column, m: dict[str, str]) -> Column:
-    """Characters that a conversion can't carry."""
+    """Characters that a conversion can't carry, in their order, repeats included."""
     return F.filter(F.split(F.regexp_replace(form, _alternation(m), ""), ""), lambda c: c != "")
 
 
-def to_xsampa(form: Column) -> Column:
-    return F.array_join(convert_greedy(form, table("xsampa")), "")
+def _converted(form: Column, m: dict[str, str]) -> Column:
+    """The joined targets of the longest matches."""
+    runs = _runs(m)
+    pattern = (f"[{runs}]+|" if runs else "") + _alternation([k for k in m if k not in runs or len(k) > 1])
+    return F.array_join(F.transform(F.regexp_extract_all(form, F.lit(f"({pattern})"), 1), lambda k: F.coalesce(_lookup({a: b for a, b in m.items() if a != b}, k), k)), "")
+
+
+def _strictly(form: Column, value: Column, lost: Column, what: str, strict: bool) -> Column:
+    if not strict:
+        return value
+    return F.when(F.size(lost) > 0, F.raise_error(F.concat(F.lit(f"{what} can't carry "), F.array_join(F.array_sort(F.array_distinct(lost)), " ")))).otherwise(value)
+
+
+def resolve_aliases(form: Column) -> Column:
+    """Ligatures as the symbols that the tables know."""
+    return X.expand_ligatures(form)
+
+
+def with_ties(form: Column, name: str) -> Column:
+    """Ties put in where a table has a sequence only with one and the form has it only without: oʊ as o͜ʊ."""
+    for key in table(name):
+        bare = key.replace(I.TIE, "").replace(I.SEQUENCE, "")
+        if bare != key:
+            form = F.when(form.contains(bare) & ~form.contains(key), F.replace(form, F.lit(bare), F.lit(key))).otherwise(form)
+    return form
+
+
+def house_ties(form: Column) -> Column:
+    """A form whose ties are all simultaneous with those of sequences as the inventory writes them: its own symbols, and pairs of vowels."""
+    for s in I.phones():
+        if I.SEQUENCE in s:
+            form = F.replace(form, F.lit(s.replace(I.SEQUENCE, I.TIE)), F.lit(s))
+    vowels = "".join(s for s, b in I.stated().items() if len(s) == 1 and b["manner"] == "vowel")
+    return F.regexp_replace(form, f"(?<=[{vowels}])({X.AFTER_CLASS}*){I.TIE}(?=[{vowels}])", f"$1{I.SEQUENCE}")
 
 
-def from_xsampa(form: Column) -> Column:
-    return F.array_join(convert_greedy(form, inverse("xsampa")), "")
+def _source(form: Column, name: str) -> Column:
+    own = resolve_aliases(form)
+    return with_ties(own, name) if name in ("kirshenbaum", "timit") else own
 
 
-def to_kirshenbaum(form: Column) -> Column:
-    return F.array_join(convert_greedy(form, table("kirshenbaum")), "")
+def losses_to(form: Column, name: str) -> Column:
+    """Characters of a form that a notation (xsampa, kirshenbaum, timit) can't carry."""
+    return unconvertible(_source(form, name), table(name))
 
 
-def from_kirshenbaum(form: Column) -> Column:
-    return F.array_join(convert_greedy(form, inverse("kirshenbaum")), "")
+def losses_from(text: Column, name: str) -> Column:
+    """Characters of a text in a notation (xsampa, kirshenbaum) that stand for nothing."""
+    return unconvertible(text, inverse(name))
 
 
-def to_timit(form: Column) -> Column:
-    return convert_greedy(form, table("timit"))
+def to_xsampa(form: Column, strict: bool = False) -> Column:
+    """X-SAMPA, which has one tie for both senses. What it can't carry is left out and given by losses_to; strict: raises an error instead."""
+    return _strictly(form, _converted(_source(form, "xsampa"), table("xsampa")), losses_to(form, "xsampa"), "X-SAMPA", strict)
+
+
+def from_xsampa(text: Column, strict: bool = False) -> Column:
+    return _strictly(text, house_ties(_converted(text, inverse("xsampa"))), losses_from(text, "xsampa"), "IPA", strict)
+
+
+def to_kirshenbaum(form: Column, strict: bool = False) -> Column:
+    """ASCII-IPA. What it can't carry is left out and given by losses_to; strict: raises an error instead."""
+    return _strictly(form, _converted(_source(form, "kirshenbaum"), table("kirshenbaum")), losses_to(form, "kirshenbaum"), "Kirshenbaum", strict)
+
+
+def from_kirshenbaum(text: Column, strict: bool = False) -> Column:
+    return _strictly(text, _converted(text, inverse("kirshenbaum")), losses_from(text, "kirshenbaum"), "IPA", strict)
+
+
+def to_timit(form: Column, strict: bool = False) -> Column:
+    return _strictly(form, convert_greedy(_source(form, "timit"), table("timit")), losses_to(form, "timit"), "TIMIT", strict)
 
 
 def from_timit(symbols: Column) -> Column:
@@ -158,8 +222,6 @@ def losses(form: Column, name: str) -> Column:
 
 def features_from(symbol: str, name: str) -> dict[str, str] | None:
     """The bundle of a symbol of a notation; None if it has none."""
-    from .. import inventory as I
-
     base = symbol.rstrip("012") if name == "cmu" else symbol
     unit = inverse(name).get(base)
     return None if unit is None else I.bundle_of(unit)

@@ -67,3 +67,23 @@ def test_other_notations(spark):
     assert one(spark, N.to_kirshenbaum, "t͡ʃɪn") == "tSIn" and one(spark, N.from_kirshenbaum, "tSIn") == "t͡ʃɪn"
     assert one(spark, N.to_timit, "t͡ʃɪn") == ["ch", "ih", "n"]
     assert one(spark, lambda c: N.unconvertible(c, N.table("timit")), "tøn") == ["ø"]
+
+
+def test_marks_go_there_and_back(spark):
+    rows = [("n̥", "n_0"), ("t̪", "t_d"), ("a̯", "a_^"), ("k͡p", "k_p"), ("a͜ɪ", "a_I"), ("ˈt͡ʃiːˌã", '"t_Si:%a~'), ("ä̃", 'a_"~'), ("u᷈", "u_L_H_L"), ("a↗b‖", "a<R>b||"), ("œ͜y", "9_y")]
+    for ipa, ascii_ in rows:
+        assert one(spark, N.to_xsampa, ipa) == ascii_ and one(spark, N.from_xsampa, ascii_) == ipa
+        assert one(spark, lambda c: N.losses_to(c, "xsampa"), ipa) == []
+    assert len(N.XSAMPA.split()) == 2 * 178 and len(N.table("xsampa")) == 178
+    for ipa, ascii_ in [("pʰat", "p[h]at"), ("n̩", "n="), ("ɹ̩ã", "r=a~"), ("ˈt͡ʃiː", "'tSi:"), ("tʰts", "t[h]ts")]:
+        assert one(spark, N.to_kirshenbaum, ipa) == ascii_
+    assert one(spark, N.from_kirshenbaum, "p[h]at'n=tS") == "pʰatˈn̩t͡ʃ"
+    assert one(spark, N.to_kirshenbaum, "n̥ä") == "n" and one(spark, lambda c: N.losses_to(c, "kirshenbaum"), "n̥ä") == ["̥", "ä"]
+    assert one(spark, N.to_xsampa, "ʧ") == "t_S" and one(spark, N.to_kirshenbaum, "ʧtʃ") == "tStS"
+    assert one(spark, lambda c: F.array_join(N.to_timit(c), " "), "hɛloʊ") == "hh eh l ow"
+    assert one(spark, N.to_xsampa, None) is None and one(spark, N.to_xsampa, "") == ""
+    for strict in (N.to_xsampa, N.to_kirshenbaum):
+        with pytest.raises(Exception, match="can't carry 1 9"):
+            one(spark, lambda c, f=strict: f(c, strict=True), "a919")
+    with pytest.raises(Exception, match="can't carry"):
+        one(spark, lambda c: N.from_kirshenbaum(c, strict=True), "a[x]")
