@@ -10,7 +10,6 @@ import unicodedata
 from contextlib import contextmanager
 from contextvars import ContextVar
 from functools import cache
-from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column
@@ -19,31 +18,22 @@ from pyspark.sql import types as T
 
 from .. import inventory as I
 
-class Bounds(NamedTuple):
-    """Inside lookbehinds, which need bounds: diacritics of a unit, further tied parts, stress marks. A unit with more is read as
-    several; findings reports such."""
+_PLAIN: ContextVar[bool] = ContextVar("plain", default=False)
 
-    marks: int = 6
-    parts: int = 3
-    stress: int = 2
 
-
-_BOUNDS: ContextVar[Bounds] = ContextVar("bounds", default=Bounds())
-
-
-def bounds() -> Bounds:
-    return _BOUNDS.get()
+def is_plain() -> bool:
+    return _PLAIN.get()
 
 
 @contextmanager
 def plain(on: bool = True):
-    """While expressions are built (in this thread): for forms without diacritics, prosody and unregistered ties, patterns leave
-    these out. They are then several times as fast, as a lookbehind tries every length that its bounds allow."""
-    token = _BOUNDS.set(Bounds(0, 0, 0) if on else bounds())
+    """While expressions are built (in this thread): forms have no diacritics, prosody or unregistered ties, so that each
+    character of an encoded form is a token. Patterns are then several times as fast."""
+    token = _PLAIN.set(on or is_plain())
     try:
         yield
     finally:
-        _BOUNDS.reset(token)
+        _PLAIN.reset(token)
 
 
 def free(df, name: str) -> str:
@@ -76,8 +66,8 @@ def base_class() -> str:
 
 def unit_pattern() -> str:
     """One unit: stress, base, marks, and any tied parts with theirs."""
-    b, n = base_class(), bounds()
-    return f"{STRESS_CLASS}{{0,{n.stress}}}{b}{AFTER_CLASS}{{0,{n.marks}}}(?:[{I.TIE}{I.SEQUENCE}]{b}{AFTER_CLASS}{{0,{n.marks}}}){{0,{n.parts}}}"
+    b = base_class()
+    return f"{STRESS_CLASS}*{b}{AFTER_CLASS}*(?:[{I.TIE}{I.SEQUENCE}]{b}{AFTER_CLASS}*)*"
 
 
 def encode(form: Column) -> Column:
@@ -243,7 +233,6 @@ def findings(form: Column) -> Column:
         "duplicate_diacritic": e.rlike(f"({DIACRITIC_CLASS})\\1"),
         "malformed_tie": e.rlike(f"(^|\\s)[{I.TIE}{I.SEQUENCE}]|[{I.TIE}{I.SEQUENCE}](?:$|\\s|{BOUNDARY_CLASS}|[{I.TIE}{I.SEQUENCE}])"),
         "no_segments": ~e.rlike(base_class()),
-        "long_unit": e.rlike(f"{AFTER_CLASS}{{{bounds().marks + 1},}}|(?:{base_class()}{AFTER_CLASS}*[{I.TIE}{I.SEQUENCE}]){{{bounds().parts + 1},}}|{STRESS_CLASS}{{{bounds().stress + 1},}}"),
     }
     return F.filter(F.array(*(F.when(t, F.lit(k)) for k, t in tests.items())), lambda x: x.isNotNull())
 

@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import inventory as I
+from ..functions import algebra as A
 from ..functions import text as X
+from ..plans import automaton as T
 from ..plans import patterns as P
-from ..plans.terms import Query, parse, symbols
+from ..plans.terms import Query, QueryError, parse, symbols
 
 
 def matching_units(form: Column, terms: str) -> Column:
@@ -18,46 +20,40 @@ def matching_units(form: Column, terms: str) -> Column:
     return sites(form, f"[{terms}]")
 
 
-def sites(form: Column, spec: str) -> Column:
-    """(pos, unit) of every match of a structural query; pos counts units, or for a boundary the units before it."""
-    pattern = P.parse_query(spec)
-    found = [_sites(form, P.site_regex(pattern, values), pattern.target.kind == "boundary") for values in P.bindings(pattern)]
-    out = found[0]
-    for more in found[1:]:
-        out = F.array_union(out, more)
-    return F.array_sort(out)
+def sites(form: Column, spec: str, tiers: Column | None = None) -> Column:
+    """(pos, unit) of every match of a structural query; pos counts units, or for a boundary the units before it. tiers: intervals
+    (tier, start, end) of the form, in units, for a query that names a tier."""
+    one = lambda t, m, bare, at: F.struct(T.units_before(bare, at).alias("pos"), X.decode(T.joined(t, at, F.lit(1))).alias("unit"))
+    return _matched(form, spec, tiers, "array<struct<pos:bigint,unit:string>>", one)
 
 
-def _sites(form: Column, regex: str, boundary: bool) -> Column:
-    marked = F.regexp_replace(X.encode(form), regex, P.MARK)
-    each = F.regexp_extract_all(marked, F.lit(f"({P.MARK}?(?:{X.unit_pattern()}|{X.BOUNDARY_CLASS}))"), 1)
-    unit_only = F.transform(F.filter(each, lambda t: ~t.rlike(f"^{P.MARK}?{X.BOUNDARY_CLASS}$")), lambda t, i: F.struct(i.cast("long").alias("pos"), t.alias("unit")))
-    if boundary:
-        # a boundary's place is the number of units before it
-        unit_only = F.transform(each, lambda t, i: F.struct(F.size(F.filter(F.slice(each, 1, i), lambda x: ~x.rlike(f"^{P.MARK}?{X.BOUNDARY_CLASS}$"))).cast("long").alias("pos"), t.alias("unit")))
-    hits = F.filter(unit_only, lambda s: s["unit"].startswith(P.MARK))
-    return F.transform(hits, lambda s: F.struct(s["pos"].alias("pos"), X.decode(F.replace(s["unit"], F.lit(P.MARK), F.lit(""))).alias("unit")))
+def offsets(form: Column, spec: str, tiers: Column | None = None) -> Column:
+    """Where the matches of a structural query begin, in code points of the form."""
+    return _matched(form, spec, tiers, "array<bigint>", lambda t, m, bare, at: F.length(X.decode(T.joined(t, F.lit(0), at))).cast("long"))
 
 
-def offsets(form: Column, spec: str) -> Column:
-    """Where the matches of a structural query begin, in code points of the form."""
+def _matched(form: Column, spec: str, tiers: Column | None, kind: str, one) -> Column:
+    """What one makes of tokens, class string with sites and without, and each place, in order."""
     pattern = P.parse_query(spec)
+    if pattern.target.kind == "null":
+        raise QueryError("a query can't ask for a null")
+
+    def found(t: Column, values: dict[str, str]) -> Column:
+        at_sites = lambda m: A.let(T.bare(m), lambda bare: F.transform(T.places(m), lambda at: one(t, m, bare, at)))
+        return A.let(T.sites_in(t, T.Classes(pattern, values), tiers), lambda m: F.when(m.contains(T.SITE), at_sites(m)).otherwise(F.array().cast(kind)))
 
-    def one(values: dict[str, str]) -> Column:
-        pieces = F.split(X.decode(F.regexp_replace(X.encode(form), P.site_regex(pattern, values), P.MARK)), P.MARK)
-        start = F.struct(F.lit(0).cast("long").alias("n"), F.array().cast("array<bigint>").alias("out"))
-        step = lambda a, p: F.struct((a["n"] + F.length(p)).alias("n"), F.array_append(a["out"], a["n"] + F.length(p)).alias("out"))
-        # the last piece ends at the end of the form, not at a match
-        return F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), start, step, lambda a: a["out"])
+    def whole(t: Column) -> Column:
+        own = [found(t, values) for values in P.bindings(pattern)]
+        return own[0] if len(own) == 1 else F.array_sort(F.array_distinct(F.concat(*own)))
 
-    return F.array_sort(F.array_distinct(F.concat(*map(one, P.bindings(pattern)))))
+    return A.let(T.tokens_of(X.encode(form)), whole)
 
 
-def find(df: DataFrame, form_col: str, spec: str, plain: bool = False, wild: bool = False) -> DataFrame:
+def find(df: DataFrame, form_col: str, spec: str, plain: bool = False, wild: bool = False, tiers_col: str | None = None) -> DataFrame:
     """A row for each match: the columns of df, pos and unit. plain: the forms have no marks, see text.plain. wild: the letters of
-    the query are spelled as keyboards do, see text.normalize_lookalikes."""
+    the query are spelled as keyboards do, see text.normalize_lookalikes. tiers_col: intervals, see sites."""
     with X.plain(plain):
-        return _find(df, form_col, wild_query(spec) if wild else spec)
+        return _find(df, form_col, wild_query(spec) if wild else spec, tiers_col)
 
 
 def wild_query(spec: str) -> str:
@@ -66,10 +62,10 @@ def wild_query(spec: str) -> str:
     return "".join(part if part.startswith("[") else part.translate(table) for part in re.split(r"(\[[^\]]*\])", spec))
 
 
-def _find(df: DataFrame, form_col: str, spec: str) -> DataFrame:
+def _find(df: DataFrame, form_col: str, spec: str, tiers_col: str | None) -> DataFrame:
     # an inner explode would have the sites found twice, once to see whether there are any
     site = X.free(df, "site")
-    found = df.select("*", F.explode_outer(sites(F.col(form_col), spec)).alias(site)).where(F.col(site).isNotNull())
+    found = df.select("*", F.explode_outer(sites(F.col(form_col), spec, F.col(tiers_col) if tiers_col else None)).alias(site)).where(F.col(site).isNotNull())
     return found.select(*df.columns, F.col(f"{site}.pos").alias("pos"), F.col(f"{site}.unit").alias("unit"))
 
 

@@ -1,7 +1,6 @@
 """Ordered rewriting: rules, cascades with their trace, optional rules and derivability.
 
-A rule finds all its sites in one pass of a regular expression over the form as it was and marks them; then the marked
-bases are written anew. Cascades are chains of expressions; no rows move.
+A rule finds all its sites in the form as it was and marks them (see automaton); then what is marked is written anew. Cascades are chains of expressions; no rows move.
 """
 
 from __future__ import annotations
@@ -14,9 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import inventory as I
+from ..functions import algebra as A
 from ..functions import text as X
+from ..plans import automaton as T
 from ..plans import patterns as P
-from ..plans.terms import Query, parse, symbols, unit_regex
+from ..plans.terms import Query, parse, symbols
+
 
 def _code(unit: str) -> str:
     for s, c in X.compounds().items():
@@ -30,61 +32,59 @@ OPEN, TO, DONE = "\ue0f1", "\ue0f2", "\ue0f3"
 
 def apply_rule(encoded: Column, rule: P.Rule) -> Column:
     """One rule on an encoded form."""
-    for values in P.bindings(rule.pattern):
-        encoded = _apply(encoded, rule, values)
-    return encoded
+    return _cascade(encoded, [rule])
+
+
+def _cascade(encoded: Column, rules: list[P.Rule]) -> Column:
+    """Rules one after another, each under all values of its variables. They are the steps of a fold, so that the expression is no
+    deeper for many than for one."""
+    steps = [(r, values) for r in rules for values in P.bindings(r.pattern)]
+    if len(steps) < 2:
+        return reduce(lambda e, s: _apply(e, *s), steps, encoded)
+
+    def step(form: Column, k: Column) -> Column:
+        out = F.when(k == 0, _apply(form, *steps[0]))
+        for n, s in enumerate(steps[1:], 1):
+            out = out.when(k == n, _apply(form, *s))
+        return F.coalesce(out, form)
+
+    return F.when(encoded.isNotNull(), F.aggregate(F.sequence(F.lit(0), F.lit(len(steps) - 1)), encoded, step))
 
 
-def _apply(e: Column, rule: P.Rule, values: dict[str, str], both: bool = False) -> Column:
+def _apply(e: Column, rule: P.Rule, values: dict[str, str], both: bool = False, tiers: Column | None = None) -> Column:
     """The form with all sites rewritten; both: with what stands at each and what it becomes."""
     p = rule.pattern
     put = lambda old, new: f"{OPEN}{old}{TO}{new}{DONE}" if both else new
-    if p.target.kind == "null":
-        left, right = P.sides(p, values, {})
-        return F.regexp_replace(e, f"{left}(?<!{X.STRESS_CLASS})(?!{X.AFTER_CLASS}){right}", put("", _quoted(_code(rule.change.value))))
-    if p.target.kind == "boundary":
-        left, right = P.sides(p, values, {})
-        new = "" if rule.change.kind == "null" else rule.change.value
-        return F.regexp_replace(e, f"{left}{re.escape(p.target.value)}{right}", put("$0", _quoted(new)))
-    if rule.change.kind == "null":
-        left, right = P.sides(p, values, {})
-        return F.regexp_replace(e, f"{left}(?<!{X.STRESS_CLASS}){P.item_regex(p.target, 'left', values, {})}{right}", put("$0", ""))
-    if rule.change.kind == "literal":
-        sources = [p.target.value] if p.target.kind == "literal" else symbols(P.segmental(P.bound(parse(p.target.value), values)) if p.target.kind == "bundle" else Query())
-        out = {s: rule.change.value for s in sources if s in I.full() and s != rule.change.value}
-        if p.target.kind == "literal" and p.target.value not in I.full():  # a unit with marks of its own
-            left, right = P.sides(p, values, {})
-            return F.regexp_replace(e, f"{left}{re.escape(_code(p.target.value))}(?!{X.AFTER_CLASS}){right}", put("$0", _quoted(_code(rule.change.value))))
-    else:
+    change, target = rule.change, p.target
+    whole = change.kind in ("null", "literal") and target.kind == "literal" and target.value not in I.full()  # a unit with marks of its own
+    out: dict[str, str] = {}
+    if change.kind == "literal" and target.kind in ("literal", "bundle", "any") and not whole:
+        sources = [target.value] if target.kind == "literal" else symbols(P.segmental(P.bound(parse(target.value), values)) if target.kind == "bundle" else Query())
+        out = {s: change.value for s in sources if s in I.full() and s != change.value}
+    elif change.kind == "bundle":
         out = P.outputs(rule, values)
-    if not out:
+    replaced = change.kind != "null" and target.kind in ("literal", "bundle", "any") and not whole
+    if replaced and not out:
         return e
-    # a mark goes before the base of each unit at a site, all in one pass; only then are the marked bases written anew
-    left, right = P.sides(p, values, {})
-    # a target of one symbol may still ask for prosody, which is checked on the unit
-    bases = "[" + "".join(_code(s) for s in out) + "]"
-    check = _unit_check(P.bound(parse(p.target.value), values)) if p.target.kind == "bundle" else ""
-    marked = F.regexp_replace(e, f"{_lead(left)}(?<![{I.TIE}{I.SEQUENCE}]){check}(?={bases}{X.AFTER_CLASS}{{0,{X.bounds().marks}}}(?!{X.AFTER_CLASS}){right[3:-1] if right else ''})", P.MARK)
+    # a symbol as target of a change stands for units with marks, too
+    own = P.Item("base", target.value) if replaced and target.kind == "literal" else target
+    c = T.Classes(p, values, own)
+    marked = A.let(T.tokens_of(e), lambda t: A.let(T.sites_in(t, c, tiers), lambda m: T.spliced(t, m, P.MARK)))
+    if target.kind == "null":
+        return F.replace(marked, F.lit(P.MARK), F.lit(put("", _code(change.value))))
+    if target.kind == "boundary":  # a run of marks is one boundary
+        return F.regexp_replace(marked, f"{P.MARK}([{re.escape(T.strong(target.value))}]+)", put("$1", _quoted("" if change.kind == "null" else change.value)))
+    if change.kind == "null":
+        return F.regexp_replace(marked, f"{P.MARK}({X.base_class() if X.is_plain() else X.unit_pattern()})", put("$1", ""))
+    if not X.is_plain():
+        # from before a unit to before its base; units of several parts stay
+        marked = F.regexp_replace(marked, f"{P.MARK}({X.STRESS_CLASS}+)", f"$1{P.MARK}")
+        marked = F.regexp_replace(marked, f"{P.MARK}(?={X.base_class()}{X.AFTER_CLASS}*[{I.TIE}{I.SEQUENCE}])", "") if not whole else marked
+    if whole:
+        out = {target.value.lstrip(I.STRESS_MARKS): change.value}
     for s, o in out.items():  # the form is named once, so that a cascade nests its expressions without copies
         marked = F.replace(marked, F.lit(P.MARK + _code(s)), F.lit(put(_code(s), _code(o))))
-    return marked
-
-
-def _unit_check(q: Query) -> str:
-    """What the target asks of a unit, seen from before its base: stress stands behind, the rest ahead."""
-    part = lambda d, keep: {f: v for f, v in d.items() if (f == "stress") == keep}
-    stress, rest = (Query(part(q.required, k), part(q.included, k), part(q.excluded, k)) for k in (True, False))
-    ahead = f"(?={unit_regex(rest)})"
-    if not stress.features():
-        return ahead
-    good = "".join(m for m in I.STRESS_MARKS if stress.holds({"stress": I.PROSODY[m][1]}))
-    ways = [f"(?<=[{good}])"] * bool(good) + [f"(?<!{X.STRESS_CLASS})"] * stress.holds({"stress": "unstressed"})
-    return f"(?:{'|'.join(ways) or '(?!)'}){ahead}"
-
-
-def _lead(left: str) -> str:
-    """The lookbehind of a context, with the unit's own stress marks between."""
-    return f"(?<=(?:{left[4:-1]}){X.STRESS_CLASS}{{0,{X.bounds().stress}}})" if left else ""
+    return F.replace(marked, F.lit(P.MARK), F.lit(""))
 
 
 def _quoted(s: str) -> str:
@@ -98,7 +98,7 @@ def rules_of(rules: str | list[P.Rule]) -> list[P.Rule]:
 def rewrite(form: Column, rules: str | list[P.Rule], plain: bool = False) -> Column:
     """A form after an ordered cascade, optional rules included; null stays null. plain: no form has marks, nor gets any, see text.plain."""
     with X.plain(plain):
-        return X.decode(reduce(apply_rule, rules_of(rules), X.encode(form)))
+        return X.decode(_cascade(X.encode(form), rules_of(rules)))
 
 
 def derive(df: DataFrame, form_col: str, rules: str | list[P.Rule], plain: bool = False) -> DataFrame:

@@ -1,7 +1,7 @@
-"""Structural queries ``X / L _ R`` and rewrite rules ``X -> Y / L _ R ; name``, compiled to regular expressions.
+"""Structural queries ``X / L _ R`` and rewrite rules ``X -> Y / L _ R ; name``: their notation.
 
-Contexts become lookarounds, so all sites of a string are found and rewritten in one pass over the string as it was.
-A variable over feature values is expanded over the values, as these are few.
+``automaton`` finds their sites, all in one pass over the form as it was. A variable over feature values is expanded over
+the values, as these are few. ``<syllable`` and ``syllable>`` in a context stand for a place where an interval of a tier starts or ends.
 """
 
 from __future__ import annotations
@@ -12,20 +12,20 @@ from dataclasses import dataclass, replace
 
 from .. import inventory as I
 from ..functions import text as X
-from .terms import Query, QueryError, parse, symbols, unit_regex
+from .terms import Query, QueryError, parse, symbols
 
 NULLS = "∅0Ø"
 ARROW = re.compile(r"\s*(~->|~=>|~→|~>|->|=>|→)\s*")
-#: Repeats of an open span before a target, beyond the least, as a lookbehind needs a bound; after it there is none.
-MOST = 64
+TIERS = ("mora", "syllable", "foot", "word", "phrase", "utterance")
 
 
 @dataclass(frozen=True)
 class Item:
-    kind: str  # literal, bundle, any, boundary, null
+    kind: str  # literal, bundle, any, boundary, null, tier
     value: str
     low: int = 1
     high: int | None = 1  # None: any number
+    edge: str = ""  # of a tier: start or end
 
 
 @dataclass(frozen=True)
@@ -44,8 +44,7 @@ class Rule:
     optional: bool
 
 
-# read with all marks, whatever the forms have
-_TOKEN = re.compile(r"\s*(\[[^\]]*\]|\(|\)|[?*+]|\{\d*,?\d*\}|[.#%‿|‖]|" + X.unit_pattern() + r"|[∅0Ø])")
+_TOKEN = re.compile(r"\s*(\[[^\]]*\]|<[\w-]+>?|[a-z][\w-]*>|\(|\)|[?*+]|\{\d*,?\d*\}|[.#%‿|‖]|" + X.unit_pattern() + r"|[∅0Ø])")
 
 
 def _items(side: str) -> tuple[Item, ...]:
@@ -83,6 +82,13 @@ def _items(side: str) -> tuple[Item, ...]:
 def _item(t: str) -> Item:
     if t[0] == "[":
         return Item("bundle", t[1:-1].strip())
+    if t[0] == "<" or t[-1] == ">":
+        name = t.strip("<>")
+        if name not in TIERS:
+            raise QueryError(f"no tier {name!r}; there are {', '.join(TIERS)}")
+        if t[0] == "<" and t[-1] == ">":
+            raise QueryError(f"a tier term names an edge, <{name} or {name}>, not {t}")
+        return Item("tier", name, edge="start" if t[0] == "<" else "end")
     if t == "*":
         return Item("any", "")
     if t in ".#%‿|‖":
@@ -103,6 +109,8 @@ def parse_query(spec: str) -> Pattern:
         left, right = (_items(s) for s in context.split("_"))
     if any(x.kind == "null" for x in (*left, *right)):
         raise QueryError("a context can't hold a null")
+    if items[0].kind == "tier":
+        raise QueryError("a tier term stands in a context, not as a target")
     return Pattern(items[0], left, right)
 
 
@@ -165,64 +173,8 @@ def bound(q: Query, values: dict[str, str]) -> Query:
     return Query(required, q.included, q.excluded)
 
 
-def _literal_regex(unit: str, shadow: dict[str, str]) -> str:
-    """The unit whatever its prosody; prosody that is written counts."""
-    code = X.compounds().get(unit, unit)
-    if unit in shadow:
-        code = f"[{code}{shadow[unit]}]"
-    else:
-        code = re.escape(code)
-    marks = "".join(m for m in I.PROSODY if m not in I.STRESS_MARKS)
-    head = "" if unit[0] in I.STRESS_MARKS else f"{X.STRESS_CLASS}{{0,{X.bounds().stress}}}"
-    return f"{head}{code}[{marks}]{{0,{min(3, X.bounds().marks)}}}(?!{X.AFTER_CLASS}|[{I.TIE}{I.SEQUENCE}])"
-
-
-def _boundary_regex(mark: str, side: str) -> str:
-    """A boundary at least as strong as the mark, or the edge of the form; a named mark other than . # % is exact."""
-    edge = "^" if side == "left" else "$"
-    if mark in "‿|‖":
-        return re.escape(mark)
-    strong = {"%": ".#‿|‖", ".": ".#‿|‖", "#": "#‿|‖"}[mark]
-    return f"(?:[{strong}]|\\s|{edge})"
-
-
-def item_regex(x: Item, side: str, values: dict[str, str], shadow: dict[str, str]) -> str:
-    if x.kind == "literal":
-        r = _literal_regex(x.value, shadow)
-    elif x.kind == "bundle":
-        r = unit_regex(bound(parse(x.value), values), shadow)
-    elif x.kind == "any":
-        r = unit_regex(Query(), shadow)
-    else:
-        r = _boundary_regex(x.value, side)
-    if x.high is None and side == "right":
-        return f"(?:{r}){{{x.low},}}"
-    # written out as optional ones nested in each other, as a lookbehind bounds no repeated group
-    more = MOST if x.high is None else x.high - x.low
-    return f"(?:{r * x.low}{f'(?:{r}' * more}{')?' * more})"
-
-
-def sides(p: Pattern, values: dict[str, str], shadow: dict[str, str]) -> tuple[str, str]:
-    """Lookbehind and lookahead; syllable marks may stand between the items."""
-    gap = "\\.{0,1}"
-    left = gap.join(item_regex(x, "left", values, shadow) for x in p.left)
-    right = gap.join(item_regex(x, "right", values, shadow) for x in p.right)
-    inner_l = gap if p.left and p.left[-1].kind != "boundary" else ""
-    inner_r = gap if p.right and p.right[0].kind != "boundary" else ""
-    return (f"(?<={left}{inner_l})" if left else ""), (f"(?={inner_r}{right})" if right else "")
-
-
-MARK = ""
-
-
-def site_regex(p: Pattern, values: dict[str, str]) -> str:
-    """A zero-width place before each unit that is a match."""
-    if p.target.kind == "null":
-        raise QueryError("a query can't ask for a null")
-    left, right = sides(p, values, {})
-    target = _boundary_regex(p.target.value, "left").replace("|^", "") if p.target.kind == "boundary" else item_regex(p.target, "left", values, {})
-    starts = f"(?<!{X.STRESS_CLASS})(?<![{I.TIE}{I.SEQUENCE}])"  # not inside a unit
-    return f"{left}{starts}(?={target}(?!{X.AFTER_CLASS}|[{I.TIE}{I.SEQUENCE}]){right[3:-1] if right else ''})"
+#: Stands before a site while a form is rewritten.
+MARK = "\uf8ff"
 
 
 def segmental(q: Query) -> Query:

@@ -92,34 +92,34 @@ def symbols(q: Query) -> list[str]:
     return [s for s, b in I.full().items() if q.holds(b)]
 
 
-def unit_regex(q: Query, shadow: dict[str, str] | None = None) -> str:
-    """A pattern for one unit that satisfies a query. shadow: characters that stand for symbols while a rule runs.
-
-    Unregistered tied sequences are matched by their first part. Of several marks for a feature the last one counts, so each constraint looks at the last mark that touches it, or at
-    the base if none does.
-    """
-    shadow = shadow or {}
+def token_pattern(q: Query, bases: bool = True) -> str:
+    """A pattern for a whole encoded unit of one part that satisfies a query. Of several marks for a feature the last one counts, so
+    each constraint looks at the last mark that touches it, or at the base if none does. bases: False for a unit of several
+    parts, of which only marks are looked at, each without one counting as the value that units have unmarked."""
     code = {s: X.compounds().get(s, s) for s in I.phones()}
-    chars = lambda ss: "[" + "".join(code[s] + shadow.get(s, "") for s in ss) + "]" if ss else "(?!)"
+    chars = lambda ss: "[" + "".join(code[s] for s in ss) + "]" if ss else "(?!)"
     any_base = chars(list(I.phones()))
     marks = X.AFTER_CLASS[1:-1]
-    tail = f"[{marks}]{{0,{X.bounds().marks}}}"
+    body = f"{any_base}[{marks}]*" if bases else r"[\s\S]*"
     looks = []
     for f in sorted(q.features()):
         own = Query({f: q.required[f]} if f in q.required else {}, {f: q.included[f]} if f in q.included else {}, {f: q.excluded[f]} if f in q.excluded else {})
         touch = {m: d[f] for m, d in I.DIACRITICS.items() if f in d} | {m: v for m, (g, v) in I.PROSODY.items() if g == f and m not in I.STRESS_MARKS}
         if f == "stress":
-            good = [m for m in I.STRESS_MARKS if own.holds({f: I.PROSODY[m][1]})]
-            bare = own.holds({f: "unstressed"})
-            looks.append("(?=" + "|".join([f"[{''.join(good)}]"] * bool(good) + [f"(?!{X.STRESS_CLASS})"] * bare or ["(?!)"]) + ")")
+            # of several marks the last counts, as for other prosody
+            good = "".join(m for m in I.STRESS_MARKS if own.holds({f: I.PROSODY[m][1]}))
+            ways = [f"{X.STRESS_CLASS}*[{good}](?!{X.STRESS_CLASS})"] * bool(good) + [f"(?!{X.STRESS_CLASS})"] * own.holds({f: "unstressed"})
+            looks.append(f"(?={'|'.join(ways) or '(?!)'})")
             continue
         good = "".join(m for m, v in touch.items() if own.holds({f: v}))
         every = "".join(touch)
-        rest = "".join(m for m in marks if m not in every)
-        quiet = f"[{rest}]{{0,{X.bounds().marks}}}(?![{marks}])" if every else ""
-        head = f"{X.STRESS_CLASS}{{0,{X.bounds().stress}}}"
-        ways = [f"{head}{chars([s for s, b in I.full().items() if own.holds(b)])}{quiet}"]
+        head = f"{X.STRESS_CLASS}*"
+        quiet = f"[^{every}]*$" if every else ""
+        if bases:
+            ways = [f"{head}{chars([s for s, b in I.full().items() if own.holds(b)])}{quiet}"]
+        else:
+            ways = [f"{head}{quiet or '.'}"] if own.holds({"length": "normal"} if f == "length" else {}) else []
         if good:
-            ways.append(f"{head}{any_base}{tail}[{good}]{quiet}")
-        looks.append(f"(?={'|'.join(ways)})")
-    return f"{''.join(looks)}{X.STRESS_CLASS}{{0,{X.bounds().stress}}}{any_base}{tail}"
+            ways.append(f"{head}{body}[{good}]{quiet}")
+        looks.append(f"(?={'|'.join(ways) or '(?!)'})")
+    return f"^{''.join(looks)}{X.STRESS_CLASS}*{body}$"
