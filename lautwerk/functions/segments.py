@@ -35,25 +35,14 @@ def describe(unit: str) -> str:
     return " ".join(out)
 
 
+def features_of(unit: Column) -> Column:
+    """The flat bundle of a written unit, of several parts or one, with what its prosody states; null if it can't be read."""
+    return A.let(A.structure(unit), lambda s: F.when(s.isNotNull(), A.overlay(A.scalar(s), A.prosody_of(s))))
+
+
 def with_features(df: DataFrame, unit_col: str) -> DataFrame:
-    """df with features (map) of a column of units: those of the base from the broadcast inventory, overlaid by the marks.
-
-    Units that can't be read get null. Only the first part of an unregistered tied unit counts.
-    """
-    from ..operators.analysis import symbol_table
-
-    table = symbol_table(df.sparkSession).select(F.col("symbol").alias("__base"), F.col("features").alias("__features"))
-    base = X.decode(F.regexp_extract(X.encode(F.col(unit_col)), f"({X.base_class()})", 1))
-    marks = F.regexp_extract_all(F.col(unit_col), F.lit("([" + "".join([*I.DIACRITICS, *I.PROSODY]) + "])"), 1)
-    pairs = [(m, f, v) for m, d in I.DIACRITICS.items() for f, v in d.items()] + [(m, f, v) for m, (f, v) in I.PROSODY.items()]
-    stated = F.create_map(*(x for m, f, v in pairs for x in (F.lit(m), F.struct(F.lit(f).alias("key"), F.lit(v).alias("value")))))
-    b, f, own = (X.free(df, x) for x in ("__base", "__features", "__own"))
-    table = table.withColumnsRenamed({"__base": b, "__features": f})
-    joined = df.withColumn(b, base).join(F.broadcast(table), b, "left").withColumn(own, F.transform(marks, lambda m: F.try_element_at(stated, m)))
-    # the last mark for a feature wins
-    last = F.filter(own, lambda e, i: ~F.exists(F.slice(F.col(own), i + 2, F.size(own)), lambda o: o["key"] == e["key"]))
-    rest = F.filter(F.map_entries(f), lambda e: ~F.exists(own, lambda o: o["key"] == e["key"]))
-    return joined.withColumn("features", F.when(F.col(f).isNotNull(), F.map_from_entries(F.concat(rest, last)))).select(*df.columns, "features")
+    """df with features (map) of a column of units."""
+    return df.select("*", features_of(F.col(unit_col)).alias("features"))
 
 
 def kind(unit: Column) -> Column:

@@ -65,25 +65,10 @@ def parents(relations: DataFrame, name: str = "contains") -> DataFrame:
 
 
 def cycles(relations: DataFrame, name: str = "contains") -> DataFrame:
-    """(graph, node) that reach themselves. Edges into nodes that nothing leaves, and out of nodes that nothing enters, are peeled
-    off until none is left; what remains lies on a cycle or between two of them, and only that is followed."""
-    edges = _cut(children(relations, name).select("graph", "src", "tgt").distinct())
-    left = edges.count()
-    while left:
-        inner = edges.select("graph", F.col("src").alias("n")).intersect(edges.select("graph", F.col("tgt").alias("n")))
-        for end in ("src", "tgt"):
-            keep = inner.withColumnsRenamed({"n": end})
-            edges = edges.join(keep, ["graph", end], "left_semi")
-        edges = _cut(edges.select("graph", "src", "tgt"))
-        now = edges.count()
-        if now == left:
-            break
-        left = now
-    rel = edges.select("graph", F.lit(name).alias("name"), "src", F.lit(0).alias("ordinal"), "tgt")
-    reach = descendants(rel, edges.select("graph", F.col("src").alias("root")).distinct(), name)
-    back = reach.join(edges.select("graph", F.col("src").alias("node"), F.col("tgt").alias("root")), ["graph", "node", "root"]).select("graph", "root")
-    direct = edges.where("src = tgt").select("graph", F.col("src").alias("root"))
-    return back.unionAll(direct).distinct().withColumnRenamed("root", "node")
+    """(graph, node) that reach themselves: the nodes of strongly connected components (see order)."""
+    from .order import cycles as on_cycles
+
+    return on_cycles(relations, name)
 
 
 def descendants_on_tier(relations: DataFrame, roots: DataFrame, tiers: DataFrame, tier: str, name: str = "contains") -> DataFrame:

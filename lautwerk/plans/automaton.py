@@ -10,7 +10,7 @@ anything else character by character.
 
 from __future__ import annotations
 
-from functools import cache
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -76,19 +76,35 @@ class Classes:
 
     # -- of written units
 
-    def _holds(self, token: Column, kind: str, what) -> Column:
+    def _one_part(self, token: Column, kind: str, what) -> Column:
         if kind == "literal":
             return token.rlike(literal_pattern(what))
         if kind == "base":
             return token.rlike(f"^{X.STRESS_CLASS}*{P.re.escape(X.compounds().get(what, what))}{X.AFTER_CLASS}*$")
+        return token.rlike(token_pattern(_query(what)))
+
+    def _tied(self, token: Column, flat: Column, kind: str, what) -> Column:
+        """Of a unit of several parts, whose flat bundle is given. Of marks for a prosodic feature the last counts."""
+        if kind == "base":
+            return F.lit(False)
+        if kind == "literal":
+            return token.rlike(literal_pattern(what))
         q = _query(what)
-        plain = token.rlike(token_pattern(q))
-        return F.when(token.rlike(f"[{I.TIE}{I.SEQUENCE}]"), _tied_holds(token, q)).otherwise(plain)
+        keep = lambda d, prosodic: {f: v for f, v in d.items() if (f in _PROSODIC) == prosodic}
+        own, prosody = (Query(keep(q.required, k), keep(q.included, k), keep(q.excluded, k)) for k in (False, True))
+        at = lambda f: F.try_element_at(flat, F.lit(f))
+        tests = [at(f).eqNullSafe(v) for f, v in own.required.items()] + [F.coalesce(at(f).isin(*vs), F.lit(False)) for f, vs in own.included.items()] + [~F.coalesce(at(f).isin(*vs), F.lit(False)) for f, vs in own.excluded.items()]
+        if prosody.features():
+            tests.append(token.rlike(token_pattern(prosody, bases=False)))
+        return reduce(lambda x, y: x & y, tests, flat.isNotNull())
 
     def of_unit(self, token: Column) -> Column:
-        bits = [F.when(self._holds(token, kind, what), 1 << k).otherwise(0) for k, (kind, what) in enumerate(self.asked)]
+        if not self.asked:
+            return F.lit(chr(_UNITS))
         table = F.lit("".join(chr(_UNITS + m) for m in range(1 << len(self.asked))))
-        return F.substring(table, sum(bits, F.lit(1)), F.lit(1)) if bits else F.lit(chr(_UNITS))
+        place = lambda held: F.substring(table, sum((F.when(held(*x), 1 << k).otherwise(0) for k, x in enumerate(self.asked)), F.lit(1)), F.lit(1))
+        several = A.let(A.let(A.structure(X.decode(token)), lambda s: A.scalar(s)), lambda flat: place(lambda *x: self._tied(token, flat, *x)))
+        return F.when(token.rlike(f"[{I.TIE}{I.SEQUENCE}]"), several).otherwise(place(lambda *x: self._one_part(token, *x)))
 
     def of_token(self, token: Column) -> Column:
         own, classes = self.symbols()
@@ -147,20 +163,6 @@ def literal_pattern(unit: str) -> str:
     return f"^{head}{P.re.escape(code)}[{marks}]*$"
 
 
-def _tied_holds(token: Column, q: Query) -> Column:
-    """Whether a unit of several parts satisfies a query by its flat bundle; of marks for a prosodic feature the last counts."""
-    keep = lambda d, prosodic: {f: v for f, v in d.items() if (f in _PROSODIC) == prosodic}
-    flat, prosody = (Query(keep(q.required, k), keep(q.included, k), keep(q.excluded, k)) for k in (False, True))
-
-    def ask(b: Column) -> Column:
-        at = lambda f: F.try_element_at(b, F.lit(f))
-        tests = [at(f).eqNullSafe(v) for f, v in flat.required.items()] + [F.coalesce(at(f).isin(*vs), F.lit(False)) for f, vs in flat.included.items()] + [~F.coalesce(at(f).isin(*vs), F.lit(False)) for f, vs in flat.excluded.items()]
-        return F.forall(F.array(*tests), lambda t: t) if tests else F.lit(True)
-
-    held = A.let(A.structure(X.decode(token)), lambda s: F.coalesce(A.let(A.scalar(s), ask), F.lit(False))) if flat.features() else F.lit(True)
-    return held & token.rlike(token_pattern(prosody, bases=False)) if prosody.features() else held
-
-
 def strong(mark: str) -> str:
     """Boundaries at least as strong as a mark; a named one other than . # % is exact."""
     return mark if mark in "‿|‖" else {"%": ".#‿|‖", ".": ".#‿|‖", "#": "#‿|‖"}[mark]
