@@ -35,24 +35,37 @@ def apply_rule(encoded: Column, rule: P.Rule) -> Column:
     return _cascade(encoded, [rule])
 
 
+def _steps(rules: list[P.Rule]) -> list[tuple[P.Rule, dict[str, str]]]:
+    """Rules one after another, each under all values of its variables."""
+    return [(r, values) for r in rules for values in P.bindings(r.pattern)]
+
+
+def _step(form: Column, k: Column, steps: list[tuple[P.Rule, dict[str, str]]]) -> Column:
+    """Step number k; the tokens of the form are read once for all."""
+
+    def one(t: Column) -> Column:
+        out = F.when(F.lit(False), form)
+        for n, (rule, values) in enumerate(steps):
+            out = out.when(k == n, _rewritten(t, form, rule, values))
+        return out.otherwise(form)
+
+    return A.let(T.tokens_of(form), one)
+
+
 def _cascade(encoded: Column, rules: list[P.Rule]) -> Column:
-    """Rules one after another, each under all values of its variables. They are the steps of a fold, so that the expression is no
-    deeper for many than for one."""
-    steps = [(r, values) for r in rules for values in P.bindings(r.pattern)]
+    """Rules as the steps of a fold, so that the expression is no deeper for many than for one."""
+    steps = _steps(rules)
     if len(steps) < 2:
         return reduce(lambda e, s: _apply(e, *s), steps, encoded)
-
-    def step(form: Column, k: Column) -> Column:
-        out = F.when(k == 0, _apply(form, *steps[0]))
-        for n, s in enumerate(steps[1:], 1):
-            out = out.when(k == n, _apply(form, *s))
-        return F.coalesce(out, form)
-
-    return F.when(encoded.isNotNull(), F.aggregate(F.sequence(F.lit(0), F.lit(len(steps) - 1)), encoded, step))
+    return F.when(encoded.isNotNull(), F.aggregate(F.sequence(F.lit(0), F.lit(len(steps) - 1)), encoded, lambda form, k: _step(form, k, steps)))
 
 
 def _apply(e: Column, rule: P.Rule, values: dict[str, str], both: bool = False, tiers: Column | None = None) -> Column:
     """The form with all sites rewritten; both: with what stands at each and what it becomes."""
+    return A.let(T.tokens_of(e), lambda t: _rewritten(t, T.whole(t), rule, values, both, tiers))
+
+
+def _rewritten(t: Column, e: Column, rule: P.Rule, values: dict[str, str], both: bool = False, tiers: Column | None = None) -> Column:
     p = rule.pattern
     put = lambda old, new: f"{OPEN}{old}{TO}{new}{DONE}" if both else new
     change, target = rule.change, p.target
@@ -69,7 +82,7 @@ def _apply(e: Column, rule: P.Rule, values: dict[str, str], both: bool = False,
     # a symbol as target of a change stands for units with marks, too
     own = P.Item("base", target.value) if replaced and target.kind == "literal" else target
     c = T.Classes(p, values, own)
-    marked = A.let(T.tokens_of(e), lambda t: A.let(T.sites_in(t, c, tiers), lambda m: T.spliced(t, m, P.MARK)))
+    marked = A.let(T.sites_in(t, c, tiers), lambda m: T.spliced(t, m, P.MARK))
     if target.kind == "null":
         return F.replace(marked, F.lit(P.MARK), F.lit(put("", _code(change.value))))
     if target.kind == "boundary":  # a run of marks is one boundary
@@ -102,19 +115,32 @@ def rewrite(form: Column, rules: str | list[P.Rule], plain: bool = False) -> Col
 
 
 def derive(df: DataFrame, form_col: str, rules: str | list[P.Rule], plain: bool = False) -> DataFrame:
-    """df with surface and trace: (name, before, after) of each rule that changed something, in order.
-
-    Each step is a projection of its own, so no prefix of the cascade is computed twice.
-    """
+    """df with surface and trace: (name, before, after) of each rule that changed something, in order."""
     own = rules_of(rules)
-    names = [X.free(df, f"__step{k}") for k in range(len(own) + 1)]
-    out = df.withColumn(names[0], X.encode(F.col(form_col)))
+    steps = _steps(own)
+    kind = "array<struct<name:string,before:string,after:string>>"
+    none = F.array().cast(kind)
+    if not steps:
+        return df.select("*", F.col(form_col).alias("surface"), none.alias("trace"))
+    first = F.array(*(F.lit(n == 0 or steps[n - 1][0] is not r) for n, (r, _) in enumerate(steps)))
+    last = F.array(*(F.lit(n + 1 == len(steps) or steps[n + 1][0] is not r) for n, (r, _) in enumerate(steps)))
+    names = F.array(*(F.lit(r.name) for r, _ in steps))
+
+    def step(a: Column, k: Column) -> Column:
+        before = F.when(F.get(first, k), a["form"]).otherwise(a["before"])
+
+        def noted(new: Column) -> Column:
+            entry = F.struct(F.get(names, k).alias("name"), X.decode(before).alias("before"), X.decode(new).alias("after"))
+            return F.struct(new.alias("form"), before.alias("before"), F.when(F.get(last, k) & (new != before), F.array_append(a["trace"], entry)).otherwise(a["trace"]).alias("trace"))
+
+        return A.let(_step(a["form"], k, steps), noted)
+
     with X.plain(plain):
-        for k, r in enumerate(own):
-            out = out.withColumn(names[k + 1], apply_rule(F.col(names[k]), r))
-    steps = [F.when(~F.col(names[k]).eqNullSafe(F.col(names[k + 1])), F.struct(F.lit(r.name).alias("name"), X.decode(F.col(names[k])).alias("before"), X.decode(F.col(names[k + 1])).alias("after"))) for k, r in enumerate(own)]
-    trace = F.filter(F.array(*steps), lambda s: s.isNotNull()) if steps else F.array().cast("array<struct<name:string,before:string,after:string>>")
-    return out.select(*df.columns, X.decode(F.col(names[-1])).alias("surface"), trace.alias("trace"))
+        form = X.encode(F.col(form_col))
+        state = F.aggregate(F.sequence(F.lit(0), F.lit(len(steps) - 1)), F.struct(form.alias("form"), form.alias("before"), none.alias("trace")), step)
+    whole = X.free(df, "derivation")
+    out = df.withColumn(whole, F.when(F.col(form_col).isNotNull(), state))
+    return out.select(*df.columns, X.decode(F.col(whole)["form"]).alias("surface"), F.coalesce(F.col(whole)["trace"], none).alias("trace"))
 
 
 def derivation_graph(df: DataFrame, id_col: str, form_col: str, rules: str | list[P.Rule]) -> DataFrame:

@@ -98,18 +98,17 @@ class Classes:
             tests.append(token.rlike(token_pattern(prosody, bases=False)))
         return reduce(lambda x, y: x & y, tests, flat.isNotNull())
 
-    def of_unit(self, token: Column) -> Column:
+    def of_unit(self, token: Column, flat: Column) -> Column:
         if not self.asked:
             return F.lit(chr(_UNITS))
         table = F.lit("".join(chr(_UNITS + m) for m in range(1 << len(self.asked))))
         place = lambda held: F.substring(table, sum((F.when(held(*x), 1 << k).otherwise(0) for k, x in enumerate(self.asked)), F.lit(1)), F.lit(1))
-        several = A.let(A.let(A.structure(X.decode(token)), lambda s: A.scalar(s)), lambda flat: place(lambda *x: self._tied(token, flat, *x)))
-        return F.when(token.rlike(f"[{I.TIE}{I.SEQUENCE}]"), several).otherwise(place(lambda *x: self._one_part(token, *x)))
+        return F.when(flat.isNotNull(), place(lambda *x: self._tied(token, flat, *x))).otherwise(place(lambda *x: self._one_part(token, *x)))
 
-    def of_token(self, token: Column) -> Column:
-        own, classes = self.symbols()
+    def of_token(self, x: Column) -> Column:
+        token, (own, classes) = x["t"], self.symbols()
         single = F.translate(token, own, classes)
-        other = F.when(token.rlike(r"^\s$"), _SPACE).when(token.rlike(f"^{X.STRESS_CLASS}*{X.base_class()}"), self.of_unit(token)).otherwise(_OTHER)
+        other = F.when(token.rlike(r"^\s$"), _SPACE).when(token.rlike(f"^{X.STRESS_CLASS}*{X.base_class()}"), self.of_unit(token, x["flat"])).otherwise(_OTHER)
         return F.when((F.length(token) == 1) & (single != token), single).otherwise(other)
 
     # -- regular expressions over classes
@@ -176,17 +175,24 @@ def _classes(boundaries: str) -> str:
 
 
 def tokens_of(encoded: Column) -> Column:
-    """All tokens of an encoded form. While text.plain holds, every character is one, and the form itself serves."""
+    """All tokens of an encoded form: (t, flat), with the flat bundle of units of several parts. While text.plain holds, every
+    character is one, and the form itself serves."""
     if X.is_plain():
         return encoded
-    return F.regexp_extract_all(encoded, F.lit(rf"({X.unit_pattern()}|[\s\S])"), 1)
+    flat = lambda t: F.when(t.rlike(f"[{I.TIE}{I.SEQUENCE}]"), A.let(A.structure(X.decode(t)), lambda s: A.scalar(s)))
+    return F.transform(F.regexp_extract_all(encoded, F.lit(rf"({X.unit_pattern()}|[\s\S])"), 1), lambda t: F.struct(t.alias("t"), flat(t).alias("flat")))
 
 
 def joined(tokens: Column, at: Column, n: Column) -> Column:
     """Tokens at .. at + n - 1, together."""
     if X.is_plain():
         return F.substring(tokens, at + 1, n)
-    return F.array_join(F.slice(tokens, at + 1, n), "")
+    return whole(F.slice(tokens, at + 1, n))
+
+
+def whole(tokens: Column) -> Column:
+    """The encoded form of its tokens."""
+    return tokens if X.is_plain() else F.array_join(F.transform(tokens, lambda x: x["t"]), "")
 
 
 @cache
@@ -228,12 +234,14 @@ def sites_in(tokens: Column, c: Classes, tiers: Column | None = None) -> Column:
         s = _edged(tokens, s, c, tiers)
     left, right = c.side(tuple(reversed(p.left))), c.side(p.right)
     if p.left:
-        s = F.reverse(F.regexp_replace(F.reverse(s), f"(?={left})", ENDS))
+        # looked for only next to a target, where nothing can stand between
+        near = "" if edges or c.target.kind in ("null", "boundary") else f"(?<={c.item(c.target)})"
+        s = F.reverse(F.regexp_replace(F.reverse(s), f"{near}(?={left})", ENDS))
         if edges:  # once among the edges of a place, and after them
             s = F.regexp_replace(s, f"{ENDS}(?=[{edges}{ENDS}]*{ENDS})", "")
             s = F.regexp_replace(s, f"{ENDS}([{edges}]+)", f"$1{ENDS}")
     lead = ENDS if p.left else ""
-    if p.left and c.target.kind not in ("null", "boundary"):
+    if p.left and edges and c.target.kind not in ("null", "boundary"):
         s = F.regexp_replace(s, f"{ENDS}(?!{c.item(c.target)})", "")
     if c.target.kind == "null":
         s = F.regexp_replace(s, f"{lead}(?={right})", SITE)
@@ -292,5 +300,4 @@ def spliced(tokens: Column, marked: Column, mark: str) -> Column:
         step = lambda a, x: F.struct((a["n"] + F.length(x)).alias("n"), F.concat(a["out"], F.lit(mark), joined(tokens, a["n"], F.length(x))).alias("out"))
         return F.aggregate(F.slice(p, 2, F.size(p)), start, step, lambda a: a["out"])
 
-    whole = tokens if X.is_plain() else F.array_join(tokens, "")
-    return F.when(marked.contains(SITE), A.let(F.split(marked, SITE), rebuilt)).otherwise(whole)
+    return F.when(marked.contains(SITE), A.let(F.split(marked, SITE), rebuilt)).otherwise(whole(tokens))

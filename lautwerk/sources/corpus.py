@@ -1,12 +1,16 @@
-"""A corpus of forms as a Parquet table partitioned by role, with a manifest and named splits; and dictionary readers.
+"""A corpus of forms by role, with metadata, named splits and assets, as a log of changes over Parquet files; and dictionary readers.
 
-A corpus lives below a folder: ``forms`` (entry_id, role, form, producer, version), ``meta`` and ``splits``. Writers append
-or replace a role by a new version of its partition; readers see whole files only.
+A change writes files of its own below ``data`` and then one entry of the log, which lists the live files of all tables: rows
+that are new, that replace those of the same entry, entries that are gone, or a whole table. Nothing that is there is
+changed or moved, so a change is there with its entry, all tables at once, or not at all, wherever its writer stops; and readers
+go on with the entry that they began with, or ask for any earlier one. Entries are made under numbers of their own, so of two
+writers at once one is refused. Replaced rows are left out when a table is read; ``compact`` writes tables that have such anew.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 
@@ -17,8 +21,9 @@ from ..functions import text as X
 
 FORMS = "entry_id string, form string, producer string, version string, role string"
 META = "entry_id string, meta string"
-SPLITS = "ordinal long, entry_id string, split string"
+SPLITS = "entry_id string, ordinal long, split string"
 ASSETS = "entry_id string, kind string, path string"
+_SCHEMAS = {"forms": FORMS, "meta": META, "splits": SPLITS, "assets": ASSETS}
 VERSION = "1"
 #: What an entry's id looks like.
 ID = "^[A-Za-z0-9][A-Za-z0-9._-]*$"
@@ -37,15 +42,107 @@ def _at(spark: SparkSession, path: str):
 class Corpus:
     spark: SparkSession
     path: str
+    at: int | None = None  # number of the log entry to read; the last if None
+
+    # -- log
+
+    def _entries(self) -> list[int]:
+        fs, p = _at(self.spark, f"{self.path}/log")
+        return sorted(int(f.getPath().getName()) for f in fs.listStatus(p) if f.getPath().getName().isdigit()) if fs.exists(p) else []
+
+    def _state(self) -> tuple[int, dict[str, list[list[str]]]]:
+        """Number of the last entry, and the live (folder, kind) of each table by the last one that was written to its end."""
+        numbers = self._entries()
+        for n in reversed([k for k in numbers if self.at is None or k <= self.at]):
+            fs, p = _at(self.spark, f"{self.path}/log/{n:012d}")
+            stream = fs.open(p)
+            try:
+                text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+            if text.endswith("\n"):  # else its writer stopped before
+                return numbers[-1], json.loads(text)
+        return (numbers[-1] if numbers else 0), {}
+
+    def _change(self, changes: list[tuple[str, DataFrame, str]], seen: int) -> None:
+        """Write rows for tables, each as new, put, gone or all, and one entry for them after the one that was seen."""
+        if self.at is not None:
+            raise CorpusError("an earlier state of a corpus can't be changed")
+        live = self._state()[1]
+        for table, rows, kind in changes:
+            folder = f"data/{uuid.uuid4().hex}"
+            rows.write.parquet(f"{self.path}/{folder}")
+            live[table] = [*([] if kind == "all" else live.get(table, [])), [folder, kind]]
+        self._enter(seen + 1, live)
+
+    def _enter(self, number: int, live: dict) -> None:
+        fs, p = _at(self.spark, f"{self.path}/log/{number:012d}")
+        try:
+            out = fs.create(p, False)
+        except Exception as e:
+            raise CorpusError("the corpus was changed meanwhile") from e
+        out.writeBytes(json.dumps(live) + "\n")
+        out.close()
+
+    def as_of(self, number: int) -> Corpus:
+        """The corpus as an entry of its log left it."""
+        return Corpus(self.spark, self.path, number)
+
+    def last_entry(self) -> int:
+        return self._state()[0]
+
+    def compact(self) -> None:
+        """Write tables of several files, or with replaced rows, anew as one. Earlier states stay readable until vacuum."""
+        seen, live = self._state()
+        changes = [(t, self._merged(live[t], _SCHEMAS[t.split("/")[0]]), "all") for t, files in live.items() if len(files) > 1 or files[0][1] in ("put", "gone")]
+        if changes:
+            self._change(changes, seen)
+
+    def vacuum(self) -> None:
+        """Delete the files that the last entry doesn't list; earlier states can't be read any more."""
+        kept = {folder for files in self._state()[1].values() for folder, _ in files}
+        fs, p = _at(self.spark, f"{self.path}/data")
+        for f in fs.listStatus(p) if fs.exists(p) else []:
+            if f"data/{f.getPath().getName()}" not in kept:
+                fs.delete(f.getPath(), True)
+
+    # -- tables
+
+    def _merged(self, files: list[list[str]], schema: str) -> DataFrame:
+        """Rows of one table, or of several without replaced ones, that are live."""
+        read = lambda folders, kind: self.spark.read.schema(kind).parquet(*(f"{self.path}/{f}" for f in folders))
+        plain = [f for f, kind in files if kind in ("new", "all")]
+        out = read(plain, schema) if plain else self.spark.createDataFrame([], schema)
+        later = [(k, f, kind) for k, (f, kind) in enumerate(files) if kind in ("put", "gone")]
+        if not later:
+            return out
+        rows = [read([f], schema).select(F.lit(k).alias("k"), F.lit(False).alias("is_gone"), F.struct("*").alias("r")) if kind == "put" else read([f], "entry_id string").select(F.lit(k).alias("k"), F.lit(True).alias("is_gone"), F.struct("entry_id", *(F.lit(None).cast(c.dataType).alias(c.name) for c in out.schema.fields[1:])).alias("r")) for k, f, kind in later]
+        last = reduce(DataFrame.unionAll, rows).groupBy(F.col("r.entry_id").alias("id")).agg(F.max_by(F.struct("is_gone", "r"), "k").alias("x"))
+        # what is new after an entry went is a row again
+        order = {f: k for k, (f, _) in enumerate(files)}
+        if any(order[f] > later[0][0] for f in plain):
+            numbered = reduce(DataFrame.unionAll, [read([f], schema).withColumn("k", F.lit(order[f])) for f in plain])
+            ends = reduce(DataFrame.unionAll, rows).groupBy(F.col("r.entry_id").alias("id")).agg(F.max("k").alias("end"))
+            kept = numbered.join(ends, numbered["entry_id"] == ends["id"], "left").where("end is null or k > end").select(*out.columns)
+            newer = kept.select(F.col("entry_id").alias("id")).distinct()
+            last = last.join(newer, "id", "left_anti")
+            return kept.unionAll(last.where("not x.is_gone").select("x.r.*"))
+        return out.join(last.select(F.col("id").alias("entry_id")), "entry_id", "left_anti").select(*out.columns).unionAll(last.where("not x.is_gone").select("x.r.*"))
+
+    def _read(self, name: str, schema: str, parts: tuple[str, ...] = ()) -> DataFrame:
+        """A table; of forms and splits all parts, or those named. Parts without replaced rows are read as one."""
+        live = self._state()[1]
+        own = {t: files for t, files in live.items() if t.split("/", 1)[0] == name and (not parts or t.split("/", 1)[1] in parts)}
+        simple = [f for files in own.values() if all(k in ("new", "all") for _, k in files) for f in files]
+        merged = [self._merged(files, schema) for files in own.values() if not all(k in ("new", "all") for _, k in files)]
+        return reduce(DataFrame.unionAll, [self._merged(simple, schema), *merged]) if simple or not merged else reduce(DataFrame.unionAll, merged)
 
-    def _read(self, name: str, schema: str) -> DataFrame:
-        fs, p = _at(self.spark, f"{self.path}/{name}")
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}") if fs.exists(p) else self.spark.createDataFrame([], schema)
+    def _has(self, name: str) -> bool:
+        return any(t == name or t.startswith(f"{name}/") for t in self._state()[1])
 
     def forms(self, *roles: str) -> DataFrame:
-        """Forms of the roles named, or of all; roles are partitions, so others aren't read."""
-        out = self._read("forms", FORMS)
-        return out.where(F.col("role").isin(*roles)) if roles else out
+        """Forms of the roles named, or of all; roles have files of their own, so others aren't read."""
+        return self._read("forms", FORMS, roles)
 
     def ids(self) -> DataFrame:
         return self._read("meta", META).select("entry_id").orderBy("entry_id")
@@ -67,59 +164,44 @@ class Corpus:
     def roles_of(self, entry_id: str) -> DataFrame:
         return self.read(entry_id).select("role").distinct()
 
-    def _has(self, name: str) -> bool:
-        fs, p = _at(self.spark, f"{self.path}/{name}")
-        return fs.exists(p)
-
     def add(self, entries: DataFrame, forms: dict[str, str] | None = None, producer: str = "", version: str = "") -> None:
         """Append entries (entry_id, meta), and forms by role from the columns named; refuses ids that are null, repeated, in the
         corpus or not made of letters, digits, dots, hyphens and underscores."""
+        seen = self._state()[0]
         new = entries.select("entry_id", F.col("meta").cast("string").alias("meta"))
         ids = new.select("entry_id", F.lit(1).alias("n"))
         if self._has("meta"):  # an id that is there counts as one more
             ids = ids.unionAll(self._read("meta", META).join(new.select("entry_id"), "entry_id", "left_semi").select("entry_id", F.lit(1).alias("n")))
         if not ids.groupBy("entry_id").agg(F.sum("n").alias("n")).where(f"n > 1 or entry_id is null or not entry_id rlike '{ID}'").isEmpty():
             raise CorpusError("an id is null, repeated, in the corpus or no id")
-        new.write.mode("append").parquet(f"{self.path}/meta")
-        for role, column in (forms or {}).items():
-            self._rows(entries.where(F.col(column).isNotNull()), column, producer, version).write.mode("append").parquet(f"{self.path}/forms/role={role}")
+        rows = [(f"forms/{role}", self._rows(entries.where(F.col(column).isNotNull()), column, producer, version, role), "new") for role, column in (forms or {}).items()]
+        self._change([("meta", new, "new"), *rows], seen)
 
     @staticmethod
-    def _rows(forms: DataFrame, column: str, producer: str, version: str) -> DataFrame:
-        return forms.select("entry_id", F.col(column).alias("form"), F.lit(producer).alias("producer"), F.lit(version).alias("version"))
+    def _rows(forms: DataFrame, column: str, producer: str, version: str, role: str) -> DataFrame:
+        return forms.select("entry_id", F.col(column).alias("form"), F.lit(producer).alias("producer"), F.lit(version).alias("version"), F.lit(role).alias("role"))
 
     def put_forms(self, role: str, forms: DataFrame, producer: str, version: str) -> None:
         """Put forms (entry_id, form) into a role: those of entries that have one are replaced, the others stay. Refuses ids that the
         corpus doesn't have and ids that occur twice."""
-        rows = self._rows(forms, "form", producer, version)
+        seen = self._state()[0]
+        rows = self._rows(forms, "form", producer, version, role)
         known = self._read("meta", META).select("entry_id", F.lit(1).alias("known")).distinct()
-        has = self._has(f"forms/role={role}")
+        has = self._has(f"forms/{role}")
         old = self.forms(role).select("entry_id", F.lit(1).alias("old")).distinct()
         flags = rows.groupBy("entry_id").agg(F.count("*").alias("n")).join(known, "entry_id", "left")
         flags = flags.join(old, "entry_id", "left") if has else flags.withColumn("old", F.lit(None).cast("int"))
         r = flags.agg(F.max("n").alias("n"), F.count(F.when(F.col("known").isNull(), 1)).alias("strange"), F.count("old").alias("old")).first()
         if r["strange"] or (r["n"] or 0) > 1:
             raise CorpusError("a form's id isn't in the corpus, or occurs twice")
-        at = f"{self.path}/forms/role={role}"
-        if not r["old"]:
-            rows.write.mode("append").parquet(at)
-            return
-        kept = self.forms(role).join(rows.select("entry_id"), "entry_id", "left_anti").select("entry_id", "form", "producer", "version")
-        self._replace(at, kept.unionAll(rows))
-
-    def _replace(self, at: str, rows: DataFrame) -> None:
-        """Write rows beside a folder that they are read from, then put them in its place."""
-        fs, old = _at(self.spark, at)
-        _, new = _at(self.spark, f"{self.path}/staging")
-        rows.write.mode("overwrite").parquet(f"{self.path}/staging")
-        fs.delete(old, True)
-        fs.rename(new, old)
+        self._change([(f"forms/{role}", rows, "put" if r["old"] else "new")], seen)
 
     def put_split(self, name: str, members: DataFrame) -> None:
         """A named split from members (ordinal, entry_id), each id once."""
+        seen = self._state()[0]
         if not members.groupBy("entry_id").count().where("count > 1").isEmpty():
             raise CorpusError("a split holds an id twice")
-        members.select("ordinal", "entry_id").write.mode("overwrite").parquet(f"{self.path}/splits/split={name}")
+        self._change([(f"splits/{name}", members.select("entry_id", F.col("ordinal").cast("long").alias("ordinal"), F.lit(name).alias("split")), "all")], seen)
 
     def split(self, name: str) -> DataFrame:
         """Members in order; refuses a split with ids that have left the corpus."""
@@ -250,22 +332,20 @@ def read_phoible(spark: SparkSession, path: str, language: str | None = None, in
 
 
 def remove(corpus: Corpus, ids: DataFrame) -> Corpus:
-    """A corpus of the same content without some entries, in a folder beside; readers of the old one aren't disturbed. The entries'
-    forms and assets go, and they leave the splits, whose other members keep their ordinals."""
-    fresh = create(corpus.spark, f"{corpus.path}-next", manifest(corpus).get("declaration"))
+    """The corpus without some entries: their forms and assets go, and they leave the splits, whose other members keep their
+    ordinals; all in one change."""
+    seen, live = corpus._state()
     gone = ids.select("entry_id").distinct()
-    for name, schema, by in (("meta", META, None), ("forms", FORMS, "role"), ("splits", SPLITS, "split"), ("assets", ASSETS, None)):
-        if corpus._has(name):
-            out = corpus._read(name, schema).join(gone, "entry_id", "left_anti").write.mode("overwrite")
-            (out.partitionBy(by) if by else out).parquet(f"{fresh.path}/{name}")
-    return fresh
+    corpus._change([(table, gone, "gone") for table in live], seen)
+    return corpus
 
 
 def put_assets(corpus: Corpus, assets: DataFrame, check: bool = True) -> None:
     """Named files of entries (entry_id, kind, path); refuses ids that the corpus doesn't have, unless that is left to validate."""
+    seen = corpus._state()[0]
     if check and not assets.join(corpus._read("meta", META), "entry_id", "left_anti").isEmpty():
         raise CorpusError("an asset's id isn't in the corpus")
-    assets.select("entry_id", "kind", "path").write.mode("append").parquet(f"{corpus.path}/assets")
+    corpus._change([("assets", assets.select("entry_id", "kind", "path"), "new")], seen)
 
 
 def assets(corpus: Corpus) -> DataFrame:
