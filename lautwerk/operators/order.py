@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .graph import _cut, children
@@ -24,16 +24,21 @@ def doubled(pointers: DataFrame, combine: Column | None = None) -> DataFrame:
     that large. combine: of columns value (so far) and next (of what is pointed to), what value becomes; by default the last.
     """
     combine = F.coalesce("next", "value") if combine is None else combine
-    state = _cut(pointers.select(*_KEY, "to", F.when(F.col("to").isNotNull(), 1).otherwise(0).cast("long").alias("n"), "value"))
-    limit = state.count()
-    for k in itertools.count():
+
+    def jumped(state: DataFrame) -> DataFrame:
         on = state.select(F.col("graph").alias("g"), F.col("node").alias("m"), F.col("to").alias("to2"), F.col("n").alias("n2"), F.col("value").alias("next"))
-        joined = state.join(on, (F.col("graph") == F.col("g")) & (F.col("to") == F.col("m")), "left")
+        joined = state.drop("moved").join(on, (F.col("graph") == F.col("g")) & (F.col("to") == F.col("m")), "left")
         # an end that no pointer starts from has nothing to skip to
-        state = _cut(joined.select(*_KEY, F.when(F.col("m").isNull() | F.col("to2").isNull(), F.col("to")).otherwise(F.col("to2")).alias("to"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"), F.when(F.col("m").isNull(), F.col("value")).otherwise(combine).alias("value"), (F.col("to2").isNotNull()).alias("moved")))
-        if (1 << k) > limit or state.where("moved").isEmpty():
+        to = F.when(F.col("m").isNull() | F.col("to2").isNull(), F.col("to")).otherwise(F.col("to2"))
+        return joined.select(*_KEY, to.alias("to"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"), F.when(F.col("m").isNull(), F.col("value")).otherwise(combine).alias("value"), F.col("to2").isNotNull().alias("moved"))
+
+    state = _cut(pointers.select(*_KEY, "to", F.when(F.col("to").isNotNull(), 1).otherwise(0).cast("long").alias("n"), "value"))
+    limit = state.count()
+    for k in itertools.count(0, 2):  # two jumps a round, counted as they are written
+        seen = Observation()
+        state = _cut(jumped(jumped(state)).observe(seen, F.count(F.when(F.col("moved"), 1)).alias("moved")))
+        if (1 << k) > limit or not seen.get["moved"]:
             return state.drop("moved")
-        state = state.drop("moved")
 
 
 def _peeled(edges: DataFrame) -> DataFrame:
@@ -45,6 +50,8 @@ def _peeled(edges: DataFrame) -> DataFrame:
             # a node with one way on points along it; one with none is an end; one with several stays
             ways = edges.groupBy("graph", src).agg(F.count("*").alias("k"), F.first(tgt).alias("to")).withColumnRenamed(src, "node")
             nodes = edges.select("graph", F.col(tgt).alias("node")).distinct().join(ways, _KEY, "full")
+            if nodes.where("k is null").isEmpty():  # nothing ends in this direction
+                continue
             pointer = F.when(F.col("k") == 1, F.col("to"))
             ends = doubled(nodes.select(*_KEY, pointer.alias("to"), F.coalesce(F.col("k") > 1, F.lit(False)).alias("value")))
             size = ends.count()
