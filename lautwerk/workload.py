@@ -448,4 +448,4 @@ def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 from . import workload_structures  # noqa: E402, F401  registers its queries
-from . import workload_forms  # noqa: E402, F401, I001  registers its queries
+from . import workload_forms, workload_tables  # noqa: E402, F401, I001  register their queries
