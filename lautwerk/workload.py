@@ -57,12 +57,6 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select(X.from_wild(F.col("word"), ascii_only=True).alias("form"), "n")
 
 
-def _values(rows: list[tuple], columns: str) -> str:
-    def one(v) -> str:
-        return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else ("NULL" if v is None else repr(v).upper() if isinstance(v, bool) else repr(v))
-
-    return f"(VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) AS t({columns})"
-
 
 # The letters by the public IPA chart, with what they devoice to, how X-SAMPA and Kirshenbaum write them where that
 # isn't the letter itself, and how closed the tract is.
@@ -81,7 +75,6 @@ _UNITS = (
     "unnest(range(length(form))) AS pos FROM words) WINDOW w AS (PARTITION BY form ORDER BY pos))"
 )
 _HEAD = f"WITH {_LETTERS}, {_WORDS}, {_UNITS} "
-_FEATURES = "features AS (SELECT * FROM " + _values([(s, f, v, f in I.stated()[s]) for s, b in I.full().items() for f, v in b.items()], "symbol, feature, value, stated") + ")"
 
 
 # -- scans and tokens -------------------------------------------------------------------------------------------------
@@ -265,44 +258,6 @@ def vocabulary_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("form", F.array_join("v.atoms", "|").alias("atoms"), F.length("v.residue").cast("long").alias("n_residue"))
 
 
-# -- inventory --------------------------------------------------------------------------------------------------------
-
-
-@query(f"WITH {_FEATURES} SELECT feature, value, count(*) AS n FROM features GROUP BY feature, value")
-def feature_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.feature_counts(spark)
-
-
-@query(f"WITH {_FEATURES} SELECT d.feature, count(f.symbol) AS n FROM {_values([(f,) for f in I.values()], 'feature').replace(' AS t(', ' AS d(')} LEFT JOIN features f ON f.feature = d.feature AND f.stated GROUP BY d.feature")
-def feature_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.feature_usage(spark)
-
-
-@query(
-    f"WITH {_FEATURES}, n AS (SELECT a.symbol AS a, b.symbol AS b, count(*) AS same FROM features a JOIN features b ON a.feature = b.feature AND a.value = b.value AND a.symbol < b.symbol GROUP BY ALL), "
-    "own AS (SELECT symbol, list(feature) AS fs, count(*) AS k FROM features WHERE symbol <> '␣' GROUP BY symbol) "
-    "SELECT count(*) AS pairs FROM n JOIN own x ON x.symbol = n.a JOIN own y ON y.symbol = n.b WHERE len(list_distinct(list_concat(x.fs, y.fs))) - same = 1"
-)
-def minimal_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return distance.minimal_pairs(spark).agg(F.count("*").alias("pairs"))
-
-
-@query()
-def phone_distance_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The distances of all ordered pairs of phones; letter_distances holds those of the letters against SQL."""
-    return distance.distance_table(spark).select("a", "b", F.round("d", 6).alias("d"))
-
-
-@query()
-def nearest_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return distance.nearest_phones(spark)
-
-
-@query()
-def confusability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return distance.DistanceModel().table(spark)
-
-
 # -- distance of words ------------------------------------------------------------------------------------------------
 
 

@@ -15,7 +15,7 @@ from . import inventory as I
 from .functions import algebra as A
 from .functions import notation as N
 from .functions import text as X
-from .operators import distance, find, graph, intervals, rewrite
+from .operators import analysis, distance, find, graph, intervals, rewrite
 from .session import scratch
 from .sources import corpus
 from .workload import _HEAD, _OPTIONAL, _SQL, _UNITS, _WORDS, _table, query, words
@@ -135,29 +135,101 @@ dist AS (SELECT x.unit AS a, y.unit AS b, CASE WHEN x.unit = y.unit THEN 0 ELSE
 _METRIC_HEAD = f"WITH {_METRIC} "
 
 
-def _letters() -> list[str]:
-    return ["ɡ" if c == "g" else c for c in "abcdefghijklmnopqrstuvwxyz"]
+#: What the words have: units, pairs of neighbours, and distances among these units.
+_ATTESTED = (
+    f"WITH {_METRIC}, {_WORDS}, {_UNITS}, att AS (SELECT unit, CAST(sum(n) AS BIGINT) AS n FROM units GROUP BY unit), two AS (SELECT unit AS a, after AS b, CAST(sum(n) AS BIGINT) AS n FROM units WHERE after IS NOT NULL GROUP BY ALL), "
+    "near AS (SELECT a, b, d FROM dist WHERE a IN (SELECT unit FROM att) AND b IN (SELECT unit FROM att)), "
+    "conf AS (SELECT x.a, x.b, round(CASE WHEN x.a = x.b THEN 1 ELSE (SELECT count(*) FILTER (round(y.d, 9) >= round(x.d, 9)) / count(*) FROM near y WHERE y.a < y.b) END, 6) AS confusability FROM near x) "
+)
+
+
+def unit_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(unit, n): the units of all words and how often they occur."""
+    w = words(spark, sf_dir).select(F.explode_outer(F.split("form", "")).alias("unit"), "n").where("unit <> ''")
+    return w.groupBy("unit").agg(F.sum("n").alias("n"))
+
+
+def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(a, b, n): units that follow each other in words, and how often."""
+    at = F.sequence(F.lit(1), F.length("form") - 1)
+    two = words(spark, sf_dir).where(F.length("form") > 1).select(F.explode_outer(F.transform(at, lambda i: F.substring(F.col("form"), i, F.lit(2)))).alias("ab"), "n")
+    return two.groupBy(F.substring("ab", 1, 1).alias("a"), F.substring("ab", 2, 1).alias("b")).agg(F.sum("n").alias("n"))
+
 
+def _letters(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The symbols that the words have, at most those of the inventory."""
+    return sorted(r["unit"] for r in unit_totals(spark, sf_dir).where(F.col("unit").isin(*I.phones())).select("unit").collect())
 
-@query(_METRIC_HEAD + "SELECT a, b, round(CAST(d AS DOUBLE), 6) AS d FROM dist")
+
+@query(_ATTESTED + "SELECT a, b, round(CAST(d AS DOUBLE), 6) AS d FROM near")
 def letter_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distances of all pairs of letters, from the metric's table."""
-    t = distance.distance_table(spark)
-    return t.where(F.col("a").isin(_letters()) & F.col("b").isin(_letters())).select("a", "b", F.round("d", 6).alias("d"))
+    """Distances of all pairs of units that the words have, from the metric's table."""
+    own, t = unit_totals(spark, sf_dir), distance.distance_table(spark)
+    return t.join(own.select(F.col("unit").alias("a")), "a", "left_semi").join(own.select(F.col("unit").alias("b")), "b", "left_semi").select("a", "b", F.round("d", 6).alias("d"))
+
+
+@query(_ATTESTED + "SELECT a, b, two.n AS n, round(CAST(d AS DOUBLE), 6) AS d FROM two JOIN near USING (a, b)")
+def phone_distance_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of neighbours in words, and how often they are neighbours."""
+    return neighbours(spark, sf_dir).join(F.broadcast(distance.distance_table(spark)), ["a", "b"]).select("a", "b", "n", F.round("d", 6).alias("d"))
 
 
-@query(_METRIC_HEAD + "SELECT a, b, CAST(r AS INTEGER) AS rank FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY round(d, 9), b) AS r FROM dist WHERE a <> b) WHERE r <= 3")
+@query(_ATTESTED + "SELECT a, b, CAST(r AS INTEGER) AS rank FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY round(d, 9), b) AS r FROM near WHERE a <> b) WHERE r <= 3")
 def nearest_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return distance.nearest_phones(spark, 3, _letters()).select("a", "b", F.col("rank").cast("int").alias("rank"))
+    return distance.nearest_phones(spark, 3, _letters(spark, sf_dir)).select("a", "b", F.col("rank").cast("int").alias("rank"))
+
+
+@query(_ATTESTED + "SELECT a, att.n AS n, b, round(CAST(d AS DOUBLE), 6) AS d, CAST(r AS INTEGER) AS rank FROM (SELECT a, b, d, row_number() OVER (PARTITION BY a ORDER BY round(d, 9), b) AS r FROM near WHERE a <> b) JOIN att ON att.unit = a WHERE r <= 5")
+def nearest_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of each unit of the words, with how often it occurs."""
+    near = distance.nearest_phones(spark, 5, _letters(spark, sf_dir))
+    return unit_totals(spark, sf_dir).withColumnRenamed("unit", "a").join(F.broadcast(near), "a").select("a", "n", "b", F.round("d", 6).alias("d"), "rank")
+
+
+@query(_ATTESTED + "SELECT * FROM conf")
+def confusable_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The percentile of each pair's similarity among all pairs of units that the words have."""
+    return distance.DistanceModel(_letters(spark, sf_dir)).table(spark).select("a", "b", F.round("confusability", 6).alias("confusability"))
+
+
+@query(_ATTESTED + "SELECT a, CAST(sum(n) AS BIGINT) AS n, round(sum(n * confusability) / sum(n), 6) AS confusability FROM two JOIN conf USING (a, b) GROUP BY a")
+def confusability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How confusable units are with what follows them in words, on average."""
+    t = distance.DistanceModel(_letters(spark, sf_dir)).table(spark).select("a", "b", F.round("confusability", 6).alias("c"))
+    return neighbours(spark, sf_dir).join(F.broadcast(t), ["a", "b"]).groupBy("a").agg(F.sum("n").alias("n"), F.round(F.sum(F.col("n") * F.col("c")) / F.sum("n"), 6).alias("confusability"))
+
+
+_BUNDLES = "bundles AS (SELECT unit, n, unnest(['manner', 'voiced', 'channel', 'rounded', 'height', 'backness']) AS feature, unnest([manner, voiced, coalesce(channel, 'flat'), coalesce(rounded, '-'), height, back]) AS value, unnest([true, true, channel IS NOT NULL, rounded IS NOT NULL, true, true]) AS stated FROM att JOIN ipa USING (unit)) "
+_ASKED = ("manner", "voiced", "channel", "rounded", "height", "backness")
+
+
+def _bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(unit, n, feature, value, stated) of the units of the words, for some features."""
+    own = analysis.feature_table(spark).where(F.col("feature").isin(*_ASKED)).withColumnRenamed("symbol", "unit")
+    return unit_totals(spark, sf_dir).join(F.broadcast(own), "unit")
+
+
+@query(_ATTESTED[:-1] + f", {_BUNDLES} SELECT feature, value, CAST(sum(n) AS BIGINT) AS n FROM bundles WHERE value IS NOT NULL GROUP BY ALL")
+def feature_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units of all words by what some features are."""
+    return _bundles(spark, sf_dir).groupBy("feature", "value").agg(F.sum("n").alias("n"))
+
+
+@query(_ATTESTED[:-1] + f", {_BUNDLES} SELECT feature, count(*) FILTER (stated AND value IS NOT NULL) AS n FROM bundles GROUP BY feature")
+def feature_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many different units of the words state a feature."""
+    return _bundles(spark, sf_dir).groupBy("feature").agg(F.count(F.when(F.col("stated"), 1)).alias("n"))
 
 
 @query(
-    _METRIC_HEAD
-    + "SELECT x.a, x.b, round(CASE WHEN x.a = x.b THEN 1 ELSE (SELECT count(*) FILTER (round(y.d, 9) >= round(x.d, 9)) / count(*) FROM dist y WHERE y.a < y.b) END, 6) AS confusability FROM dist x"
+    _ATTESTED[:-1] + ", f AS (SELECT unit, [manner, voiced, coalesce(channel, 'flat'), coalesce(rounded, '-'), coalesce(height, ''), coalesce(back, ''), array_to_string(coalesce(place, []), '^'), CASE unit WHEN 'a' THEN 'central' ELSE '' END] AS v FROM att JOIN ipa USING (unit)), "
+    "d AS (SELECT x.unit AS a, y.unit AS b, len(list_filter(list_zip(x.v, y.v), lambda p: p[1] <> p[2])) AS n FROM f x JOIN f y ON x.unit < y.unit) SELECT a, b, coalesce(two.n, 0) AS n FROM d LEFT JOIN two USING (a, b) WHERE d.n = 1"
 )
-def confusable_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The percentile of each pair's similarity among all pairs of letters."""
-    return distance.DistanceModel(_letters()).table(spark).select("a", "b", F.round("confusability", 6).alias("confusability"))
+def minimal_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units of the words that differ in one feature, and how often the second follows the first."""
+    own = unit_totals(spark, sf_dir)
+    pairs = distance.minimal_pairs(spark).join(own.select(F.col("unit").alias("a")), "a", "left_semi").join(own.select(F.col("unit").alias("b")), "b", "left_semi")
+    return pairs.join(neighbours(spark, sf_dir), ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query(
