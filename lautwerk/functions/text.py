@@ -237,5 +237,15 @@ def findings(form: Column) -> Column:
     return F.filter(F.array(*(F.when(t, F.lit(k)) for k, t in tests.items())), lambda x: x.isNotNull())
 
 
+def extensions_in(form: Column) -> Column:
+    """Symbols of a form that are declared and not on the chart, in order, with repeats. Unknown ones are none: see findings."""
+    return F.regexp_extract_all(form, F.lit("([" + "".join(I.OFF_CHART) + "])"), 1)
+
+
+def is_pure(form: Column) -> Column:
+    """Whether a form uses symbols of the chart only, as far as they are known at all; it may not be valid."""
+    return F.size(extensions_in(form)) == 0
+
+
 def is_valid(form: Column) -> Column:
     return F.size(findings(form)) == 0

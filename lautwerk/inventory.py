@@ -98,6 +98,9 @@ STRESS_MARKS = "ˈˌ"
 LADDER = ("syllable", "word", "phrase", "utterance")
 BOUNDARIES = {".": "syllable", "#": "word", "‿": "word", "|": "phrase", "‖": "utterance"}
 OTHER_MARKS = "↗↘ꜛꜜ^"
+#: Symbols that mean something here and aren't on the chart, with the notation they belong to.
+CHART = "chart"
+OFF_CHART = {"␣": "extension", "#": "extension", "∅": "extension"}
 #: Look-alikes that keyboards write.
 LOOKALIKES = {"g": "ɡ", ":": "ː", "?": "ʔ", "'": "ˈ"}
 LIGATURES = {"ʦ": "t͡s", "ʣ": "d͡z", "ʧ": "t͡ʃ", "ʤ": "d͡ʒ", "ʨ": "t͡ɕ", "ʥ": "d͡ʑ"}
@@ -142,6 +145,11 @@ def full() -> dict[str, dict[str, str]]:
     return {s: (b if s == SILENCE else DEFAULTS | b) for s, b in stated().items()}
 
 
+def notation_of(symbol: str) -> str:
+    """The notation that a symbol belongs to; one that isn't known counts as on the chart, as validity is another question."""
+    return OFF_CHART.get(symbol, CHART)
+
+
 @cache
 def phones() -> tuple[str, ...]:
     return tuple(stated())

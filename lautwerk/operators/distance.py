@@ -185,17 +185,20 @@ def segment_distance(x: Parts, y: Parts) -> float:
 
 
 def _in_order(px: list[Parts], py: list[Parts], near: list[list[float]], tie_x: str, tie_y: str) -> float:
-    """The cheapest way to match parts in order, of all ways, also those that leave parts of both sides over."""
+    """The cheapest way to match parts in order. Every part of the shorter side makes a pair: ways that leave parts of both sides
+    over would bring units nearer by what they don't share."""
     n, m = len(px), len(py)
+    short = min(n, m)
+    gaps = n + m - 2 * short
     best = 1.0
-    for k in range(min(n, m) + 1):
-        for rows, cols in itertools.product(itertools.combinations(range(n), k), itertools.combinations(range(m), k)):
+    for rows in itertools.combinations(range(n), short):
+        for cols in itertools.combinations(range(m), short):
             pairs = list(zip(rows, cols, strict=True))
             left = sum(min(near[i]) for i in range(n) if i not in rows) + sum(min(near[i][j] for i in range(n)) for j in range(m) if j not in cols)
             joined = sum(b == (a[0] + 1, a[1] + 1) for a, b in itertools.pairwise(pairs))
             loose = n - 1 + m - 1 - 2 * joined
             ties = joined * (tie_x != tie_y) + loose
-            best = min(best, (sum(near[i][j] for i, j in pairs) + left + ties) / (k + 2 * (n + m - 2 * k) + joined + loose))
+            best = min(best, (sum(near[i][j] for i, j in pairs) + left + ties) / (short + 2 * gaps + joined + loose))
     return best
 
 

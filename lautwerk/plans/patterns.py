@@ -130,6 +130,13 @@ def parse_rule(source: str) -> Rule:
     return Rule(pattern, items[0], name.strip() or source.strip(), source.strip(), parts[1].startswith("~"))
 
 
+def query_rule(spec: str, replacement: str) -> Rule:
+    """The rule that puts replacement where a query matches."""
+    parse_query(spec)
+    target, slash, context = (x.strip() for x in spec.partition("/"))
+    return parse_rule(f"{target} -> {replacement}" + (f" / {context}" if slash else ""))
+
+
 def parse_rules(text: str) -> list[Rule]:
     """Rules of a text, one on a line; lines that start with # are comments unless they are rules about a boundary."""
     out = []

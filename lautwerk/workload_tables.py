@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .functions import text as X
 from .functions import transducer
-from .operators import build, compare, nearest, render, tracks
+from .operators import build, compare, nearest, render, rewrite, tracks
+from .plans import patterns
 from .workload import _HEAD, _WORDS, _table, query, words
 
 
@@ -102,3 +103,22 @@ def vocabulary_reductions(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = transducer.compose(_ATOMS, _ALIASES, _REDUCTIONS, ("h",))
     w = words(spark, sf_dir).select("form", v.map(F.col("form")).alias("m"))
     return w.select("form", F.when(F.size("m.symbols") > 0, F.array_join("m.symbols", " ")).alias("symbols"), v.read(F.col("m.symbols"))["form"].alias("back"))
+
+
+@query(
+    "WITH f AS (SELECT p_partkey, replace(p_name, ' ', '#') || CASE p_partkey % 3 WHEN 0 THEN '␣' WHEN 1 THEN '∅' ELSE '' END AS f FROM part) "
+    "SELECT p_partkey, regexp_replace(f, '[^#␣∅]', '', 'g') AS extensions, NOT regexp_matches(f, '[#␣∅]') AS pure FROM f"
+)
+def off_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What part names, with boundaries, silence and zeros, have that isn't on the chart."""
+    k = F.col("p_partkey")
+    form = F.concat(F.replace("p_name", F.lit(" "), F.lit("#")), F.when(k % 3 == 0, "␣").when(k % 3 == 1, "∅").otherwise(""))
+    return _table(spark, sf_dir, "part").select("p_partkey", F.array_join(X.extensions_in(form), "").alias("extensions"), X.is_pure(form).alias("pure"))
+
+
+@query("SELECT p_partkey, regexp_replace(regexp_replace(replace(replace(p_name, 'g', 'ɡ'), ' ', '#'), '([aeiouy]#?)t', '\\1ɾ', 'g'), '^#', '') AS surface FROM part")
+def query_as_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query with a replacement as a rule: t after a vowel, or after a vowel and a word's end."""
+    form = X.from_wild(F.replace("p_name", F.lit(" "), F.lit("#")), ascii_only=True)
+    rules = [patterns.query_rule("t / [vowel] _", "ɾ"), patterns.query_rule("t / [vowel] # _", "ɾ")]
+    return _table(spark, sf_dir, "part").select("p_partkey", rewrite.rewrite(form, rules, plain=True).alias("surface"))

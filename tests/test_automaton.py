@@ -98,3 +98,17 @@ def test_tiers_name_edges(spark):
 )
 def test_boundaries_in_rules(spark, form, rules, want):
     assert apply(spark, form, rules) == want
+
+
+def test_queries_as_rules_and_symbols_off_the_chart(spark):
+    from lautwerk import inventory as I
+    from lautwerk.plans import patterns as P
+
+    rule = P.query_rule("t / [vowel] _ [vowel]", "ɾ")
+    assert spark.createDataFrame([("atata",)], "form string").select(rewrite.rewrite(F.col("form"), [rule])).first()[0] == "aɾaɾa"
+    with pytest.raises(QueryError):
+        P.query_rule("t a", "ɾ")
+    rows = [("#kæt#", "##"), ("a␣b", "␣"), ("le∅ʃ", "∅"), ("ˈkæt.dɒɡ", ""), ("xyz$", ""), ("lez‿ami", "")]
+    got = spark.createDataFrame(rows, "f string, want string").select("want", F.array_join(X.extensions_in(F.col("f")), "").alias("e"), X.is_pure(F.col("f")).alias("p")).collect()
+    assert all(r["e"] == r["want"] and r["p"] == (r["want"] == "") for r in got)
+    assert I.notation_of("Q") == I.notation_of("a") == I.CHART != I.notation_of("#")
