@@ -338,6 +338,11 @@ class DistanceModel:
     def word_similarity(self, left: Column, right: Column) -> Column:
         return self.sequence_similarity(X.units(left), X.units(right))
 
+    def rank_sequences(self, df: DataFrame, units_col: str, accepted: list[tuple[str, list[str]]], n: int = 1) -> DataFrame:
+        """Each row of df with its n most similar ones of a list of (name, units), by this model's similarity; see rank_sequences."""
+        own = DistanceModel(self.phones, self.gamma, self.given)
+        return _ranked(df, F.col(units_col), [{"accepted": a, "u": u, "ordinal": k} for k, (a, u) in enumerate(accepted)], n, lambda x, y: 2 * GAP * own.distance(x, y))
+
     def is_similar(self, left: Column, right: Column, least: float) -> Column:
         """Whether words are similar enough; where their lengths alone rule it out, nothing is aligned."""
         n, m = F.size(X.units(left)), F.size(X.units(right))
@@ -461,7 +466,8 @@ def rank_sequences(df: DataFrame, units_col: str, accepted: list[tuple[str, list
     return _ranked(df, F.col(units_col), [{"accepted": a, "u": u, "ordinal": k} for k, (a, u) in enumerate(accepted)], n)
 
 
-def _ranked(df: DataFrame, units: Column, listing: list, n: int) -> DataFrame:
+def _ranked(df: DataFrame, units: Column, listing: list, n: int, price: Callable[[str, str], float] | None = None) -> DataFrame:
+    """price: of a substitution, in place of the metric's."""
     own = sorted(((r["accepted"], list(r["u"]), r["ordinal"]) for r in listing if r["u"] is not None), key=lambda r: r[2])
     best = T.ArrayType(T.StructType([T.StructField("accepted", T.StringType()), T.StructField("ordinal", T.IntegerType()), T.StructField("similarity", T.DoubleType()), T.StructField("rank", T.IntegerType())]))
 
@@ -472,7 +478,7 @@ def _ranked(df: DataFrame, units: Column, listing: list, n: int) -> DataFrame:
                 out.append([])
                 continue
             total = np.array([len(u) + len(v) for _, v, _ in own], float)
-            cost = align_batch([list(u)] * len(own), [v for _, v, _ in own])
+            cost = align_batch([list(u)] * len(own), [v for _, v, _ in own], **({"price": price, "gaps": (GAP, GAP)} if price else {}))
             score = np.where(total == 0, 1.0, 1 - cost / np.maximum(total * GAP, 1e-9))
             order = np.argsort(-score, kind="stable")[:n]
             out.append([{"accepted": own[i][0], "ordinal": int(own[i][2]), "similarity": float(score[i]), "rank": k + 1} for k, i in enumerate(order)])

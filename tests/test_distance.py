@@ -98,3 +98,16 @@ def test_natural_class_and_hierarchy():
 def test_nearest(spark):
     near = {r["a"]: r["b"] for r in distance.nearest_phones(spark, 1).collect()}
     assert near["f"] == "ɸ" and len(near) == 138
+
+
+def test_model_ranks_by_its_own_similarity(spark):
+    m = distance.DistanceModel(["p", "b", "t", "a", "s", "i"])
+    listed = [("pa", ["p", "a"]), ("sa", ["s", "a"]), ("ti", ["t", "i"]), ("none", [])]
+    rows = spark.createDataFrame([(["b", "a"],), (["t", "a"],), ([],), (None,)], "u array<string>")
+    got = m.rank_sequences(rows, "u", listed, 4).collect()
+    for u in (["b", "a"], ["t", "a"]):
+        frame = spark.createDataFrame([(u, x, name) for name, x in listed], "a array<string>, b array<string>, name string")
+        want = {r["name"]: r["s"] for r in frame.select("name", m.sequence_similarity(F.col("a"), F.col("b")).alias("s")).collect()}
+        own = [(r["accepted"], r["similarity"]) for r in sorted(got, key=lambda r: r["rank"]) if r["u"] == u]
+        assert [s for _, s in own] == pytest.approx(sorted(want.values(), reverse=True)) and {n: pytest.approx(s) for n, s in own} == want
+    assert {r["u"] is None for r in got} == {False}
