@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import inventory as I
+from . import algebra as A
 from . import text as X
 
 # Correspondences of the public notations, as "IPA target" pairs in their published order.
@@ -103,12 +104,16 @@ def resolve_aliases(form: Column) -> Column:
     return X.expand_ligatures(form)
 
 
+def _tied_as(bare: str, key: str):
+    return lambda f: F.when(f.contains(bare) & ~f.contains(key), F.replace(f, F.lit(bare), F.lit(key))).otherwise(f)
+
+
 def with_ties(form: Column, name: str) -> Column:
     """Ties put in where a table has a sequence only with one and the form has it only without: oʊ as o͜ʊ."""
     for key in table(name):
         bare = key.replace(I.TIE, "").replace(I.SEQUENCE, "")
         if bare != key:
-            form = F.when(form.contains(bare) & ~form.contains(key), F.replace(form, F.lit(bare), F.lit(key))).otherwise(form)
+            form = A.let(form, _tied_as(bare, key))
     return form
 
 

@@ -14,7 +14,7 @@ import uuid
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -263,10 +263,13 @@ def manifest(corpus: Corpus) -> dict:
 
 
 def numbered(spark: SparkSession, path: str) -> DataFrame:
-    """(value, line): lines with their numbers from 1 within each file. A file is one row while it is numbered, as a dictionary is
-    some MB; its lines are dealt out again afterwards."""
-    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("pos", "value"))
-    return whole.select("value", (F.col("pos") + 1).cast("long").alias("line"))
+    """(value, line): lines with their numbers from 1 within each file. Lines are numbered within the blocks that tasks read, and
+    blocks by the counts of those before them, so a file may be larger than any task."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    own = lines.withColumn("within", F.row_number().over(Window.partitionBy("file", "block").orderBy(F.monotonically_increasing_id())))
+    sizes = lines.groupBy("file", "block").count()
+    before = sizes.select("file", "block", F.coalesce(F.sum("count").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return own.join(before, ["file", "block"]).select("value", (F.col("within") + F.col("before")).alias("line"))
 
 
 def ingest_cmudict(corpus: Corpus, path: str, role: str = "cited") -> DataFrame:

@@ -42,9 +42,9 @@ def marked_kirshenbaum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("form", N.to_kirshenbaum(F.col("marked")).alias("ascii"), F.array_join(N.losses_to(F.col("marked"), "kirshenbaum"), "").alias("lost"))
 
 
-@query(_LETTERWISE + "SELECT form, 'ˈ' || string_agg(CASE letter WHEN 'c' THEN 't͡ʃ' WHEN 'j' THEN 'd͡ʒ' WHEN 'r' THEN 'ɹ̩' ELSE replace(CASE WHEN lost <> '' AND letter <> 'o' THEN replace(unit, lost, '') WHEN letter = 'o' THEN 'oʊ' WHEN letter = 'x' THEN 'kp' ELSE unit END, '͡', '') END, '' ORDER BY pos) AS back FROM l JOIN marked USING (letter) GROUP BY form")
+@query(_LETTERWISE + "SELECT form, 'ˈ' || replace(string_agg(CASE letter WHEN 'c' THEN 't͡ʃ' WHEN 'j' THEN 'd͡ʒ' WHEN 'r' THEN 'ɹ̩' ELSE replace(CASE WHEN lost <> '' AND letter <> 'o' THEN replace(unit, lost, '') WHEN letter = 'o' THEN 'oʊ' WHEN letter = 'x' THEN 'kp' ELSE unit END, '͡', '') END, '' ORDER BY pos), 'dz', 'd͡z') AS back FROM l JOIN marked USING (letter) GROUP BY form")
 def kirshenbaum_back(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Read back, without what the notation couldn't carry."""
+    """Read back, without what the notation couldn't carry. It writes d and z as it writes their affricate."""
     return marked_words(spark, sf_dir).select("form", N.from_kirshenbaum(N.to_kirshenbaum(F.col("marked"))).alias("back"))
 
 

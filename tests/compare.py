@@ -35,7 +35,8 @@ def differences(spark, name, query, sql, sf_dir):
     at = [names.index(c) for c in cols]
     want = sorted((tuple(round(r[i], 6) if isinstance(r[i], float) else r[i] for i in at) for r in res.fetchall()), key=key)
     if got != want:
-        only_g, only_w = [r for r in got if r not in set(want)][:3], [r for r in want if r not in set(got)][:3]
+        in_got, in_want = set(got), set(want)
+        only_g, only_w = [r for r in got if r not in in_want][:3], [r for r in want if r not in in_got][:3]
         return f"{len(got)} and {len(want)} rows; {only_g} {only_w}"
     return None
 

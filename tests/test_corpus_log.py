@@ -73,3 +73,17 @@ def test_of_two_writers_one_is_refused(spark, tmp_path):
     c._change([("assets", rows, "new")], seen)
     with pytest.raises(C.CorpusError, match="meanwhile"):
         c._change([("assets", rows, "new")], seen)
+
+
+def test_lines_are_numbered_across_blocks(spark, tmp_path):
+    for name, n in (("a", 5000), ("b", 7)):
+        (tmp_path / f"{name}.txt").write_text("".join(f"{name} {k}{' pad' * (k % 9)}\n" for k in range(1, n + 1)))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "3000b")
+        spark.conf.set("spark.sql.files.openCostInBytes", "100b")
+        rows = C.numbered(spark, str(tmp_path)).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(rows) == 5007 and all(int(r["value"].split()[1]) == r["line"] for r in rows)
