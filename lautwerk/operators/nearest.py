@@ -9,6 +9,7 @@ joined by shuffle, so no list is sent along or held by a task.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,7 +49,7 @@ def nearest(forms: DataFrame, form_col: str, listing: DataFrame, listing_col: st
     wanted = bounded.withColumn("c0", F.explode(span(0)))
     wanted = wanted.withColumn("c1", F.explode(span(1))) if chosen else wanted.withColumn("c1", F.lit(0))
     cells = own.select("x", "cx", F.col("cell")[0].alias("c0"), (F.col("cell")[1] if chosen else F.lit(0)).alias("c1"))
-    close = F.forall(F.zip_with("cq", "cx", lambda a, b: F.abs(a - b)), lambda d: d <= F.col("bound"))
+    close = reduce(lambda a, b: a & b, (F.abs(F.col("cq")[k] - F.col("cx")[k]) <= F.col("bound") for k in range(len(chosen) + 1)))
     pairs = wanted.join(cells, ["c0", "c1"]).where(close & allowed).select("q", "x", metric(F.col("q"), F.col("x")).alias("d"))
     best = pairs.groupBy("q").agg(F.min(F.struct("d", "x")).alias("b"))
     return best.select(F.col("q").alias("form"), F.col("b.x").alias("nearest"), F.col("b.d").alias("distance"))

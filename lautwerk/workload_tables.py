@@ -13,14 +13,14 @@ from .workload import _HEAD, _WORDS, _table, query, words
 
 
 @query(
-    f"WITH {_WORDS}, q AS (SELECT form FROM words WHERE length(form) > 4 AND length(form) % 4 = 1 AND form LIKE '%a_e%'), d AS (SELECT q.form, w.form AS nearest, levenshtein(replace(q.form, 'ɡ', 'g'), replace(w.form, 'ɡ', 'g')) AS distance FROM q JOIN words w ON w.form <> q.form) "
+    f"WITH {_WORDS}, q AS (SELECT DISTINCT replace(unnest(regexp_extract_all(text, '[a-z]+')), 'g', 'ɡ') AS form FROM benchmark), d AS (SELECT q.form, w.form AS nearest, levenshtein(replace(q.form, 'ɡ', 'g'), replace(w.form, 'ɡ', 'g')) AS distance FROM q JOIN words w ON w.form <> q.form) "
     "SELECT form, CAST(min(distance) AS INTEGER) AS distance, min(nearest) FILTER (distance = least) AS nearest FROM (SELECT *, min(distance) OVER (PARTITION BY form) AS least FROM d) GROUP BY form"
 )
 def nearest_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of all distinct words the nearest other one, for words with a, one unit and e, and some lengths: through pivots, against all pairs."""
-    w = words(spark, sf_dir).select("form")
-    asked = w.where("length(form) > 4 and length(form) % 4 = 1 and form like '%a_e%'")
-    return nearest.nearest(asked, "form", w, "form").select("form", F.col("distance").cast("int").alias("distance"), "nearest")
+    """For each distinct word of the benchmark the nearest other one of all distinct words of the documents: through pivots, against all pairs."""
+    text = _table(spark, sf_dir, "benchmark").select(F.explode_outer(F.regexp_extract_all("text", F.lit("([a-z]+)"), 1)).alias("word")).where("word is not null")
+    asked = text.distinct().select(X.from_wild(F.col("word"), ascii_only=True).alias("form"))
+    return nearest.nearest(asked, "form", words(spark, sf_dir).select("form"), "form").select("form", F.col("distance").cast("int").alias("distance"), "nearest")
 
 
 _DAY = 86_400_000_000
