@@ -54,13 +54,13 @@ def kind(unit: Column) -> Column:
 def form_to_json(form: Column, intervals: Column | None = None) -> Column:
     """Versioned wire text of a form: type, v, spelling, units, intervals."""
     own = intervals if intervals is not None else F.array().cast("array<struct<tier:string,start:int,end:int>>")
-    return F.when(form.isNotNull(), F.to_json(F.struct(F.lit("form").alias("type"), F.lit(2).alias("v"), form.alias("spelling"), X.units(form).alias("units"), own.alias("intervals"))))
+    return A.let(form, lambda f: F.when(f.isNotNull(), F.to_json(F.struct(F.lit("form").alias("type"), F.lit(2).alias("v"), f.alias("spelling"), X.units(f).alias("units"), own.alias("intervals")))))
 
 
 def form_from_json(wire: Column) -> Column:
     """The form of a wire text; null for another type or version, or what isn't JSON."""
-    x = F.from_json(wire, FORM_SCHEMA)
-    return F.when((x["type"] == "form") & (x["v"] == 2), x)
+    # named, as the optimizer would read the text anew for each field that is asked for
+    return A.let(F.from_json(wire, FORM_SCHEMA), lambda x: F.when((x["type"] == "form") & (x["v"] == 2), x))
 
 
 def canonical_json(value) -> str:

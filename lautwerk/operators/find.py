@@ -23,23 +23,32 @@ def matching_units(form: Column, terms: str) -> Column:
 def sites(form: Column, spec: str, tiers: Column | None = None) -> Column:
     """(pos, unit) of every match of a structural query; pos counts units, or for a boundary the units before it. tiers: intervals
     (tier, start, end) of the form, in units, for a query that names a tier."""
-    one = lambda t, m, bare, at: F.struct(T.units_before(bare, at).alias("pos"), X.decode(T.joined(t, at, F.lit(1))).alias("unit"))
+    one = lambda t, x: F.struct(x["units"].alias("pos"), X.decode(T.joined(t, x["at"], F.lit(1))).alias("unit"))
     return _matched(form, spec, tiers, "array<struct<pos:bigint,unit:string>>", one)
 
 
 def offsets(form: Column, spec: str, tiers: Column | None = None) -> Column:
     """Where the matches of a structural query begin, in code points of the form."""
-    return _matched(form, spec, tiers, "array<bigint>", lambda t, m, bare, at: F.length(X.decode(T.joined(t, F.lit(0), at))).cast("long"))
+    return _matched(form, spec, tiers, "array<bigint>", lambda t, x: F.length(X.decode(T.joined(t, F.lit(0), x["at"]))).cast("long"))
+
+
+def count(form: Column, spec: str, tiers: Column | None = None) -> Column:
+    """How many matches a structural query has, as the size of sites; they are counted without being listed."""
+    pattern = P.parse_query(spec)
+    bindings = P.bindings(pattern)
+    if pattern.target.kind == "null" or len(bindings) > 1:  # values of a variable may match at the same places
+        return F.size(sites(form, spec, tiers))
+    return A.let(T.tokens_of(X.encode(form)), lambda t: sum((T.count(T.sites_in(t, T.Classes(pattern, values), tiers)) for values in bindings), F.lit(0)))
 
 
 def _matched(form: Column, spec: str, tiers: Column | None, kind: str, one) -> Column:
-    """What one makes of tokens, class string with sites and without, and each place, in order."""
+    """What one makes of tokens and each place (see automaton.places), in order."""
     pattern = P.parse_query(spec)
     if pattern.target.kind == "null":
         raise QueryError("a query can't ask for a null")
 
     def found(t: Column, values: dict[str, str]) -> Column:
-        at_sites = lambda m: A.let(T.bare(m), lambda bare: F.transform(T.places(m), lambda at: one(t, m, bare, at)))
+        at_sites = lambda m: F.transform(T.places(m), lambda x: one(t, x))
         return A.let(T.sites_in(t, T.Classes(pattern, values), tiers), lambda m: F.when(m.contains(T.SITE), at_sites(m)).otherwise(F.array().cast(kind)))
 
     def whole(t: Column) -> Column:
