@@ -117,6 +117,12 @@ def _units(x: _Spans) -> str:
 
 def tiers(form: Column, language: Language = SPANISH) -> Column:
     """The syllables of a form as intervals (tier, start, end), for patterns that name the tier, and its words."""
+    syllables = F.transform(syllabify(form, language)["syllables"], lambda s: F.struct(F.lit("syllable").alias("tier"), s["start"].alias("start"), s["end"].alias("end")))
+    return F.concat(syllables, word_tier(form))
+
+
+def word_tier(form: Column) -> Column:
+    """The words of a form as intervals (tier, start, end), without its syllables."""
     words = F.split(F.regexp_replace(X.encode(form), r"\.", ""), r"[#‿|‖\s]")
     start = F.struct(F.lit(0).cast("bigint").alias("u"), F.array().cast("array<struct<tier:string,start:bigint,end:bigint>>").alias("out"))
 
@@ -125,8 +131,7 @@ def tiers(form: Column, language: Language = SPANISH) -> Column:
         span = F.struct(F.lit("word").alias("tier"), a["u"].alias("start"), (a["u"] + n).alias("end"))
         return F.struct((a["u"] + n).alias("u"), F.when(n > 0, F.array_append(a["out"], span)).otherwise(a["out"]).alias("out"))
 
-    syllables = F.transform(syllabify(form, language)["syllables"], lambda s: F.struct(F.lit("syllable").alias("tier"), s["start"].alias("start"), s["end"].alias("end")))
-    return F.concat(syllables, F.aggregate(words, start, step, lambda a: a["out"]))
+    return F.aggregate(words, start, step, lambda a: a["out"])
 
 
 def _runs(form: Column, x: _Spans) -> Column:

@@ -9,7 +9,7 @@ from .functions import notation as N
 from .functions import segments
 from .functions import text as X
 from .operators import find, order, syllables
-from .workload import _HEAD, _WORDS, _table, query, words
+from .workload import _HEAD, _WORDS, _table, query, spread, words
 from .workload_structures import _SQL, _edges, tied
 
 # A marked unit for each letter, how X-SAMPA and Kirshenbaum write it by the published tables, and what the latter can't.
@@ -60,7 +60,7 @@ def long_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     form = X.from_wild(F.regexp_replace("text", "[^a-z]", ""), ascii_only=True)
     d = _table(spark, sf_dir, "documents").select("doc_id", form.alias("form"))
     with X.plain():
-        after, far = (F.size(find.sites(F.col("form"), f"z / q ([-uvular]){n} _")) for n in ("*", "{200,}"))
+        after, far = (find.count(F.col("form"), f"z / q ([-uvular]){n} _") for n in ("*", "{200,}"))
     return d.select("doc_id", after.cast("long").alias("n_after"), far.cast("long").alias("n_far"))
 
 
@@ -70,10 +70,10 @@ def long_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def word_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plosives at the ends and starts of intervals on the word tier, in part names."""
-    p = _table(spark, sf_dir, "part").select("p_partkey", X.from_wild(F.replace("p_name", F.lit(" "), F.lit("#")), ascii_only=True).alias("form"))
-    p = p.withColumn("tiers", syllables.tiers(F.col("form")))
+    p = spread(_table(spark, sf_dir, "part").select("p_partkey", "p_name")).select("p_partkey", X.from_wild(F.replace("p_name", F.lit(" "), F.lit("#")), ascii_only=True).alias("form"))
+    p = p.withColumn("tiers", syllables.word_tier(F.col("form")))
     with X.plain():
-        final, initial = (F.size(find.sites(F.col("form"), spec, F.col("tiers"))).cast("long") for spec in ("[plosive] / _ word>", "[plosive] / <word _"))
+        final, initial = (find.count(F.col("form"), spec, F.col("tiers")).cast("long") for spec in ("[plosive] / _ word>", "[plosive] / <word _"))
         return p.select("p_partkey", final.alias("n_final"), initial.alias("n_initial"))
 
 

@@ -9,7 +9,7 @@ from .functions import text as X
 from .functions import transducer
 from .operators import build, compare, nearest, render, rewrite, tracks
 from .plans import patterns
-from .workload import _HEAD, _WORDS, _table, query, words
+from .workload import _HEAD, _WORDS, _table, query, spread, words
 
 
 @query(
@@ -81,7 +81,7 @@ def session_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rendered_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part names with breaks as trees of words, syllables and segments, and back to forms under a profile."""
     spaced = F.replace(F.regexp_replace("p_name", "([aeiouy])([^aeiouy ])([aeiouy])", "$1.$2$3"), F.lit(" "), F.lit("#"))
-    p = _table(spark, sf_dir, "part").select("p_partkey", X.from_wild(spaced, ascii_only=True).alias("form"))
+    p = spread(_table(spark, sf_dir, "part").select("p_partkey", "p_name")).select("p_partkey", X.from_wild(spaced, ascii_only=True).alias("form"))
     profile = spark.createDataFrame([("utterance", "", "#", ""), ("word", "", ".", "")], "tier string, before string, between string, after string")
     out = render.render(compare.tree(p, "p_partkey", "form"), render.labels(p, "p_partkey", "form"), profile)
     return out.select(F.col("graph").cast("long").alias("p_partkey"), F.col("text").alias("form"))
@@ -113,7 +113,7 @@ def off_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What part names, with boundaries, silence and zeros, have that isn't on the chart."""
     k = F.col("p_partkey")
     form = F.concat(F.replace("p_name", F.lit(" "), F.lit("#")), F.when(k % 3 == 0, "␣").when(k % 3 == 1, "∅").otherwise(""))
-    return _table(spark, sf_dir, "part").select("p_partkey", F.array_join(X.extensions_in(form), "").alias("extensions"), X.is_pure(form).alias("pure"))
+    return spread(_table(spark, sf_dir, "part").select("p_partkey", "p_name")).select("p_partkey", F.array_join(X.extensions_in(form), "").alias("extensions"), X.is_pure(form).alias("pure"))
 
 
 @query("SELECT p_partkey, regexp_replace(regexp_replace(replace(replace(p_name, 'g', 'ɡ'), ' ', '#'), '([aeiouy]#?)t', '\\1ɾ', 'g'), '^#', '') AS surface FROM part")
@@ -121,4 +121,4 @@ def query_as_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A query with a replacement as a rule: t after a vowel, or after a vowel and a word's end."""
     form = X.from_wild(F.replace("p_name", F.lit(" "), F.lit("#")), ascii_only=True)
     rules = [patterns.query_rule("t / [vowel] _", "ɾ"), patterns.query_rule("t / [vowel] # _", "ɾ")]
-    return _table(spark, sf_dir, "part").select("p_partkey", rewrite.rewrite(form, rules, plain=True).alias("surface"))
+    return spread(_table(spark, sf_dir, "part").select("p_partkey", "p_name")).select("p_partkey", rewrite.rewrite(form, rules, plain=True).alias("surface"))
