@@ -25,6 +25,8 @@ from .. import inventory as I
 from ..functions import text as X
 
 GAP = 1.0
+#: Pairs of sequences that are aligned at once.
+ALIGNED = 20_000
 _LEFT_OUT = {*I.SECONDARY, "length", "stress", "tone", "place", "location", "glide-height", "glide-backness"}  # location is compared as tract-x
 
 
@@ -472,17 +474,20 @@ def _ranked(df: DataFrame, units: Column, listing: list, n: int, price: Callable
     best = T.ArrayType(T.StructType([T.StructField("accepted", T.StringType()), T.StructField("ordinal", T.IntegerType()), T.StructField("similarity", T.DoubleType()), T.StructField("rank", T.IntegerType())]))
 
     def rank(forms: pd.Series) -> pd.Series:
-        out = []
-        for u in forms:
-            if u is None or not own:
-                out.append([])
-                continue
-            total = np.array([len(u) + len(v) for _, v, _ in own], float)
-            cost = align_batch([list(u)] * len(own), [v for _, v, _ in own], **({"price": price, "gaps": (GAP, GAP)} if price else {}))
+        given = [[] if u is None else list(u) for u in forms]
+        out = [[] for _ in given]
+        lengths = np.array([len(v) for _, v, _ in own], float)
+        # forms of a batch are aligned together, some at a time, so that memory holds no more than ALIGNED pairs
+        some = max(1, ALIGNED // max(len(own), 1))
+        for lo in range(0, len(given) if own else 0, some):
+            part = given[lo : lo + some]
+            cost = align_batch([u for u in part for _ in own], [v for _ in part for _, v, _ in own], **({"price": price, "gaps": (GAP, GAP)} if price else {})).reshape(len(part), len(own))
+            total = np.array([[len(u)] for u in part], float) + lengths
             score = np.where(total == 0, 1.0, 1 - cost / np.maximum(total * GAP, 1e-9))
-            order = np.argsort(-score, kind="stable")[:n]
-            out.append([{"accepted": own[i][0], "ordinal": int(own[i][2]), "similarity": float(score[i]), "rank": k + 1} for k, i in enumerate(order)])
-        return pd.Series(out)
+            order = np.argsort(-score, axis=1, kind="stable")[:, :n]
+            for k, best in enumerate(order):
+                out[lo + k] = [{"accepted": own[i][0], "ordinal": int(own[i][2]), "similarity": float(score[k, i]), "rank": r + 1} for r, i in enumerate(best)]
+        return pd.Series([[] if u is None else x for u, x in zip(forms, out, strict=True)])
 
     best_col = X.free(df, "__best")
     return df.withColumn(best_col, F.explode(F.pandas_udf(rank, best)(units))).select(*df.columns, f"{best_col}.*")
@@ -492,17 +497,20 @@ def explain_word_distance(a: list[str], b: list[str]) -> list[tuple[str, str | N
     """Steps (op, left, right, cost) of the cheapest alignment; back from the end, diagonal before delete before insert."""
     n, m = len(a), len(b)
     sub = [[2 * GAP * phone_distance(x, y) for y in b] for x in a]
-    d = np.zeros((n + 1, m + 1))
-    d[:, 0], d[0, :] = np.arange(n + 1) * GAP, np.arange(m + 1) * GAP
+    d = [[j * GAP for j in range(m + 1)]]
     for i in range(1, n + 1):
+        before, row = d[-1], [i * GAP]
         for j in range(1, m + 1):
-            d[i, j] = min(d[i - 1, j - 1] + sub[i - 1][j - 1], d[i - 1, j] + GAP, d[i, j - 1] + GAP)
+            row.append(min(before[j - 1] + sub[i - 1][j - 1], before[j] + GAP, row[j - 1] + GAP))
+        d.append(row)
+    # as np.isclose, which takes long for single numbers
+    same = lambda x, y: abs(x - y) <= 1e-8 + 1e-5 * abs(y)
     out, i, j = [], n, m
     while i or j:
-        if i and j and np.isclose(d[i, j], d[i - 1, j - 1] + sub[i - 1][j - 1]):
+        if i and j and same(d[i][j], d[i - 1][j - 1] + sub[i - 1][j - 1]):
             out.append(("match" if a[i - 1] == b[j - 1] else "sub", a[i - 1], b[j - 1], float(sub[i - 1][j - 1])))
             i, j = i - 1, j - 1
-        elif i and np.isclose(d[i, j], d[i - 1, j] + GAP):
+        elif i and same(d[i][j], d[i - 1][j] + GAP):
             out.append(("delete", a[i - 1], None, GAP))
             i -= 1
         else:
