@@ -15,18 +15,18 @@ from . import distance as D
 _STEPS = T.ArrayType(T.StructType([T.StructField("op", T.StringType()), T.StructField("left", T.StringType()), T.StructField("right", T.StringType()), T.StructField("cost", T.DoubleType())]))
 
 
-def alignment(left: Column, right: Column) -> Column:
-    """Steps (op, left, right, cost) of two forms; null if either is."""
+def alignment(left: Column, right: Column, matches: bool = True) -> Column:
+    """Steps (op, left, right, cost) of two forms; null if either is. matches: those of equal units, too."""
 
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else [dict(zip(("op", "left", "right", "cost"), s, strict=True)) for s in D.explain_word_distance(list(x), list(y))] for x, y in zip(a, b, strict=True)])
+        return pd.Series([None if x is None or y is None else [dict(zip(("op", "left", "right", "cost"), s, strict=True)) for s in D.explain_word_distance(list(x), list(y)) if matches or s[0] != "match"] for x, y in zip(a, b, strict=True)])
 
     return F.pandas_udf(run, _STEPS)(X.units(left), X.units(right))
 
 
 def disagreements(df: DataFrame, keys: list[str], reference_col: str, source_col: str) -> DataFrame:
     """(keys, kind, left, right): FEATURE where units were substituted, STRUCTURE where one side has a unit alone."""
-    steps = df.select(*keys, F.explode(alignment(F.col(reference_col), F.col(source_col))).alias("s")).where("s.op <> 'match'")
+    steps = df.select(*keys, F.explode_outer(alignment(F.col(reference_col), F.col(source_col), matches=False)).alias("s")).where("s.op <> 'match'")
     return steps.select(*keys, F.when(F.col("s.op") == "sub", "FEATURE").otherwise("STRUCTURE").alias("kind"), F.col("s.left").alias("left"), F.col("s.right").alias("right"))
 
 
