@@ -78,6 +78,16 @@ def _largest_before(edges: DataFrame, labels: DataFrame) -> DataFrame:
         color = doubled(pointers, F.greatest("value", "next")).select(*_KEY, F.col("value").alias("label"))
 
 
+def _rings(edges: DataFrame) -> DataFrame:
+    """(graph, node, root) of the nodes of rings that nothing else of peeled edges leads into or out of, followed by doubling once."""
+    out = edges.groupBy("graph", F.col("src").alias("node")).agg(F.count("*").alias("k"), F.first("tgt").alias("to"))
+    into = edges.groupBy("graph", F.col("tgt").alias("node")).agg(F.count("*").alias("m"))
+    pointers = out.join(into, _KEY, "full").select(*_KEY, F.when((F.col("k") == 1) & (F.col("m") == 1), F.col("to")).alias("to"), F.col("node").alias("value"))
+    ends = doubled(pointers, F.least("value", F.coalesce("next", "value")))
+    # a way without a fork that isn't a ring has fewer steps than there are nodes; every other one has gone round at least once
+    return _cut(ends.where(F.col("n") >= ends.count()).select(*_KEY, F.col("value").alias("root")))
+
+
 def strong_components(relations: DataFrame, name: str = "contains") -> DataFrame:
     """(graph, node, component): for each node on a cycle the smallest node of its strongly connected component.
 
@@ -88,6 +98,9 @@ def strong_components(relations: DataFrame, name: str = "contains") -> DataFrame
     loops = edges.where("src = tgt").select("graph", F.col("src").alias("node"), F.col("src").alias("root")).distinct()
     edges = _peeled(_cut(edges.where("src <> tgt")))
     found = None
+    if not edges.isEmpty():
+        found = _rings(edges)
+        edges = _cut(edges.join(found.select("graph", F.col("node").alias("src")), ["graph", "src"], "left_anti").select("graph", "src", "tgt"))
     for turn in itertools.count():
         if edges.isEmpty():
             break

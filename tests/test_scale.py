@@ -60,3 +60,15 @@ def test_words_of_a_batch_are_ranked_together(spark):
     got = {r["form"]: (r["accepted"], r["ordinal"], r["rank"]) for r in distance.rank_pronunciations(forms, "form", listing, "accepted").collect()}
     assert got == {"ðə": ("ðə", 0, 1), "ænt": ("ænd", 1, 1), "": ("ðə", 0, 1), "ə": ("ðə", 0, 1)}
     assert distance.ALIGNED >= 10_000
+
+
+def test_rings_are_followed_once(spark, monkeypatch):
+    """A ring needs no colours, nor does one beside what has forks; a way that leads to a ring isn't on it."""
+    from lautwerk.operators import order
+
+    rows = [(1, "contains", f"r{k}", 0, f"r{(k + 1) % 50}") for k in range(50)] + [(2, "contains", a, 0, b) for a, b in ("ab", "ba", "bc", "cb", "xa", "yy")]
+    rel = spark.createDataFrame(rows, "graph int, name string, src string, ordinal int, tgt string")
+    want = {(1, f"r{k}", "r0") for k in range(50)} | {(2, c, "a") for c in "abc"} | {(2, "y", "y")}
+    assert {tuple(r) for r in order.strong_components(rel).collect()} == want
+    monkeypatch.setattr(order, "_largest_before", lambda *_: 1 / 0)
+    assert order.strong_components(rel.where("graph = 1")).count() == 50
