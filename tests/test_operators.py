@@ -36,6 +36,19 @@ def test_nearest_in_short_lists(spark):
     assert {tuple(r) for r in nearest.nearest(two, "w", two, "w").collect()} == {("a", "bcd", 3), ("bcd", "a", 3)}
 
 
+def test_only_far_forms_go_through_pivots(spark, monkeypatch):
+    draw = random.Random(5)
+    words = sorted({"".join(draw.choice("abcdefgh") for _ in range(8)) for _ in range(400)} | {"é" * 7, "é" * 9, "z" * 40})
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    asked, through = words[::5] + ["é" * 9, "z" * 40], []
+    pivots = nearest._by_pivots
+    monkeypatch.setattr(nearest, "_by_pivots", lambda rest, *a: through.extend(r["q"] for r in rest.collect()) or pivots(rest, *a))
+    got = {r["form"]: (r["distance"], r["nearest"]) for r in nearest.nearest(spark.createDataFrame([(w,) for w in asked], "q string"), "q", df, "w").collect()}
+    want = {q: min((levenshtein(q, w), w) for w in words if w != q) for q in asked}
+    assert got == want
+    assert set(through) == {q for q in asked if want[q][0] > nearest.BY_PARTS} and "z" * 40 in through
+
+
 @pytest.mark.parametrize("width", [1, 7, 1000])
 def test_resampled_tracks(spark, width):
     draw = random.Random(width)
