@@ -3,18 +3,28 @@
 Pointers that are followed one step a round reach the end of a path of n nodes in n rounds; here every round lets a pointer
 skip to where the one it points to points, so it takes about log2(n). Each round is a join, written to the shared folder.
 Relations are (graph, name, src, ordinal, tgt).
+
+Most tables hold many small graphs. Those of at most SMALL rows are dealt out whole, and a task takes many of them at once; only
+larger ones need joins round by round.
 """
 
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Observation
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .graph import _cut, children
 
 _KEY = ["graph", "node"]
+#: Rows of a graph that a task may hold, and rows and bytes that it takes at once.
+SMALL = 10_000
+CHUNK, CHUNK_BYTES = 100_000, 32 << 20
 
 
 def doubled(pointers: DataFrame, combine: Column | None = None) -> DataFrame:
@@ -130,9 +140,78 @@ def cycles(relations: DataFrame, name: str = "contains") -> DataFrame:
     return strong_components(relations, name).select(*_KEY)
 
 
+def by_size(rows: DataFrame, whole: Column) -> tuple[DataFrame, DataFrame | None]:
+    """Rows (graph, ...) of graphs with at most SMALL of them, dealt out so that a task meets graph after graph; and those of larger
+    graphs, of graphs with rows that aren't whole, and without a graph, or None. rows are read twice."""
+    counts = rows.groupBy("graph").agg(F.count("*").alias("k"), F.count(F.when(~whole, 1)).alias("bad"))
+    large = _cut(counts.where((F.col("k") > SMALL) | (F.col("bad") > 0) | F.col("graph").isNull()).select("graph"))
+    if large.isEmpty():
+        return rows.repartition("graph").sortWithinPartitions("graph"), None
+    rest = rows.join(large, "graph", "left_semi").unionAll(rows.where("graph is null"))
+    return rows.where("graph is not null").join(large, "graph", "left_anti").repartition("graph").sortWithinPartitions("graph"), rest
+
+
+def whole_graphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows that stand graph after graph, in tables that hold graphs whole."""
+    held, n, size = [], 0, 0
+    for batch in batches:
+        held.append(batch)
+        n, size = n + batch.num_rows, size + batch.nbytes
+        if n >= CHUNK or size >= CHUNK_BYTES:
+            t = pa.Table.from_batches(held).combine_chunks()
+            _, g = numbered(t["graph"])
+            ends = np.flatnonzero(g[1:] != g[:-1])
+            at = int(ends[-1]) + 1 if len(ends) else 0
+            if at:
+                yield t.slice(0, at)
+            held = t.slice(at).to_batches()
+            n, size = t.num_rows - at, 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def numbered(values: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+    """The distinct values, and the number of each row's value among them."""
+    d = pa.concat_arrays(values.chunks).dictionary_encode()
+    return d.dictionary, d.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def layers(src: np.ndarray, tgt: np.ndarray, n: int) -> np.ndarray:
+    """The level of each of n nodes, -1 for none."""
+    src, tgt = np.divmod(np.unique(src * n + tgt), n)
+    first, waits, level = np.searchsorted(src, np.arange(n + 1)), np.bincount(tgt, minlength=n), np.full(n, -1)
+    now, k = np.flatnonzero(waits == 0), 0
+    while len(now):
+        level[now] = k
+        counts = first[now + 1] - first[now]
+        hit, times = np.unique(tgt[np.repeat(first[now] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())], return_counts=True)
+        waits[hit] -= times
+        now, k = hit[waits[hit] == 0], k + 1
+    return level
+
+
+def _small_levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for t in whole_graphs(batches):
+        graphs, g = numbered(t["graph"])
+        names, at = numbered(pa.chunked_array(t["src"].chunks + t["tgt"].chunks))
+        own, ends = np.unique(np.concatenate([g, g]) * len(names) + at, return_inverse=True)
+        level = layers(ends[: len(g)], ends[len(g) :], len(own))
+        yield pa.RecordBatch.from_arrays([graphs.take(pa.array(own // len(names))), names.take(pa.array(own % len(names))), pa.array(level.astype(np.int32), mask=level < 0)], ["graph", "node", "level"])
+
+
 def levels(edges: DataFrame) -> DataFrame:
-    """(graph, node, level): the length of the longest way that leads to a node, level by level; null for nodes on a cycle and
-    after one. edges: (graph, src, tgt)."""
+    """(graph, node, level): the length of the longest way that leads to a node; null for nodes on a cycle and after one. Small
+    graphs are taken whole, larger ones level by level. edges: (graph, src, tgt)."""
+    graph, node = (edges.select(c).schema[0].dataType for c in ("graph", F.explode(F.array("src", "tgt"))))
+    edges = _cut(edges.select("graph", F.col("src").cast(node).alias("src"), F.col("tgt").cast(node).alias("tgt")))
+    if not isinstance(graph, T.AtomicType) or not isinstance(node, T.AtomicType):
+        return _levels_by_rounds(edges)
+    small, rest = by_size(edges, F.col("src").isNotNull() & F.col("tgt").isNotNull())
+    out = small.mapInArrow(_small_levels, T.StructType([T.StructField("graph", graph), T.StructField("node", node), T.StructField("level", T.IntegerType())]))
+    return out if rest is None else out.unionAll(_levels_by_rounds(rest))
+
+
+def _levels_by_rounds(edges: DataFrame) -> DataFrame:
     edges = _cut(edges.select("graph", "src", "tgt").distinct())
     waiting = edges.groupBy("graph", F.col("tgt").alias("node")).agg(F.count("*").alias("open"))
     waiting = _cut(edges.select("graph", F.explode(F.array("src", "tgt")).alias("node")).distinct().join(waiting, _KEY, "left").select(*_KEY, F.coalesce("open", F.lit(0)).alias("open")))
@@ -153,18 +232,13 @@ def levels(edges: DataFrame) -> DataFrame:
 def scan_order(edges: DataFrame, clock: DataFrame) -> DataFrame:
     """(graph, node, level, place): nodes in an order in which every edge goes forward, of a level by their clock (graph, node, clock)
     and then by name; nodes without an order have none. Places are numbered by graph."""
-    from pyspark.sql import Window
-
-    at = clock.join(levels(edges), _KEY, "left").join(edges.select("graph", F.explode(F.array("src", "tgt")).alias("node")).distinct().withColumn("known", F.lit(True)), _KEY, "left")
-    level = F.when(F.col("known").isNull(), 0).otherwise(F.col("level"))
-    ordered = at.select(*_KEY, level.alias("level"), "clock").where("level is not null")
+    at = clock.join(levels(edges).withColumn("known", F.lit(True)), _KEY, "left")
+    at = at.select(*_KEY, F.when(F.col("known").isNull(), 0).otherwise(F.col("level")).alias("level"), "clock")
     # places within (graph, level) first: only counts of levels go through one window
-    within = F.row_number().over(Window.partitionBy("graph", "level").orderBy("clock", "node"))
-    sizes = ordered.groupBy("graph", "level").count()
+    placed = at.withColumn("within", F.row_number().over(Window.partitionBy("graph", "level").orderBy("clock", "node")))
+    sizes = placed.where("level is not null").groupBy("graph", "level").agg(F.max("within").cast("long").alias("count"))
     before = sizes.select("graph", "level", F.coalesce(F.sum("count").over(Window.partitionBy("graph").orderBy("level").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    placed = ordered.withColumn("within", within).join(before, ["graph", "level"])
-    out = placed.select(*_KEY, "level", (F.col("before") + F.col("within") - 1).alias("place"))
-    return out.unionByName(at.select(*_KEY, level.alias("level")).where("level is null").withColumn("place", F.lit(None).cast("long")))
+    return placed.join(before, ["graph", "level"], "left").select(*_KEY, "level", (F.col("before") + F.col("within") - 1).alias("place"))
 
 
 def resolve(relations: DataFrame, starts: DataFrame, nodes: DataFrame, name: str = "selects") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import notation as N
@@ -148,14 +148,14 @@ def graph_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def line_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of an order, each before those that ship on the order's next day of shipping; levels, and ties by line number."""
-    l = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_shipdate").alias("l_shipdate"))  # noqa: E741
-    days = l.select("l_orderkey", "l_shipdate").distinct()
-    later = days.select(F.col("l_orderkey").alias("o"), F.col("l_shipdate").alias("d"))
-    nxt = days.join(later, (F.col("l_orderkey") == F.col("o")) & (F.col("l_shipdate") < F.col("d"))).groupBy("l_orderkey", "l_shipdate").agg(F.min("d").alias("next_day"))
-    other = l.select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("tgt"), F.col("l_shipdate").alias("d"))
-    edges = l.join(nxt, ["l_orderkey", "l_shipdate"]).join(other, (F.col("l_orderkey") == F.col("o")) & (F.col("next_day") == F.col("d")))
+    # dealt out by order once: lines, days and the next of them stay where they are
+    l = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate").repartition("l_orderkey")  # noqa: E741
+    l = l.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_shipdate").alias("l_shipdate"))  # noqa: E741
+    days = l.groupBy("l_orderkey", "l_shipdate").agg(F.collect_list("l_linenumber").alias("lines"))
+    nxt = days.select("l_orderkey", "lines", F.lead("lines").over(Window.partitionBy("l_orderkey").orderBy(F.asc_nulls_last("l_shipdate"))).alias("later"))
+    edges = nxt.where("later is not null").select("l_orderkey", F.explode("lines").alias("src"), "later").select("l_orderkey", "src", F.explode("later").alias("tgt"))
     name = lambda c: F.concat(F.lit("l"), c)
-    edges = edges.select(F.col("l_orderkey").alias("graph"), name("l_linenumber").alias("src"), name("tgt").alias("tgt"))
+    edges = edges.select(F.col("l_orderkey").alias("graph"), name("src").alias("src"), name("tgt").alias("tgt"))
     clock = l.select(F.col("l_orderkey").alias("graph"), name("l_linenumber").alias("node"), F.col("l_linenumber").alias("clock"))
     out = order.scan_order(edges, clock)
     return out.select(F.col("graph").alias("l_orderkey"), F.substring("node", 2, 9).cast("int").alias("l_linenumber"), "level", "place")

@@ -2,6 +2,8 @@
 
 import random
 
+import pyarrow as pa
+
 from lautwerk.operators import graph, order
 
 REL = "graph int, name string, src string, ordinal int, tgt string"
@@ -55,6 +57,31 @@ def test_levels_and_order(spark):
     assert places == {(1, "d"): 0, (1, "lone"): 1, (1, "a"): 2, (1, "b"): 3, (1, "c"): 4, (1, "e"): 5, (2, "x"): None}
 
 
+def test_small_graphs_are_taken_whole(spark, monkeypatch):
+    draw = random.Random(11)
+    edges = [(f"g{g}", draw.randrange(9), draw.randrange(9)) for g in range(60) for _ in range(draw.randrange(1, 14))]
+    edges += [("deep", k, k + 1) for k in range(300)] + [("deep", 0, 300)]
+    df = spark.createDataFrame(edges + edges[:9], "graph string, src long, tgt long")
+    own = lambda d: {(r["graph"], r["node"]): r["level"] for r in d.collect()}
+    rounds = order._levels_by_rounds
+    monkeypatch.setattr(order, "_levels_by_rounds", None)
+    whole = own(order.levels(df))
+    assert whole["deep", 300] == 300 and None in whole.values()
+    monkeypatch.setattr(order, "_levels_by_rounds", rounds)
+    monkeypatch.setattr(order, "SMALL", 6)
+    few = [e for e in edges if e[0] != "deep"]
+    assert own(order.levels(spark.createDataFrame(few, "graph string, src long, tgt long"))) == {k: v for k, v in whole.items() if k[0] != "deep"}
+
+
+def test_graphs_across_chunks(monkeypatch):
+    monkeypatch.setattr(order, "CHUNK", 7)
+    graphs = [g for g in range(20) for _ in range(g % 5 + 1)]
+    t = pa.table({"graph": graphs, "src": list(range(len(graphs))), "tgt": [0] * len(graphs)})
+    got = list(order.whole_graphs(t.to_batches(max_chunksize=4)))
+    assert pa.concat_tables(got).equals(t) and len(got) > 3
+    assert sum(len(set(x["graph"].to_pylist())) for x in got) == 20
+
+
 def test_choices(spark):
     picks = [(1, f"p{k}", f"p{k + 1}") for k in range(40)] + [(1, "a", "b"), (1, "b", "a"), (1, "q", "nowhere"), (2, "s", "s")]
     nodes = spark.createDataFrame([(1, f"p{k}") for k in range(41)] + [(1, x) for x in "abq"] + [(2, "s"), (1, "free")], "graph int, node string")
