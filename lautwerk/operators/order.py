@@ -172,10 +172,20 @@ def whole_graphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 def numbered(values: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
     """The distinct values, and the number of each row's value among them."""
-    d = pa.concat_arrays(values.chunks).dictionary_encode()
+    d = (pa.concat_arrays(values.chunks) if values.num_chunks else pa.array([], values.type)).dictionary_encode()
     return d.dictionary, d.indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def numbered_nodes(graph: list[pa.ChunkedArray], node: list[pa.ChunkedArray]) -> tuple[pa.Array, pa.Array, np.ndarray, pa.Array, np.ndarray]:
+    """Of columns below each other: the graph and the node of each distinct one, each row's number among them, the distinct names
+    of nodes, and which of these each distinct one has."""
+    below = lambda columns: numbered(pa.chunked_array([x for c in columns for x in c.chunks], columns[0].type))
+    (graphs, g), (names, at) = below(graph), below(node)
+    own, ids = np.unique(g * len(names) + at, return_inverse=True)
+    g, at = np.divmod(own, max(len(names), 1))
+    return graphs.take(pa.array(g)), names.take(pa.array(at)), ids, names, at
+
+
 def layers(src: np.ndarray, tgt: np.ndarray, n: int) -> np.ndarray:
     """The level of each of n nodes, -1 for none."""
     src, tgt = np.divmod(np.unique(src * n + tgt), n)
@@ -192,11 +202,9 @@ def layers(src: np.ndarray, tgt: np.ndarray, n: int) -> np.ndarray:
 
 def _small_levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in whole_graphs(batches):
-        graphs, g = numbered(t["graph"])
-        names, at = numbered(pa.chunked_array(t["src"].chunks + t["tgt"].chunks))
-        own, ends = np.unique(np.concatenate([g, g]) * len(names) + at, return_inverse=True)
-        level = layers(ends[: len(g)], ends[len(g) :], len(own))
-        yield pa.RecordBatch.from_arrays([graphs.take(pa.array(own // len(names))), names.take(pa.array(own % len(names))), pa.array(level.astype(np.int32), mask=level < 0)], ["graph", "node", "level"])
+        graph, node, ids, _, _ = numbered_nodes([t["graph"], t["graph"]], [t["src"], t["tgt"]])
+        level = layers(ids[: len(t)], ids[len(t) :], len(node))
+        yield pa.RecordBatch.from_arrays([graph, node, pa.array(level.astype(np.int32), mask=level < 0)], ["graph", "node", "level"])
 
 
 def levels(edges: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lautwerk.functions import transducer
-from lautwerk.operators import build, compare, nearest, render, tracks
+from lautwerk.operators import build, compare, nearest, order, render, tracks
 
 
 def levenshtein(a, b):
@@ -99,3 +99,21 @@ def test_composed_vocabularies(spark):
     for bad in (dict(aliases={"x": "y", "y": "x"}), dict(aliases={"x": "z"}), dict(reductions={"a": "b", "b": "a"}), dict(reductions={"z": "a"})):
         with pytest.raises(transducer.VocabularyError):
             transducer.compose({"a": "A", "b": "B"}, **bad)
+
+
+def test_small_trees_are_rendered_whole(spark, monkeypatch):
+    draw = random.Random(2)
+    edges = [(f"g{g}", "contains", f"n{draw.randrange(9)}", draw.randrange(3), f"n{draw.randrange(9)}") for g in range(40) for _ in range(draw.randrange(1, 9))]
+    edges += [(f"t{g}", "contains", f"n{k}", draw.randrange(3), f"n{draw.randrange(k + 1, 9)}") for g in range(40) for k in range(8)] + [("g1", "other", "n0", 0, "n1")]
+    nodes = [(g, f"n{k}", draw.choice("abc"), draw.choice(["x", "y", None])) for g in sorted({e[0] for e in edges} | {"none"}) for k in range(9) if draw.random() < 0.9]
+    nodes += nodes[::17] + [("lone", "n0", "a", "z")]
+    rel = spark.createDataFrame(edges + edges[::11], "graph string, name string, src string, ordinal int, tgt string")
+    own = spark.createDataFrame(nodes, "graph string, node string, tier string, text string")
+    profile = spark.createDataFrame([("a", "[", ",", "]"), ("b", None, "-", None)], "tier string, before string, between string, after string")
+    told = lambda: sorted(tuple(r) for r in render.render(rel, own, profile).collect())
+    rounds = render._by_rounds
+    monkeypatch.setattr(render, "_by_rounds", None)
+    whole = told()
+    monkeypatch.setattr(render, "_by_rounds", rounds)
+    monkeypatch.setattr(order, "SMALL", 0)
+    assert whole == told() and len(whole) > 80 and ("lone", "n0", "[z]") in whole
