@@ -17,6 +17,9 @@ as all words on the way are equal. Seeds and items are broadcast while they are
 Beyond that, places (a text's id and hash, position, seed) are joined by shuffle, and the words of a text are fetched only
 where a seed was hit; no words are in that shuffle.
 
+Items of the same words are matched once, and the pairs that were found are then given to each of them, so a benchmark that
+repeats itself takes no more seeds.
+
 Defined cases: null or empty texts and items match nothing; repeated items and texts are reported row by row but once
 for each (doc_id, item_id); null ids pass through; empty tables give empty results; letters A-Z count as a-z; other
 columns are ignored, whatever they are called.
@@ -97,8 +100,10 @@ def _accepted(hits: DataFrame, *keep: str, near: str | None = None) -> DataFrame
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shortest: int = SHORTEST, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(doc_id, item_id, n_equal, n_aligned, first_word): the pairs that overlap, with the best stretch."""
-    bench = items.select(F.col(item_col).alias("item_id"), words_of(ascii_lower(F.coalesce(F.col(item_text_col), F.lit("")))).alias("item"))
-    bench = materialize(bench.where(F.size("item") >= max(shortest, 1)).withColumn("key", F.monotonically_increasing_id()))
+    named = items.select(F.col(item_col).alias("item_id"), words_of(ascii_lower(F.coalesce(F.col(item_text_col), F.lit("")))).alias("item"))
+    named = materialize(named.where(F.size("item") >= max(shortest, 1)).distinct())
+    # items of the same words are one until their pairs are found
+    bench = materialize(named.select("item").distinct().withColumn("key", F.monotonically_increasing_id()))
     size = bench.agg(F.coalesce(F.sum(F.size("item")), F.lit(0)), F.coalesce(F.sum(F.length(F.array_join("item", " "))), F.lit(0))).first()
     lengths = sorted(r[0] for r in bench.select(F.size("item").alias("n")).where(F.col("n").isin(list(GAPPED))).distinct().limit(len(GAPPED)).collect())
     extra = [(n, mask) for n in lengths for mask in GAPPED[n]]
@@ -116,8 +121,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         shown = {k + 1 for k, m in enumerate(MASK) if m == "1"}
         alike = [F.get("w", at - 1 + k) == F.get("item", item_at - 1 + k) for k, m in enumerate(MASK) if m == "1" and k not in shown]
         later = (at > 0) & (item_at > 0) & (F.size("item") >= SPAN) & reduce(lambda a, b: a & b, alike)
-        hits = hits.where(~later).where((F.size("item") < SPAN) | _promising(at, item_at)).select("doc_id", "item_id", "w", "item", (at - item_at).alias("start"), F.least(at, item_at).alias("near_at"))
-        hits = _accepted(_diagonal(hits, "doc_id", "item_id", "near_at"), "doc_id", "item_id", near="near_at")
+        hits = hits.where(~later).where((F.size("item") < SPAN) | _promising(at, item_at)).select("doc_id", "key", "w", "item", (at - item_at).alias("start"), F.least(at, item_at).alias("near_at"))
+        hits = _accepted(_diagonal(hits, "doc_id", "key", "near_at"), "doc_id", "key", near="near_at")
     else:
         texts = texts.withColumn("hash", F.xxhash64("w"))
         places = _seeds(texts, "w", masks).select("doc_id", "hash", "at", "seed")
@@ -125,10 +130,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         found = materialize(found.join(bench, "key").withColumnsRenamed({"doc_id": "d", "hash": "h"}))
         own = texts.dropDuplicates(["doc_id", "hash"])
         hits = found.join(own, found["d"].eqNullSafe(own["doc_id"]) & (found["h"] == own["hash"]))
-        hits = _accepted(_diagonal(hits, "doc_id", "item_id"), "doc_id", "item_id")
+        hits = _accepted(_diagonal(hits, "doc_id", "key"), "doc_id", "key")
     total = F.aggregate("equal", F.lit(0), lambda a, x: a + x)
-    best = F.max_by(F.struct(total.alias("n_equal"), F.size("equal").alias("n_aligned"), F.greatest("start", F.lit(0)).alias("first_word")), F.struct(total, -F.col("start")))
-    return hits.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.n_equal", "b.n_aligned", "b.first_word")
+    best = F.max_by(F.struct(total.alias("n_equal"), F.size("equal").alias("n_aligned"), "start"), F.struct(total, -F.col("start")))
+    ids = named.join(bench, "item").select("key", "item_id")
+    ids = F.broadcast(ids) if SEED_BYTES * named.count() <= broadcast_bytes else ids
+    found = hits.groupBy("doc_id", "key").agg(best.alias("b")).join(ids, "key")
+    out = found.groupBy("doc_id", "item_id").agg(F.max_by("b", F.struct("b.n_equal", -F.col("b.start"))).alias("b"))
+    return out.select("doc_id", "item_id", "b.n_equal", "b.n_aligned", F.greatest("b.start", F.lit(0)).alias("first_word"))
 
 
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:

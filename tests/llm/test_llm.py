@@ -466,6 +466,21 @@ def test_spaced_seeds_cover_what_the_rule_accepts():
     assert "0" in MASK
 
 
+def test_decontamination_takes_repeated_items_once(spark, monkeypatch):
+    from lautwerk.llm import decontaminate as module
+
+    passages = [" ".join(f"{c}{k}" for k in range(20)) for c in "abc"]
+    docs = spark.createDataFrame([(1, "x y " + passages[0]), (2, passages[1] + " " + passages[0]), (3, "nothing here"), (1, passages[2])], "doc_id long, text string")
+    rows = [(100 * n + k, p.upper() if n % 2 else p) for n in range(50) for k, p in enumerate(passages)] + [(0, passages[1]), (None, passages[0])]
+    items, seeded, seeds = spark.createDataFrame(rows, "item_id long, text string"), [], module._seeds
+    monkeypatch.setattr(module, "_seeds", lambda df, words, masks: (seeded.append(df.count()) if words == "item" else None) or seeds(df, words, masks))
+    for room in (BROADCAST_BYTES, 0):
+        got = {(r["doc_id"], r["item_id"]): (r["n_equal"], r["n_aligned"], r["first_word"]) for r in decontaminate(docs, items, broadcast_bytes=room).collect()}
+        want = {(1, 100 * n): (20, 20, 2) for n in range(50)} | {(1, 100 * n + 2): (20, 20, 0) for n in range(50)} | {(2, 100 * n): (20, 20, 20) for n in range(50)} | {(2, 100 * n + 1): (20, 20, 0) for n in range(50)}
+        assert got == want | {(2, 0): (20, 20, 0), (1, None): (20, 20, 2), (2, None): (20, 20, 20)}
+    assert seeded == [3, 3]
+
+
 def test_decontamination_by_shuffle_agrees(docs, odd, sf, spark):
     items = spark.read.parquet(f"{sf}/benchmark.parquet")
     for df in (docs, odd):
