@@ -3,7 +3,9 @@
 import random
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
+from lautwerk import workload
 from lautwerk.operators import graph, order
 
 REL = "graph int, name string, src string, ordinal int, tgt string"
@@ -82,6 +84,14 @@ def test_graphs_across_chunks(monkeypatch):
     assert sum(len(set(x["graph"].to_pylist())) for x in got) == 20
 
 
+def test_lines_without_a_day_stand_last(spark, tmp_path):
+    rows = [(1, 1, "2020-01-02"), (1, 2, None), (1, 3, "2020-01-01"), (1, 3, "2020-02-01"), (2, 1, None), (3, 1, "2020-01-01"), (3, 2, "2020-01-01")]
+    df = spark.createDataFrame(rows, "l_orderkey long, l_linenumber long, day string").select("l_orderkey", "l_linenumber", F.col("day").cast("date").alias("l_shipdate"))
+    df.write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {(r["l_orderkey"], r["l_linenumber"]): (r["level"], r["place"]) for r in workload.queries()["line_precedence"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 3): (0, 0), (1, 1): (1, 1), (1, 2): (2, 2), (2, 1): (0, 0), (3, 1): (0, 0), (3, 2): (0, 1)}
+
+
 def test_choices(spark):
     picks = [(1, f"p{k}", f"p{k + 1}") for k in range(40)] + [(1, "a", "b"), (1, "b", "a"), (1, "q", "nowhere"), (2, "s", "s")]
     nodes = spark.createDataFrame([(1, f"p{k}") for k in range(41)] + [(1, x) for x in "abq"] + [(2, "s"), (1, "free")], "graph int, node string")
