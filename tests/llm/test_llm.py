@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -481,6 +482,58 @@ def test_decontamination_takes_repeated_items_once(spark, monkeypatch):
     assert seeded == [3, 3]
 
 
+def test_decontamination_cuts_long_texts(spark, monkeypatch):
+    """No array holds the words of a long text; what lies across the cuts is found once and counted from the text's start."""
+    from lautwerk.llm import decontaminate as module
+
+    rng = random.Random(3)
+    bench = {k: [f"i{k}_{j}" for j in range(n)] for k, n in enumerate((5, 8, 12, 20, 59, 90))}
+    made = []
+    for d in range(6):
+        words = [rng.choice(("so", "far", "É", "\U0001d54f", f"n{j}")) for j in range(rng.choice((700, 2000)))]
+        for k in rng.choices(sorted(bench), k=25):
+            at = rng.choice((0, len(words) - len(bench[k]) + rng.randrange(30), rng.randrange(len(words)), 4 * rng.randrange(len(words) // 4)))
+            changed = [w if rng.random() > 0.15 else "x" for w in bench[k]][max(-at, 0) :]
+            words[max(at, 0) : max(at, 0) + len(changed)] = changed
+        made.append((d, rng.choice(("", "\t ", "\n")) + "".join(w + rng.choice((" ", "\n\n", " \x0b ")) for w in words)))
+    made += [(0, made[1][1]), (None, made[2][1]), (90, ""), (91, " \n"), (92, None)]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    items = spark.createDataFrame([(k, " ".join(w)) for k, w in bench.items()], "item_id long, text string")
+    columns = ("doc_id", "item_id", "n_equal", "n_aligned", "first_word")
+    want = multiset(module.decontaminate(docs, items, whole_bytes=1 << 30), *columns)
+    assert {x[:2] for x in want} == brute_decontamination(made, [(k, " ".join(w)) for k, w in bench.items()]) and len(want) > 20
+    monkeypatch.setattr(module, "UNIT", 4)
+    for core, room in ((1, BROADCAST_BYTES), (1, 0), (200, BROADCAST_BYTES), (5000, BROADCAST_BYTES)):
+        monkeypatch.setattr(module, "CORE", core)
+        assert multiset(module.decontaminate(docs, items, broadcast_bytes=room, whole_bytes=0), *columns) == want, (core, room)
+
+
+def test_decontamination_holds_pieces_of_long_texts(spark, monkeypatch):
+    from lautwerk.llm import decontaminate as module
+
+    passage = " ".join(f"p{k}" for k in range(20))
+    docs = spark.createDataFrame([(1, "so far " * 100_000 + passage + " so far" * 50_000), (2, passage)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, passage)], "item_id long, text string")
+    longest, seeds = [], module._seeds
+    monkeypatch.setattr(module, "_seeds", lambda df, words, masks: (longest.append(df.agg(F.max(F.size(words))).first()[0]) if words == "w" else None) or seeds(df, words, masks))
+    got = {tuple(r) for r in module.decontaminate(docs, items).collect()}
+    assert got == {(1, 7, 20, 20, 200_000), (2, 7, 20, 20, 0)} and longest[0] <= 5000
+
+
+def test_decontamination_hits_carry_no_text(spark, monkeypatch):
+    """All hits of a text are held at once, so a text of many hits must not be in each."""
+    from lautwerk.llm import decontaminate as module
+
+    passage = [f"p{k}" for k in range(20)]
+    docs = spark.createDataFrame([(1, " ".join((passage + ["so"]) * 70)), (2, " ".join(passage[3:]))], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(passage))], "item_id long, text string")
+    seen, diagonal = [], module._diagonal
+    monkeypatch.setattr(module, "_diagonal", lambda hits, *keep: seen.append(hits) or diagonal(hits, *keep))
+    assert {tuple(r) for r in module.decontaminate(docs, items).collect()} == {(1, 7, 20, 20, 0), (2, 7, 17, 17, 0)}
+    arrays = [c for c, kind in seen[0].dtypes if kind == "array<string>"]
+    assert arrays and max(seen[0].agg(*(F.max(F.size(c)) for c in arrays)).first()) == 20
+
+
 def test_decontamination_by_shuffle_agrees(docs, odd, sf, spark):
     items = spark.read.parquet(f"{sf}/benchmark.parquet")
     for df in (docs, odd):
